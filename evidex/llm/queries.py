@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: module and function, called with the whole tables it names.
 _OPS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "op3_mix_sainte_lague": ("mixing", "mix", ("documents",)),
+    "op5_secret_ledger": ("secrets", "digest", ("documents",)),
+    "op10_merkle_fingerprint": ("merkle", "digest", ("documents",)),
 }
 #: Queries that SQL can express.
-_SQL = {"op3_mix_sainte_lague": "mixing"}
+_SQL = {"op3_mix_sainte_lague": "mixing", "op5_secret_ledger": "secrets", "op10_merkle_fingerprint": "merkle"}
 
 
 def _query(module: str, function: str, tables: tuple[str, ...]):
