@@ -47,6 +47,11 @@ def fingerprint(leaves: Column) -> Column:
     return F.concat(root, F.lit("|"), branches)
 
 
+def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the fingerprint of a column of texts; the tree is its own step, so that it is built once."""
+    return docs.withColumn("leaves_of", tree(F.col(text))).withColumn(name, fingerprint(F.col("leaves_of"))).drop("leaves_of")
+
+
 def leaf_set(print_: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.substring_index(print_, "|", -1), "[,/;]"), lambda x: x != ""))
 
@@ -83,7 +88,7 @@ def with_next(docs: DataFrame, carried: list[str], ranges: int) -> DataFrame:
     above = [(tops[(i + 1) % len(tops)][0], top) for i, (_, top) in enumerate(tops)]
     guests = F.broadcast(spark.createDataFrame(above or [(0, 0)], "guest int, key long"))
     dealt = ranged(docs.withColumn("key", key)).join(guests, "key", "left")
-    into = F.explode(F.when(F.col("guest").isNull(), F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("is_guest")))).otherwise(F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("is_guest")), F.struct(F.col("guest"), F.lit(1)))))
+    into = F.explode(F.when(F.col("guest").isNull(), F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("is_guest")))).otherwise(F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("is_guest")), F.struct(F.col("guest").alias("at"), F.lit(1).alias("is_guest")))))
     order = W.partitionBy("at").orderBy("is_guest", F.col("key").desc(), "text")
     spread = dealt.withColumn("into", into).select(*docs.columns, "key", "into.at", "into.is_guest")
     return spread.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).filter("is_guest = 0").drop("at", "is_guest", "key")
@@ -93,10 +98,11 @@ def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     spark = docs.sparkSession
     ranges = min(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fingerprint", fingerprint(tree(F.col("text"))))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = with_fingerprint(own, "text", "fingerprint")
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    both = with_next(own, ["text", "fingerprint"], ranges).withColumn("edited", edited).withColumn("edited_fingerprint", fingerprint(tree(F.col("edited"))))
+    both = with_fingerprint(with_next(own, ["text", "fingerprint"], ranges).withColumn("edited", edited), "edited", "edited_fingerprint")
     return both.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
