@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _OPS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "op3_mix_sainte_lague": ("mixing", "mix", ("documents",)),
     "op5_secret_ledger": ("secrets", "digest", ("documents",)),
+    "op7_packed_token_ids": ("tokens", "round_trip", ("documents",)),
     "op10_merkle_fingerprint": ("merkle", "digest", ("documents",)),
 }
 #: Queries that SQL can express.
