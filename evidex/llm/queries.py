@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: module and function, called with the whole tables it names.
 _OPS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "op1_quality_bradley_terry": ("quality", "score_quality", ("documents", "labels")),
+    "op2_greedy_string_tiling": ("decontaminate", "tiled", ("documents", "benchmark")),
+    "op9_toxicity_mil": ("toxicity", "score_toxicity", ("documents", "labels")),
     "op3_mix_sainte_lague": ("mixing", "mix", ("documents",)),
     "op5_secret_ledger": ("secrets", "digest", ("documents",)),
     "op7_packed_token_ids": ("tokens", "round_trip", ("documents",)),
