@@ -18,6 +18,7 @@ result; columns besides doc_id and text are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -32,7 +33,7 @@ CUT = 0.3
 FOLDS, HELD = 4, 2
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORDS = re.compile(r"[^\W\d_]+")
-KNOWN = 300_000
+KNOWN = 200_000
 NOISE = 0.01
 
 
@@ -77,16 +78,16 @@ class Model:
         return out
 
 
-def choose(bags: list[list[set[str]]], y: np.ndarray, most: int, least: int, bound: float) -> dict[str, float]:
+def choose(documents: list[set[str]], y: np.ndarray, most: int, least: int, bound: float) -> dict[str, float]:
     """The features whose document shares differ most, in units of their spread, with their log odds."""
     seen, toxic = Counter(), Counter()
-    for bag, label in zip(bags, y):
-        own = set().union(*bag)
+    for words, label in zip(documents, y):
+        own = set().union(*map(word_features, words))
         seen.update(own)
-        if label == 1:
+        if label:
             toxic.update(own)
     rate = y.mean()
-    lift = {x: (toxic[x] - n * rate) / np.sqrt(n * rate * (1 - rate)) for x, n in seen.items() if n >= least}
+    lift = {x: (n - seen[x] * rate) / np.sqrt(seen[x] * rate * (1 - rate)) for x, n in toxic.items() if seen[x] >= least}
     best = sorted((x for x in lift if lift[x] > bound), key=lambda x: (-lift[x], x))[:most]
     share = lambda a, n: (a + 0.5) / (n + 1)
     return {x: float(np.log(share(toxic[x], y.sum()) / share(seen[x] - toxic[x], len(y) - y.sum()))) for x in best}
@@ -97,26 +98,20 @@ def fit(sample: list[tuple[str, int]], most: int = 4000, epochs: int = 300, ridg
     y = np.array([b for _, b in sample])
     if not len(y) or (y == 1).all() or (y != 1).all():
         return Model({}, 0.0)
-    cache: dict[str, set[str]] = {}
-    bags = []
-    for text, _ in sample:
-        bag = []
-        for part in SENTENCE.findall(text.lower()):
-            words = set(WORDS.findall(part))
-            bag.append(set().union(*[cache.setdefault(w, word_features(w)) if len(cache) < KNOWN else word_features(w) for w in words]))
-        bags.append(bag)
-    odds_of = choose(bags, (y == 1).astype(int), most, least, lift)
+    odds_of = choose([set(WORDS.findall(t.lower())) for t, _ in sample], (y == 1).astype(int), most, least, lift)
     names = list(odds_of)
     place = {x: i for i, x in enumerate(names)}
-    doc, rows, cols, n = [], [], [], 0
-    for i, bag in enumerate(bags):
-        for s in bag:
+    own = Model(odds_of, 0.0)
+    doc, rows, cols = array("i"), array("i"), array("i")
+    n = 0
+    for i, (text, _) in enumerate(sample):
+        for part in SENTENCE.findall(text.lower()):
+            found = {place[x] for w in set(WORDS.findall(part)) for x in own.of(w)}
             doc.append(i)
-            own = [place[x] for x in s if x in place]
-            rows += [n] * len(own)
-            cols += own
+            rows.extend([n] * len(found))
+            cols.extend(found)
             n += 1
-    doc, rows, cols = np.array(doc, int), np.array(rows, int), np.array(cols, int)
+    doc, rows, cols = (np.array(x, np.int64) for x in (doc, rows, cols))
     truth = (y == 1).astype(float)
     # Log odds as a start keep one clear sentence convincing even where most toxic documents have many.
     theta = np.append(np.clip([odds_of[x] for x in names], 0, 4), -6.0)
@@ -136,7 +131,7 @@ def fit(sample: list[tuple[str, int]], most: int = 4000, epochs: int = 300, ridg
     return Model({x: float(w) for x, w in zip(names, theta) if abs(w) > 1e-3}, float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, chars: int = 32_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 6_000, chars: int = 12_000_000) -> Model:
     return fit(labelled_sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), FOLDS) != HELD, rows, chars))
 
 
