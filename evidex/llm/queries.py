@@ -12,6 +12,7 @@ _OPS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "op2_greedy_string_tiling": ("decontaminate", "tiled", ("documents", "benchmark")),
     "op9_toxicity_mil": ("toxicity", "score_toxicity", ("documents", "labels")),
     "op3_mix_sainte_lague": ("mixing", "mix", ("documents",)),
+    "op4_simhash_covering": ("simhash", "components", ("documents",)),
     "op5_secret_ledger": ("secrets", "digest", ("documents",)),
     "op7_packed_token_ids": ("tokens", "round_trip", ("documents",)),
     "op10_merkle_fingerprint": ("merkle", "digest", ("documents",)),
