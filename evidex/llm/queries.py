@@ -14,6 +14,7 @@ _OPS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "op3_mix_sainte_lague": ("mixing", "mix", ("documents",)),
     "op4_simhash_covering": ("simhash", "components", ("documents",)),
     "op5_secret_ledger": ("secrets", "digest", ("documents",)),
+    "op6_language_crf": ("language_id", "identify", ("documents",)),
     "op7_packed_token_ids": ("tokens", "round_trip", ("documents",)),
     "op8_deleted_interpolation": ("language_model", "score", ("documents",)),
     "op10_merkle_fingerprint": ("merkle", "digest", ("documents",)),
