@@ -32,7 +32,9 @@ def _query(module: str, function: str, tables: tuple[str, ...]):
 
 
 def queries() -> dict:
-    return {name: _query(*spec) for name, spec in _OPS.items()}
+    import corpus_pipeline
+
+    return {name: _query(*spec) for name, spec in _OPS.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
