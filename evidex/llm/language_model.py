@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,12 +47,19 @@ RANGE_KEYS = 2_000_000
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
-    """Integers by byte planes: the high planes of small numbers are zeros, which compress to nothing."""
-    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+    """Integers by byte planes, compressed: the high planes of small numbers cost nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
 
 
 def from_planes(b: bytes, width: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
+def each_row(batches):
+    """The rows of some batches as dicts, one at a time: a row is a block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
 
 class Numbers(dict):
@@ -76,10 +84,16 @@ def write_blocks(docs: DataFrame, path: str, block_tokens: int) -> None:
         def full():
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
             hashes[0] = END_HASH
+            # Frequent words get small numbers, which compress best.
+            local = np.frombuffer(tokens, np.uint32)
+            order = np.argsort(-np.bincount(local, minlength=len(hashes)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            local, hashes = rank[local], hashes[order]
             stops, fold = np.array(ends, np.int64), np.array(folds, bool)
             lengths = np.diff(stops, prepend=0)
-            row = [(part << 32) | serial, ids, planes(stops, 8), planes(fold, 1), planes(np.array(tokens, np.uint32), 4), planes(hashes, 8), int(lengths[~fold].sum()), int((~fold).sum())]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.list_(arrow_kind), *[pa.binary()] * 4, pa.int64(), pa.int64()))], names=["block", "ids", "ends", "held", "tokens", "hashes", "train_tokens", "train_docs"])
+            row = [(part << 32) | serial, len(local), ids, planes(stops, 8), planes(fold, 1), planes(local, 4), planes(hashes, 8), int(lengths[~fold].sum()), int((~fold).sum())]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.list_(arrow_kind), *[pa.binary()] * 4, pa.int64(), pa.int64()))], names=["block", "n_tokens", "ids", "ends", "held", "tokens", "hashes", "train_tokens", "train_docs"])
 
         for batch in batches:
             arrow_kind = batch.column(0).type
@@ -100,7 +114,7 @@ def write_blocks(docs: DataFrame, path: str, block_tokens: int) -> None:
         if ids:
             yield full()
 
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *[T.StructField(c, T.BinaryType()) for c in ("ends", "held", "tokens", "hashes")], T.StructField("train_tokens", T.LongType()), T.StructField("train_docs", T.LongType())])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *[T.StructField(c, T.BinaryType()) for c in ("ends", "held", "tokens", "hashes")], T.StructField("train_tokens", T.LongType()), T.StructField("train_docs", T.LongType())])
     docs.select("doc_id", "text", held).mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
 
 
@@ -126,21 +140,20 @@ def asked(blocks: DataFrame, bits: int) -> DataFrame:
     edges = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.uint64)
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens, ends = from_planes(row["tokens"], 4), from_planes(row["ends"], 8).astype(np.int64)
-                hashes, held = from_planes(row["hashes"], 8), from_planes(row["held"], 1).astype(bool)
-                train = np.repeat(~held, np.diff(ends, prepend=0))
-                pairs, place = pairs_of(tokens.astype(np.int64), ends, len(hashes))
-                out = []
-                for kind, keys, counts in ((0, hashes, np.bincount(tokens[train], minlength=len(hashes))), (1, pair_hashes(pairs, hashes), np.bincount(place[train], minlength=len(pairs)))):
-                    order = np.argsort(keys, kind="stable")
-                    keys, counts = keys[order], counts[order]
-                    stops = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                    for r, (a, b) in enumerate(zip(stops[:-1], stops[1:])):
-                        if b > a:
-                            out.append((kind, r, row["block"], planes(np.diff(keys[a:b], prepend=np.uint64(0)), 8), planes(counts[a:b], 8)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["kind", "range", "block", "keys", "counts"])
+        for row in each_row(batches):
+            tokens, ends = from_planes(row["tokens"], 4), from_planes(row["ends"], 8).astype(np.int64)
+            hashes, held = from_planes(row["hashes"], 8), from_planes(row["held"], 1).astype(bool)
+            train = np.repeat(~held, np.diff(ends, prepend=0))
+            pairs, place = pairs_of(tokens.astype(np.int64), ends, len(hashes))
+            out = []
+            for kind, keys, counts in ((0, hashes, np.bincount(tokens[train], minlength=len(hashes))), (1, pair_hashes(pairs, hashes), np.bincount(place[train], minlength=len(pairs)))):
+                order = np.argsort(keys, kind="stable")
+                keys, counts = keys[order], counts[order]
+                stops = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                for r, (a, b) in enumerate(zip(stops[:-1], stops[1:])):
+                    if b > a:
+                        out.append((kind, r, row["block"], planes(np.diff(keys[a:b], prepend=np.uint64(0)), 8), planes(counts[a:b], 8)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["kind", "range", "block", "keys", "counts"])
 
     return blocks.select("block", "ends", "held", "tokens", "hashes").mapInArrow(run, "kind int, range int, block long, keys binary, counts binary")
 
@@ -215,14 +228,14 @@ def learn_weights(cells: list[tuple[int, int | None, int]], rounds: int = 500) -
     return lam
 
 
-def score(docs: DataFrame, *, block_tokens: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, *, block_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
     path, joined_path = scratch_path(spark, "lm-blocks"), scratch_path(spark, "lm-counted")
     write_blocks(docs, path, block_tokens)
     blocks = spark.read.parquet(path)
     # Distinct pairs of a block are fewer than its tokens; their sum bounds the keys.
-    tokens = blocks.select(F.sum(F.length("tokens") / 4)).first()[0] or 0
+    tokens = blocks.select(F.sum("n_tokens")).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(1.0, tokens / RANGE_KEYS)))))
     counted(blocks, answered(asked(blocks, bits))).write.option("compression", "zstd").parquet(joined_path)
     drop_path(spark, path)
@@ -231,12 +244,11 @@ def score(docs: DataFrame, *, block_tokens: int = 2_000_000) -> DataFrame:
     total, train_docs, vocabulary = sums["train_tokens"], sums["train_docs"], sums["known"]
 
     def cells(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                bucket, pair, single, _ = estimates(row, total, vocabulary, train_docs, True)
-                cell = np.where(pair > 0, np.round(FINE * np.log2(np.maximum(pair, 1e-300) / single)), -(10**6)).astype(np.int64)
-                found, n = np.unique(np.stack([bucket, cell]), axis=1, return_counts=True) if len(cell) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(n.astype(np.int64))], names=["bucket", "cell", "n"])
+        for row in each_row(batches):
+            bucket, pair, single, _ = estimates(row, total, vocabulary, train_docs, True)
+            cell = np.where(pair > 0, np.round(FINE * np.log2(np.maximum(pair, 1e-300) / single)), -(10**6)).astype(np.int64)
+            found, n = np.unique(np.stack([bucket, cell]), axis=1, return_counts=True) if len(cell) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(n.astype(np.int64))], names=["bucket", "cell", "n"])
 
     got = joined.select("ends", "held", "tokens", "words", "pairs").mapInArrow(cells, "bucket long, cell long, n long").groupBy("bucket", "cell").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights([(r["bucket"], None if r["cell"] == -(10**6) else r["cell"], r["n"]) for r in got])
