@@ -37,6 +37,7 @@ FOLDS, HELD = 4, 2
 WORDS = re.compile(r"[^\W\d_]+")
 CHUNK = 64
 KNOWN = 300_000
+SALTS = 64
 NONE = "und"
 
 
@@ -220,7 +221,10 @@ def train(docs: DataFrame, rows: int = 300, chars: int = 400_000) -> Model:
     """The model of the documents outside the held-out fold."""
     h = F.xxhash64(F.col("doc_id").cast("string"))
     may = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD) & F.col("doc_id").isNotNull())
-    ranked = may.select("doc_id", "lang", h.alias("h"), F.length("text").alias("n")).withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "n")))
+    each = may.select("doc_id", "lang", h.alias("h"), F.length("text").alias("n"), F.pmod(h, F.lit(SALTS)).alias("salt"))
+    # Ranked within salts first: a frequent language is spread, and the last ranking sees a bounded number of rows.
+    some = each.withColumn("place", F.row_number().over(W.partitionBy("lang", "salt").orderBy("h", "doc_id", "n"))).filter(F.col("place") <= rows)
+    ranked = some.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "n")))
     chosen, room = [], {}
     for r in sorted(ranked.filter(F.col("place") <= rows).collect(), key=lambda r: (r["lang"], r["place"])):
         room[r["lang"]] = room.get(r["lang"], chars) - r["n"]
