@@ -48,7 +48,7 @@ RANGE_KEYS = 2_000_000
 
 def planes(x: np.ndarray, width: int) -> bytes:
     """Integers by byte planes, compressed: the high planes of small numbers cost nothing."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
 
 
 def from_planes(b: bytes, width: int) -> np.ndarray:
@@ -228,7 +228,7 @@ def learn_weights(cells: list[tuple[int, int | None, int]], rounds: int = 500) -
     return lam
 
 
-def score(docs: DataFrame, *, block_tokens: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, *, block_tokens: int = 1_600_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
     path, joined_path = scratch_path(spark, "lm-blocks"), scratch_path(spark, "lm-counted")
