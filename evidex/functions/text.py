@@ -95,25 +95,29 @@ def topics(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(TOPIC_STOPWORDS)))
 
 
-def stem(token: Column) -> Column:
-    """Plurals and the endings ing, ed and er, in up to three rounds."""
-    out = token
+def stem_once(token: Column) -> Column:
+    """One round: a plural's ending, or else ing, ed or er."""
+    n = F.length(token)
+    cut = lambda k: F.substring(token, F.lit(1), n - k)
+    return (
+        F.when(F.rlike(token, F.lit("(?:ches|shes|sses|xes|zes)$")) & (n >= 5), cut(2))
+        .when(F.rlike(token, F.lit("(?<!s)s$")) & (n >= 4), cut(1))
+        .when(F.rlike(token, F.lit("ing$")) & (n >= 7), cut(3))
+        .when(F.rlike(token, F.lit("(?:ed|er)$")) & (n >= 6), cut(2))
+        .otherwise(token)
+    )
+
+
+def stems(tokens: Column) -> Column:
+    """Three rounds over an array; each is its own transform, so that an element is bound once a round."""
     for _ in range(3):
-        n = F.length(out)
-        cut = lambda k, out=out, n=n: F.substring(out, F.lit(1), n - k)
-        out = (
-            F.when(F.rlike(out, F.lit("(?:ches|shes|sses|xes|zes)$")) & (n >= 5), cut(2))
-            .when(F.endswith(out, F.lit("s")) & ~F.endswith(out, F.lit("ss")) & (n >= 4), cut(1))
-            .when(F.endswith(out, F.lit("ing")) & (n >= 7), cut(3))
-            .when(F.rlike(out, F.lit("(?:ed|er)$")) & (n >= 6), cut(2))
-            .otherwise(out)
-        )
-    return out
+        tokens = F.transform(tokens, stem_once)
+    return tokens
 
 
 def check_topics(text: Column) -> Column:
     """Stemmed topics without question words."""
-    return F.array_distinct(F.transform(F.filter(topics(text), lambda t: ~t.isin(QUESTION_WORDS)), stem))
+    return F.array_distinct(stems(F.filter(topics(text), lambda t: ~t.isin(QUESTION_WORDS))))
 
 
 def related(question: Column, sentence: Column, symmetric: bool) -> Column:

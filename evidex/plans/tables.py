@@ -36,7 +36,7 @@ def policies(spark: SparkSession, d: str) -> DataFrame:
 
 POLICIES = """policies AS (SELECT o_orderkey AS chunk_id, 'p' || (o_custkey % 5) AS project_id, 'orders/' || (o_orderkey % 50) || '.md' AS path,
   'Decision: parcel ' || (CASE WHEN o_orderkey % 3 = 0 THEN 'must not ship' WHEN o_orderkey % 7 = 0 THEN 'was tested with' ELSE 'must ship' END) || ' priority ' || lower(o_orderpriority) || ' within ' || (o_orderkey % 4 + 2) || ' days.' AS text,
-  o_custkey AS request_id, lower(o_orderpriority) AS priority_name, o_orderkey % 2 = 0 AS live, o_orderkey % 3 = 0 AS neg, o_orderkey % 7 = 0 AND o_orderkey % 3 <> 0 AS trial, o_orderkey % 4 + 2 AS days FROM orders)"""
+  o_custkey AS request_id, lower(o_orderpriority) AS priority_name, o_orderkey % 2 = 0 AS live, o_orderkey % 3 = 0 AS banned, o_orderkey % 3 = 0 OR lower(o_orderpriority) LIKE '%not %' AS neg, o_orderkey % 7 = 0 AND o_orderkey % 3 <> 0 AS trial, o_orderkey % 4 + 2 AS days FROM orders)"""
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +98,7 @@ VALIDATIONS = "validations AS (SELECT doc_id AS validation_id, sha1((doc_id % 30
 def runs(spark: SparkSession, d: str) -> DataFrame:
     """events: a run each, some of unnamed agents."""
     e = table(spark, d, "events")
-    return e.select(F.col("event_id").alias("run_id"), F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("agent"), (F.col("user_id") % 30).cast("string"))).alias("agent"), F.col("event_type").alias("project_id"), F.round("value", 2).alias("elapsed_ms"), F.unix_micros("ts").alias("created_at"))
+    return e.select(F.col("event_id").alias("run_id"), F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("agent"), (F.col("user_id") % 30).cast("string"))).alias("agent"), F.col("event_type").alias("project_id"), F.round("value", 2).alias("elapsed_ms"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("created_at"))
 
 
 RUNS = "runs AS (SELECT event_id AS run_id, CASE WHEN user_id % 10 <> 0 THEN 'agent' || (user_id % 30) END AS agent, event_type AS project_id, round(value, 2) AS elapsed_ms, epoch_us(ts) AS created_at FROM events)"
