@@ -43,6 +43,16 @@ def corpus_stats(chunks: DataFrame, terms=t.index_terms) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(length).alias("avg_length"))
 
 
+def write_index(chunks: DataFrame, path: str, terms=t.index_terms) -> None:
+    """Postings in ranges of terms, sorted within files so that a lookup skips row groups, and the statistics."""
+    postings(chunks, terms).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
+    corpus_stats(chunks, terms).write.parquet(f"{path}/stats")
+
+
+def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+
+
 def bm25(f: Column, length: Column, df: Column, n: Column, avg_length: Column) -> Column:
     """Negative score of one term: smaller is better."""
     idf = F.log((n - df + 0.5) / (df + 0.5))

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import path_excluded
 from .rules import CREDENTIAL, IGNORED_DIRS, PLACEHOLDERS, PRIVATE_KEY, PROJECT_MARKERS
@@ -72,7 +73,7 @@ def docx_text(data: bytes) -> str | None:
     return "\n\n".join(p for p in paragraphs if p.strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_text(content: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else docx_text(c) if p.lower().endswith(".docx") else decode_bytes(c) for c, p in zip(content, path)], dtype=object)
 
