@@ -145,3 +145,34 @@ def test_query(name, spark, con):
         assert sorted(names) == sorted(out.columns)
         show = lambda v: repr(round(v, 6)) if isinstance(v, float) else str(v)
         assert sorted(tuple(show(r[n]) for n in names) for r in rows) == sorted(tuple(map(show, r)) for r in cur.fetchall())
+
+
+def test_store_swaps_all_tables_at_once(spark, tmp_path):
+    from evidex.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.commit(replace={"a": spark.range(3), "b": spark.range(1)}) == 1
+    held = store.read("a")
+    assert store.commit(replace={"b": spark.range(5)}, append={"a": spark.range(2)}) == 2
+    assert (held.count(), store.read("a").count(), store.read("b").count()) == (3, 5, 5)
+
+
+def test_guards():
+    from evidex.operators import identity
+
+    reasons = {p: identity.refuse_root(p, "/home/me") for p in ("/", "/home", "/home/me", "/home/me/Documents", "/home/me/.config", "/etc/x", "/home/me/work")}
+    assert list(reasons.values()) == ["filesystem_root", "profile", "profile", "personal_folder", "hidden_profile_folder", "system_folder", None]
+
+
+def test_packets_report_conflicts(spark):
+    from evidex.operators import session
+
+    rows = [(1, "p", "AGENTS.md", "Studio must use bounded roots."), (2, "p", "README.md", "Studio must not use bounded roots."), (3, "p", "other.md", "Nothing of interest to anyone in this file.")] + [(i, "p", f"f{i}.md", "filler line") for i in range(10, 20)]
+    chunks = spark.createDataFrame([(i, p, path, text) for i, p, path, text in rows], "chunk_id long, project_id string, path string, text string").select("*", F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit(None).cast("string").alias("heading"), F.sha2("text", 256).alias("chunk_hash"), F.lit(True).alias("current"), F.lit(False).alias("stale"))
+    requests = spark.createDataFrame([(1, "bounded roots"), (2, "absent thing entirely")], "request_id long, text string")
+    scope = spark.createDataFrame([(1, "p", 0), (2, "p", 0)], "request_id long, project_id string, priority int")
+    out = {r["request_id"]: r for r in session.packets(requests, chunks, scope).collect()}
+    assert out[1]["status"] == "disagreement" and {e["path"] for e in out[1]["evidence"]} == {"AGENTS.md", "README.md"}
+    assert out[2]["status"] == "unknown" and out[2]["empty_result"] == "no_matching_spans"
+    again = {r["request_id"]: r["packet_hash"] for r in session.packets(requests.repartition(3), chunks.repartition(5), scope).collect()}
+    assert again == {k: r["packet_hash"] for k, r in out.items()}
