@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.lines import sentences_udf
 
 CLAIM_CHARS = (12, 600)
 
@@ -52,6 +55,59 @@ def evidence_sentences(spans: DataFrame) -> DataFrame:
     return sentence_rows(spans).filter(t.is_evidence(F.col("sentence"))).dropDuplicates(["request_id", "path", "sentence"])
 
 
+def wrapped_evidence(spans: DataFrame) -> DataFrame:
+    """Like ``evidence_sentences``, with hard-wrapped lines rejoined: adds first_line and last_line; spans have line_start."""
+    each = spans.select(*[c for c in spans.columns if c != "text"], F.explode(sentences_udf("text", "line_start")).alias("s")).select("*", "s.*").drop("s")
+    return each.filter(t.is_evidence(F.col("sentence"))).dropDuplicates(["request_id", "path", "first_line", "sentence"])
+
+
+# What a question may hold.
+QUESTION_KEYS = {"claim": {"id", "type", "text"}, "choice": {"id", "type", "text", "options", "aliases"}, "value": {"id", "type", "text", "unit", "pattern"}}
+MOST = {"questions": 12, "options": 32, "aliases": 8, "unit": 32, "pattern": 200}
+
+
+def validated_questions(raw: list[dict]) -> list[dict]:
+    """Questions in one form, or a ValueError that names what is wrong."""
+    if not raw or len(raw) > MOST["questions"]:
+        raise ValueError(f"one to {MOST['questions']} questions are taken")
+    out, seen = [], set()
+    for n, q in enumerate(raw, 1):
+        kind, text = q.get("type"), str(q.get("text") or "").strip()
+        name = str(q.get("id") or f"q{n}")
+        if kind not in QUESTION_KEYS or not text:
+            raise ValueError(f"{name}: a known type and a text are needed")
+        if odd := set(q) - QUESTION_KEYS[kind]:
+            raise ValueError(f"{name}: unknown keys {sorted(odd)}")
+        if name in seen:
+            raise ValueError(f"{name}: the id is used twice")
+        seen.add(name)
+        item = {"id": name, "type": kind, "text": text}
+        if kind == "choice":
+            options, aliases = list(q.get("options") or []), dict(q.get("aliases") or {})
+            phrases = [p.casefold() for o in options for p in [o, *aliases.get(o, [])]]
+            if not 2 <= len(options) <= MOST["options"] or set(aliases) - set(options) or any(len(a) > MOST["aliases"] for a in aliases.values()):
+                raise ValueError(f"{name}: two to {MOST['options']} options, each with at most {MOST['aliases']} aliases")
+            if len(set(phrases)) < len(phrases):
+                raise ValueError(f"{name}: a phrase belongs to two options")
+            item |= {"options": options, "aliases": aliases}
+        if kind == "value":
+            if (q.get("unit") is None) == (q.get("pattern") is None):
+                raise ValueError(f"{name}: either a unit or a pattern")
+            key = "unit" if q.get("unit") is not None else "pattern"
+            value = str(q[key]).strip()
+            if not value or len(value) > MOST[key] or key == "pattern" and re.search(r"\([^()]*[+*][^()]*\)\s*[+*{]", value):
+                raise ValueError(f"{name}: the {key} is empty, too long or nests quantifiers")
+            item[key] = value
+        out.append(item)
+    return out
+
+
+def retrieval_text(question: dict) -> str:
+    """What to search for on behalf of a question."""
+    phrases = [p for o in question.get("options", []) for p in [o, *question.get("aliases", {}).get(o, [])]]
+    return " ".join([question["text"], *phrases, *([question["unit"]] if "unit" in question else [])])
+
+
 def check_claims(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     """request_id, answer, support, oppose of claim questions.
 

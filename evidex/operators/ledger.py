@@ -208,3 +208,14 @@ def group_projects(links: DataFrame, rounds: int = 20) -> DataFrame:
         if done:
             break
     return label
+
+
+def pointers(chunks: DataFrame, live: DataFrame) -> DataFrame:
+    """Chunks whose stored text the live file gives back at their lines keep no text of their own.
+
+    chunks: chunk_id, path, content_hash, line_start, line_end, text; live: path, content_hash, text."""
+    there = live.select("path", "content_hash", F.split("text", "\n").alias("lines"))
+    met = chunks.join(there, ["path", "content_hash"], "left")
+    part = F.trim(F.array_join(F.slice("lines", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n"))
+    same = F.coalesce(part == F.trim("text"), F.lit(False))
+    return met.select(*[c for c in chunks.columns if c != "text"], F.when(same, "").otherwise(F.col("text")).alias("text"))

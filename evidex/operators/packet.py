@@ -113,6 +113,18 @@ def requirements_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([requirements(x or "") for x in texts])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def second_split_udf(texts: pd.Series) -> pd.Series:
+    """Parts of a leaf that found nothing, down to three characters; empty if it does not divide."""
+
+    def parts(x: str) -> list[str]:
+        found = by_clause(x)
+        found = found if len(found) > 1 else by_and(x, 3)
+        return found if len(found) > 1 else []
+
+    return texts.map(lambda x: parts(x or ""))
+
+
 def leaves(requests: DataFrame) -> DataFrame:
     """request_id, leaf_no, leaf."""
     return requests.select("request_id", F.posexplode(requirements_udf("text")).alias("leaf_no", "leaf"))

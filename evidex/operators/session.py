@@ -26,11 +26,21 @@ def packets(requests: DataFrame, chunks: DataFrame, scope: DataFrame, limit: int
     requests: request_id, text; chunks: chunk_id, project_id, path, line_start, line_end, heading,
     text, chunk_hash, current, stale; scope: request_id, project_id, priority."""
     # each leaf of a request is searched like a request of its own
-    leaf = packet.leaves(requests)
-    leaf = leaf.withColumn("leaf_id", F.concat_ws("/", F.col("request_id").cast("string"), "leaf_no"))
-    asked = leaf.select(F.col("leaf_id").alias("request_id"), t.request_tokens(F.col("leaf")).alias("terms"))
-    leaf_scope = leaf.select("leaf_id", "request_id").join(scope, "request_id").select(F.col("leaf_id").alias("request_id"), "project_id", "priority")
-    hits = search.ladder(search.scored(asked, search.postings(chunks), search.corpus_stats(chunks)), chunks.select("chunk_id", "project_id", "path", "line_start", "current"), leaf_scope, 2 * limit)
+    index, stats = search.postings(chunks), search.corpus_stats(chunks)
+
+    def found_by(leaf: DataFrame) -> DataFrame:
+        asked = leaf.select(F.col("leaf_id").alias("request_id"), t.request_tokens(F.col("leaf")).alias("terms"))
+        leaf_scope = leaf.select("leaf_id", "request_id").join(scope, "request_id").select(F.col("leaf_id").alias("request_id"), "project_id", "priority")
+        return search.ladder(search.scored(asked, index, stats), chunks.select("chunk_id", "project_id", "path", "line_start", "current"), leaf_scope, 2 * limit)
+
+    named = lambda df: df.withColumn("leaf_id", F.concat_ws("/", F.col("request_id").cast("string"), F.col("leaf_no").cast("string")))
+    first = named(packet.leaves(requests))
+    hits = found_by(first)
+    # a leaf without rows is divided once more; its parts take its place
+    empty = first.join(hits.select(F.col("request_id").alias("leaf_id")).distinct(), "leaf_id", "left_anti").withColumn("parts", packet.second_split_udf("leaf")).filter(F.size("parts") > 0)
+    again = named(empty.select("request_id", "leaf_no", F.posexplode("parts").alias("i", "leaf")).select("request_id", (F.col("leaf_no") * 100 + F.col("i") + 100).alias("leaf_no"), "leaf"))
+    leaf = first.join(empty.select("leaf_id"), "leaf_id", "left_anti").unionByName(again)
+    hits = hits.unionByName(found_by(again))
     found = hits.select(F.col("request_id").alias("leaf_id"), "chunk_id", "priority", "match_pass", "rank").join(leaf.select("leaf_id", "request_id", "leaf_no"), "leaf_id")
     full = found.join(chunks.select("chunk_id", "project_id", "path", "line_start", "line_end", "text", "chunk_hash", "stale"), "chunk_id")
     # conflicts are judged within a leaf

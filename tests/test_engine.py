@@ -176,3 +176,23 @@ def test_packets_report_conflicts(spark):
     assert out[2]["status"] == "unknown" and out[2]["empty_result"] == "no_matching_spans"
     again = {r["request_id"]: r["packet_hash"] for r in session.packets(requests.repartition(3), chunks.repartition(5), scope).collect()}
     assert again == {k: r["packet_hash"] for k, r in out.items()}
+
+
+def test_wrapped_lines_join():
+    from evidex.functions.lines import sentences
+
+    assert sentences("The export runs\nat 24 fps. It is final.\n- item one\n- item two\n\n| a | b |", 3) == [(3, 4, "The export runs at 24 fps."), (3, 4, "It is final."), (5, 5, "item one"), (6, 6, "item two"), (8, 8, "| a | b |")]
+
+
+def test_questions_are_validated():
+    good = evidence.validated_questions([{"type": "choice", "text": "Which?", "options": ["A", "B"], "aliases": {"A": ["first"]}}, {"type": "value", "text": "How many?", "unit": "fps"}])
+    assert [q["id"] for q in good] == ["q1", "q2"] and evidence.retrieval_text(good[0]) == "Which? A first B"
+    for bad in ([], [{"type": "claim", "text": ""}], [{"type": "claim", "text": "x", "unit": "y"}], [{"type": "choice", "text": "x", "options": ["a", "A"]}], [{"type": "value", "text": "x", "pattern": "(a+)+"}]):
+        with pytest.raises(ValueError):
+            evidence.validated_questions(bad)
+
+
+def test_pointers_keep_only_what_is_lost(spark):
+    chunks = spark.createDataFrame([(1, "a", "h", 1, 2, "x\ny"), (2, "a", "old", 1, 1, "x")], "chunk_id long, path string, content_hash string, line_start int, line_end int, text string")
+    live = spark.createDataFrame([("a", "h", "x\ny\nz")], "path string, content_hash string, text string")
+    assert {r["chunk_id"]: r["text"] for r in ledger.pointers(chunks, live).collect()} == {1: "", 2: "x"}
