@@ -123,11 +123,12 @@ def test_simhash_brute_force(docs, rows):
 
 def test_covering_masks_miss_no_pair():
     rng = np.random.default_rng(0)
-    masks = simhash.masks(4)
-    assert len(masks) == 31
-    for _ in range(2000):
-        differ = sum(1 << int(i) for i in rng.choice(64, 4, replace=False))
-        assert any(differ & m == 0 for m in masks)
+    for radius in (3, 4, 5, 6):
+        masks = simhash.masks(radius)
+        assert len(masks) == 2 ** (radius + 1) - 1 and min((m & (2**64 - 1)).bit_count() for m in masks) >= 20
+        for _ in range(500):
+            differ = sum(1 << int(i) for i in rng.choice(64, radius, replace=False))
+            assert any(differ & m == 0 for m in masks)
 
 
 def test_contract_long_chain(spark):
