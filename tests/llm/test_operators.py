@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from evidex.llm import decontaminate, language_id, language_model, merkle, mixing, quality, secrets, simhash, tokens, toxicity
+from evidex.llm import decontaminate, jaccard, language_id, language_model, merkle, mixing, quality, secrets, simhash, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CALLS = {
@@ -142,6 +143,35 @@ def test_dedup_keeps_one_of_each_group(docs):
     assert ids.count(3) == 1 and not {104, 105} & set(ids) and len([i for i in ids if i is not None]) == len(set(ids) - {None})
 
 
+def test_pipeline_finds_edited_copies(spark, docs):
+    """Every pair of similarity 0.8 or more is linked, and no pair below it, as by brute force on all pairs."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        texts.append(base)
+        for part in (0.005, 0.01, 0.02, 0.03, 0.05):
+            texts.append([f"e{rng.randrange(3000)}" if rng.random() < part else w for w in base])
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in texts]
+    label = list(range(len(texts)))
+    hard = 0
+    for j in range(len(texts)):
+        for i in range(j):
+            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            hard += 0.8 <= s < 0.9
+            if s >= 0.8:
+                label = [label[i] if x == label[j] else x for x in label]
+    assert hard > 20
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = sorted({min(i for i, x in enumerate(label) if x == y) for y in label})
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == want
+    assert sorted(r["doc_id"] for r in jaccard.dedup(df, block=700).collect()) == want
+    assert jaccard.dedup(docs.limit(0)).columns == docs.columns
+    assert jaccard.dedup(docs.limit(0)).count() == 0
+
+
 def test_secrets_incremental(spark, tmp_path):
     first = spark.createDataFrame([("a", 1, "token = abcdef1"), ("b", 1, "plain"), ("c", 1, "token = abcdef1")], "path string, version int, text string")
     ledger = str(tmp_path / "ledger")
