@@ -172,6 +172,16 @@ def test_pipeline_finds_edited_copies(spark, docs):
     assert jaccard.dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("module", [simhash, jaccard])
+def test_dedup_decides_by_row(spark, module):
+    """Copies without id collapse, also onto one with an id; unlike texts under one id both stay."""
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9999)}" for _ in range(40)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (7, b), (None, b), (1, c), (1, d), (1, d)]
+    out = module.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == sorted([(0, a), (7, b), (1, c), (1, d)])
+
+
 def test_secrets_incremental(spark, tmp_path):
     first = spark.createDataFrame([("a", 1, "token = abcdef1"), ("b", 1, "plain"), ("c", 1, "token = abcdef1")], "path string, version int, text string")
     ledger = str(tmp_path / "ledger")
