@@ -6,7 +6,7 @@ code-switched texts are told apart.  A document's language is the one with the l
 its words; the score is that share.
 
 The model is fitted on the driver to a bounded sample: per language at most ``rows`` documents of
-the least hashes of doc_id and about ``chars`` characters of them.  Word labels start as the
+the least hashes of doc_id and ``chars`` characters of them (see ``learning.fitting``).  Word labels start as the
 document's language; halfway through, words are relabelled by the model itself, so that foreign
 words in a document do not count as its language and switches are learned.  Prediction reads every
 whole text in Arrow batches, without a shuffle; chunks of a long text are scanned side by side and
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_mod
-from .learning import slices
+from .learning import SHARE, fitting, slices
 
 FOLDS, HELD = 4, 2
 WORDS = re.compile(r"[^\W\d_]+")
@@ -222,14 +222,15 @@ def train(docs: DataFrame, rows: int = 300, chars: int = 400_000) -> Model:
     h = F.xxhash64(F.col("doc_id").cast("string"))
     may = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD) & F.col("doc_id").isNotNull())
     each = may.select("doc_id", "lang", h.alias("h"), F.length("text").alias("n"), F.pmod(h, F.lit(SALTS)).alias("salt"))
+    # Texts longer than a share of the budget come last, the shortest of them first, so that they take no places.
+    order = [F.greatest(F.col("n"), F.lit(chars // SHARE)), "h", "doc_id", "n"]
     # Ranked within salts first: a frequent language is spread, and the last ranking sees a bounded number of rows.
-    some = each.withColumn("place", F.row_number().over(W.partitionBy("lang", "salt").orderBy("h", "doc_id", "n"))).filter(F.col("place") <= rows)
-    ranked = some.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "n")))
-    chosen, room = [], {}
+    some = each.withColumn("place", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("place") <= rows)
+    ranked = some.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(*order)))
+    by_lang: dict[str, list] = {}
     for r in sorted(ranked.filter(F.col("place") <= rows).collect(), key=lambda r: (r["lang"], r["place"])):
-        room[r["lang"]] = room.get(r["lang"], chars) - r["n"]
-        if room[r["lang"]] >= 0 or r["place"] == 1:
-            chosen.append((r["doc_id"],))
+        by_lang.setdefault(r["lang"], []).append((r["doc_id"], r["n"]))
+    chosen = [(i,) for sizes in by_lang.values() for i in sorted(fitting(sizes, chars))]
     if not chosen:
         return fit([])
     ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)])).distinct())

@@ -6,7 +6,7 @@ their beginnings and endings); a document's is the noisy-or of its sentences,
 toxic label are found without being labelled (``locate``).
 
 The model is fitted on the driver to a bounded sample: at most ``rows`` labelled documents and
-about ``chars`` characters of them (see ``learning.labelled_sample``); features are chosen by how
+``chars`` characters of them (see ``learning.labelled_sample``); features are chosen by how
 far their document shares differ between the labels.  Scoring reads every whole text in Arrow
 batches, without a shuffle.
 

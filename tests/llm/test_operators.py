@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from evidex.llm import decontaminate, jaccard, language_id, language_model, merkle, mixing, quality, secrets, simhash, tokens, toxicity
+from evidex.llm import decontaminate, jaccard, language_id, language_model, learning, merkle, mixing, quality, secrets, simhash, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CALLS = {
@@ -299,6 +299,24 @@ def test_toxicity_locates(spark):
     assert [(r["doc_id"], r["start"], r["end"]) for r in spans] == [(1, 12, 29)]
 
 
+def test_one_long_text_leaves_the_samples(spark, monkeypatch):
+    """A text of more than the whole budget, wherever it stands in the order, takes no other text's place."""
+    from pyspark.sql import functions as F
+
+    for long in range(6):
+        rows = [(i, "word " * (1000 if i == long else 4), "en", 1) for i in range(40)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+        sample = learning.labelled_sample(df, df, "quality", F.lit(True), 100, 1_600)
+        assert len(sample) == 39 and max(len(x) for x, _ in sample) == 20
+        seen = []
+        monkeypatch.setattr(language_id, "fit", lambda pairs: seen.extend(pairs))  # noqa: B023
+        language_id.train(df, rows=100, chars=1_600)
+        learned = sum(crc(i, language_id.FOLDS) != language_id.HELD and i != long for i in range(40))
+        assert len(seen) == learned > 20 and max(len(x) for x, _ in seen) == 20
+    only = df.filter("doc_id = 5")
+    assert [len(x) for x, _ in learning.labelled_sample(only, only, "quality", F.lit(True), 100, 1_600)] == [5000]
+
+
 def test_language_words():
     sample = [("the cat sat on the mat with the other cats and then went home", "en")] * 20 + [("le chat est sur la table avec les autres chats et puis rentre", "fr")] * 20
     model = language_id.fit(sample)
