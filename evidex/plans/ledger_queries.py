@@ -324,6 +324,16 @@ def resolve(spark, d):
     return ledger.resolve_claims(refs, c)
 
 
+@query("c13_resolve_claims_whole", _sql(tb.CLAIMS) + """, refs AS (SELECT CASE WHEN no % 3 = 0 THEN claim_id WHEN no % 3 = 1 THEN claim_id[1:9] ELSE normalized_text END AS reference FROM claims),
+m AS (SELECT reference, claim_id FROM refs JOIN claims ON length(reference) >= 8 AND starts_with(claim_id, reference) UNION SELECT reference, claim_id FROM refs JOIN claims ON normalized_text = reference)
+SELECT reference, CASE WHEN count(*) = 1 THEN min(claim_id) END AS claim_id, count(*)::BIGINT AS matches FROM m GROUP BY 1""".replace("\n, refs", ", refs"))
+def resolve_whole(spark, d):
+    """Every claim is a reference."""
+    c = tb.claims(spark, d)
+    refs = c.select(F.when(F.col("no") % 3 == 0, F.col("claim_id")).when(F.col("no") % 3 == 1, F.substring("claim_id", 1, 9)).otherwise(F.col("normalized_text")).alias("reference"))
+    return ledger.resolve_claims(refs, c)
+
+
 @query("c14_replay_drift", _sql(tb.RUNS) + """, b AS (SELECT run_id, md5(run_id::VARCHAR) AS h, run_id % 5 AS v, run_id % 7 AS s FROM runs WHERE run_id % 11 <> 0), a AS (SELECT run_id, CASE WHEN run_id % 4 = 0 THEN md5('x') ELSE md5(run_id::VARCHAR) END AS h, CASE WHEN run_id % 8 = 0 THEN -1 ELSE run_id % 5 END AS v, CASE WHEN run_id % 12 = 0 THEN -1 ELSE run_id % 7 END AS s FROM runs WHERE run_id % 13 <> 0)
 SELECT run_id, CASE WHEN b.h IS NULL OR a.h IS NULL THEN 'missing' WHEN a.h = b.h THEN 'match' WHEN a.v <> b.v THEN 'corpus_moved' WHEN a.s <> b.s THEN 'sources_changed' ELSE 'algorithmic' END AS cause FROM b FULL JOIN a USING (run_id)""".replace("\n, b AS", ", b AS"))
 def replay(spark, d):

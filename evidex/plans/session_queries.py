@@ -59,6 +59,14 @@ def stale_text(spark, d):
     return session.stale_text(hits, docs).select("chunk_id", F.md5(F.col("text").cast("binary")).alias("h"), "stale_text")
 
 
+@query("r14_stale_text_whole", "SELECT doc_id AS chunk_id, md5(text) AS h, CASE WHEN doc_id % 6 = 0 THEN 'indexed_copy' END AS stale_text FROM documents")
+def stale_text_whole(spark, d):
+    """Every document; the rest are neither stale nor emptied."""
+    docs = tb.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    hits = docs.select("chunk_id", (F.col("chunk_id") % 2 == 0).alias("stale"), F.when(F.col("chunk_id") % 6 == 0, "").otherwise(F.col("text")).alias("text"))
+    return session.stale_text(hits, docs).select("chunk_id", F.md5(F.col("text").cast("binary")).alias("h"), "stale_text")
+
+
 @query("c7_cache_validity", "WITH dep AS (SELECT l_orderkey AS cache_key, l_partkey AS p, l_suppkey % 10 <> 0 AS matched FROM lineitem) SELECT cache_key, bool_and((p % 7 <> 0) = matched) AS valid FROM dep GROUP BY 1")
 def cache_validity(spark, d):
     li = tb.table(spark, d, "lineitem")
