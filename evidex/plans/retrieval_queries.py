@@ -107,6 +107,53 @@ def term_coverage(spark, d):
     return search.term_coverage(full).select("request_id", "chunk_id", "coverage")
 
 
+def _whole(sql: str) -> str:
+    """The same SQL over all request terms, and full ones."""
+    return sql.replace("tokens[:request_id % 8 + 2] AS terms", "tokens AS terms").replace("x[:4]", "x")
+
+
+def _requests(spark, d):
+    """benchmark: a request each, with all its terms."""
+    return tb.table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), t.request_tokens(F.col("text")).alias("terms"))
+
+
+@query("r10_bm25_scores_whole", _whole(f"{_ALL} SELECT request_id, chunk_id, matched::BIGINT AS matched, round(score, 6) AS score FROM scored"))
+def bm25_scores_whole(spark, d):
+    c = tb.chunks(spark, d)
+    return search.scored(_requests(spark, d), search.postings(c), search.corpus_stats(c)).select("request_id", "chunk_id", "matched", F.round("score", 6).alias("score"))
+
+
+@query("r10_ranked_search_whole", _whole(_LADDER))
+def ranked_search_whole(spark, d):
+    c = tb.chunks(spark, d)
+    return search.ladder(search.scored(_requests(spark, d), search.postings(c), search.corpus_stats(c)), c.drop("text"), _scope(spark, d))
+
+
+@query("r3_prefix_pass_whole", _whole(_PREFIX))
+def prefix_pass_whole(spark, d):
+    c = tb.chunks(spark, d)
+    return search.prefix_hits(_requests(spark, d), search.postings(c), search.corpus_stats(c)).select("request_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("r12_term_coverage_whole", _whole(f"""{_ALL}, hit AS (SELECT s.request_id, s.chunk_id, r.terms, c.path FROM scored s JOIN requests r USING (request_id) JOIN chunks c USING (chunk_id)),
+cov AS (SELECT *, len(list_filter(terms, lambda x: contains(lower(path), x))) AS coverage FROM hit)
+SELECT request_id, chunk_id, coverage::INT AS coverage FROM cov QUALIFY len(terms) < 4 OR max(coverage) OVER (PARTITION BY request_id) < 2 OR coverage >= 2"""))
+def term_coverage_whole(spark, d):
+    c, r = tb.chunks(spark, d), _requests(spark, d)
+    hits = search.scored(r, search.postings(c), search.corpus_stats(c)).select("request_id", "chunk_id")
+    full = hits.join(r, "request_id").join(c.select("chunk_id", "path"), "chunk_id").withColumn("heading", F.lit(None).cast("string"))
+    return search.term_coverage(full).select("request_id", "chunk_id", "coverage")
+
+
+@query("r9_phrase_match_whole", rf"""WITH {tb.CHUNKS}, asked AS (SELECT item_id AS request_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS phrase FROM benchmark),
+tok AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM chunks),
+m AS (SELECT * FROM asked JOIN tok ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(phrase, ' ') || ' '))
+SELECT request_id, chunk_id, len(list_filter(range(1, len(w) - len(phrase) + 2), lambda i: w[i:i + len(phrase) - 1] = phrase))::BIGINT AS occurrences FROM m""")
+def phrase_match_whole(spark, d):
+    b = tb.table(spark, d, "benchmark")
+    return search.phrase_hits(b.select(F.col("item_id").alias("request_id"), t.index_terms(F.col("text")).alias("phrase")), tb.chunks(spark, d))
+
+
 @query("r5_requirement_leaves")
 def requirement_leaves(spark, d):
     return packet.leaves(tb.table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), "text"))
