@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -142,6 +143,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     return out.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+def places(text: str, lowered: str) -> Sequence[int]:
+    """For each character of the lower-cased text, the one of the text that it comes from."""
+    if len(lowered) == len(text):
+        return range(len(text))
+    return [i for i, c in enumerate(text) for _ in c.lower()]
+
+
 def locate(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """doc_id, start, end, score of every sentence that scores at least ``cut``; code points, end exclusive."""
     import pyarrow as pa
@@ -155,10 +163,11 @@ def locate(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
             for part in slices(batch.column(1)):
                 for text in part:
                     lowered = text.lower()
-                    if own.weights and len(lowered) == len(text):
+                    if own.weights:
+                        place = places(text, lowered)
                         for (a, b), z in zip(sentences(lowered), own.sentence_logits(text)):
                             if (p := 1 / (1 + np.exp(-z))) >= cut:
-                                out.append((at, a, b, float(p)))
+                                out.append((at, place[a], place[b - 1] + 1, float(p)))
                     at += 1
             rows = pa.array([x[0] for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *[pa.array([x[i] for x in out], k) for i, k in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))]], names=["doc_id", "start", "end", "score"])
