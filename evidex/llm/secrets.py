@@ -5,9 +5,11 @@ row per (blob, rule version) that has ever been scanned, with its spans, empty o
 scan anti-joins the distinct blobs of the versions with the ledger, reads only the texts of unseen
 pairs, appends what it finds, and joins findings back to every path of a blob.
 
-Scale: texts are shuffled once, by content, and copies are collapsed before that shuffle, so a
-group of a third of all rows sends one text per task; the join back carries ids and 32-byte
-addresses only, and adaptive execution can split a hot blob there.  Span positions come from
+Scale: texts are shuffled once, by address, and copies are collapsed before that shuffle, so a
+group of a third of all rows sends one text per task; the anti-join with the ledger finds them dealt
+as it needs them.  The ledger's rows are far smaller than the texts they stand for, so each scan
+gathers them into fewer files than it has tasks.  The join back carries ids and 32-byte addresses
+only, and adaptive execution can split a hot blob there.  Span positions come from
 prefix sums in two levels, so a text of very many matches costs little more than its length.
 
 Defined results: null text counts as empty and has no spans; repeated rows and copies each get
@@ -19,10 +21,10 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import crc_mod, scratch_path
 
 # The kinds of secrets in their order: name, pattern, group whose length counts, least length.
 RULES = (
@@ -33,6 +35,8 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 CHUNK = 256
+#: Scanning tasks whose findings share a file of the ledger.
+TASKS_A_FILE = 8
 
 
 def rule_version(rules=RULES) -> str:
@@ -77,16 +81,23 @@ def address(versions: DataFrame) -> DataFrame:
     return versions.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("blob", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
 
 
-def scan_versions(versions: DataFrame, ledger_path: str, rules=RULES, *, first: bool = False) -> DataFrame:
+def ledger_of(spark: SparkSession, path: str, rules=RULES) -> DataFrame | None:
+    """The ledger at a path, or None where there is none yet."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
+
+
+def scan_versions(versions: DataFrame, ledger_path: str, rules=RULES) -> DataFrame:
     """Scan what the ledger at ``ledger_path`` has not seen, append it there, and return the whole ledger.
 
-    ``versions`` has a column text and any others; ``first``: there is no ledger yet."""
+    ``versions`` has a column text and any others; a ledger that does not exist yet is begun."""
     spark = versions.sparkSession
-    blobs = address(versions).select("blob", "text")
-    if not first:
-        seen = spark.read.parquet(ledger_path).filter(F.col("rules") == rule_version(rules)).select("blob")
-        blobs = blobs.join(seen, "blob", "left_anti")
-    scan(blobs.distinct(), rules).write.mode("append").parquet(ledger_path)
+    blobs = address(versions).groupBy("blob").agg(F.first("text").alias("text"))
+    ledger = ledger_of(spark, ledger_path)
+    if ledger is not None:
+        blobs = blobs.join(ledger.filter(F.col("rules") == rule_version(rules)).select("blob"), "blob", "left_anti")
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // TASKS_A_FILE)
+    scan(blobs, rules).repartition(files).write.mode("append").option("compression", "zstd").parquet(ledger_path)
     return spark.read.parquet(ledger_path)
 
 
@@ -100,10 +111,14 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns: counts by base kind, the hash of the base spans, and all spans."""
-    versions = docs.select("doc_id", "text")
-    ledger = scan_versions(versions, scratch_path(docs.sparkSession, "ledger"), first=True)
+def digest(docs: DataFrame, steps: int = 2) -> DataFrame:
+    """The contract's columns: counts by base kind, the hash of the base spans, and all spans.
+
+    The table is scanned in ``steps`` increments by a hash of the id, each through the ledger that the
+    earlier ones left, so a text that an earlier increment held is not scanned again."""
+    versions, path = docs.select("doc_id", "text"), scratch_path(docs.sparkSession, "ledger")
+    for step in range(steps):
+        ledger = scan_versions(versions.filter(crc_mod(F.col("doc_id"), steps) == step), path)
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     return findings(versions, ledger).select(
         "doc_id",

@@ -185,7 +185,7 @@ def test_dedup_decides_by_row(spark, module):
 def test_secrets_incremental(spark, tmp_path):
     first = spark.createDataFrame([("a", 1, "token = abcdef1"), ("b", 1, "plain"), ("c", 1, "token = abcdef1")], "path string, version int, text string")
     ledger = str(tmp_path / "ledger")
-    assert secrets.scan_versions(first, ledger, first=True).count() == 2
+    assert secrets.scan_versions(first, ledger).count() == 2
     second = first.union(spark.createDataFrame([("a", 2, "plain"), ("d", 1, "passwd:'zzzzzz9'")], first.schema))
     seen = secrets.scan_versions(second, ledger)
     assert seen.count() == 3  # only the new blob was scanned
