@@ -1,17 +1,10 @@
-"""Index stems: the published Porter algorithm over the distinct words of a corpus.
-
-Only the vocabulary goes through Python, in Arrow batches; occurrences meet their stems by a join."""
+"""Index stems: the published Porter algorithm, and the folding of words before it."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 
 def _form(word: str) -> str:
     """Letters as v and c: y is a vowel after a consonant."""
@@ -29,6 +22,7 @@ def _cvc(word: str) -> bool:
     return _form(word)[-3:] == "cvc" and word[-1] not in "wxy"
 
 
+LONGEST = 64
 # The published suffix tables of steps 2, 3 and 4.
 STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log"
 STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
@@ -38,8 +32,8 @@ _STEP4 = sorted(STEP4.split(), key=lambda s: -len(s))
 
 
 def porter(word: str) -> str:
-    """The stem of a lower-case word."""
-    if len(word) <= 2 or not word.isascii() or not word.isalpha():
+    """The stem of a lower-case word; words of one or two bytes and very long ones stay."""
+    if not 2 < len(word.encode("utf-8", "replace")) <= LONGEST:
         return word
     for end, to in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
         if word.endswith(end):
@@ -80,15 +74,3 @@ def porter(word: str) -> str:
 def fold(word: str) -> str:
     """Without diacritics, as the index sees a word."""
     return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
-
-
-@F.pandas_udf(T.StringType())
-def stem_udf(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: porter(fold(w)))
-
-
-def with_stems(occurrences: DataFrame, term: str = "term") -> DataFrame:
-    """Occurrences with their term replaced by its stem, by way of the distinct terms."""
-    vocabulary = occurrences.select(term).distinct().withColumn("stem", stem_udf(term))
-    return occurrences.join(vocabulary, term).drop(term).withColumnRenamed("stem", term)
-

@@ -1,139 +1,352 @@
 """Ranked lexical search for many requests at once.
 
-The index is two tables: postings (term, chunk, weighted frequency, chunk length) and the global
-counts; a batch of requests is one job.  Request terms meet postings on the term, so only
-postings of asked terms move; a frequent term's postings can be split by adaptive execution, since
-the requests' side of that join is small and the scores are pre-aggregated by (request, chunk).
-
-All passes of the expression ladder come from one scored aggregate: the number of distinct terms a
-chunk matches decides which passes it satisfies.
+The index is three tables: postings (term, chunk, project, length, weighted frequency, positions),
+the vocabulary (term, number of chunks) and one row of global counts.  Terms are folded and stemmed
+words.  A chunk's postings come out of one Arrow-batched pass over its text, so building needs no
+shuffle but the one that sorts the postings by term for writing.  A batch of requests then reads no
+text: its terms meet postings on the term; a batch of few terms names them to the scan, which skips
+all other row groups and pages.
+
+A request's token is a phrase of one or more index terms (``export_settings`` is two), and counts
+where they follow one another in one column.  All passes of the expression ladder come from one
+scored aggregate: the number of a request's phrases that a chunk holds decides which passes it
+satisfies.  Requests that nothing matched take one more pass, by prefixes.
+
+Defined results: null columns count as empty; a chunk without words is counted in the statistics and
+never found; a request without terms finds nothing; a token without index terms (``___``) is held by
+no chunk; equal scores are taken by chunk_id under the cap and by path, line and chunk_id in the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from array import array
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import porter
 from ..functions import text as t
+from ..sources.store import kept
 
 # The ranking constants and the weights of the indexed columns.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 WEIGHTS = {"text": 1.0, "heading": 1.5, "path": 1.0, "project_id": 0.0}
-CAP = 256
-
-
-def postings(chunks: DataFrame, terms=t.index_terms) -> DataFrame:
-    """term, chunk_id, f (weighted frequency), length (terms of all columns).
-
-    One pass over the chunks: every column is cut into terms, and counts are combined on the map side."""
-    cols = [c for c in WEIGHTS if c in chunks.columns]
-    cut = chunks.select("chunk_id", *[terms(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in cols])
-    length = sum((F.size(c) for c in cols[1:]), F.size(cols[0]))
-    weigh = lambda w: lambda x: F.struct(x.alias("term"), F.lit(w).alias("w"))
-    weighed = F.flatten(F.array(*[F.transform(c, weigh(WEIGHTS[c])) for c in cols]))
-    each = cut.select("chunk_id", length.cast("long").alias("length"), F.explode(weighed).alias("e"))
-    return each.groupBy(F.col("e.term").alias("term"), "chunk_id", "length").agg(F.sum("e.w").alias("f"))
-
-
-def corpus_stats(chunks: DataFrame, terms=t.index_terms) -> DataFrame:
-    """One row: n_chunks and avg_length over the whole index, whatever the scope."""
-    cols = [c for c in WEIGHTS if c in chunks.columns]
-    length = sum((F.size(terms(F.coalesce(F.col(c), F.lit("")))) for c in cols), F.lit(0))
-    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(length).alias("avg_length"))
-
+# Which requests have an all-terms pass and a most-terms pass, what a prefix needs, when coverage is asked for.
+ALL_TERMS, MOST_TERMS, PREFIX_CHARS, COVERAGE_TERMS, COVERAGE = (2, 8), (3, 6), 4, 4, 2
+
+WORD = re.compile(r"(?:[^\W_]|[̀-ͯ])+")
+COLUMN = 1 << 24  # positions of the next column begin here
+STATS = ""  # the posting of this term carries a chunk's length, whether it has words or not
+KNOWN = 400_000  # words a worker remembers the terms of
+ROWS = 400_000  # postings in one Arrow batch, about
+NAMED = 200  # terms that a scan is told
+SMALL = 2_000  # phrases of a batch that the driver looks at
+LONGEST = 24  # characters of a prefix that are joined on
+
+
+@dataclass
+class Index:
+    postings: DataFrame
+    vocabulary: DataFrame
+    stats: DataFrame
+
+
+class Terms(dict):
+    """Remembers the index term of each word."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > KNOWN:
+            self.clear()
+        term = self[word] = porter.porter(porter.fold(word))
+        return term
+
+
+def cap_of(rows: int) -> int:
+    """How many of a pass are ranked further for a number of rows wanted."""
+    return max(64, min(256, 32 * max(rows, 1)))
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, project_id, length (terms of all columns), f (weighted frequency), at (positions) of every chunk; and its row of ``STATS``."""
+    columns = [c for c in WEIGHTS if c in chunks.columns]
+    weights = np.array([WEIGHTS[c] for c in columns])
+    names = ["term", "chunk_id", "project_id", "length", "f", "at"]
+    kinds = [T.StringType(), chunks.schema["chunk_id"].dataType, T.StringType(), T.LongType(), T.DoubleType(), T.ArrayType(T.IntegerType())]
+
+    def run(batches):
+        known = Terms()
+        for batch in batches:
+            texts = [batch.column(2 + i) for i in range(len(columns))]
+            terms, rows, lengths, counts, flat = [], array("q"), array("q"), array("q"), array("i")
+
+            def out():
+                row = pa.array(np.frombuffer(rows, np.int64))
+                n, at = np.frombuffer(counts, np.int64), np.frombuffer(flat, np.int32)
+                ends = np.cumsum(n)
+                f = np.add.reduceat(weights[at >> 24], np.concatenate([[0], ends[:-1]])[n > 0]) if len(at) else np.zeros(0)
+                full = np.zeros(len(n))
+                full[n > 0] = f
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(at))
+                return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), batch.column(0).take(row), batch.column(1).take(row), pa.array(np.frombuffer(lengths, np.int64)), pa.array(full), lists], names=names)
+
+            for row in range(batch.num_rows):
+                found: dict[str, list[int]] = {}
+                length = 0
+                for i, column in enumerate(texts):
+                    words = WORD.findall((column[row].as_py() or "").lower())
+                    length += len(words)
+                    for place, word in enumerate(words, i * COLUMN):
+                        term = known[word]
+                        if term in found:
+                            found[term].append(place)
+                        else:
+                            found[term] = [place]
+                found.pop(STATS, None)
+                found[STATS] = []
+                for term, at in found.items():
+                    terms.append(term)
+                    counts.append(len(at))
+                    flat.extend(at)
+                rows.extend([row] * len(found))
+                lengths.extend([length] * len(found))
+                if len(terms) >= ROWS:
+                    yield out()
+                    terms, rows, lengths, counts, flat = [], array("q"), array("q"), array("q"), array("i")
+            if terms:
+                yield out()
+
+    project = F.col("project_id") if "project_id" in chunks.columns else F.lit(None)
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
+    return chunks.select("chunk_id", project.cast("string").alias("project_id"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, schema)
+
+
+def tables(rows: DataFrame) -> Index:
+    """The tables of some postings."""
+    words = rows.filter(F.col("term") != STATS)
+    stats = rows.filter(F.col("term") == STATS).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("length").alias("avg_length"))
+    return Index(words, words.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
+
+
+def build(chunks: DataFrame) -> Index:
+    """The index of some chunks, computed where it is used; ``write_index`` is for more than one use."""
+    return tables(postings(chunks))
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """Postings in ranges of terms, sorted within files so that a lookup skips row groups and pages; then what is counted from them.
+
+    The texts are dealt out first, since a file's few large row groups would keep most cores idle."""
+    spark = chunks.sparkSession
+    postings(chunks.repartition(spark.sparkContext.defaultParallelism * 2)).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
+    own = tables(spark.read.parquet(f"{path}/postings"))
+    own.vocabulary.sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
+    own.stats.write.parquet(f"{path}/stats")
 
-def write_index(chunks: DataFrame, path: str, terms=t.index_terms) -> None:
-    """Postings in ranges of terms, sorted within files so that a lookup skips row groups, and the statistics."""
-    postings(chunks, terms).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
-    corpus_stats(chunks, terms).write.parquet(f"{path}/stats")
 
-
-def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+def read_index(spark: SparkSession, path: str) -> Index:
+    rows = spark.read.parquet(f"{path}/postings")
+    return Index(rows.filter(F.col("term") != STATS), spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/stats"))
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def phrases_udf(tokens: pd.Series) -> pd.Series:
+    """The index terms of each token."""
+    known = Terms()
+    return pd.Series([[[known[w] for w in WORD.findall(token.lower())] for token in (row if row is not None else [])] for row in tokens])
+
+
+def phrases(requests: DataFrame) -> DataFrame:
+    """request_id, terms, n_terms, token, phrase, key: each token of each request; ``requests``: request_id and terms (array)."""
+    each = requests.select("request_id", "terms", F.size("terms").alias("n_terms"), F.explode(F.arrays_zip(F.col("terms").alias("token"), phrases_udf("terms").alias("phrase"))).alias("p"))
+    return each.select("request_id", "terms", "n_terms", "p.token", "p.phrase", F.array_join("p.phrase", " ").alias("key")).filter(F.size("phrase") > 0)
+
+
+def named(table: DataFrame, terms: list[str] | None) -> DataFrame:
+    """Rows of the named terms; all rows if there are too many to name."""
+    if terms is None:
+        return table
+    groups = [F.col("term").isin(terms[i : i + 10]) for i in range(0, len(terms), 10)]  # longer lists reach the scan as a range only
+    return table.filter(reduce(or_, groups) if groups else F.lit(False))
+
+
+def words_of(each: DataFrame) -> DataFrame:
+    """key, n, offset, term of the distinct phrases."""
+    return each.select("key", F.size("phrase").alias("n"), F.posexplode("phrase").alias("offset", "term")).distinct()
+
+
+def few_terms(words: DataFrame) -> list[str] | None:
+    """The distinct terms of a batch if they are few enough to name to a scan, else None."""
+    found = [r[0] for r in words.select("term").distinct().limit(NAMED + 1).collect()]
+    return sorted(found) if len(found) <= NAMED else None
+
+
+def looked_at(each: DataFrame) -> tuple[DataFrame, list[str] | None, bool]:
+    """The phrases of a batch, their terms if they are few, and whether one has several terms.
+
+    A small batch's phrases come to the driver, ``SMALL`` rows at most, so that no later job cuts the requests again."""
+    rows = each.limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        words = words_of(each)
+        return each, few_terms(words), True
+    terms = sorted({x for r in rows for x in r["phrase"]})
+    return each.sparkSession.createDataFrame(rows, each.schema), terms if len(terms) <= NAMED else None, any(len(r["phrase"]) > 1 for r in rows)
 
 
 def bm25(f: Column, length: Column, df: Column, n: Column, avg_length: Column) -> Column:
-    """Negative score of one term: smaller is better."""
+    """Negative score of one phrase: smaller is better."""
     idf = F.log((n - df + 0.5) / (df + 0.5))
     return -F.when(idf > 0, idf).otherwise(IDF_FLOOR) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / avg_length))
 
 
-def scored(requests: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
-    """request_id, chunk_id, n_terms, matched, score: every chunk with a term of a request.
+def phrase_hits(words: DataFrame, rows: DataFrame) -> DataFrame:
+    """key, chunk_id, project_id, length, f, occurrences of phrases of two terms or more that follow one another in a column.
 
-    requests: request_id and terms (array)."""
-    asked = requests.select("request_id", F.size("terms").alias("n_terms"), F.explode(F.array_distinct("terms")).alias("term"))
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # the one-row statistics join without a key
-    priced = wanted.join(df, "term").join(F.broadcast(stats.limit(1))).select("term", "chunk_id", bm25(F.col("f"), F.col("length"), F.col("df"), F.col("n_chunks"), F.col("avg_length")).alias("s"))
-    return priced.join(asked, "term").groupBy("request_id", "n_terms", "chunk_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("s").alias("score"))
+    words: key, n, offset, term; more than one term may stand at an offset.  A chunk's positions of a
+    phrase's terms meet in one row, never those of two chunks, and are cut down offset by offset."""
+    met = rows.join(words, "term").groupBy("key", "n", "chunk_id", "project_id", "length").agg(F.collect_list(F.struct("offset", "at")).alias("held"))
+    full = met.filter(F.size(F.array_distinct("held.offset")) == F.col("n"))
+    begun = lambda i: F.flatten(F.transform(F.filter("held", lambda h: h["offset"] == i), lambda h: F.transform(h["at"], lambda x: x - i)))
+    starts = F.aggregate(F.sequence(F.lit(1), F.col("n") - 1), F.array_distinct(begun(F.lit(0))), lambda found, i: F.array_intersect(found, begun(i)))
+    whole = full.withColumn("starts", starts).filter(F.size("starts") > 0)
+    weight = lambda s: F.element_at(F.array(*map(F.lit, WEIGHTS.values())), F.shiftright(s, 24) + 1)
+    f = F.aggregate("starts", F.lit(0.0), lambda n, s: n + weight(s))
+    return whole.select("key", "chunk_id", "project_id", "length", f.alias("f"), F.size("starts").cast("long").alias("occurrences"))
+
+
+def grown(asked: DataFrame, index: Index) -> DataFrame:
+    """key, n, offset, term of prefix phrases: the last term of each stands for all terms that begin with it.
 
+    Prefixes meet the beginnings of all terms on equality, so no term is compared with another."""
+    each = asked.select("key", "plain", F.size("phrase").alias("n"), F.posexplode("phrase").alias("offset", "term")).distinct()
+    last = (F.col("offset") == F.col("n") - 1) & F.col("plain")
+    heads = each.filter(last).withColumn("head", F.substring("term", 1, LONGEST))
+    beginnings = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(LONGEST))), lambda n: F.substring(F.col("term"), F.lit(1), n)))
+    terms = index.vocabulary.select(F.col("term").alias("longer"), beginnings.alias("head"))
+    longer = heads.join(terms, "head").filter(F.startswith("longer", F.col("term"))).select("key", "n", "offset", F.col("longer").alias("term"))
+    return each.filter(~last).select("key", "n", "offset", "term").unionByName(longer)
 
-def ladder(hits: DataFrame, chunks: DataFrame, scope: DataFrame, want: int = 8, cap: int = CAP) -> DataFrame:
-    """request_id, chunk_id, match_pass, rank: the rows each request takes, best first.
 
-    chunks: chunk_id, project_id, path, line_start, current; scope: request_id, project_id, priority.
-    A pass ranks and caps within the scope, then drops what is not current, then is cut to ``want``;
-    later passes run only while fewer than ``want`` distinct chunks are found."""
+def priced(each: DataFrame, hits: DataFrame, df: DataFrame, index: Index) -> DataFrame:
+    """request_id, n_terms, chunk_id, project_id, matched, score from hits of phrases (key) and their chunk counts."""
+    cost = bm25(F.col("f"), F.col("length"), F.col("df"), F.col("n_chunks"), F.col("avg_length"))
+    # the one-row statistics join without a key
+    told = hits.join(df, "key").join(F.broadcast(index.stats.limit(1))).select("key", "chunk_id", "project_id", cost.alias("s"))
+    return told.join(each.select("request_id", "n_terms", "key"), "key").groupBy("request_id", "n_terms", "chunk_id", "project_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("s").alias("score"))
+
+
+def scored(requests: DataFrame, index: Index) -> DataFrame:
+    """request_id, n_terms, chunk_id, project_id, matched, score: every chunk that holds a phrase of a request.
+
+    requests: request_id and terms (array).  Each distinct phrase is looked up once for the whole batch."""
+    each, terms, long_ones = looked_at(phrases(requests))
+    words = words_of(each)
+    rows = named(index.postings, terms)
+    single = words.filter("n = 1").select("key", "term")
+    hits = rows.join(single, "term").select("key", "chunk_id", "project_id", "length", "f")
+    df = named(index.vocabulary, terms).join(single, "term").select("key", "df")
+    if long_ones:
+        long = kept(phrase_hits(words.filter("n > 1"), rows).drop("occurrences"), "phrases")  # read twice
+        hits, df = hits.unionByName(long), df.unionByName(long.groupBy("key").agg(F.count(F.lit(1)).alias("df")))
+    return priced(each, hits, df, index)
+
+
+def prefix_scored(requests: DataFrame, index: Index) -> DataFrame:
+    """The hits of the last pass: a token of four plain characters or more stands for all that begins with it; others stay whole."""
+    each = phrases(requests).withColumn("plain", (F.length("token") >= PREFIX_CHARS) & F.rlike("token", F.lit("^[a-z0-9_]+$")))
+    each = each.withColumn("key", F.concat(F.col("key"), F.when(F.col("plain"), "*").otherwise("")))
+    words = kept(grown(each, index), "grown")  # read twice: for their names, and in the join
+    rows = named(index.postings, few_terms(words))
+    keys = ["key", "chunk_id", "project_id", "length"]
+    single = rows.join(words.filter("n = 1").select("key", "term"), "term").groupBy(*keys).agg(F.sum("f").alias("f"))
+    hits = kept(single.unionByName(phrase_hits(words.filter("n > 1"), rows).drop("occurrences")), "prefixes")  # read twice
+    return priced(each, hits, hits.groupBy("key").agg(F.count(F.lit(1)).alias("df")), index)
+
+
+def ladder(hits: DataFrame, chunks: DataFrame, scope: DataFrame, want: int = 8, requests: DataFrame | None = None, last: bool = False) -> DataFrame:
+    """request_id, chunk_id, match_pass, rank, position: the rows each request takes, best first.
+
+    chunks: chunk_id, path, line_start, current and perhaps heading; scope: request_id, project_id,
+    priority.  A pass ranks and caps within the scope, then drops what is not current, then is cut to
+    ``want``; later passes fill up what earlier ones leave.  With ``requests`` (request_id, terms) the
+    any-term pass of four terms or more keeps to rows of two terms if there are any (``term_coverage``).
+    ``last``: the hits are those of the prefix pass, which has no others beside it."""
     n, m = F.col("n_terms"), F.col("matched")
-    both = n.between(2, 8)
-    near = n.between(3, 6)
-    passes = F.array_compact(
-        F.array(
-            F.when(both & (m == n), F.struct(F.lit(0).alias("pass"), F.col("score").alias("rank"))),
-            F.when(near & (m >= n - 1), F.struct(F.lit(1).alias("pass"), F.when(m == n, F.col("score") * (n - 1)).otherwise(F.col("score")).alias("rank"))),
-            F.struct((both.cast("int") + near.cast("int")).alias("pass"), F.col("score").alias("rank")),
+    both, near = n.between(*ALL_TERMS), n.between(*MOST_TERMS)
+    place = both.cast("int") + near.cast("int")
+    step = lambda no, rank, filtered: F.struct(no.alias("pass"), rank.alias("rank"), filtered.alias("filtered"))
+    covers = (n >= COVERAGE_TERMS) if requests is not None else F.lit(False)
+    if last:
+        passes = F.array(step(place + 1, F.col("score"), covers))
+    else:
+        passes = F.array_compact(
+            F.array(
+                F.when(both & (m == n), step(F.lit(0), F.col("score"), F.lit(False))),
+                F.when(near & (m >= n - 1), step(F.lit(1), F.when(m == n, F.col("score") * (n - 1)).otherwise(F.col("score")), F.lit(False))),
+                step(place, F.col("score"), covers & (place > 0)),
+            )
         )
-    )
-    placed = hits.join(chunks, "chunk_id").join(scope, ["request_id", "project_id"])
-    each = placed.select("request_id", "chunk_id", "priority", "path", "line_start", "current", F.explode(passes).alias("p")).select("*", "p.pass", F.round("p.rank", 9).alias("rank")).drop("p")
-    by_rank = W.partitionBy("request_id", "pass").orderBy("rank", "chunk_id")
-    capped = each.withColumn("r", F.row_number().over(by_rank)).filter(F.col("r") <= cap).filter("current")
-    outer = W.partitionBy("request_id", "pass").orderBy("priority", "rank", "path", "line_start", "chunk_id")
-    cut = capped.withColumn("r", F.row_number().over(outer)).filter(F.col("r") <= want)
-    first = cut.groupBy("request_id", "chunk_id", "priority", "path", "line_start").agg(F.min(F.struct("pass", "rank")).alias("b"))
-    got = first.select("request_id", "chunk_id", "priority", "path", "line_start", F.col("b.pass").alias("match_pass"), F.col("b.rank").alias("rank"))
-    earlier = F.count(F.lit(1)).over(W.partitionBy("request_id").orderBy("match_pass").rangeBetween(W.unboundedPreceding, -1))
-    order = W.partitionBy("request_id").orderBy("match_pass", "priority", "rank", "path", "line_start", "chunk_id")
-    return got.withColumn("earlier", earlier).filter(F.col("earlier") < want).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= want).drop("earlier")
-
-
-def prefix_hits(requests: DataFrame, index: DataFrame, stats: DataFrame, least: int = 4) -> DataFrame:
-    """The last pass: chunks with a term that begins with a request's term; only plain terms of four characters or more.
-
-    Candidates meet on the first four characters, so no term is compared with the whole vocabulary."""
-    asked = requests.select("request_id", F.explode("terms").alias("stem")).filter((F.length("stem") >= least) & F.rlike("stem", F.lit("^[a-z0-9_]+$"))).withColumn("head", F.substring("stem", 1, least))
-    vocabulary = index.select("term").distinct().withColumn("head", F.substring("term", 1, least))
-    grown = asked.join(vocabulary, "head").filter(F.startswith("term", F.col("stem"))).select("request_id", "stem", "term")
-    occurrences = grown.join(index, "term").groupBy("request_id", "stem", "chunk_id", "length").agg(F.sum("f").alias("f"))
-    df = occurrences.groupBy("request_id", "stem").agg(F.count(F.lit(1)).alias("df"))
-    return occurrences.join(df, ["request_id", "stem"]).join(F.broadcast(stats.limit(1))).groupBy("request_id", "chunk_id").agg(F.sum(bm25(F.col("f"), F.col("length"), F.col("df"), F.col("n_chunks"), F.col("avg_length"))).alias("score"))
-
-
-def phrase_hits(requests: DataFrame, chunks: DataFrame, terms=t.index_terms) -> DataFrame:
-    """request_id, chunk_id, occurrences of each request's terms as a phrase: (chunk, position - offset) must meet all of them.
-
-    requests: request_id and phrase (array of at least one term)."""
-    at = chunks.select("chunk_id", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
-    asked = requests.select("request_id", F.size("phrase").alias("n"), F.posexplode("phrase").alias("offset", "term"))
-    met = at.join(asked, "term").groupBy("request_id", "n", "chunk_id", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("k"))
-    return met.filter("k = n").groupBy("request_id", "chunk_id").agg(F.count(F.lit(1)).alias("occurrences"))
-
-
-def term_coverage(hits: DataFrame, min_terms: int = 4) -> DataFrame:
+    placed = hits.join(scope, ["request_id", "project_id"])
+    each = placed.select("request_id", "chunk_id", "project_id", "priority", F.explode(passes).alias("p")).select("*", "p.pass", F.round("p.rank", 9).alias("rank"), "p.filtered").drop("p")
+    best = each.withColumn("r", F.row_number().over(W.partitionBy("request_id", "pass").orderBy("rank", "chunk_id"))).filter(F.col("r") <= F.when(F.col("filtered"), cap_of(4 * want)).otherwise(cap_of(want))).drop("r")
+    known = chunks.drop("project_id") if "heading" in chunks.columns else chunks.drop("project_id").withColumn("heading", F.lit(None).cast("string"))
+    # at most 256 rows a pass are left of a request, so its windows below share one small exchange
+    capped = best.join(known.select("chunk_id", "path", "line_start", "current", "heading"), "chunk_id").filter("current").repartition("request_id")
+    by_pass = W.partitionBy("request_id", "pass")
+    take = F.when(F.col("filtered"), 4 * want).otherwise(want)
+    cut = capped.withColumn("r", F.row_number().over(by_pass.orderBy("priority", "rank", "path", "line_start", "chunk_id"))).filter(F.col("r") <= take)
+    if requests is not None:
+        kept = cut.join(requests.select("request_id", "terms"), "request_id")
+        kept = kept.withColumn("coverage", coverage(F.col("terms"), F.col("heading"), F.col("path"))).withColumn("best", F.max("coverage").over(by_pass))
+        cut = kept.filter(~F.col("filtered") | (F.col("best") < COVERAGE) | (F.col("coverage") >= COVERAGE)).withColumn("less", F.when(F.col("filtered"), -F.col("coverage")).otherwise(0))
+    else:
+        cut = cut.withColumn("less", F.lit(0))
+    order = F.struct("pass", "priority", "less", "rank", "path", "line_start")
+    first = cut.groupBy("request_id", "chunk_id").agg(F.min(order).alias("o"))
+    ranked = first.withColumn("position", F.row_number().over(W.partitionBy("request_id").orderBy("o", "chunk_id"))).filter(F.col("position") <= want)
+    return ranked.select("request_id", "chunk_id", "o.priority", "o.path", "o.line_start", F.col("o.pass").alias("match_pass"), "o.rank", "position")
+
+
+def coverage(terms: Column, heading: Column, path: Column) -> Column:
+    """How many of the terms stand, as they are, in a chunk's heading or path."""
+    place = t.fold(F.concat_ws(" ", heading, path))
+    return F.aggregate(terms, F.lit(0), lambda n, x: n + F.contains(place, x).cast("int"))
+
+
+def term_coverage(hits: DataFrame, min_terms: int = COVERAGE_TERMS) -> DataFrame:
     """Of requests with four terms or more, rows of one term go if any row has two.
 
     hits: request_id, terms, heading, path and any others; adds coverage."""
-    place = F.lower(F.concat_ws("\n", "heading", "path"))
-    coverage = F.aggregate("terms", F.lit(0), lambda n, x: n + F.contains(place, x).cast("int"))
     best = F.max("coverage").over(W.partitionBy("request_id"))
-    return hits.withColumn("coverage", coverage).withColumn("best", best).filter((F.size("terms") < min_terms) | (F.col("best") < 2) | (F.col("coverage") >= 2)).drop("best")
+    each = hits.withColumn("coverage", coverage(F.col("terms"), F.col("heading"), F.col("path"))).withColumn("best", best)
+    return each.filter((F.size("terms") < min_terms) | (F.col("best") < COVERAGE) | (F.col("coverage") >= COVERAGE)).drop("best")
+
+
+def retrieve(requests: DataFrame, index: Index, chunks: DataFrame, scope: DataFrame, limit: int = 4, strict: bool = True) -> DataFrame:
+    """Every pass for a batch: request_id and terms in, at most twice ``limit`` chunks a request out, best first.
+
+    ``strict`` is the coverage filter of the any-term pass.  The prefix pass is a second lookup, only
+    for requests that the others found nothing for."""
+    asked = requests if strict else None
+    # a few rows a request, read three times
+    first = kept(ladder(scored(requests, index), chunks, scope, 2 * limit, asked), "found")
+    # a prefix that changes nothing is no pass
+    able = F.exists("terms", lambda x: (F.length(x) >= PREFIX_CHARS) & F.rlike(x, F.lit("^[a-z0-9_]+$")))
+    empty = requests.filter(able).join(first.select("request_id").distinct(), "request_id", "left_anti")
+    if empty.isEmpty():
+        return first
+    return first.unionByName(ladder(prefix_scored(empty, index), chunks, scope, 2 * limit, asked, last=True))
 
 
-def search(requests: DataFrame, chunks: DataFrame, scope: DataFrame, want: int = 8) -> DataFrame:
+def search(requests: DataFrame, chunks: DataFrame, scope: DataFrame, limit: int = 4, index: Index | None = None) -> DataFrame:
     """The whole retrieval of a batch: request_id and text in, ranked chunks out."""
     asked = requests.select("request_id", t.request_tokens(F.col("text")).alias("terms"))
-    hits = scored(asked, postings(chunks), corpus_stats(chunks))
-    return ladder(hits, chunks.select("chunk_id", "project_id", "path", "line_start", "current"), scope, want)
+    return retrieve(asked, index or build(chunks), chunks, scope, limit)

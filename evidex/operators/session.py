@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
+from ..sources.store import kept
 from . import evidence, packet, search
 
 
@@ -20,37 +21,40 @@ def canonical_hash(bodies: pd.Series) -> pd.Series:
     return bodies.map(lambda b: hashlib.sha256(packet.canonical_json(json.loads(b)).encode()).hexdigest())
 
 
-def packets(requests: DataFrame, chunks: DataFrame, scope: DataFrame, limit: int = 4, budget: int = 16_000, max_per_file: int = 2) -> DataFrame:
+def packets(requests: DataFrame, chunks: DataFrame, scope: DataFrame, limit: int = 4, budget: int = 16_000, max_per_file: int = 2, index: search.Index | None = None) -> DataFrame:
     """request_id, status, requirements, evidence, empty_result, packet_hash for every request.
 
     requests: request_id, text; chunks: chunk_id, project_id, path, line_start, line_end, heading,
     text, chunk_hash, current, stale; scope: request_id, project_id, priority."""
     # each leaf of a request is searched like a request of its own
-    index, stats = search.postings(chunks), search.corpus_stats(chunks)
+    index = index or search.build(chunks)
+    head = chunks.select("chunk_id", "path", "line_start", "current", "heading")
 
     def found_by(leaf: DataFrame) -> DataFrame:
         asked = leaf.select(F.col("leaf_id").alias("request_id"), t.request_tokens(F.col("leaf")).alias("terms"))
         leaf_scope = leaf.select("leaf_id", "request_id").join(scope, "request_id").select(F.col("leaf_id").alias("request_id"), "project_id", "priority")
-        return search.ladder(search.scored(asked, index, stats), chunks.select("chunk_id", "project_id", "path", "line_start", "current"), leaf_scope, 2 * limit)
+        return search.retrieve(asked, index, head, leaf_scope, limit)
 
     named = lambda df: df.withColumn("leaf_id", F.concat_ws("/", F.col("request_id").cast("string"), F.col("leaf_no").cast("string")))
-    first = named(packet.leaves(requests))
+    first = kept(named(packet.leaves(requests)), "leaves")
     hits = found_by(first)
     # a leaf without rows is divided once more; its parts take its place
     empty = first.join(hits.select(F.col("request_id").alias("leaf_id")).distinct(), "leaf_id", "left_anti").withColumn("parts", packet.second_split_udf("leaf")).filter(F.size("parts") > 0)
     again = named(empty.select("request_id", "leaf_no", F.posexplode("parts").alias("i", "leaf")).select("request_id", (F.col("leaf_no") * 100 + F.col("i") + 100).alias("leaf_no"), "leaf"))
+    again = kept(again, "leaves")
+    if not again.isEmpty():
+        hits = hits.unionByName(found_by(again))
     leaf = first.join(empty.select("leaf_id"), "leaf_id", "left_anti").unionByName(again)
-    hits = hits.unionByName(found_by(again))
     found = hits.select(F.col("request_id").alias("leaf_id"), "chunk_id", "priority", "match_pass", "rank").join(leaf.select("leaf_id", "request_id", "leaf_no"), "leaf_id")
     full = found.join(chunks.select("chunk_id", "project_id", "path", "line_start", "line_end", "text", "chunk_hash", "stale"), "chunk_id")
     # conflicts are judged within a leaf
     pairs = evidence.disagreements(full.filter(~F.col("stale")).select(F.col("leaf_id").alias("request_id"), "chunk_id", "path", "text"))
     torn = pairs.select(F.col("request_id").alias("leaf_id"), F.explode(F.array("negated_chunk", "affirmed_chunk")).alias("chunk_id")).distinct().withColumn("disagreeing", F.lit(True))
-    marked = full.join(torn, ["leaf_id", "chunk_id"], "left").na.fill(False, ["disagreeing"])
+    marked = kept(full.join(torn, ["leaf_id", "chunk_id"], "left").na.fill(False, ["disagreeing"]), "marked")
     one = packet.select_across_leaves(marked.drop("leaf_id"))
-    kept = packet.merge(packet.prioritize(one), max_per_file)
+    merged = packet.merge(packet.prioritize(one), max_per_file)
     terms = requests.select("request_id", t.request_tokens(F.col("text")).alias("terms"))
-    shown = kept.join(terms, "request_id").withColumn("text", packet.clip(F.col("text"), F.col("terms"))).withColumn("size", F.length("text"))
+    shown = merged.join(terms, "request_id").withColumn("text", packet.clip(F.col("text"), F.col("terms"))).withColumn("size", F.length("text"))
     within = packet.within_budget(shown, budget).withColumn("text", F.substring("text", F.lit(1), F.col("kept_size")))
     by_leaf = marked.groupBy("request_id", "leaf_no").agg(F.count(F.lit(1)).alias("found"), F.count_if("disagreeing").alias("conflicts"))
     included = within.select("request_id", F.explode("requirements").alias("leaf_no")).groupBy("request_id", "leaf_no").agg(F.count(F.lit(1)).alias("included"))

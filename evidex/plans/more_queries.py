@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import graph, ledger, search
+from . import stems_sql as sq
 from . import tables as tb
 from .ledger_queries import _EVIDENCE, _LIVE, _evidence, _live, _sql
 from .ledger_queries import version_actions as _version_actions
@@ -23,7 +24,7 @@ def symbols(spark, d):
 
 @query("g3_contains_edges", _sql(tb.CHUNKS) + "SELECT project_id, path, count(*)::BIGINT AS n FROM chunks GROUP BY 1, 2")
 def contains_edges(spark, d):
-    c = tb.chunks(spark, d).withColumn("heading", F.lit(None).cast("string"))
+    c = tb.chunks(spark, d)
     none = c.limit(0).select("project_id", "chunk_id", F.col("text").alias("normalized_text"))
     edges = graph.edges(c, none).filter("predicate = 'contains'")
     return c.join(edges.select("chunk_id"), "chunk_id", "left_semi").groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("n"))
@@ -90,12 +91,12 @@ def explain_packet(spark, d):
     return ledger.latest(r.select("packet_hash", "run_id", F.col("run_id").alias("o")), ["packet_hash"], "o").select("packet_hash", "run_id")
 
 
-@query("m5_reindex_semi", _sql(tb.CHUNKS) + r", w AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM chunks WHERE current) SELECT chunk_id, count(DISTINCT term)::BIGINT AS terms FROM w GROUP BY 1".replace("\n,", ","))
+@query("m5_reindex_semi", f"WITH {tb.CHUNKS.replace('FROM documents)', 'FROM documents WHERE doc_id % 17 <> 0)')}, asked AS (SELECT 1 AS request_id, '' AS text), {sq.REQUESTS}, {sq.INDEX} SELECT chunk_id, count(DISTINCT term)::BIGINT AS terms FROM laid GROUP BY 1")
 def reindex(spark, d):
+    """Rows whose chunk is gone are dropped; the rest are cut into terms anew."""
     c = tb.chunks(spark, d)
-    live = c.filter("current").select("chunk_id")
-    kept = c.join(live, "chunk_id", "left_semi").select("chunk_id", "text")
-    return search.postings(kept).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("terms"))
+    kept = c.join(c.filter("current").select("chunk_id"), "chunk_id", "left_semi")
+    return search.build(kept).postings.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("terms"))
 
 
 @query("q6_topic_relation", f"WITH {tb.POLICIES} SELECT request_id, count(*)::BIGINT AS related FROM policies WHERE days IN (2, 3, 4, 5) GROUP BY 1")

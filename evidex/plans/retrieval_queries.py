@@ -6,152 +6,74 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import packet, search
+from . import stems_sql as sq
 from . import tables as tb
 from .registry import query
 
-_STOP = ", ".join("'" + w + "'" for w in t.STOPWORDS)
-# request terms, postings and scores in SQL, shared by the queries below
-REQUESTS = rf"""asked0 AS (
-  SELECT item_id AS request_id, list_filter(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[A-Za-z0-9_][A-Za-z0-9_.-]*'), lambda x: length(x) >= 3 AND x NOT IN ({_STOP})) AS all_terms FROM benchmark),
-asked1 AS (SELECT request_id, list_filter(list_transform(range(1, len(all_terms) + 1), lambda i: CASE WHEN list_position(all_terms, all_terms[i]) = i THEN all_terms[i] END), lambda x: x IS NOT NULL)[:24] AS tokens FROM asked0),
-requests AS (SELECT request_id, tokens[:request_id % 8 + 2] AS terms FROM asked1)"""
-INDEX = r"""words AS (
-  SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(path), '[\p{L}\p{N}]+') AS b, regexp_extract_all(lower(project_id), '[\p{L}\p{N}]+') AS c FROM chunks),
-stats AS (SELECT count(*) AS n_chunks, avg(len(a) + len(b) + len(c)) AS avg_length FROM words),
-each AS (
-  SELECT chunk_id, len(a) + len(b) + len(c) AS length, unnest(a || b || c) AS term, unnest(list_transform(a || b || c, lambda x, i: CASE WHEN i <= len(a) + len(b) THEN 1.0 ELSE 0.0 END)) AS w FROM words),
-postings AS (SELECT term, chunk_id, length, sum(w)::DOUBLE AS f FROM each GROUP BY 1, 2, 3)"""
-_BM25 = "-(CASE WHEN ln((n_chunks - df + 0.5) / (df + 0.5)) > 0 THEN ln((n_chunks - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / avg_length))"
-SCORED = rf"""terms AS (SELECT request_id, len(terms) AS n_terms, unnest(terms) AS term FROM requests),
-df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
-scored AS (
-  SELECT request_id, n_terms, chunk_id, count(*) AS matched, sum({_BM25}) AS score
-  FROM terms JOIN postings USING (term) JOIN df USING (term), stats GROUP BY 1, 2, 3)"""
-_ALL = f"WITH {tb.CHUNKS}, {REQUESTS}, {INDEX}, {SCORED}"
-
-
-@query("r1_request_tokens", f"WITH {REQUESTS} SELECT request_id, array_to_string(tokens, ' ') AS tokens, len(tokens)::BIGINT AS n FROM asked1")
+_ASKED = f"WITH {tb.CHUNKS}, {tb.REQUEST_TEXTS}, {sq.REQUESTS}, {sq.INDEX}"
+_ALL = f"{_ASKED}, {sq.SCORED}"
+
+
+@query("r1_request_tokens", f"WITH {tb.REQUEST_TEXTS}, {sq.REQUESTS} SELECT request_id, array_to_string(tokens, ' ') AS tokens, len(tokens)::BIGINT AS n FROM requests")
 def request_tokens(spark, d):
-    b = tb.table(spark, d, "benchmark")
-    return b.select(F.col("item_id").alias("request_id"), t.request_tokens(F.col("text")).alias("k")).select("request_id", F.array_join("k", " ").alias("tokens"), F.size("k").cast("long").alias("n"))
+    return tb.requests(spark, d).select("request_id", F.array_join("terms", " ").alias("tokens"), F.size("terms").cast("long").alias("n"))
+
 
+@query("r8_index_terms", f"{_ASKED} SELECT term, count(DISTINCT chunk_id)::BIGINT AS df FROM laid GROUP BY 1")
+def index_terms(spark, d):
+    return tb.index(spark, d).vocabulary.select("term", "df")
 
-@query("r10_bm25_scores", f"{_ALL} SELECT request_id, chunk_id, matched::BIGINT AS matched, round(score, 6) AS score FROM scored")
+
+@query("r10_bm25_scores", f"{_ALL} SELECT request_id, chunk_id, matched::BIGINT AS matched, round(score, 6) + 0.0 AS score FROM scored")
 def bm25_scores(spark, d):
-    c = tb.chunks(spark, d)
-    hits = search.scored(tb.requests(spark, d), search.postings(c), search.corpus_stats(c))
-    return hits.select("request_id", "chunk_id", "matched", F.round("score", 6).alias("score"))
+    return search.scored(tb.requests(spark, d), tb.index(spark, d)).select("request_id", "chunk_id", "matched", (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 def _scope(spark, d):
     """Each request sees a project of its own and half of the others, its own first."""
-    b = tb.table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"))
     p = F.explode(F.sequence(F.lit(0), F.lit(9)))
-    return b.withColumn("p", p).select("request_id", F.concat(F.lit("src"), ((F.col("p") + F.col("request_id")) % 20).cast("string")).alias("project_id"), F.when(F.col("p") == 0, 0).when(F.col("p") < 4, 1).otherwise(2).alias("priority"))
+    return tb.requests(spark, d).select("request_id", p.alias("p")).select("request_id", F.concat(F.lit("src"), ((F.col("p") + F.col("request_id")) % 20).cast("string")).alias("project_id"), F.when(F.col("p") == 0, 0).when(F.col("p") < 4, 1).otherwise(2).alias("priority"))
 
 
-_SCOPE = "scope AS (SELECT item_id AS request_id, 'src' || ((p + item_id) % 20) AS project_id, CASE WHEN p = 0 THEN 0 WHEN p < 4 THEN 1 ELSE 2 END AS priority FROM benchmark, range(10) AS r(p))"
-_LADDER = f"""{_ALL}, {_SCOPE},
-placed AS (SELECT * FROM scored JOIN chunks USING (chunk_id) JOIN scope USING (request_id, project_id)),
-passes AS (
-  SELECT request_id, chunk_id, priority, path, line_start, current, 0 AS pass, round(score, 9) AS rank FROM placed WHERE n_terms BETWEEN 2 AND 8 AND matched = n_terms
-  UNION ALL SELECT request_id, chunk_id, priority, path, line_start, current, 1, round(CASE WHEN matched = n_terms THEN score * (n_terms - 1) ELSE score END, 9) FROM placed WHERE n_terms BETWEEN 3 AND 6 AND matched >= n_terms - 1
-  UNION ALL SELECT request_id, chunk_id, priority, path, line_start, current, (n_terms BETWEEN 2 AND 8)::INT + (n_terms BETWEEN 3 AND 6)::INT, round(score, 9) FROM placed),
-capped AS (SELECT * FROM passes QUALIFY row_number() OVER (PARTITION BY request_id, pass ORDER BY rank, chunk_id) <= 256),
-cut AS (SELECT * FROM capped WHERE current QUALIFY row_number() OVER (PARTITION BY request_id, pass ORDER BY priority, rank, path, line_start, chunk_id) <= 8),
-first AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY request_id, chunk_id ORDER BY pass) = 1),
-counted AS (SELECT *, coalesce((SELECT count(*) FROM first g WHERE g.request_id = f.request_id AND g.pass < f.pass), 0) AS earlier FROM first f)
-SELECT request_id, chunk_id, priority, path, line_start, pass AS match_pass, rank, row_number() OVER (PARTITION BY request_id ORDER BY pass, priority, rank, path, line_start, chunk_id)::INT AS position
-FROM counted WHERE earlier < 8 QUALIFY position <= 8"""
+_SCOPE = "scope AS (SELECT request_id, 'src' || ((p + request_id) % 20) AS project_id, CASE WHEN p = 0 THEN 0 WHEN p < 4 THEN 1 ELSE 2 END AS priority FROM requests, range(10) AS r(p))"
+_LADDER = f"{_ALL}, {_SCOPE}, {sq.ladder('scored', 'ranked')}"
+_UNMET = "unmet AS (SELECT request_id FROM requests WHERE request_id NOT IN (SELECT request_id FROM ranked) AND len(list_filter(tokens, lambda x: length(x) >= 4 AND regexp_full_match(x, '[a-z0-9_]+'))) > 0)"
 
 
-@query("r10_ranked_search", _LADDER)
+@query("r10_ranked_search", f"{_LADDER} SELECT * FROM ranked")
 def ranked_search(spark, d):
-    c = tb.chunks(spark, d)
-    hits = search.scored(tb.requests(spark, d), search.postings(c), search.corpus_stats(c))
-    return search.ladder(hits, c.drop("text"), _scope(spark, d))
+    r = tb.requests(spark, d)
+    return search.ladder(search.scored(r, tb.index(spark, d)), tb.chunks(spark, d).drop("text"), _scope(spark, d), 8, r)
 
 
-_PREFIX = f"""WITH {tb.CHUNKS}, {REQUESTS}, {INDEX},
-stems AS (SELECT request_id, unnest(list_transform(terms, lambda x: x[:4])) AS stem FROM requests),
-plain AS (SELECT DISTINCT request_id, stem FROM stems WHERE length(stem) >= 4 AND regexp_full_match(stem, '[a-z0-9_]+')),
-grown AS (SELECT request_id, stem, chunk_id, length, sum(f) AS f FROM plain JOIN postings ON starts_with(term, stem) GROUP BY 1, 2, 3, 4),
-df AS (SELECT request_id, stem, count(*) AS df FROM grown GROUP BY 1, 2)
-SELECT request_id, chunk_id, round(sum({_BM25}), 6) AS score FROM grown JOIN df USING (request_id, stem), stats GROUP BY 1, 2"""
+@query("r11_ladder", f"{_LADDER}, {_UNMET}, {sq.PREFIX}, {sq.ladder('prefix_scored', 'late', last=True)} SELECT * FROM ranked UNION ALL SELECT * FROM late")
+def whole_ladder(spark, d):
+    return search.retrieve(tb.requests(spark, d), tb.index(spark, d), tb.chunks(spark, d).drop("text"), _scope(spark, d))
 
 
-@query("r3_prefix_pass", _PREFIX)
+@query("r3_prefix_pass", f"{_ASKED}, unmet AS (SELECT request_id FROM requests), {sq.PREFIX} SELECT request_id, chunk_id, matched::BIGINT AS matched, round(score, 6) + 0.0 AS score FROM prefix_scored")
 def prefix_pass(spark, d):
-    c = tb.chunks(spark, d)
-    asked = tb.requests(spark, d).withColumn("terms", F.array_distinct(F.transform("terms", lambda x: F.substring(x, 1, 4))))
-    return search.prefix_hits(asked, search.postings(c), search.corpus_stats(c)).select("request_id", "chunk_id", F.round("score", 6).alias("score"))
+    return search.prefix_scored(tb.requests(spark, d), tb.index(spark, d)).select("request_id", "chunk_id", "matched", (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
-@query("r9_phrase_match", rf"""WITH {tb.CHUNKS}, asked AS (SELECT item_id AS request_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')[3:5] AS phrase FROM benchmark),
-tok AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM chunks),
-at AS (SELECT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS p FROM tok)
-SELECT request_id, chunk_id, count(*)::BIGINT AS occurrences FROM asked JOIN at ON p = array_to_string(phrase, ' ') GROUP BY 1, 2""".replace("at AS (", "laid AS (").replace("JOIN at ON", "JOIN laid ON"))
+@query("r9_phrase_match", rf"""{_ASKED.replace("(SELECT DISTINCT token FROM tokens)", "(SELECT DISTINCT token FROM tokens UNION SELECT lower(text) FROM benchmark)")} SELECT token AS phrase, chunk_id, occurrences::BIGINT AS occurrences FROM freq WHERE len(regexp_extract_all(token, '[\p{{L}}\p{{N}}\p{{M}}]+')) > 1""")
 def phrase_match(spark, d):
-    b = tb.table(spark, d, "benchmark")
-    asked = b.select(F.col("item_id").alias("request_id"), F.slice(t.index_terms(F.col("text")), 3, 3).alias("phrase"))
-    return search.phrase_hits(asked, tb.chunks(spark, d))
-
-
-@query("r12_term_coverage", f"""{_ALL}, hit AS (SELECT s.request_id, s.chunk_id, r.terms, c.path FROM scored s JOIN requests r USING (request_id) JOIN chunks c USING (chunk_id)),
-cov AS (SELECT *, len(list_filter(terms, lambda x: contains(lower(path), x))) AS coverage FROM hit)
-SELECT request_id, chunk_id, coverage::INT AS coverage FROM cov QUALIFY len(terms) < 4 OR max(coverage) OVER (PARTITION BY request_id) < 2 OR coverage >= 2""")
+    """Whole benchmark items as phrases, and all tokens of requests that are more than one term."""
+    index = tb.index(spark, d)
+    tokens = tb.requests(spark, d).select(F.explode("terms").alias("token")).union(tb.table(spark, d, "benchmark").select(F.lower("text"))).distinct()
+    each = search.phrases(tokens.select(F.col("token").alias("request_id"), F.array("token").alias("terms"))).filter(F.size("phrase") > 1)
+    words = search.words_of(each)
+    hits = search.phrase_hits(words, search.named(index.postings, search.few_terms(words)))
+    return each.select(F.col("token").alias("phrase"), "key").join(hits, "key").select("phrase", "chunk_id", "occurrences")
+
+
+@query("r12_term_coverage", f"""{_ALL}, hit AS (SELECT s.request_id, s.chunk_id, r.tokens, lower(concat_ws(' ', c.heading, c.path)) AS place FROM scored s JOIN requests r USING (request_id) JOIN chunks c USING (chunk_id)),
+cov AS (SELECT *, len(list_filter(tokens, lambda x: contains(replace(place, 'ß', 'ss'), x))) AS coverage FROM hit)
+SELECT request_id, chunk_id, coverage::INT AS coverage FROM cov QUALIFY len(tokens) < 4 OR max(coverage) OVER (PARTITION BY request_id) < 2 OR coverage >= 2""")
 def term_coverage(spark, d):
-    c, r = tb.chunks(spark, d), tb.requests(spark, d)
-    hits = search.scored(r, search.postings(c), search.corpus_stats(c)).select("request_id", "chunk_id")
-    full = hits.join(r.select("request_id", "terms"), "request_id").join(c.select("chunk_id", "path"), "chunk_id").withColumn("heading", F.lit(None).cast("string"))
-    return search.term_coverage(full).select("request_id", "chunk_id", "coverage")
-
-
-def _whole(sql: str) -> str:
-    """The same SQL over all request terms, and full ones."""
-    return sql.replace("tokens[:request_id % 8 + 2] AS terms", "tokens AS terms").replace("x[:4]", "x")
-
-
-def _requests(spark, d):
-    """benchmark: a request each, with all its terms."""
-    return tb.table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), t.request_tokens(F.col("text")).alias("terms"))
-
-
-@query("r10_bm25_scores_whole", _whole(f"{_ALL} SELECT request_id, chunk_id, matched::BIGINT AS matched, round(score, 6) AS score FROM scored"))
-def bm25_scores_whole(spark, d):
-    c = tb.chunks(spark, d)
-    return search.scored(_requests(spark, d), search.postings(c), search.corpus_stats(c)).select("request_id", "chunk_id", "matched", F.round("score", 6).alias("score"))
-
-
-@query("r10_ranked_search_whole", _whole(_LADDER))
-def ranked_search_whole(spark, d):
-    c = tb.chunks(spark, d)
-    return search.ladder(search.scored(_requests(spark, d), search.postings(c), search.corpus_stats(c)), c.drop("text"), _scope(spark, d))
-
-
-@query("r3_prefix_pass_whole", _whole(_PREFIX))
-def prefix_pass_whole(spark, d):
-    c = tb.chunks(spark, d)
-    return search.prefix_hits(_requests(spark, d), search.postings(c), search.corpus_stats(c)).select("request_id", "chunk_id", F.round("score", 6).alias("score"))
-
-
-@query("r12_term_coverage_whole", _whole(f"""{_ALL}, hit AS (SELECT s.request_id, s.chunk_id, r.terms, c.path FROM scored s JOIN requests r USING (request_id) JOIN chunks c USING (chunk_id)),
-cov AS (SELECT *, len(list_filter(terms, lambda x: contains(lower(path), x))) AS coverage FROM hit)
-SELECT request_id, chunk_id, coverage::INT AS coverage FROM cov QUALIFY len(terms) < 4 OR max(coverage) OVER (PARTITION BY request_id) < 2 OR coverage >= 2"""))
-def term_coverage_whole(spark, d):
-    c, r = tb.chunks(spark, d), _requests(spark, d)
-    hits = search.scored(r, search.postings(c), search.corpus_stats(c)).select("request_id", "chunk_id")
-    full = hits.join(r, "request_id").join(c.select("chunk_id", "path"), "chunk_id").withColumn("heading", F.lit(None).cast("string"))
-    return search.term_coverage(full).select("request_id", "chunk_id", "coverage")
-
-
-@query("r9_phrase_match_whole", rf"""WITH {tb.CHUNKS}, asked AS (SELECT item_id AS request_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS phrase FROM benchmark),
-tok AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM chunks),
-m AS (SELECT * FROM asked JOIN tok ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(phrase, ' ') || ' '))
-SELECT request_id, chunk_id, len(list_filter(range(1, len(w) - len(phrase) + 2), lambda i: w[i:i + len(phrase) - 1] = phrase))::BIGINT AS occurrences FROM m""")
-def phrase_match_whole(spark, d):
-    b = tb.table(spark, d, "benchmark")
-    return search.phrase_hits(b.select(F.col("item_id").alias("request_id"), t.index_terms(F.col("text")).alias("phrase")), tb.chunks(spark, d))
+    r = tb.requests(spark, d).select("request_id", "terms")
+    hits = search.scored(r, tb.index(spark, d)).select("request_id", "chunk_id")
+    return search.term_coverage(hits.join(r, "request_id").join(tb.chunks(spark, d).select("chunk_id", "path", "heading"), "chunk_id")).select("request_id", "chunk_id", "coverage")
 
 
 @query("r5_requirement_leaves")

@@ -12,11 +12,11 @@ from .registry import query
 
 @query("r_packets_end_to_end")
 def packets(spark, d):
-    docs = tb.chunks(spark, d).withColumn("heading", F.lit(None).cast("string"))
+    docs = tb.chunks(spark, d)
     chunks = docs.select("*", F.size(F.split("text", "\n")).alias("line_end"), F.sha2("text", 256).alias("chunk_hash"), (F.col("chunk_id") % 19 == 0).alias("stale"))
     requests = tb.table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), "text")
     scope = requests.select("request_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("p")).select("request_id", F.concat(F.lit("src"), F.col("p").cast("string")).alias("project_id"), (F.col("p") != F.col("request_id") % 20).cast("int").alias("priority"))
-    return session.packets(requests, chunks, scope).select("request_id", "status", F.size("evidence").alias("n_evidence"), F.to_json("requirements").alias("requirements"), "empty_result", "packet_hash")
+    return session.packets(requests, chunks, scope, index=tb.index(spark, d)).select("request_id", "status", F.size("evidence").alias("n_evidence"), F.to_json("requirements").alias("requirements"), "empty_result", "packet_hash")
 
 
 @query("v1_git_remotes", "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'ssh://host.org/team/r' || s_suppkey WHEN 1 THEN 'https://host.org/team/r' || s_suppkey WHEN 2 THEN 'https://host.org/r' || s_suppkey ELSE 'ssh://host.org/r' || s_suppkey END AS remote FROM supplier")

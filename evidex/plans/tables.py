@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import request_tokens
+from ..operators import search
+from ..sources.store import scratch
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _heading():
+    """Two documents of three have their first three long words for a heading."""
+    return F.when(F.col("doc_id") % 3 > 0, F.nullif(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0)), 1, 3), " "), F.lit("")))
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """documents: a source and a project folder each."""
     docs = table(spark, d, "documents")
     return docs.select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("project_id"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
-        F.lit(1).alias("line_start"), (F.col("doc_id") % 17 != 0).alias("current"), "text",
+        F.lit(1).alias("line_start"), (F.col("doc_id") % 17 != 0).alias("current"), "text", _heading().alias("heading"),
     )
 
 
-CHUNKS = "chunks AS (SELECT doc_id AS chunk_id, source AS project_id, lang || '/' || doc_id || '.txt' AS path, 1 AS line_start, doc_id % 17 <> 0 AS current, text FROM documents)"
+CHUNKS = "chunks AS (SELECT doc_id AS chunk_id, source AS project_id, lang || '/' || doc_id || '.txt' AS path, 1 AS line_start, doc_id % 17 <> 0 AS current, text, CASE WHEN doc_id % 3 > 0 THEN nullif(array_to_string(regexp_extract_all(text, '[A-Za-z]{6,}')[:3], ' '), '') END AS heading FROM documents)"
 
 
 def policies(spark: SparkSession, d: str) -> DataFrame:
@@ -105,8 +114,40 @@ RUNS = "runs AS (SELECT event_id AS run_id, CASE WHEN user_id % 10 <> 0 THEN 'ag
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    """benchmark: a request each, of two to nine terms."""
-    from ..functions.text import request_tokens
-
-    b = table(spark, d, "benchmark")
-    return b.select(F.col("item_id").alias("request_id"), F.slice(request_tokens(F.col("text")), F.lit(1), (F.col("item_id") % 8 + 2).cast("int")).alias("terms"), "text")
+    """benchmark: four requests an item, of all its words: as it is, as pairs of joined words, as plurals of its first words, as beginnings of words."""
+    words = F.col("words")
+    plain = F.filter(words, lambda w: F.length(w) >= 6)
+    pair = lambda a, sign: F.concat(F.coalesce(F.try_element_at(words, F.lit(a)), F.lit("x")), F.lit(sign), F.coalesce(F.try_element_at(words, F.lit(a + 1)), F.lit("y")))
+    every = lambda f: F.array_join(F.transform(plain, f), " ")
+    item = table(spark, d, "benchmark").select("item_id", "text", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words"))
+    forms = F.array(
+        F.struct(F.lit(0).alias("form"), F.col("text").alias("text")),
+        F.struct(F.lit(1).alias("form"), F.concat_ws(" ", pair(1, "_"), pair(3, "-"), pair(5, ".")).alias("text")),
+        F.struct(F.lit(2).alias("form"), F.concat_ws("s ", F.try_element_at(plain, F.lit(1)), F.try_element_at(plain, F.lit(2)), F.try_element_at(plain, F.lit(3)), F.lit("")).alias("text")),
+        F.struct(F.lit(3).alias("form"), every(lambda w: F.concat(F.substring(w, 1, 5), F.lit("q"))).alias("text")),
+        F.struct(F.lit(4).alias("form"), every(lambda w: F.substring(w, F.lit(1), F.length(w) - 1)).alias("text")),
+    )
+    return item.select("item_id", F.explode(forms).alias("f")).select((F.col("item_id") * 5 + F.col("f.form")).alias("request_id"), F.col("f.text").alias("text"), request_tokens(F.col("f.text")).alias("terms"))
+
+
+REQUEST_TEXTS = r"""words AS (SELECT item_id, text, regexp_extract_all(lower(text), '[a-z]+') AS words FROM benchmark),
+plain AS (SELECT *, list_filter(words, lambda w: length(w) >= 6) AS long FROM words),
+asked AS (
+  SELECT item_id * 5 AS request_id, text FROM plain
+  UNION ALL SELECT item_id * 5 + 1, coalesce(words[1], 'x') || '_' || coalesce(words[2], 'y') || ' ' || coalesce(words[3], 'x') || '-' || coalesce(words[4], 'y') || ' ' || coalesce(words[5], 'x') || '.' || coalesce(words[6], 'y') FROM plain
+  UNION ALL SELECT item_id * 5 + 2, concat_ws('s ', long[1], long[2], long[3], '') FROM plain
+  UNION ALL SELECT item_id * 5 + 3, array_to_string(list_transform(long, lambda w: left(w, 5) || 'q'), ' ') FROM plain
+  UNION ALL SELECT item_id * 5 + 4, array_to_string(list_transform(long, lambda w: left(w, length(w) - 1)), ' ') FROM plain)"""
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, d: str) -> search.Index:
+    """The written index of ``chunks``, made once an application: searches read it and no text."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = scratch(spark, "index")
+        search.write_index(chunks(spark, d), path)
+        _INDEXES[key] = path
+    return search.read_index(spark, _INDEXES[key])

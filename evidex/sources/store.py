@@ -5,7 +5,10 @@ that dies before its manifest is renamed leaves no trace in any table.  Plain Pa
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 FORMAT_VERSION = 1
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``.
+
+    Only a session on one machine may have none; it gets a temporary folder, gone when Python ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="evidex-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/evidex/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """What a plan gives, written to the shared folder and read back: computed once, and safe from lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
