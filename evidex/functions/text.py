@@ -150,13 +150,15 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
 
 def path_excluded(path: Column, size: Column) -> Column:
     """The first reason to leave a file out, or null: sensitive_name, generated, unsupported_type, too_large."""
-    from ..sources.rules import EXTENSIONS, GENERATED_NAMES, GENERATED_SUFFIXES, MAX_FILE_BYTES, SENSITIVE
+    from ..sources.rules import DOCUMENT_SUFFIXES, GENERATED_NAMES, GENERATED_SUFFIXES, MAX_FILE_BYTES, SENSITIVE_NAMES, SENSITIVE_PATTERN, SENSITIVE_SUFFIXES, TEXT_SUFFIXES
 
     name = F.lower(F.element_at(F.split(path, "/"), -1))
-    suffixed = lambda xs: F.rlike(name, F.lit("(?:" + "|".join(x.replace(".", r"\.") for x in xs) + ")$"))
+    suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)  # a name that only has a dot in front has none
+    ends = lambda xs: F.exists(words_in(list(xs)), lambda x: F.endswith(name, x))
+    secret = name.isin(*SENSITIVE_NAMES) | suffix.isin(*SENSITIVE_SUFFIXES) | F.startswith(name, F.lit(".env.")) | F.rlike(name, F.lit(SENSITIVE_PATTERN))
     return (
-        F.when(F.rlike(name, F.lit(SENSITIVE)), "sensitive_name")
-        .when(name.isin(GENERATED_NAMES) | suffixed(GENERATED_SUFFIXES), "generated")
-        .when(~suffixed(["." + x for x in EXTENSIONS]), "unsupported_type")
+        F.when(secret, "sensitive_name")
+        .when(name.isin(*GENERATED_NAMES) | ends(GENERATED_SUFFIXES), "generated")
+        .when(~suffix.isin(*TEXT_SUFFIXES, *DOCUMENT_SUFFIXES), "unsupported_type")
         .when(size > MAX_FILE_BYTES, "too_large")
     )

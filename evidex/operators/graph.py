@@ -39,15 +39,72 @@ def edges(chunks: DataFrame, claims_of: DataFrame) -> DataFrame:
     return contains.unionByName(topics).unionByName(declared).unionByName(states).distinct()
 
 
-def matches(requests: DataFrame, nodes: DataFrame, cap: int = 20) -> DataFrame:
-    """request_id, node_id, score, exact, position: nodes whose names hold a request's terms.
-
-    requests: request_id, terms; nodes: node_id, kind, name, trust.  Names meet terms on their words,
-    as an equi-join; with three terms or more a node needs two of them, or the whole name."""
-    asked = requests.select("request_id", F.size("terms").alias("n"), F.explode(F.slice("terms", 1, 8)).alias("term"))
-    words = nodes.filter("kind <> 'project'").select("node_id", "kind", "name", "trust", F.explode(F.array_distinct(t.index_terms(F.col("name")))).alias("term"))
-    met = words.join(asked, "term").groupBy("request_id", "n", "node_id", "kind", "name", "trust").agg(F.count(F.lit(1)).alias("k"), F.max((F.col("name") == F.col("term")).cast("int")).alias("exact"))
-    kept = met.filter((F.col("n") < 3) | (F.col("k") >= 2) | (F.col("exact") == 1)).withColumn("score", F.col("k") + 2 * F.col("exact"))
-    order = F.when(F.col("trust") == "verified", 0).when(F.col("trust") == "disputed", 1).when(F.col("trust") == "observed", 2).otherwise(3)
-    place = F.row_number().over(W.partitionBy("request_id").orderBy(order, F.col("score").desc(), "kind", "name", "node_id"))
-    return kept.withColumn("position", place).filter(F.col("position") <= cap).select("request_id", "node_id", "score", "exact", "position")
+# Nodes of a project that is searched whole, characters of a prefix, prefix candidates, terms, results.
+SMALL_PROJECT, PREFIX_CHARS, PREFIX_CANDIDATES, TERMS, RESULTS = 500, 5, 48, 8, 20
+
+
+def trust_order(trust):
+    return F.when(trust == "verified", 0).when(trust == "observed", 1).otherwise(2)
+
+
+def candidates(requests: DataFrame, nodes: DataFrame, scope: DataFrame) -> DataFrame:
+    """request_id, terms, node_id, kind, name, trust: the nodes that are worth a score.
+
+    In a project of up to 500 nodes that is every node, since a term may stand anywhere in a name; a
+    request then meets 500 nodes of a project at most.  In a larger one a node's name is a term, or is
+    among the first 48 names that begin with a term of five characters or more; both are equi-joins."""
+    counts = nodes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    sized = nodes.join(counts, "project_id").filter("kind <> 'project'")
+    asked = requests.select("request_id", F.slice("terms", 1, TERMS).alias("terms")).filter(F.size("terms") > 0).join(scope.select("request_id", "project_id").distinct(), "request_id")
+    fields = ["request_id", "terms", "node_id", "kind", "name", "trust"]
+    small = asked.join(sized.filter(F.col("n_nodes") <= SMALL_PROJECT), "project_id").select(fields)
+    large = sized.filter(F.col("n_nodes") > SMALL_PROJECT)
+    tokens = asked.select("project_id", F.explode("terms").alias("term")).distinct()
+    equal = tokens.join(large.withColumnRenamed("name", "term"), ["project_id", "term"]).select("project_id", "term", F.col("term").alias("name"), "node_id", "kind", "trust")
+    heads = tokens.filter(F.length("term") >= PREFIX_CHARS).withColumn("head", F.substring("term", 1, PREFIX_CHARS))
+    begins = heads.join(large.withColumn("head", F.substring("name", 1, PREFIX_CHARS)), ["project_id", "head"]).filter(F.startswith("name", F.col("term")))
+    first = F.row_number().over(W.partitionBy("project_id", "term").orderBy("name", "node_id"))
+    prefixed = begins.withColumn("r", first).filter(F.col("r") <= PREFIX_CANDIDATES).select("project_id", "term", "name", "node_id", "kind", "trust")
+    found = equal.unionByName(prefixed)
+    whose = asked.select("request_id", "project_id", "terms", F.explode("terms").alias("term"))
+    return small.unionByName(whose.join(found, ["project_id", "term"]).select(fields).distinct())
+
+
+def matches(requests: DataFrame, nodes: DataFrame, scope: DataFrame, live: DataFrame, cap: int = RESULTS) -> DataFrame:
+    """request_id, node_id, score, exact, position: live nodes whose names hold a request's terms.
+
+    requests: request_id, terms; nodes: project_id, node_id, kind, name, trust; scope: request_id,
+    project_id; live: node_id of nodes with an edge from a current chunk.  A name holds a term anywhere;
+    with three terms or more it must hold two, or be one.  The best by score are kept, and shown by trust.
+    Requests without terms and null names match nothing."""
+    each = candidates(requests, nodes, scope)
+    score = F.aggregate("terms", F.lit(0), lambda n, x: n + F.contains("name", x).cast("int"))
+    exact = F.array_contains("terms", F.col("name")).cast("int")
+    told = each.withColumn("exact", exact).withColumn("held", score).filter((F.col("exact") == 1) | (F.col("held") >= F.when(F.size("terms") >= 3, 2).otherwise(1)))
+    ranked = told.withColumn("score", F.col("held") + 2 * F.col("exact")).withColumn("trust_order", trust_order(F.col("trust"))).join(live.select("node_id").distinct(), "node_id", "left_semi")
+    by = W.partitionBy("request_id")
+    best = F.row_number().over(by.orderBy(F.col("score").desc(), "trust_order", "kind", "name", "node_id"))
+    shown = F.row_number().over(by.orderBy("trust_order", F.col("score").desc(), "kind", "name", "node_id"))
+    top = ranked.withColumn("r", best).filter(F.col("r") <= cap)
+    return top.withColumn("position", shown).select("request_id", "node_id", "score", "exact", "position")
+
+
+# Terms that a claim of the ledger is looked up by, the newest taken, terms it must hold, claims added.
+CLAIM_TERMS, NEWEST, HELD, EXTRA = 6, 200, 2, 4
+
+
+def ledger_claims(requests: DataFrame, claims: DataFrame, scope: DataFrame) -> DataFrame:
+    """request_id, claim_id, held, position: verified and proposed claims that hold a request's terms, beside those of its chunks.
+
+    requests: request_id, terms; claims: project_id, claim_id, normalized_text, trust_state, created_at;
+    scope: request_id, project_id.  Of the claims that hold one of the first six terms the newest 200 are
+    looked at; two terms are needed, one where the request has no more.  Claims of this kind are made by
+    hand or by proposal, so a scope has few; they meet requests on the project."""
+    asked = requests.select("request_id", F.slice("terms", 1, CLAIM_TERMS).alias("terms")).filter(F.size("terms") > 0)
+    met = asked.join(scope.select("request_id", "project_id").distinct(), "request_id").join(claims.filter("trust_state in ('verified', 'proposed')"), "project_id")
+    held = F.aggregate("terms", F.lit(0), lambda n, x: n + F.contains("normalized_text", x).cast("int"))
+    any_term = met.withColumn("held", held).filter("held > 0")
+    new = any_term.withColumn("r", F.row_number().over(W.partitionBy("request_id").orderBy(F.col("created_at").desc(), "claim_id"))).filter(F.col("r") <= NEWEST)
+    kept = new.filter(F.col("held") >= F.least(F.lit(HELD), F.size("terms")))
+    place = F.row_number().over(W.partitionBy("request_id").orderBy("r"))
+    return kept.withColumn("position", place).filter(F.col("position") <= EXTRA).select("request_id", "claim_id", "held", "position")

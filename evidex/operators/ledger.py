@@ -5,10 +5,15 @@ what to add, touch or drop) that a writer appends or swaps in, because plain tab
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.store import kept
+
 
 def latest(log: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The head of a log: the row of the greatest ``order`` for each key, without a window over the log."""
@@ -36,6 +41,14 @@ def move_rows(rows: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame
     return to.withColumn("r", first).filter("r = 1").drop("r", "own")
 
 
+def merge_mapping(claims: DataFrame, loser: str, survivor: str) -> DataFrame:
+    """loser, survivor: claims of one project and those of the other that say the same; of equal ones the least id.
+
+    claims: claim_id, project_id, normalized_text."""
+    side = lambda p, name: claims.filter(F.col("project_id") == p).groupBy("normalized_text", *(["claim_id"] if name == "loser" else [])).agg(F.min("claim_id").alias(name)).select("normalized_text", name)
+    return side(loser, "loser").join(side(survivor, "survivor"), "normalized_text").select("loser", "survivor")
+
+
 def current_chunks(chunks: DataFrame, versions: DataFrame, sources: DataFrame) -> DataFrame:
     """Chunks of the version that an active source is at."""
     live = sources.filter("active").select("source_id", F.col("current_hash").alias("content_hash"))
@@ -149,16 +162,18 @@ def owner_of(paths: DataFrame, aliases: DataFrame) -> DataFrame:
     return met.groupBy("path").agg(F.max_by("project_id", F.struct(F.length("folder"), "project_id")).alias("project_id"))
 
 
-def search_scope(projects: DataFrame, aliases: DataFrame) -> DataFrame:
+def search_scope(projects: DataFrame, aliases: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """request project -> project_id, priority: itself, then domains above it from the nearest, then shared ones.
 
-    projects: project_id, scope; aliases: project_id, path."""
-    own = projects.select(F.col("project_id").alias("for_project"), "project_id", F.lit(0).alias("tier"), F.lit(0).alias("depth"))
+    projects: project_id, scope; aliases: project_id, path; asked: the project_ids of a batch of requests,
+    all projects if there is none.  Every asked project has every shared one in its scope."""
+    askers = projects if asked is None else projects.join(asked.select("project_id").distinct(), "project_id", "left_semi")
+    own = askers.select(F.col("project_id").alias("for_project"), "project_id", F.lit(0).alias("tier"), F.lit(0).alias("depth"))
     domains = aliases.join(projects.filter("scope = 'domain'").select("project_id"), "project_id", "left_semi").select(F.col("project_id"), F.col("path").alias("folder"))
-    above = aliases.select(F.col("project_id").alias("for_project"), F.explode(ancestors(F.col("path"))).alias("folder")).join(domains, "folder").filter("for_project <> project_id")
+    above = aliases.join(askers.select("project_id"), "project_id", "left_semi").select(F.col("project_id").alias("for_project"), F.explode(ancestors(F.col("path"))).alias("folder")).join(domains, "folder").filter("for_project <> project_id")
     tier1 = above.groupBy("for_project", "project_id").agg((-F.max(F.length("folder"))).alias("depth")).select("for_project", "project_id", F.lit(1).alias("tier"), "depth")
-    shared = F.broadcast(projects.filter("scope = 'shared'").select("project_id").limit(250))  # at most as many projects as a ledger may hold
-    tier2 = projects.select(F.col("project_id").alias("for_project")).join(shared, F.col("for_project") != F.col("project_id")).select("for_project", "project_id", F.lit(2).alias("tier"), F.lit(0).alias("depth"))
+    shared = projects.filter("scope = 'shared'").select("project_id", "scope")
+    tier2 = askers.select(F.col("project_id").alias("for_project"), F.lit("shared").alias("scope")).join(shared, "scope").filter("for_project <> project_id").select("for_project", "project_id", F.lit(2).alias("tier"), F.lit(0).alias("depth"))
     every = own.unionByName(tier1).unionByName(tier2).groupBy("for_project", "project_id").agg(F.min(F.struct("tier", "depth")).alias("s"))
     place = F.row_number().over(W.partitionBy("for_project").orderBy("s.tier", "s.depth", "project_id"))
     return every.select("for_project", "project_id", (place - 1).alias("priority"))
@@ -196,18 +211,61 @@ def resolve_claims(references: DataFrame, claims: DataFrame) -> DataFrame:
     return full.select("reference", F.when(F.col("matches") == 1, F.col("claim_id")).alias("claim_id"), "matches")
 
 
-def group_projects(links: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, root: connected projects by links (a, b).  A ledger holds few projects, so labels settle in a few rounds."""
-    both = links.select("a", "b").union(links.select("b", "a"))
-    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    for _ in range(rounds):
-        better = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        moved = label.join(better, "node").select("node", F.least("root", "near").alias("new"), "root")
-        done = moved.filter("new <> root").isEmpty()
-        label = moved.select("node", F.col("new").alias("root"))
-        if done:
+def group_projects(links: DataFrame) -> DataFrame:
+    """node, root: connected projects by links (a, b), each with the least of its group.
+
+    Every round hangs the neighbours of each node on their least one, first the greater ones, then the
+    lesser ones, until nothing moves; a chain of n nodes takes about log n rounds.  Each round is written
+    to the shared folder, so plans stay short."""
+    either = links.filter("a <> b")
+    now = kept(either.select(F.greatest("a", "b").alias("up"), F.least("a", "b").alias("down")).distinct(), "groups")
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("up", "down").cast("decimal(38,0)"))).first())
+    seen = state(now)
+    while True:
+        around = now.select(F.col("up").alias("node"), F.col("down").alias("near")).union(now.select("down", "up"))
+        least = around.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("top"))
+        hung = around.join(least, "node").filter("near > node").select(F.col("near").alias("up"), F.col("top").alias("down")).filter("up <> down").distinct()
+        top = hung.groupBy("up").agg(F.min("down").alias("top"))
+        moved = hung.join(top, "up").select(F.col("down").alias("up"), F.col("top").alias("down")).union(top.select("up", "top"))
+        now = kept(moved.filter("up <> down").distinct(), "groups")
+        if (new := state(now)) == seen:
             break
-    return label
+        seen = new
+    return now.select(F.col("up").alias("node"), F.col("down").alias("root")).union(now.select("down", "down")).distinct()
+
+
+STRENGTH = ["validations", "ledger_claims", "corpus_version", "active_sources", "form", "created_at"]
+
+
+def cleanup_plan(projects: DataFrame, keys: DataFrame, temp_roots: list[str], scratch_name: str = r"^(?:tmp|temp|scratch|test)[-_. ]?\d*$") -> DataFrame:
+    """project_id, action, survivor_id, reasons: what a clean-up would do; it changes nothing.
+
+    projects: project_id, canonical_key, kind, display_name, path, path_exists, root_commit, worktree,
+    validations, ledger_claims, corpus_version, active_sources, runs, created_at; keys: project_id, key
+    (its folder hash and its paths).  Projects that share a key are one; the strongest survives and the
+    others merge into it, unless their root commits differ (review).  Of the rest, those with a reason
+    go (prune) unless claims or validations protect them (review)."""
+    lead = keys.groupBy("key").agg(F.min("project_id").alias("lead"))
+    links = keys.join(lead, "key").filter("project_id <> lead").select(F.col("project_id").alias("a"), F.col("lead").alias("b")).distinct()
+    grouped = projects.join(group_projects(links).withColumnRenamed("node", "project_id"), "project_id", "left")
+    form = F.when(F.startswith("canonical_key", F.lit("git:")), 3).when(F.startswith("canonical_key", F.lit("git-common:")), 2).when(F.col("kind") == "git", 1).otherwise(0)
+    strong = grouped.withColumn("form", form).filter("root is not null").groupBy("root").agg(F.max_by("project_id", F.struct(*STRENGTH, "project_id")).alias("survivor_id"), F.countDistinct("root_commit").alias("commits"))
+    below = reduce(or_, [F.startswith(F.lower("path"), F.lit(x.lower().rstrip("/") + "/")) for x in temp_roots], F.lit(False))
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("path").isNull(), "no_registered_path"),
+            F.when(F.col("path").isNotNull() & ~F.col("path_exists"), "path_missing"),
+            F.when(F.col("worktree"), "agent_worktree"),
+            F.when(F.coalesce(below, F.lit(False)), "temp_folder"),
+            F.when(F.rlike(F.lower("display_name"), F.lit(scratch_name)), "scratch_name"),
+            F.when((F.col("active_sources") == 0) & (F.col("runs") == 0), "empty"),
+        )
+    )
+    each = grouped.join(strong, "root", "left").withColumn("reasons", reasons)
+    merges = F.col("survivor_id").isNotNull() & (F.col("survivor_id") != F.col("project_id"))
+    guarded = (F.col("validations") > 0) | (F.col("ledger_claims") > 0)
+    action = F.when(merges & (F.col("commits") > 1), "review").when(merges, "merge").when((F.size("reasons") > 0) & guarded, "review").when(F.size("reasons") > 0, "prune").otherwise("keep")
+    return each.select("project_id", action.alias("action"), F.when(merges, F.col("survivor_id")).alias("survivor_id"), "reasons")
 
 
 def pointers(chunks: DataFrame, live: DataFrame) -> DataFrame:

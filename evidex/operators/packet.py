@@ -9,6 +9,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
+from collections import deque
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -27,36 +30,36 @@ HEADING = re.compile(r"^\s{0,3}#{1,6}\s+(.+?)\s*$")
 CHUNK_FIELDS = [("ordinal", T.IntegerType()), ("line_start", T.IntegerType()), ("line_end", T.IntegerType()), ("heading", T.StringType()), ("text", T.StringType())]
 
 
+def break_points(lines: list[str], limit: int) -> list[int]:
+    """Where chunks begin, and the end: found by looking each next one up in running widths, not by walking the lines.
+
+    From a beginning, the next one is the nearest of three: the next heading, the first line that the
+    limit leaves no room for, and the line after a blank one that a third of the limit is reached at."""
+    reach = list(accumulate(len(x) + 1 for x in lines))
+    heads = [i for i, x in enumerate(lines) if HEADING.match(x)] + [len(lines)]
+    blanks = [i for i, x in enumerate(lines) if x == "" or x.isspace()] + [len(lines)]
+    points = [0]
+    while points[-1] < len(lines):
+        at = points[-1]
+        base = reach[at - 1] + 1 if at else 1
+        heading = heads[bisect_right(heads, at)] if at < heads[-1] else len(lines)
+        full = max(at + 1, bisect_right(reach, base + limit))
+        pause = blanks[bisect_left(blanks, max(at, bisect_left(reach, base + limit // 3)))] + 1
+        points.append(min(heading, full, pause, len(lines)))
+    return points
+
+
 def cut_lines(text: str, limit: int = CHUNK_CHARS) -> list[tuple]:
     """(ordinal, line_start, line_end, heading, text) of a text's chunks.
 
-    A heading opens a chunk; a line that would pass the limit opens one; a blank line closes one that
-    has a third of the limit.  Lines are never split; blank chunks are left out."""
-    out, held, size, start, title, title_of = [], [], 0, 1, None, None
-
-    def close(end):
-        nonlocal held, size
-        body = "\n".join(held).strip()
-        if body:
-            out.append((len(out), start, max(start, end), title_of, body))
-        held, size = [], 0
-
-    for number, line in enumerate(re.split(r"\r\n|\r|\n", text), 1):
-        found = HEADING.match(line)
-        if held and (found or size + len(line) + 1 > limit):
-            close(number - 1)
-        if found:
-            title = found.group(1).strip()
-        if not held:
-            start = number
-        title_of = title
-        size += len(line) + (1 if held else 0)
-        held.append(line)
-        if not line.strip() and size >= limit // 3:
-            close(number)
-    if held:
-        close(start + len(held) - 1)
-    return out
+    A heading opens a chunk and names it and those after it; lines are never split; blank chunks are left out."""
+    lines = re.split(r"\r\n|\r|\n", text)
+    points = break_points(lines, limit)
+    titles = [HEADING.match(lines[a]) for a in points[:-1]]
+    titled = list(accumulate((m.group(1).strip() if m else None for m in titles), lambda held, new: held if new is None else new))
+    bodies = ["\n".join(lines[a:b]).strip() for a, b in zip(points, points[1:])]
+    full = [i for i, body in enumerate(bodies) if body]
+    return [(ordinal, points[i] + 1, points[i + 1], titled[i], bodies[i]) for ordinal, i in enumerate(full)]
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, k) for n, k in CHUNK_FIELDS])))
@@ -71,41 +74,48 @@ def chunks(sources: DataFrame) -> DataFrame:
     return each.select(*[c for c in sources.columns if c != "text"], "chunk.*").withColumn("chunk_hash", F.sha2("text", 256))
 
 
-def tidy(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip(" .")
+# What divides a request: clause ends, then the word between two parts; and how short a part may be.
+CLAUSES = re.compile(r"\s*(?:;|\n|\.(?=\s+[A-Z]))\s*")
+CONJUNCTION = re.compile(r"\s+\band\b\s+", re.IGNORECASE)
+SHORTEST_PART = 12
 
 
-def by_clause(text: str) -> list[str]:
-    return [x for x in map(tidy, re.split(r"\s*(?:;|\n|\.(?=\s+[A-Z]))\s*", text)) if x]
+def squeezed(text: str) -> str:
+    return " ".join(text.split()).strip(" .")
 
 
-def by_and(text: str, least: int) -> list[str]:
-    parts = [x for x in map(tidy, re.split(r"(?i)\s+\band\b\s+", text)) if len(x) >= least]
-    return parts if len(parts) > 1 else []
+def parts_of(text: str, divider: re.Pattern, shortest: int = 1) -> list[str]:
+    return [p for p in map(squeezed, divider.split(text)) if len(p) >= shortest]
+
+
+def divided(text: str, shortest: int) -> list[str]:
+    """The parts of a text by the first divider that finds two of them; none if neither does."""
+    return next((p for p in (parts_of(text, CLAUSES), parts_of(text, CONJUNCTION, shortest)) if len(p) > 1), [])
 
 
 def requirements(text: str, cap: int = MAX_LEAVES) -> list[str]:
-    """The checkable leaves of a request: clauses, then long compound ones split again while there is room."""
-    whole = tidy(text)
-    if not whole:
-        return []
-    leaves = by_clause(text) or [whole]
-    if len(leaves) == 1 and len(whole) > LONG_LEAF:
-        halves = by_and(whole, 12)
-        leaves = halves if 1 < len(halves) <= FIRST_SPLIT else leaves
-    grown = True
-    while grown and len(leaves) < cap:
-        grown, out = False, []
-        for i, leaf in enumerate(leaves):
-            room = cap - len(out) - (len(leaves) - i - 1)
-            parts = []
-            if room > 1 and len(leaf) > LONG_LEAF and (";" in leaf or " and " in leaf.casefold()):
-                parts = by_clause(leaf)
-                parts = parts if len(parts) > 1 else by_and(leaf, 12)
-            grown |= len(parts) > 1
-            out += parts[:room] if len(parts) > 1 else [leaf]
-        leaves = out
-    return leaves[:cap]
+    """The checkable leaves of a request.
+
+    The leaves are those of a tree, held by their paths from the root, which sort as the text reads.
+    Long compound leaves wait in a queue; each that is divided makes room for its parts while the tree
+    has fewer leaves than ``cap``."""
+    whole = squeezed(text)
+    top = parts_of(text, CLAUSES) or ([whole] if whole else [])
+    if len(top) == 1 and len(whole) > LONG_LEAF:
+        halves = parts_of(whole, CONJUNCTION, SHORTEST_PART)
+        top = halves if 2 <= len(halves) <= FIRST_SPLIT else top
+    tree = {(i,): leaf for i, leaf in enumerate(top)}
+    waiting = deque(tree)
+    while waiting and len(tree) < cap:
+        path = waiting.popleft()
+        leaf = tree[path]
+        if len(leaf) > LONG_LEAF and (";" in leaf or " and " in leaf.casefold()):
+            below = {(*path, i): part for i, part in enumerate(divided(leaf, SHORTEST_PART)[: cap - len(tree) + 1])}
+            if below:
+                del tree[path]
+                tree |= below
+                waiting.extend(below)
+    return [tree[path] for path in sorted(tree)[:cap]]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -116,13 +126,7 @@ def requirements_udf(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def second_split_udf(texts: pd.Series) -> pd.Series:
     """Parts of a leaf that found nothing, down to three characters; empty if it does not divide."""
-
-    def parts(x: str) -> list[str]:
-        found = by_clause(x)
-        found = found if len(found) > 1 else by_and(x, 3)
-        return found if len(found) > 1 else []
-
-    return texts.map(lambda x: parts(x or ""))
+    return texts.map(lambda x: divided(x or "", 3))
 
 
 def leaves(requests: DataFrame) -> DataFrame:

@@ -103,17 +103,40 @@ def cache_valid(entries: DataFrame, dependencies: DataFrame, now: DataFrame) ->
     return entries.join(bad, "cache_key", "left").select("cache_key", F.col("bad").isNull().alias("valid"))
 
 
+GRAM = 8  # characters by which one text finds those that hold it
+
+
+def holding(inner: DataFrame, outer: DataFrame, by: str) -> DataFrame:
+    """inner, outer: pairs of texts with an equal ``by`` of which the second holds the first.
+
+    inner: by, inner; outer: by, outer.  A text that another holds gives it all its stretches of
+    ``GRAM`` characters, so pairs meet on one of them, chosen by its hash; shorter texts meet on all
+    they are.  So this is an equi-join, and texts without a common stretch are never compared."""
+    stretches = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
+    least = lambda xs: F.array_min(F.transform(xs, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))["x"]
+    small = inner.select(by, "inner").distinct().filter("inner <> ''")
+    large = outer.select(by, "outer").distinct()
+    long = small.filter(F.length("inner") >= GRAM).withColumn("key", least(stretches(F.col("inner"), GRAM)))
+    met = long.join(large.filter(F.length("outer") >= GRAM).withColumn("key", F.explode(F.array_distinct(stretches(F.col("outer"), GRAM)))), [by, "key"])
+    short = small.filter(F.length("inner") < GRAM)
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM - 1), F.length("outer"))), lambda n: F.transform(F.sequence(F.lit(1), F.length("outer") - n + 1), lambda i: F.substring(F.col("outer"), i, n))))
+    also = short.join(large.filter("outer <> ''").withColumn("inner", F.explode(F.array_distinct(every))), [by, "inner"])
+    pairs = met.filter(F.contains("outer", F.col("inner"))).select(by, "inner", "outer")
+    return pairs.unionByName(also.select(by, "inner", "outer"))
+
+
 def attach_validations(answers: DataFrame, validated: DataFrame) -> DataFrame:
-    """request_id, basis: an answer rests on a validation if a validated claim and its sentence say the same; the answer stays.
+    """request_id, basis: an answer rests on a validation if a validated claim holds its sentence or the sentence holds the claim; the answer stays.
 
     answers: request_id, project_id, sentence; validated: project_id, normalized_text."""
-    said = answers.withColumn("folded", t.fold(t.collapse(F.col("sentence"))))
-    # one holds the other only if they share the claim's first word, which makes this an equi-join
-    key = lambda c: F.explode(F.array_distinct(t.index_terms(c)))
-    claims = validated.select("project_id", "normalized_text", F.element_at(t.index_terms(F.col("normalized_text")), 1).alias("word"))
-    met = said.withColumn("word", key(F.col("folded"))).join(claims, ["project_id", "word"]).filter(F.contains("folded", F.col("normalized_text")) | F.contains("normalized_text", F.col("folded")))
-    hit = met.select("request_id").distinct().withColumn("hit", F.lit(True))
-    return answers.select("request_id").distinct().join(hit, "request_id", "left").select("request_id", F.when(F.col("hit"), "validated").otherwise("lexical").alias("basis"))
+    said = answers.select("request_id", "project_id", t.fold(t.collapse(F.col("sentence"))).alias("said"))
+    claims = validated.select("project_id", t.fold(t.collapse(F.col("normalized_text"))).alias("claim")).filter("claim <> ''")
+    sentence, claim = said.select("project_id", F.col("said").alias("x")), claims.select("project_id", F.col("claim").alias("x"))
+    name = lambda df, n: df.withColumnRenamed("x", n)
+    in_sentence = holding(name(claim, "inner"), name(sentence, "outer"), "project_id").select("project_id", F.col("outer").alias("said"))
+    in_claim = holding(name(sentence, "inner"), name(claim, "outer"), "project_id").select("project_id", F.col("inner").alias("said"))
+    rests = said.join(in_sentence.union(in_claim).distinct(), ["project_id", "said"], "left_semi").select("request_id").distinct().withColumn("hit", F.lit(True))
+    return answers.select("request_id").distinct().join(rests, "request_id", "left").select("request_id", F.when(F.col("hit"), "validated").otherwise("lexical").alias("basis"))
 
 
 def sweep(runs: DataFrame, limits: list[int], budgets: list[int]) -> DataFrame:

@@ -54,9 +54,15 @@ def _spans(spark, d):
     return tb.policies(spark, d).select("request_id", "chunk_id", "path", "text")
 
 
-@query("q5_evidence_filter", f"{_P}, f AS (SELECT DISTINCT request_id, path, text FROM policies) SELECT request_id, count(*)::BIGINT AS n FROM f GROUP BY 1")
+@query("q5_evidence_filter", f"""{_P}, f AS (SELECT request_id, path, chunk_id % 6 AS k, days FROM policies),
+e AS (SELECT DISTINCT request_id, path, CASE k WHEN 0 THEN 'a' ELSE 'b' END AS wording, CASE k WHEN 0 THEN days END AS days FROM f WHERE k IN (0, 3)) SELECT request_id, count(*)::BIGINT AS n FROM e GROUP BY 1""")
 def evidence_filter(spark, d):
-    return evidence.evidence_sentences(_spans(spark, d)).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    """Of six kinds of sentences two are evidence: a rule and a decided trial; a question, a doubt, a proposal and a mere trial are not."""
+    k = F.col("chunk_id") % 6
+    days = F.regexp_extract("text", r"within (\d+) days", 1)
+    said = F.element_at(t.words_in(["", "Must parcels ship?", "Whether parcels ship is unclear.", "We tested three carriers and chose the second.", "They proposed another carrier.", "We tested three carriers."]), (k + 1).cast("int"))
+    spans = _spans(spark, d).withColumn("text", F.when(k == 0, F.concat(F.lit("Parcels must ship within "), days, F.lit(" days."))).otherwise(said))
+    return evidence.evidence_sentences(spans).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q7_check_claims", f"""{_P}, f AS (SELECT DISTINCT request_id, path, banned AS neg, trial, days FROM policies),
@@ -117,21 +123,39 @@ def claim_noise(spark, d):
     return p.select(F.col("p_partkey").alias("id"), t.claim_noise(F.concat_ws(" ", "p_name", "p_type")).alias("noise"))
 
 
-@query("c2_protected_policy", f"{_P} SELECT chunk_id, true AS protected FROM policies")
+@query("c2_protected_policy", f"{_P} SELECT chunk_id, chunk_id % 2 = 0 AS protected FROM policies")
 def protected_policy(spark, d):
-    return tb.policies(spark, d).select("chunk_id", packet.protected(F.col("text")).alias("protected"))
-
-
-@query("g7_graph_match", """WITH nodes AS (SELECT p_partkey AS node_id, 'topic' AS kind, lower(p_name) AS name, CASE WHEN p_partkey % 6 = 0 THEN 'verified' ELSE 'observed' END AS trust FROM part),
-asked AS (SELECT s_suppkey AS request_id, ['part', (s_suppkey % 9)::VARCHAR, 'blue'] AS terms FROM supplier), a AS (SELECT request_id, len(terms) AS n, unnest(terms) AS term FROM asked),
-w AS (SELECT *, unnest(list_distinct(regexp_extract_all(name, '[\\p{L}\\p{N}]+'))) AS term FROM nodes),
-m AS (SELECT request_id, n, node_id, kind, name, trust, count(*) AS k, max((name = term)::INT) AS exact FROM w JOIN a USING (term) GROUP BY ALL),
-k AS (SELECT *, k + 2 * exact AS score FROM m WHERE k >= 2 OR exact = 1)
-SELECT request_id, node_id, score::BIGINT AS score, exact::INT AS exact, row_number() OVER (PARTITION BY request_id ORDER BY CASE trust WHEN 'verified' THEN 0 ELSE 2 END, score DESC, kind, name, node_id)::INT AS position FROM k QUALIFY position <= 20""".replace("\\\\", "\\"))
+    """Whole rules, their tails, an exception, and a plain sentence."""
+    k = F.col("chunk_id") % 4
+    tail = F.lit("parcels leave within two days of approval")
+    text = F.when(k == 0, F.col("text")).when(k == 1, tail).when(k == 2, F.concat(tail, F.lit(" unless it rains"))).otherwise(F.concat(F.lit("see "), F.col("path")))
+    return tb.policies(spark, d).select("chunk_id", packet.protected(text).alias("protected"))
+
+
+@query("g7_graph_match", """WITH nodes AS (SELECT 'p' || CASE WHEN p_partkey % 4 = 0 THEN 'small' || p_partkey // 400 ELSE 'large' END AS project_id, p_partkey AS node_id, CASE WHEN p_partkey % 11 = 0 THEN 'project' ELSE 'topic' END AS kind, lower(p_name) || ' ' || p_partkey AS name, CASE WHEN p_partkey % 6 = 0 THEN 'verified' WHEN p_partkey % 5 = 0 THEN 'disputed' ELSE 'observed' END AS trust FROM part UNION ALL SELECT 'plarge', -s_suppkey, 'symbol', 'part ' || (s_suppkey % 30), 'observed' FROM supplier),
+asked AS (SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 3 = 0 THEN ['part ' || (s_suppkey % 30)] ELSE ['part', (s_suppkey % 9)::VARCHAR, 'part 1' || (s_suppkey % 9)] END AS terms FROM supplier),
+small AS (SELECT project_id FROM nodes GROUP BY 1 HAVING count(*) <= 500),
+pairs AS (SELECT request_id, terms, n.* FROM asked a, nodes n WHERE kind <> 'project'),
+pre AS (SELECT request_id, node_id FROM (SELECT request_id, node_id, project_id, unnest(terms) AS term, name FROM pairs WHERE project_id NOT IN (SELECT project_id FROM small)) WHERE length(term) >= 5 AND starts_with(name, term) QUALIFY row_number() OVER (PARTITION BY request_id, project_id, term ORDER BY name, node_id) <= 48),
+cand AS (SELECT * FROM pairs p WHERE project_id IN (SELECT project_id FROM small) OR list_contains(terms, name) OR EXISTS (SELECT 1 FROM pre WHERE pre.request_id = p.request_id AND pre.node_id = p.node_id)),
+s AS (SELECT *, len(list_filter(terms, lambda x: contains(name, x))) AS held, list_contains(terms, name)::INT AS exact, CASE trust WHEN 'verified' THEN 0 WHEN 'observed' THEN 1 ELSE 2 END AS o FROM cand),
+k AS (SELECT *, held + 2 * exact AS score FROM s WHERE (exact = 1 OR held >= CASE WHEN len(terms) >= 3 THEN 2 ELSE 1 END) AND node_id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY held + 2 * exact DESC, o, kind, name, node_id) <= 20)
+SELECT request_id, node_id, score::BIGINT AS score, exact::INT AS exact, row_number() OVER (PARTITION BY request_id ORDER BY o, score DESC, kind, name, node_id)::INT AS position FROM k""")
 def graph_match(spark, d):
-    nodes = tb.table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.lit("topic").alias("kind"), F.lower("p_name").alias("name"), F.when(F.col("p_partkey") % 6 == 0, "verified").otherwise("observed").alias("trust"))
-    asked = tb.table(spark, d, "supplier").select(F.col("s_suppkey").alias("request_id"), F.array(F.lit("part"), (F.col("s_suppkey") % 9).cast("string"), F.lit("blue")).alias("terms"))
-    return graph.matches(asked, nodes)
+    """Parts as nodes, a quarter of them in small projects; every seventh has no live edge."""
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    parts = tb.table(spark, d, "part").select(
+        F.concat(F.lit("p"), F.when(k % 4 == 0, F.concat(F.lit("small"), text(F.floor(k / 400)))).otherwise("large")).alias("project_id"), k.alias("node_id"), F.when(k % 11 == 0, "project").otherwise("topic").alias("kind"),
+        F.concat(F.lower("p_name"), F.lit(" "), text(k)).alias("name"), F.when(k % 6 == 0, "verified").when(k % 5 == 0, "disputed").otherwise("observed").alias("trust"),
+    )
+    s = F.col("s_suppkey")
+    suppliers = tb.table(spark, d, "supplier")
+    symbols = suppliers.select(F.lit("plarge").alias("project_id"), (-s).alias("node_id"), F.lit("symbol").alias("kind"), F.concat(F.lit("part "), text(s % 30)).alias("name"), F.lit("observed").alias("trust"))
+    nodes = parts.unionByName(symbols)
+    terms = F.when(s % 3 == 0, F.array(F.concat(F.lit("part "), text(s % 30)))).otherwise(F.array(F.lit("part"), text(s % 9), F.concat(F.lit("part 1"), text(s % 9))))
+    asked = suppliers.select(s.alias("request_id"), terms.alias("terms"))
+    scope = asked.select("request_id", F.lit(1).alias("all")).join(nodes.select("project_id", F.lit(1).alias("all")).distinct(), "all")
+    return graph.matches(asked, nodes, scope, nodes.filter("node_id % 7 <> 0"))
 
 
 @query("g11_select_claims", f"""WITH {tb.CLAIMS}, q AS (SELECT 'p' || x AS request_id, ['pay', 'building', 'machinery'] AS terms FROM range(5) AS r(x)),

@@ -302,11 +302,12 @@ def match_partner(spark, d):
     return both.join(n.select(F.col("n_nationkey").alias("project")), "project")
 
 
-@query("j10_merge_mapping", _sql(tb.CLAIMS) + "SELECT a.claim_id AS loser, b.claim_id AS survivor FROM claims a JOIN claims b ON a.normalized_text[-20:] = b.normalized_text[-20:] AND a.project_id = 'p1' AND b.project_id = 'p2' AND a.no % 50 = b.no % 50 - 1")
+@query("j10_merge_mapping", _sql(tb.CLAIMS) + """, w AS (SELECT no, claim_id, project_id, trust_state, 'rule ' || (no % 97) || ' of ' || split_part(normalized_text, ' must ', 2) AS wording FROM claims)
+SELECT a.claim_id AS loser, min(b.claim_id) AS survivor FROM w a JOIN w b ON a.wording = b.wording AND a.project_id = 'p1' AND b.project_id = 'p2' GROUP BY 1""".replace("\n, w", ", w"))
 def merge_mapping(spark, d):
-    c = tb.claims(spark, d).withColumn("key", F.substring("normalized_text", -20, 20))
-    a = c.filter("project_id = 'p1'").select(F.col("claim_id").alias("loser"), "key", (F.col("no") % 50 + 1).alias("m"))
-    return a.join(c.filter("project_id = 'p2'").select(F.col("claim_id").alias("survivor"), "key", (F.col("no") % 50).alias("m")), ["key", "m"]).select("loser", "survivor")
+    c = tb.claims(spark, d)
+    wording = F.concat(F.lit("rule "), (F.col("no") % 97).cast("string"), F.lit(" of "), F.element_at(F.split("normalized_text", " must "), 2))
+    return ledger.merge_mapping(c.withColumn("normalized_text", wording), "p1", "p2")
 
 
 @query("j14_structure_matches", "WITH s AS (SELECT s_suppkey AS id, md5((s_nationkey % 9)::VARCHAR) AS h FROM supplier) SELECT a.id AS left_id, b.id AS right_id FROM s a JOIN s b ON a.h = b.h AND a.id < b.id")
@@ -315,19 +316,10 @@ def structure_matches(spark, d):
     return s.select(F.col("id").alias("left_id"), "h").join(s.select(F.col("id").alias("right_id"), "h"), "h").filter("left_id < right_id").select("left_id", "right_id")
 
 
-@query("c13_resolve_claims", _sql(tb.CLAIMS) + """, refs AS (SELECT CASE WHEN no % 3 = 0 THEN claim_id WHEN no % 3 = 1 THEN claim_id[1:9] ELSE normalized_text END AS reference FROM claims WHERE no % 10 = 0),
-m AS (SELECT DISTINCT reference, claim_id FROM refs JOIN claims ON (length(reference) >= 8 AND starts_with(claim_id, reference)) OR normalized_text = reference)
-SELECT reference, CASE WHEN count(*) = 1 THEN min(claim_id) END AS claim_id, count(*)::BIGINT AS matches FROM m GROUP BY 1""".replace("\n, refs", ", refs"))
-def resolve(spark, d):
-    c = tb.claims(spark, d)
-    refs = c.filter("no % 10 = 0").select(F.when(F.col("no") % 3 == 0, F.col("claim_id")).when(F.col("no") % 3 == 1, F.substring("claim_id", 1, 9)).otherwise(F.col("normalized_text")).alias("reference"))
-    return ledger.resolve_claims(refs, c)
-
-
-@query("c13_resolve_claims_whole", _sql(tb.CLAIMS) + """, refs AS (SELECT CASE WHEN no % 3 = 0 THEN claim_id WHEN no % 3 = 1 THEN claim_id[1:9] ELSE normalized_text END AS reference FROM claims),
+@query("c13_resolve_claims", _sql(tb.CLAIMS) + """, refs AS (SELECT CASE WHEN no % 3 = 0 THEN claim_id WHEN no % 3 = 1 THEN claim_id[1:9] ELSE normalized_text END AS reference FROM claims),
 m AS (SELECT reference, claim_id FROM refs JOIN claims ON length(reference) >= 8 AND starts_with(claim_id, reference) UNION SELECT reference, claim_id FROM refs JOIN claims ON normalized_text = reference)
 SELECT reference, CASE WHEN count(*) = 1 THEN min(claim_id) END AS claim_id, count(*)::BIGINT AS matches FROM m GROUP BY 1""".replace("\n, refs", ", refs"))
-def resolve_whole(spark, d):
+def resolve(spark, d):
     """Every claim is a reference."""
     c = tb.claims(spark, d)
     refs = c.select(F.when(F.col("no") % 3 == 0, F.col("claim_id")).when(F.col("no") % 3 == 1, F.substring("claim_id", 1, 9)).otherwise(F.col("normalized_text")).alias("reference"))

@@ -30,13 +30,15 @@ def contains_edges(spark, d):
     return c.join(edges.select("chunk_id"), "chunk_id", "left_semi").groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g9_ledger_claims", _sql(tb.CLAIMS) + ", m AS (SELECT claim_id, project_id, no, (contains(normalized_text, 'pay')::INT + contains(normalized_text, 'building')::INT + contains(normalized_text, '7')::INT) AS k FROM claims WHERE trust_state IN ('verified', 'proposed')) SELECT project_id, claim_id, k::INT AS k FROM m WHERE k >= 2 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY no DESC) <= 4".replace("\n,", ","))
+@query("g9_ledger_claims", _sql(tb.CLAIMS) + """, q AS (SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 3 = 0 THEN ['building'] ELSE ['pay', 'building', (s_suppkey % 40)::VARCHAR] END AS terms, 'p' || (s_suppkey % 5) AS project_id FROM supplier),
+m AS (SELECT request_id, terms, claim_id, no, len(list_filter(terms, lambda x: contains(normalized_text, x))) AS held FROM q JOIN claims USING (project_id) WHERE trust_state IN ('verified', 'proposed')),
+n AS (SELECT * FROM m WHERE held > 0 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY no DESC, claim_id) <= 200)
+SELECT request_id, claim_id, held::INT AS held, row_number() OVER (PARTITION BY request_id ORDER BY no DESC, claim_id)::INT AS position FROM n WHERE held >= least(2, len(terms)) QUALIFY position <= 4""".replace("\n, q", ", q"))
 def ledger_claims(spark, d):
-    terms = ["pay", "building", "7"]
-    c = tb.claims(spark, d).filter("trust_state in ('verified', 'proposed')")
-    k = sum((F.contains("normalized_text", F.lit(x)).cast("int") for x in terms[1:]), F.contains("normalized_text", F.lit(terms[0])).cast("int"))
-    place = F.row_number().over(W.partitionBy("project_id").orderBy(F.col("no").desc()))
-    return c.withColumn("k", k).filter("k >= 2").withColumn("r", place).filter("r <= 4").select("project_id", "claim_id", "k")
+    s = F.col("s_suppkey")
+    terms = F.when(s % 3 == 0, F.array(F.lit("building"))).otherwise(F.array(F.lit("pay"), F.lit("building"), (s % 40).cast("string")))
+    asked = tb.table(spark, d, "supplier").select(s.alias("request_id"), terms.alias("terms"), F.concat(F.lit("p"), (s % 5).cast("string")).alias("project_id"))
+    return graph.ledger_claims(asked, tb.claims(spark, d).withColumn("created_at", F.col("no")), asked)
 
 
 @query("g10_live_dependencies", _sql(tb.CLAIMS, _EVIDENCE, _LIVE) + "SELECT claim_id, count(*)::BIGINT AS spans, count(*) FILTER (chunk_id IN (SELECT chunk_id FROM live))::BIGINT AS live_spans FROM claims JOIN evidence USING (claim_id) GROUP BY 1")

@@ -27,15 +27,14 @@ def git_remotes(spark, d):
     return tb.table(spark, d, "supplier").select(k.alias("id"), identity.git_remote(url).alias("remote"))
 
 
-@query("v2_register", "WITH f AS (SELECT s_suppkey, 'w/' || s_suppkey AS path FROM supplier) SELECT path, CASE WHEN s_suppkey % 3 = 0 THEN 'k' || s_suppkey WHEN s_suppkey % 5 = 0 THEN 'a' || s_suppkey ELSE 'new' END AS project_id, CASE WHEN s_suppkey % 3 = 0 THEN 'canonical_key' WHEN s_suppkey % 5 = 0 THEN 'resolved_path' ELSE 'created' END AS match_method FROM f")
+@query("v2_register", "WITH f AS (SELECT s_suppkey, 'w/' || s_suppkey AS path, sha1(unhex('a675f73673584d37a45a9b192538ab42') || encode(sha256(s_suppkey::VARCHAR))) AS h FROM supplier) SELECT path, CASE WHEN s_suppkey % 3 = 0 THEN 'k' || s_suppkey WHEN s_suppkey % 5 = 0 THEN 'a' || s_suppkey ELSE left(h, 8) || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', ('0x' || h[17])::INT % 4 + 1, 1) || h[18:20] || '-' || h[21:32] END AS project_id, CASE WHEN s_suppkey % 3 = 0 THEN 'canonical_key' WHEN s_suppkey % 5 = 0 THEN 'resolved_path' ELSE 'created' END AS match_method FROM f")
 def register(spark, d):
     k, n = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
     s = tb.table(spark, d, "supplier")
     found = s.select(F.concat(F.lit("w/"), n).alias("path"), F.sha2(n.cast("binary"), 256).alias("canonical_key"))
     projects = s.filter("s_suppkey % 3 = 0").select(F.concat(F.lit("k"), n).alias("project_id"), F.sha2(n.cast("binary"), 256).alias("canonical_key"))
     aliases = s.filter("s_suppkey % 5 = 0").select(F.concat(F.lit("w/"), n).alias("path"), F.concat(F.lit("a"), n).alias("project_id"))
-    out = identity.register(found, projects, aliases)
-    return out.withColumn("project_id", F.when(F.col("match_method") == "created", "new").otherwise(F.col("project_id")))
+    return identity.register(found, projects, aliases)
 
 
 @query("m9_structure_hash", "SELECT c_nationkey AS project_id, sha256(string_agg('file|' || lower(c_name) || '|' || CASE WHEN c_custkey % 9 = 0 THEN md5(c_name) ELSE '' END, chr(10) ORDER BY 'file|' || lower(c_name) || '|' || CASE WHEN c_custkey % 9 = 0 THEN md5(c_name) ELSE '' END)) AS structure_hash FROM customer GROUP BY 1")
@@ -52,15 +51,8 @@ def visible_projects(spark, d):
     return identity.visible(c.select("claim_id", "project_id"), allowed).select("claim_id")
 
 
-@query("r14_stale_text", "SELECT doc_id AS chunk_id, md5(text) AS h, CASE WHEN doc_id % 6 = 0 THEN 'indexed_copy' END AS stale_text FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+@query("r14_stale_text", "SELECT doc_id AS chunk_id, md5(text) AS h, CASE WHEN doc_id % 6 = 0 THEN 'indexed_copy' END AS stale_text FROM documents")
 def stale_text(spark, d):
-    docs = tb.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    hits = docs.filter("chunk_id % 3 = 0 or chunk_id % 2 = 0").select("chunk_id", (F.col("chunk_id") % 2 == 0).alias("stale"), F.when(F.col("chunk_id") % 6 == 0, "").otherwise(F.col("text")).alias("text"))
-    return session.stale_text(hits, docs).select("chunk_id", F.md5(F.col("text").cast("binary")).alias("h"), "stale_text")
-
-
-@query("r14_stale_text_whole", "SELECT doc_id AS chunk_id, md5(text) AS h, CASE WHEN doc_id % 6 = 0 THEN 'indexed_copy' END AS stale_text FROM documents")
-def stale_text_whole(spark, d):
     """Every document; the rest are neither stale nor emptied."""
     docs = tb.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     hits = docs.select("chunk_id", (F.col("chunk_id") % 2 == 0).alias("stale"), F.when(F.col("chunk_id") % 6 == 0, "").otherwise(F.col("text")).alias("text"))
@@ -85,11 +77,16 @@ def cache_keys(spark, d):
     return b.select(F.col("item_id").alias("request_id"), cache_key([F.col("item_id").cast("string").alias("q"), (F.col("item_id") % 3).alias("v")]).alias("cache_key"))
 
 
-@query("q10_attach_validations", "WITH " + tb.CLAIMS + ", v AS (SELECT project_id, normalized_text FROM claims WHERE no % 4 = 1) SELECT c.no AS request_id, CASE WHEN EXISTS (SELECT 1 FROM v WHERE v.project_id = c.project_id AND contains(c.normalized_text || ' today', v.normalized_text)) THEN 'validated' ELSE 'lexical' END AS basis FROM claims c")
+@query("q10_attach_validations", "WITH " + tb.CLAIMS + """, v AS (SELECT project_id, CASE WHEN no % 8 = 1 THEN normalized_text ELSE 'every ' || normalized_text || ' by noon' END AS claim FROM claims WHERE no % 4 = 1),
+a AS (SELECT no AS request_id, project_id, CASE no % 3 WHEN 0 THEN normalized_text || ' today' WHEN 1 THEN split_part(normalized_text, ' ', 1) || ' must pay' ELSE 'pay' END AS said FROM claims)
+SELECT a.request_id, CASE WHEN EXISTS (SELECT 1 FROM v WHERE v.project_id = a.project_id AND (contains(a.said, v.claim) OR contains(v.claim, a.said))) THEN 'validated' ELSE 'lexical' END AS basis FROM a""".replace("\n,", ","))
 def attach_validations(spark, d):
+    """Sentences that hold a validated claim, are held by one, or are a word of one."""
     c = tb.claims(spark, d)
-    answers = c.select(F.col("no").alias("request_id"), "project_id", F.concat(F.upper("normalized_text"), F.lit("  today")).alias("sentence"))
-    return session.attach_validations(answers, c.filter("no % 4 = 1").select("project_id", "normalized_text"))
+    k = F.col("no") % 3
+    said = F.when(k == 0, F.concat(F.upper("normalized_text"), F.lit("  today"))).when(k == 1, F.concat(F.element_at(F.split("normalized_text", " "), 1), F.lit(" must pay"))).otherwise("pay")
+    claim = F.when(F.col("no") % 8 == 1, F.col("normalized_text")).otherwise(F.concat(F.lit("every "), F.col("normalized_text"), F.lit(" by noon")))
+    return session.attach_validations(c.select(F.col("no").alias("request_id"), "project_id", said.alias("sentence")), c.filter("no % 4 = 1").select("project_id", claim.alias("normalized_text")))
 
 
 @query("m15_limit_sweep", "WITH r AS (SELECT o_orderkey % 12 + 1 AS found, o_custkey % 900 + 100 AS size FROM orders), g AS (SELECT l AS \"limit\", b AS budget FROM (VALUES (4), (8), (12)) AS x(l), (VALUES (2000), (4000), (8000)) AS y(b)) SELECT \"limit\", budget, round(avg(least(found, \"limit\", floor(budget / size)) / found), 6) AS mean_coverage FROM r, g GROUP BY 1, 2")

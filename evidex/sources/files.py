@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import path_excluded
-from .rules import CREDENTIAL, IGNORED_DIRS, PLACEHOLDERS, PRIVATE_KEY, PROJECT_MARKERS
+from .rules import CREDENTIAL, IGNORED_DIRS, MAX_FILES, PLACEHOLDERS, PRIVATE_KEY, PROJECT_MARKERS
 
 WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -34,31 +34,42 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 def in_ignored_dir(path: Column) -> Column:
     """Whether a folder on the way is ignored or hidden."""
     parts = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
-    return F.exists(parts, lambda p: F.lower(p).isin(IGNORED_DIRS) | F.startswith(p, F.lit(".")))
+    return F.exists(parts, lambda p: F.lower(p).isin(*IGNORED_DIRS) | F.startswith(p, F.lit(".")))
 
 
 def classify(files: DataFrame) -> DataFrame:
-    """Adds reason: why a file is left out, or null."""
-    return files.withColumn("reason", F.when(in_ignored_dir(F.col("relative_path")), "ignored_dir").otherwise(path_excluded(F.col("relative_path"), F.col("length"))))
+    """Adds reason: why a file is left out, or null.
 
+    A listing that tells links and unreadable files apart (boolean columns ``symlink`` and ``readable``) has these reasons first."""
+    path, reason = F.col("relative_path"), F.when(in_ignored_dir(F.col("relative_path")), "ignored_dir")
+    if "symlink" in files.columns:
+        reason = reason.when(F.col("symlink"), "symlink")
+    if "readable" in files.columns:
+        reason = reason.when(~F.col("readable"), "unreadable")
+    return files.withColumn("reason", reason.otherwise(path_excluded(path, F.col("length"))))
 
-def coverage(classified: DataFrame, gaps: int = 20) -> DataFrame:
-    """reason, files, examples: counts by reason, and the first paths of each."""
-    ranked = classified.withColumn("place", F.row_number().over(W.partitionBy("reason").orderBy("relative_path")))
-    return ranked.groupBy(F.coalesce("reason", F.lit("included")).alias("reason")).agg(F.count(F.lit(1)).alias("files"), F.sort_array(F.collect_list(F.when(F.col("place") <= gaps, F.col("relative_path")))).alias("examples"))
+
+def coverage(classified: DataFrame, gaps: int = 20, max_files: int = MAX_FILES) -> DataFrame:
+    """reason, files, examples, complete: counts by reason, the first paths of each, and whether the included files are within their cap.
+
+    Paths are ranked among what is left out only, and each task keeps ``gaps`` of a reason before any are moved."""
+    counts = classified.groupBy(F.coalesce("reason", F.lit("included")).alias("reason")).agg(F.count(F.lit(1)).alias("files"))
+    place = F.row_number().over(W.partitionBy("reason").orderBy("relative_path"))
+    first = classified.filter("reason is not null").select("reason", "relative_path").withColumn("place", place).filter(F.col("place") <= gaps)
+    examples = first.groupBy("reason").agg(F.sort_array(F.collect_list("relative_path")).alias("examples"))
+    within = F.when(F.col("reason") == "included", F.col("files") <= max_files).otherwise(True)
+    return counts.join(examples, "reason", "left").select("reason", "files", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"), within.alias("complete"))
 
 
 def decode_bytes(data: bytes) -> str | None:
-    """Text of a file's bytes; None for binary content."""
-    if b"\0" in data[:4096] and not data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+    """Text of a file's bytes; None for binary content, which has a NUL among its first 4,096 bytes."""
+    if 0 in data[:4096]:
         return None
     for codec in ("utf-8-sig", "utf-16", "cp1252"):
-        if codec == "utf-16" and data[:2] not in (b"\xff\xfe", b"\xfe\xff"):
-            continue
         try:
             return data.decode(codec)
         except UnicodeDecodeError:
-            continue
+            pass
     return data.decode("utf-8", "replace")
 
 
@@ -101,7 +112,7 @@ def discover_projects(files: DataFrame, depth: int = 5) -> DataFrame:
     path = F.col("relative_path")
     parts = F.split(path, "/")
     name = F.element_at(parts, -1)
-    marker = name.isin(PROJECT_MARKERS) | F.rlike(name, F.lit(r"\.(?:sln|code-workspace)$"))
+    marker = name.isin(*PROJECT_MARKERS) | F.rlike(name, F.lit(r"\.(?:sln|code-workspace)$"))
     holder = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
     holders = files.filter(marker & ~in_ignored_dir(path)).select(holder.alias("project")).distinct().filter(F.size(F.split("project", "/")) <= depth)
     steps = F.split("project", "/")

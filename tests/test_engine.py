@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions import porter
 from evidex.functions import text as t
-from evidex.operators import evidence, ledger, packet, search
+from evidex.operators import evidence, graph, ledger, packet, search, session
 from evidex.plans import registry
 from evidex.sources import files
 from evidex.streaming import watch
@@ -90,7 +90,7 @@ def test_choice_and_value_checks(spark):
 
 def test_files(spark, tmp_path):
     root = tmp_path / "root"
-    for name, body in {"app/AGENTS.md": b"# Agents", "app/sub/package.json": b"{}", "app/node_modules/x.md": b"x", "app/app.min.js": b"x", "app/id_rsa": b"A=1", "app/bin.md": b"a\0b", "app/key.md": b"api_key = abcdefgh1234", "app/latin.txt": "caf\xe9".encode("cp1252"), "lib/pyproject.toml": b"[x]"}.items():
+    for name, body in {"app/AGENTS.md": b"# Agents", "app/sub/package.json": b"{}", "app/node_modules/x.md": b"x", "app/app.min.js": b"x", "app/id_rsa": b"A=1", "app/bin.md": b"a\0b", "app/key.md": b"api_key = abcdefgh1234", "app/latin.txt": "un caf\xe9".encode("cp1252"), "app/my password.txt": b"x", "app/API Key.md": b"x", "app/wide.txt": "wide \u03b1".encode("utf-16"), "lib/pyproject.toml": b"[x]"}.items():
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(body)
@@ -99,9 +99,9 @@ def test_files(spark, tmp_path):
         z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>One</w:t><w:tab/></w:r></w:p><w:p><w:r><w:t>Two</w:t></w:r></w:p></w:body></w:document>')
     (root / "app/note.docx").write_bytes(doc.getvalue())
     got = {r["relative_path"]: r["text"] for r in files.read_sources(spark, str(root)).collect()}
-    assert got == {"app/AGENTS.md": "# Agents", "app/sub/package.json": "{}", "app/latin.txt": "café", "lib/pyproject.toml": "[x]", "app/note.docx": "One\t\n\nTwo"}
+    assert got == {"app/AGENTS.md": "# Agents", "app/sub/package.json": "{}", "app/latin.txt": "un café", "lib/pyproject.toml": "[x]", "app/note.docx": "One\t\n\nTwo"}
     reasons = {r["reason"]: r["files"] for r in files.coverage(files.classify(files.list_files(spark, str(root)))).collect()}
-    assert reasons["ignored_dir"] == 1 and reasons["generated"] == 1 and reasons["sensitive_name"] == 1
+    assert reasons["ignored_dir"] == 1 and reasons["generated"] == 1 and reasons["sensitive_name"] == 3
     assert {r["project"] for r in files.discover_projects(files.list_files(spark, str(root))).collect()} == {"app", "lib"}
     heads = watch.listing(spark, str(root)).withColumn("active", F.lit(True)).filter("path <> 'lib/pyproject.toml'").withColumn("size", F.when(F.col("path") == "app/AGENTS.md", 1).otherwise(F.col("size")))
     versions, states = watch.ingest_once(spark, str(root), heads)
@@ -185,3 +185,33 @@ def test_pointers_keep_only_what_is_lost(spark):
     chunks = spark.createDataFrame([(1, "a", "h", 1, 2, "x\ny"), (2, "a", "old", 1, 1, "x")], "chunk_id long, path string, content_hash string, line_start int, line_end int, text string")
     live = spark.createDataFrame([("a", "h", "x\ny\nz")], "path string, content_hash string, text string")
     assert {r["chunk_id"]: r["text"] for r in ledger.pointers(chunks, live).collect()} == {1: "", 2: "x"}
+
+
+def test_groups_of_long_chains(spark):
+    chain = spark.range(1, 1000).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(5000, 5001), (5001, 5001)], "a long, b long"))
+    got = {r["node"]: r["root"] for r in ledger.group_projects(chain).collect()}
+    assert got == {i: 1 for i in range(1, 1001)} | {5000: 5000, 5001: 5000}
+    assert ledger.group_projects(chain.limit(0)).count() == 0
+
+
+def test_cleanup_plan(spark):
+    schema = "project_id string, canonical_key string, kind string, display_name string, path string, path_exists boolean, root_commit string, worktree boolean, validations int, ledger_claims int, corpus_version int, active_sources int, runs int, created_at string"
+    rows = [("a", "git:x", "git", "app", "/w/app", True, "c1", False, 0, 0, 1, 3, 2, "1"), ("b", "directory-path:y", "directory", "app", "/w/app", True, "c1", False, 0, 0, 1, 3, 2, "2"), ("c", "git:z", "git", "lib", "/w/lib", True, "c1", False, 1, 0, 1, 3, 2, "1"), ("d", "git:q", "git", "lib", "/w/lib", True, "c2", False, 0, 0, 1, 3, 2, "1"), ("e", "directory-path:e", "directory", "tmp-1", "/tmp/e", False, None, False, 0, 0, 0, 0, 0, "1"), ("f", "directory-path:f", "directory", "keep", "/w/f", False, None, False, 2, 0, 1, 1, 1, "1"), ("g", "directory-path:g", "directory", "good", "/w/g", True, None, None, 0, 0, 1, 1, 1, "1")]
+    keys = spark.createDataFrame([(r[0], r[4]) for r in rows], "project_id string, key string")
+    got = {r["project_id"]: (r["action"], r["survivor_id"], r["reasons"]) for r in ledger.cleanup_plan(spark.createDataFrame(rows, schema), keys, ["/tmp"]).collect()}
+    assert got == {"a": ("keep", None, []), "b": ("merge", "a", []), "c": ("keep", None, []), "d": ("review", "c", []), "e": ("prune", None, ["path_missing", "temp_folder", "scratch_name", "empty"]), "f": ("review", None, ["path_missing"]), "g": ("keep", None, [])}
+
+
+def test_validations_attach_both_ways(spark):
+    answers = spark.createDataFrame([(1, "p", "must ship within two days"), (2, "p", "We agreed: the parcel must ship within two days, always"), (3, "p", "must ship"), (4, "q", "must ship within two days"), (5, "p", "parcels wait"), (6, "p", "")], "request_id long, project_id string, sentence string")
+    claims = spark.createDataFrame([("p", "the parcel must ship within two days"), ("p", ""), ("q", None)], "project_id string, normalized_text string")
+    got = {r["request_id"]: r["basis"] for r in session.attach_validations(answers, claims).collect()}
+    assert got == {1: "validated", 2: "validated", 3: "validated", 4: "lexical", 5: "lexical", 6: "lexical"}
+
+
+def test_graph_matches_anywhere_in_a_name(spark):
+    nodes = spark.createDataFrame([("p", 1, "symbol", "exporter", "observed"), ("p", 2, "symbol", "my_export_settings", "verified"), ("p", 3, "topic", "other", "observed"), ("p", 4, "symbol", "export", "observed"), ("p", 5, "project", "export", "observed")], "project_id string, node_id long, kind string, name string, trust string")
+    asked = spark.createDataFrame([(1, ["export"]), (2, [])], "request_id long, terms array<string>")
+    scope = spark.createDataFrame([(1, "p"), (2, "p")], "request_id long, project_id string")
+    got = [(r["node_id"], r["score"]) for r in graph.matches(asked, nodes, scope, nodes.filter("node_id <> 1")).orderBy("position").collect()]
+    assert got == [(2, 1), (4, 3)]
