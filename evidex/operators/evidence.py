@@ -108,18 +108,30 @@ def retrieval_text(question: dict) -> str:
     return " ".join([question["text"], *phrases, *([question["unit"]] if "unit" in question else [])])
 
 
-def check_claims(questions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """request_id, answer, support, oppose of claim questions.
+PLACE = ["chunk_id", "path", "first_line", "last_line", "sentence"]
+
+
+def _places(evidence: DataFrame) -> list[str]:
+    return [c for c in PLACE if c in evidence.columns]
+
 
-    questions: request_id, claim; evidence: rows of ``evidence_sentences``."""
+def claim_items(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """request_id, supports, and the sentence's place: what speaks for or against claim questions.
+
+    questions: request_id, claim; evidence: rows of ``evidence_sentences`` or ``wrapped_evidence``.  Where a claim states
+    numbers, a sentence must state them all; other numbers contradict it if both are affirmative."""
     asked = questions.select("request_id", t.check_topics(F.col("claim")).alias("q"), t.negated(F.col("claim")).alias("q_neg"), F.array_distinct(t.numbers(F.col("claim"))).alias("q_num"))
-    met = evidence.select("request_id", t.check_topics(F.col("sentence")).alias("s"), t.negated(F.col("sentence")).alias("neg"), t.numbers(F.col("sentence")).alias("num")).join(asked, "request_id")
+    met = evidence.select("request_id", *_places(evidence), t.check_topics(F.col("sentence")).alias("s"), t.negated(F.col("sentence")).alias("neg"), t.numbers(F.col("sentence")).alias("num")).join(asked, "request_id")
     about = met.filter(t.related(F.col("q"), F.col("s"), True))
-    asks_number, holds = F.size("q_num") > 0, F.size(F.array_except("q_num", "num")) == 0
-    agree = F.col("neg") == F.col("q_neg")
-    support = F.when(asks_number & ~holds, False).otherwise(agree)
-    oppose = F.when(asks_number & ~holds, (F.size("num") > 0) & ~F.col("neg") & ~F.col("q_neg")).otherwise(~agree)
-    counts = about.select("request_id", support.alias("sup"), oppose.alias("opp")).groupBy("request_id").agg(F.count_if("sup").alias("support"), F.count_if("opp").alias("oppose"))
+    others = (F.size("q_num") > 0) & (F.size(F.array_except("q_num", "num")) > 0)
+    clash = (F.size("num") > 0) & ~F.col("neg") & ~F.col("q_neg")
+    supports = F.when(~others, F.col("neg") == F.col("q_neg")).when(clash, False)
+    return about.withColumn("supports", supports).filter("supports is not null").select("request_id", "supports", *_places(evidence))
+
+
+def check_claims(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """request_id, answer, support, oppose of claim questions; arguments as in ``claim_items``."""
+    counts = claim_items(questions, evidence).groupBy("request_id").agg(F.count_if("supports").alias("support"), F.count_if(~F.col("supports")).alias("oppose"))
     full = questions.select("request_id").join(counts, "request_id", "left").na.fill(0, ["support", "oppose"])
     answer = F.when((F.col("support") > 0) & (F.col("oppose") > 0), "disagreement").when(F.col("support") > 0, "supported").when(F.col("oppose") > 0, "contradicted").otherwise("unknown")
     return full.select("request_id", answer.alias("answer"), "support", "oppose")
@@ -131,19 +143,31 @@ def clauses(sentence: Column) -> Column:
     return F.split(sentence, cut, -1)
 
 
-def check_choices(questions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """request_id, answer, chosen of choice questions: never a tie broken by rank.
+def choice_items(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """request_id, option, supports, and the sentence's place: clauses that speak for or against an option of choice questions.
 
-    questions: request_id, question, options (array); evidence: rows of ``evidence_sentences``."""
-    phrase_topics = F.flatten(F.transform("options", t.check_topics))
-    asked = questions.select("request_id", "options", F.array_except(t.check_topics(F.col("question")), phrase_topics).alias("q"))
-    met = evidence.select("request_id", "sentence", t.check_topics(F.col("sentence")).alias("s")).join(asked, "request_id")
+    questions: request_id, question, options (array) and perhaps aliases (map of option to array); an
+    option is named by itself or by an alias."""
+    names = F.map_from_arrays("options", F.transform("options", lambda o: F.array(o)))
+    if "aliases" in questions.columns:
+        more = lambda o: F.coalesce(F.element_at("aliases", o), F.array().cast("array<string>"))
+        names = F.map_from_arrays("options", F.transform("options", lambda o: F.concat(F.array(o), more(o))))
+    named = questions.withColumn("names", names).withColumn("phrases", F.flatten(F.map_values("names")))
+    own = F.flatten(F.transform("phrases", t.check_topics))
+    asked = named.select("request_id", "names", F.array_except(t.check_topics(F.col("question")), own).alias("q"))
+    met = evidence.select("request_id", *_places(evidence), t.check_topics(F.col("sentence")).alias("s")).join(asked, "request_id")
     about = met.filter((F.size("q") == 0) | t.related(F.col("q"), F.col("s"), False))
-    split = about.select("request_id", "options", F.explode(clauses(F.col("sentence"))).alias("clause")).select("request_id", "clause", F.explode("options").alias("option"))
+    split = about.select("request_id", *_places(evidence), "names", F.explode(clauses(F.col("sentence"))).alias("clause"))
     trial = F.rlike("clause", F.lit(t.java(t.EXPLORATION))) & ~F.rlike("clause", F.lit(t.java(t.DECISION)))
-    padded = F.regexp_replace(F.concat(F.lit(" "), F.lower("clause"), F.lit(" ")), r"(?U)[^\w]+", " ")
-    hit = split.filter(~trial & F.contains(padded, F.concat(F.lit(" "), F.regexp_replace(F.lower("option"), r"(?U)[^\w]+", " "), F.lit(" "))))
-    sides = hit.groupBy("request_id", "option").agg(F.count_if(~t.negated(F.col("clause"))).alias("n_for"), F.count_if(t.negated(F.col("clause"))).alias("n_against"))
+    words = lambda x: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(x), r"(?U)[^\w]+", " ")), F.lit(" "))
+    each = split.filter(~trial).withColumn("said", words(F.col("clause"))).select("*", F.explode("names").alias("option", "own"))
+    hit = each.filter(F.exists("own", lambda p: F.contains(F.col("said"), words(p))))
+    return hit.select("request_id", "option", (~t.negated(F.col("clause"))).alias("supports"), *_places(evidence)).distinct()
+
+
+def check_choices(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """request_id, answer, chosen of choice questions: never a tie broken by rank; arguments as in ``choice_items``."""
+    sides = choice_items(questions, evidence).groupBy("request_id", "option").agg(F.count_if("supports").alias("n_for"), F.count_if(~F.col("supports")).alias("n_against"))
     per = sides.groupBy("request_id").agg(
         F.count_if(F.col("n_for") > 0).alias("supported"),
         F.count_if((F.col("n_for") > 0) & (F.col("n_against") > 0)).alias("torn"),
@@ -155,19 +179,30 @@ def check_choices(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     return full.select("request_id", answer.alias("answer"), F.when(answer == "selected", F.col("first")).alias("chosen"))
 
 
-def check_values(questions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """request_id, answer, n_values, value of value questions: numbers before a unit in affirmative sentences.
+def value_items(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """request_id, value (text), and the sentence's place: numbers before a unit, or first groups of a pattern, in affirmative sentences.
 
-    questions: request_id, question, unit; evidence: rows of ``evidence_sentences``."""
-    asked = questions.select("request_id", "unit", F.array_except(t.check_topics(F.col("question")), t.check_topics(F.col("unit"))).alias("q"))
-    met = evidence.select("request_id", "sentence").join(asked, "request_id").filter(~t.negated(F.col("sentence")) & t.related(F.col("q"), t.check_topics(F.col("sentence")), False))
+    questions: request_id, question, unit and perhaps pattern, one of which is set.  Numbers are written
+    one way, whole ones without a point; what a pattern finds that is no number stays as it is."""
+    pattern = F.col("pattern") if "pattern" in questions.columns else F.lit(None).cast("string")
+    topic = F.array_except(t.check_topics(F.col("question")), F.coalesce(t.check_topics(F.col("unit")), F.array().cast("array<string>")))
     quoted = F.regexp_replace("unit", r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    pattern = F.concat(F.lit(r"(?iU)(?<![\w.,])(" + t.NUMBER + r")\s*"), quoted, F.lit(r"(?!\w)"))
-    values = met.select("request_id", F.explode(F.regexp_extract_all("sentence", pattern, F.lit(1))).alias("raw")).select("request_id", F.replace("raw", F.lit(","), F.lit("")).cast("double").alias("v"))
-    per = values.groupBy("request_id").agg(F.countDistinct("v").alias("n_values"), F.min("v").alias("value"))
+    by_unit = F.concat(F.lit(r"(?iU)(?<![\w.,])(" + t.NUMBER + r")\s*"), quoted, F.lit(r"(?!\w)"))
+    asked = questions.select("request_id", "unit", topic.alias("q"), F.coalesce(by_unit, pattern).alias("look"))
+    met = evidence.select("request_id", *_places(evidence)).join(asked, "request_id").filter(~t.negated(F.col("sentence")) & t.related(F.col("q"), t.check_topics(F.col("sentence")), False))
+    found = met.select("request_id", "unit", *_places(evidence), F.explode(F.regexp_extract_all("sentence", F.col("look"), F.lit(1))).alias("raw")).withColumn("raw", F.trim("raw")).filter("raw <> ''")
+    number = F.when(F.col("unit").isNotNull(), F.replace("raw", F.lit(","), F.lit(""))).otherwise(F.col("raw")).try_cast("double")
+    value = F.when(number.isNull(), F.col("raw")).when(number == F.floor(number), number.cast("long").cast("string")).otherwise(number.cast("string"))
+    return found.select("request_id", value.alias("value"), *_places(evidence))
+
+
+def check_values(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """request_id, answer, n_values, value (number) of value questions; arguments as in ``value_items``."""
+    per = value_items(questions, evidence).groupBy("request_id").agg(F.countDistinct("value").alias("n_values"), F.min("value").alias("text_value"))
     full = questions.select("request_id").join(per, "request_id", "left").na.fill(0, ["n_values"])
     answer = F.when(F.col("n_values") == 1, "found").when(F.col("n_values") > 1, "disagreement").otherwise("unknown")
-    return full.select("request_id", answer.alias("answer"), "n_values", F.when(F.col("n_values") == 1, F.col("value")).alias("value"))
+    only = F.when(F.col("n_values") == 1, F.col("text_value"))
+    return full.select("request_id", answer.alias("answer"), "n_values", only.try_cast("double").alias("value"), only.alias("text_value"))
 
 
 def audit(statements: DataFrame, spans: DataFrame, threshold: float = 0.45) -> DataFrame:

@@ -91,7 +91,7 @@ def check_choices(spark, d):
 SELECT c_custkey AS request_id, CASE WHEN n = 1 THEN 'found' WHEN n > 1 THEN 'disagreement' ELSE 'unknown' END AS answer, coalesce(n, 0)::BIGINT AS n_values, CASE WHEN n = 1 THEN value END AS value FROM customer LEFT JOIN v ON c_custkey = request_id""")
 def check_values(spark, d):
     q = tb.table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.lit("What priority does a parcel have?").alias("question"), F.lit("days").alias("unit"))
-    return evidence.check_values(q, evidence.evidence_sentences(_spans(spark, d)))
+    return evidence.check_values(q, evidence.evidence_sentences(_spans(spark, d))).drop("text_value")
 
 
 _AUDIT = r"""WITH s AS (SELECT item_id AS statement_id, list_distinct(list_filter(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[A-Za-z0-9_][A-Za-z0-9_.-]*'), lambda x: length(x) >= 3 AND x NOT IN (%s))) AS tokens FROM benchmark),
