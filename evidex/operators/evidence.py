@@ -216,6 +216,45 @@ def audit(statements: DataFrame, spans: DataFrame, threshold: float = 0.45) -> D
     return met.select("statement_id", "chunk_id", F.round(F.col("k") / F.col("n"), 4).alias("score")).filter(F.col("score") >= threshold)
 
 
+def statements(answers: DataFrame) -> DataFrame:
+    """request_id, statement_no, text: what an answer states; pieces of less than twelve characters are none."""
+    pieces = F.split(F.regexp_replace("answer", r"(?U)(?<=[.!?])\s+|\n+", t.MARK), t.MARK)
+    full = F.filter(pieces, lambda x: F.length(F.trim(x)) >= 12)
+    return answers.select("request_id", F.posexplode(F.transform(full, lambda x: F.btrim(F.regexp_replace(x, r"(?U)\s+", " "), F.lit(" -*\t")))).alias("statement_no", "text"))
+
+
+def audit_answers(answers: DataFrame, items: DataFrame, requirements: DataFrame, threshold: float = 0.45) -> tuple[DataFrame, DataFrame]:
+    """What an answer states against the packet it was made from: (statements, verdicts).
+
+    answers: request_id, answer; items: request_id, item_no, text, requirements (array of leaf numbers);
+    requirements: request_id, leaf_no, text, status, found.  Statements: request_id, statement_no, text,
+    status, coverage, item_no (the best), items (all above the threshold); an item that holds a statement
+    covers it whole.  Verdicts: request_id, result, residuals, worst_kind, worst_no.  A statement meets the
+    items of its own request only, a few dozen."""
+    said = statements(answers).withColumn("tokens", t.request_tokens(F.col("text"))).withColumn("folded", t.fold(t.collapse(F.col("text"))))
+    shown = items.select("request_id", "item_no", t.fold(t.collapse(F.col("text"))).alias("there"), F.array_distinct(F.filter(F.regexp_extract_all(t.fold(F.col("text")), F.lit("[A-Za-z0-9_][A-Za-z0-9_.-]*"), F.lit(0)), lambda x: (F.length(x) >= t.MIN_TOKEN) & ~x.isin(t.STOPWORDS))).alias("own"))
+    met = said.join(shown, "request_id")
+    score = F.when((F.col("folded") != "") & F.contains("there", F.col("folded")), 1.0).when(F.size("tokens") == 0, 0.0).otherwise(F.size(F.array_intersect("tokens", F.slice("own", 1, t.MAX_TOKENS))) / F.size("tokens"))
+    scored = met.select("request_id", "statement_no", "item_no", score.alias("score"))
+    best = scored.groupBy("request_id", "statement_no").agg(
+        F.max("score").alias("coverage"),
+        F.max_by("item_no", F.struct("score", -F.col("item_no"))).alias("item_no"),
+        F.sort_array(F.collect_list(F.when(F.col("score") >= threshold, F.struct((-F.col("score")).alias("s"), "item_no")))).alias("above"),
+    )
+    covered = said.select("request_id", "statement_no", "text").join(best, ["request_id", "statement_no"], "left").na.fill(0.0, ["coverage"])
+    told = covered.select("request_id", "statement_no", "text", F.when(F.col("coverage") >= threshold, "candidate_evidence").otherwise("unknown").alias("status"), F.round("coverage", 4).alias("coverage"), "item_no", F.coalesce(F.col("above.item_no"), F.array().cast("array<int>")).alias("items"))
+    open_ = requirements.filter(~F.col("status").isin("evidence_found", "disagreement"))
+    gaps = open_.groupBy("request_id").agg(F.count(F.lit(1)).alias("uncovered"), F.min(F.struct("found", "leaf_no"))["leaf_no"].alias("worst_leaf"))
+    bare = told.filter("status = 'unknown'").groupBy("request_id").agg(F.count(F.lit(1)).alias("unsupported"), F.min("statement_no").alias("worst_statement"))
+    torn = requirements.filter("status = 'disagreement'").groupBy("request_id").agg(F.count(F.lit(1)).alias("disagreements"))
+    counts = ["uncovered", "unsupported", "disagreements"]
+    all_ = answers.select("request_id").distinct().join(gaps, "request_id", "left").join(bare, "request_id", "left").join(torn, "request_id", "left").na.fill(0, counts)
+    result = F.when(F.col("disagreements") > 0, "clarification_needed").when((F.col("uncovered") > 0) | (F.col("unsupported") > 0), "residuals_open").otherwise("match_move_complete")
+    kind = F.when(F.col("uncovered") > 0, "uncovered_requirement").when(F.col("unsupported") > 0, "unsupported_output")
+    number = F.when(F.col("uncovered") > 0, F.col("worst_leaf")).otherwise(F.col("worst_statement"))
+    return told, all_.select("request_id", result.alias("result"), *counts, kind.alias("worst_kind"), number.alias("worst_no"))
+
+
 def select_claims(matched: DataFrame, cap: int = 4, max_chars: int = 400) -> DataFrame:
     """Per request the claims to show: verified first, then by shared terms, short before long; noise goes unless verified.
 

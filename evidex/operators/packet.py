@@ -11,6 +11,7 @@ import json
 import re
 from bisect import bisect_left, bisect_right
 from collections import deque
+from functools import reduce
 from itertools import accumulate
 
 import pandas as pd
@@ -225,26 +226,50 @@ def clip(text: Column, terms: Column, most: int = LONG_CHARS) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.substring(text, start, F.lit(most)))
 
 
-def within_budget(items: DataFrame, budget: int) -> DataFrame:
+def within_budget(items: DataFrame, budget: int | Column) -> DataFrame:
     """Items in order while they fit: request_id, position, size and any others; the one that passes the budget is cut short.
 
-    Adds used (before it) and kept_size."""
+    The budget is a number or a column of the items.  Adds used (before it) and kept_size."""
+    room = budget if isinstance(budget, Column) else F.lit(budget)
     used = F.coalesce(F.sum("size").over(W.partitionBy("request_id").orderBy("position").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return items.withColumn("used", used).filter(F.col("used") < budget).withColumn("kept_size", F.least("size", budget - F.col("used")))
+    return items.withColumn("used", used).filter(F.col("used") < room).withColumn("kept_size", F.least("size", room - F.col("used")))
 
 
-def fitting(items: DataFrame, budget: int) -> DataFrame:
-    """Items (request_id, position, size and any others) that still fit when their turn comes; a larger one is skipped and later ones may follow."""
+def fitting(items: DataFrame, budget: int | Column) -> DataFrame:
+    """Items (request_id, position, size and any others) that still fit when their turn comes; a larger one is skipped and later ones may follow.
+
+    The budget is a number or a column of the items, one value a request."""
+    room = budget if isinstance(budget, Column) else F.lit(budget)
 
     def fold(rows: list[dict]) -> list[dict]:
-        left, keep = budget, []
+        left, keep = rows[0].pop("room_"), []
         for row in rows:
+            row.pop("room_", None)
             if row["size"] <= left:
                 left -= row["size"]
                 keep.append(row)
         return keep
 
-    return folded(items, fold, items.schema)
+    return folded(items.withColumn("room_", room.cast("long")), fold, items.schema)
+
+
+def whole_budget(hits: DataFrame, claims: DataFrame, nodes: DataFrame, budget: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, claims, nodes) that share one budget of characters a request.
+
+    All: request_id, position, size; claims also trust_state.  Verified claims always stay; then come the
+    other claims and the nodes, each if it fits when its turn comes; hits take what is left, the last
+    one cut short (kept_size)."""
+    total = lambda df, name: df.groupBy("request_id").agg(F.sum("size").alias(name))
+    left = lambda df, *spent: reduce(lambda x, y: x.join(y, "request_id", "left"), spent, df)
+    room = lambda *names: F.lit(budget) - sum((F.coalesce(F.col(n), F.lit(0)) for n in names), F.lit(0))
+    verified = claims.filter("trust_state = 'verified'")
+    first = total(verified, "u1")
+    others = fitting(left(claims.filter("trust_state <> 'verified'"), first), room("u1")).drop("u1")
+    second = total(others, "u2")
+    graph = fitting(left(nodes, first, second), room("u1", "u2")).drop("u1", "u2")
+    third = total(graph, "u3")
+    spans = within_budget(left(hits, first, second, third), room("u1", "u2", "u3")).drop("u1", "u2", "u3")
+    return spans, verified.unionByName(others), graph
 
 
 def statuses(leaf_hits: DataFrame) -> DataFrame:
@@ -284,35 +309,3 @@ def packet_hash(packet: dict) -> str:
 
 def wire_bytes(value) -> int:
     return len(json.dumps(value, sort_keys=True, separators=(",", ":")).encode())
-
-
-def compact(packet: dict, budget: int = 4000) -> dict:
-    """A packet within a number of bytes: whole evidence items in order while they fit, conflicts first, the rest as references."""
-    items = packet.get("evidence", [])
-    first = [x for x in items if x.get("disagreeing")]
-    order = first + [x for x in items if not x.get("disagreeing")]
-    out = {"source_packet_hash": packet.get("packet_hash"), "status": packet.get("status"), "evidence": [], "omitted": [], "byte_count": 0}
-    for item in order:
-        trial = out | {"evidence": [*out["evidence"], item]}
-        if wire_bytes(trial) + 16 <= budget:
-            out = trial
-        elif len(out["omitted"]) < 3:
-            ref = {k: item.get(k) for k in ("project_id", "path", "line_start", "line_end", "source_hash")}
-            trial = out | {"omitted": [*out["omitted"], ref]}
-            out = trial if wire_bytes(trial) + 16 <= budget else out
-    for _ in range(6):
-        size = wire_bytes(out)
-        if out["byte_count"] == size:
-            break
-        out["byte_count"] = size
-    return out
-
-
-def expand(lines: DataFrame, refs: DataFrame) -> DataFrame:
-    """request_id, status, text of span references: ok, or stale where the file has another hash by now.
-
-    lines: path, content_hash, text; refs: request_id, path, expected_hash, line_start, line_end."""
-    met = refs.join(lines, "path", "left")
-    same = F.col("content_hash").eqNullSafe(F.col("expected_hash"))
-    part = F.array_join(F.slice(F.split("text", "\n"), F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
-    return met.select("request_id", F.when(F.col("content_hash").isNull(), "missing").when(same, "ok").otherwise("stale").alias("status"), F.when(same, part).alias("text"))

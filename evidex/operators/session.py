@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..sources.store import kept
-from . import evidence, packet, search
+from . import evidence, graph, packet, search
 
 
 @F.pandas_udf(T.StringType())
@@ -21,8 +21,13 @@ def canonical_hash(bodies: pd.Series) -> pd.Series:
     return bodies.map(lambda b: hashlib.sha256(packet.canonical_json(json.loads(b)).encode()).hexdigest())
 
 
-def packets(requests: DataFrame, chunks: DataFrame, scope: DataFrame, limit: int = 4, budget: int = 16_000, max_per_file: int = 2, index: search.Index | None = None) -> DataFrame:
-    """request_id, status, requirements, evidence, empty_result, packet_hash for every request.
+def packets(requests: DataFrame, chunks: DataFrame, scope: DataFrame, limit: int = 4, budget: int = 16_000, max_per_file: int = 2, index: search.Index | None = None, claims: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """request_id, status, requirements, evidence, claims, graph_nodes, empty_result, packet_hash for every request.
+
+    Each requirement says its status, why its search stopped, and how many shown spans that still hold.
+    claims: project_id, claim_id, chunk_id (a row a chunk that states it, null for proposals), display_text,
+    normalized_text, trust_state, created_at; nodes: project_id, node_id, kind, name, trust, chunk_id.
+    All share one budget of characters (``packet.whole_budget``).
 
     requests: request_id, text; chunks: chunk_id, project_id, path, line_start, line_end, heading,
     text, chunk_hash, current, stale; scope: request_id, project_id, priority."""
@@ -40,11 +45,15 @@ def packets(requests: DataFrame, chunks: DataFrame, scope: DataFrame, limit: int
     hits = found_by(first)
     # a leaf without rows is divided once more; its parts take its place
     empty = first.join(hits.select(F.col("request_id").alias("leaf_id")).distinct(), "leaf_id", "left_anti").withColumn("parts", packet.second_split_udf("leaf")).filter(F.size("parts") > 0)
-    again = named(empty.select("request_id", "leaf_no", F.posexplode("parts").alias("i", "leaf")).select("request_id", (F.col("leaf_no") * 100 + F.col("i") + 100).alias("leaf_no"), "leaf"))
-    again = kept(again, "leaves")
+    # parts only replace a leaf where the tree has room for them
+    sizes = first.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_leaves"))
+    empty = kept(empty.join(sizes, "request_id").withColumn("room", packet.MAX_LEAVES - F.col("n_leaves") + 1).withColumn("blocked", F.col("room") < 2), "empty")
+    divided_ = empty.filter(~F.col("blocked")).select("request_id", "leaf_no", F.posexplode(F.slice("parts", F.lit(1), F.col("room"))).alias("i", "leaf"))
+    again = kept(named(divided_.select("request_id", (F.col("leaf_no") * 100 + F.col("i") + 100).alias("leaf_no"), "leaf")), "leaves")
     if not again.isEmpty():
         hits = hits.unionByName(found_by(again))
-    leaf = first.join(empty.select("leaf_id"), "leaf_id", "left_anti").unionByName(again)
+    leaf = first.join(empty.filter(~F.col("blocked")).select("leaf_id"), "leaf_id", "left_anti").unionByName(again)
+    leaf = leaf.join(empty.filter("blocked").select("leaf_id", "blocked"), "leaf_id", "left").na.fill(False, ["blocked"])
     found = hits.select(F.col("request_id").alias("leaf_id"), "chunk_id", "priority", "match_pass", "rank").join(leaf.select("leaf_id", "request_id", "leaf_no"), "leaf_id")
     full = found.join(chunks.select("chunk_id", "project_id", "path", "line_start", "line_end", "text", "chunk_hash", "stale"), "chunk_id")
     # conflicts are judged within a leaf
@@ -55,16 +64,53 @@ def packets(requests: DataFrame, chunks: DataFrame, scope: DataFrame, limit: int
     merged = packet.merge(packet.prioritize(one), max_per_file)
     terms = requests.select("request_id", t.request_tokens(F.col("text")).alias("terms"))
     shown = merged.join(terms, "request_id").withColumn("text", packet.clip(F.col("text"), F.col("terms"))).withColumn("size", F.length("text"))
-    within = packet.within_budget(shown, budget).withColumn("text", F.substring("text", F.lit(1), F.col("kept_size")))
+    asked_scope = scope.select("request_id", "project_id").distinct()
+    live = chunks.filter(F.col("current") & ~F.col("stale")).select("chunk_id")
+    told = _claims_of(terms, marked.filter(~F.col("stale")), claims, asked_scope) if claims is not None else _none(terms, "claim_id string, position int, display_text string, trust_state string, size int")
+    named_nodes = _nodes_of(terms, nodes, asked_scope, live) if nodes is not None else _none(terms, "node_id string, position int, name string, trust string, size int")
+    within, told, named_nodes = packet.whole_budget(shown, told, named_nodes, budget)
+    within = within.withColumn("text", F.substring("text", F.lit(1), F.col("kept_size")))
     by_leaf = marked.groupBy("request_id", "leaf_no").agg(F.count(F.lit(1)).alias("found"), F.count_if("disagreeing").alias("conflicts"))
     included = within.select("request_id", F.explode("requirements").alias("leaf_no")).groupBy("request_id", "leaf_no").agg(F.count(F.lit(1)).alias("included"))
+    holding_ = within.filter(~F.col("stale")).select("request_id", F.explode("requirements").alias("leaf_no")).groupBy("request_id", "leaf_no").agg(F.count(F.lit(1)).alias("evidence_count"))
     status = packet.statuses(leaf.select("request_id", "leaf_no").join(by_leaf, ["request_id", "leaf_no"], "left").join(included, ["request_id", "leaf_no"], "left").na.fill(0, ["found", "conflicts", "included"]))
-    tree = leaf.join(status, ["request_id", "leaf_no"]).groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("leaf_no", F.col("leaf").alias("text"), "status"))).alias("requirements"))
-    items = within.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", "project_id", "path", "line_start", "line_end", "text", "chunk_hash", "stale", "disagreeing", "match_pass"))).alias("evidence"))
-    none = F.array().cast(items.schema["evidence"].dataType)
-    whole = requests.select("request_id", "text").join(tree, "request_id", "left").join(items, "request_id", "left").withColumn("evidence", F.coalesce("evidence", none))
-    body = F.to_json(F.struct(F.col("text").alias("query"), "requirements", "evidence"))
-    return whole.select("request_id", overall(F.col("requirements.status")).alias("status"), "requirements", "evidence", empty_result(F.col("evidence.stale")).alias("empty_result"), canonical_hash(body).alias("packet_hash"))
+    stop = F.when(F.col("status").isin("evidence_found", "budget_exhausted"), "evidence_found").when(F.col("status") == "disagreement", "disagreement").when(F.col("blocked"), "max_leaves").otherwise("unknown")
+    said = leaf.join(status, ["request_id", "leaf_no"]).join(holding_, ["request_id", "leaf_no"], "left").na.fill(0, ["evidence_count"]).withColumn("stop_reason", stop)
+    each = F.struct("leaf_no", F.col("leaf").alias("text"), "status", "stop_reason", F.lit(True).alias("checkable"), "evidence_count")
+    tree = said.groupBy("request_id").agg(F.sort_array(F.collect_list(each)).alias("requirements"))
+    listed = lambda df, name, *fields: df.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", *fields))).alias(name))
+    parts = (
+        listed(within, "evidence", "project_id", "path", "line_start", "line_end", "text", "chunk_hash", "stale", "disagreeing", "match_pass", "requirements"),
+        listed(told, "claims", "claim_id", "display_text", "trust_state"),
+        listed(named_nodes, "graph_nodes", "node_id", "name", "trust"),
+    )
+    whole = requests.select("request_id", "text").join(tree, "request_id", "left")
+    for part, name in zip(parts, ("evidence", "claims", "graph_nodes")):
+        whole = whole.join(part, "request_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    body = F.to_json(F.struct(F.col("text").alias("query"), "requirements", "evidence", "claims", "graph_nodes"))
+    return whole.select("request_id", overall(F.col("requirements.status")).alias("status"), "requirements", "evidence", "claims", "graph_nodes", empty_result(F.col("evidence.stale")).alias("empty_result"), canonical_hash(body).alias("packet_hash"))
+
+
+def _none(like: DataFrame, fields: str) -> DataFrame:
+    kind = like.schema["request_id"].dataType.simpleString()
+    return like.sparkSession.createDataFrame([], f"request_id {kind}, {fields}")
+
+
+def _claims_of(terms: DataFrame, found: DataFrame, claims: DataFrame, scope: DataFrame) -> DataFrame:
+    """The claims that found spans state, and those of the ledger that hold a request's terms, selected and in order."""
+    each = claims.dropDuplicates(["claim_id"]).drop("chunk_id")
+    stated = found.select("request_id", "chunk_id").distinct().join(claims.select("chunk_id", "claim_id"), "chunk_id").select("request_id", "claim_id")
+    looked = graph.ledger_claims(terms, each, scope).select("request_id", "claim_id")
+    matched = stated.union(looked).distinct().join(terms, "request_id").join(each.select("claim_id", F.col("display_text").alias("full"), "trust_state"), "claim_id")
+    kept_ = evidence.select_claims(matched.withColumnRenamed("full", "display_text"))
+    return kept_.join(each.select("claim_id", "trust_state"), "claim_id").select("request_id", "claim_id", "position", "display_text", "trust_state", F.length("display_text").alias("size"))
+
+
+def _nodes_of(terms: DataFrame, nodes: DataFrame, scope: DataFrame, live: DataFrame) -> DataFrame:
+    alive = nodes.join(live, "chunk_id", "left_semi").select("node_id")
+    each = nodes.drop("chunk_id").dropDuplicates(["node_id"])
+    hit = graph.matches(terms, each, scope, alive)
+    return hit.join(each.select("node_id", "name", "trust"), "node_id").select("request_id", "node_id", "position", "name", "trust", F.length("name").alias("size"))
 
 
 def overall(statuses: Column) -> Column:
@@ -79,10 +125,15 @@ def empty_result(stale: Column) -> Column:
 
 
 def solver_checks(packets_: DataFrame) -> DataFrame:
-    """request_id, schema_holds, span_exists: what can be said of a packet without reading anything else."""
+    """request_id, schema_holds, span_exists: what can be said of a packet without reading anything else.
+
+    Where a packet disagrees or its schema does not hold, hash_matches says whether its hash is that of its
+    parts (column ``body``, if there); elsewhere it is null."""
     ok = F.forall("evidence", lambda e: e["path"].isNotNull() & (e["line_start"] >= 1) & (e["line_end"] >= e["line_start"]))
     schema = F.col("requirements").isNotNull() & F.forall("requirements", lambda r: r["status"].isin("evidence_found", "unknown", "disagreement", "budget_exhausted"))
-    return packets_.select("request_id", schema.alias("schema_holds"), ok.alias("span_exists"))
+    odd = ~schema | F.exists("requirements", lambda r: r["status"] == "disagreement")
+    same = F.when(odd, canonical_hash("body") == F.col("packet_hash")) if "body" in packets_.columns else F.lit(None).cast("boolean")
+    return packets_.select("request_id", schema.alias("schema_holds"), ok.alias("span_exists"), same.alias("hash_matches"))
 
 
 def stale_text(hits: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import packet, search
+from ..operators import compact, packet, search
 from . import stems_sql as sq
 from . import tables as tb
 from .registry import query
@@ -151,12 +151,29 @@ def line_groups(spark, d):
     return packet.line_groups(c).select("chunk_id", "first_line", "last_line")
 
 
-@query("r13_hydrate_lines", f"""WITH {tb.CHUNKS} SELECT chunk_id, md5(array_to_string(string_split(text, chr(10))[2:3], chr(10))) AS h, CASE WHEN chunk_id % 19 = 0 THEN 'stale' ELSE 'ok' END AS status FROM chunks""".replace("md5(array", "CASE WHEN chunk_id % 19 = 0 THEN NULL ELSE md5(array").replace("chr(10))) AS h", "chr(10))) END AS h"))
+@query("r13_hydrate_lines", f"""WITH {tb.CHUNKS}, s AS (SELECT *, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS part FROM chunks)
+SELECT chunk_id, CASE WHEN chunk_id % 23 = 0 THEN 'unavailable' WHEN chunk_id % 19 = 0 THEN 'stale' ELSE 'ok' END AS status, CASE WHEN chunk_id % 19 <> 0 AND chunk_id % 23 <> 0 THEN md5(part) END AS h FROM s""")
 def hydrate_lines(spark, d):
     c = tb.chunks(spark, d)
-    lines = c.select("path", F.sha2("text", 256).alias("content_hash"), "text")
-    refs = c.select(F.col("chunk_id").alias("request_id"), "path", F.when(F.col("chunk_id") % 19 == 0, "other").otherwise(F.sha2("text", 256)).alias("expected_hash"), F.lit(2).alias("line_start"), F.lit(3).alias("line_end"))
-    return packet.expand(lines, refs).select(F.col("request_id").alias("chunk_id"), F.md5(F.col("text").cast("binary")).alias("h"), "status")
+    k = F.col("chunk_id")
+    sources = c.select("project_id", "path", F.sha2("text", 256).alias("content_hash"), "text", (k % 23 != 0).alias("active"))
+    refs = c.select(k.alias("request_id"), "project_id", "path", F.when(k % 19 == 0, "other").otherwise(F.sha2("text", 256)).alias("expected_hash"), F.lit(2).alias("line_start"), F.lit(3).alias("line_end"))
+    return compact.expand(sources, refs, 1 << 30).select(F.col("request_id").alias("chunk_id"), "status", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query("r20_whole_budget", f"""WITH RECURSIVE {_SPANS}, c AS (SELECT request_id, chunk_id, position, size, l_returnflag = 'R' AS verified FROM spans),
+v AS (SELECT request_id, sum(size) FILTER (verified) AS u1 FROM c GROUP BY 1), o AS (SELECT c.*, 900 - coalesce(u1, 0) AS room0, row_number() OVER (PARTITION BY request_id ORDER BY position) AS i FROM c JOIN v USING (request_id) WHERE NOT verified),
+fit AS (SELECT request_id, chunk_id, i, size <= room0 AS kept, CASE WHEN size <= room0 THEN room0 - size ELSE room0 END AS room FROM o WHERE i = 1
+  UNION ALL SELECT o.request_id, o.chunk_id, o.i, o.size <= fit.room, CASE WHEN o.size <= fit.room THEN fit.room - o.size ELSE fit.room END FROM fit JOIN o ON o.request_id = fit.request_id AND o.i = fit.i + 1),
+w AS (SELECT request_id, coalesce(u1, 0) + coalesce((SELECT sum(size) FROM fit JOIN c USING (request_id, chunk_id) WHERE kept AND fit.request_id = v.request_id), 0) AS used FROM v),
+h AS (SELECT s.request_id, s.chunk_id, s.size, 900 - used - coalesce(sum(s.size) OVER (PARTITION BY s.request_id ORDER BY s.position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM spans s JOIN w USING (request_id))
+SELECT 'claim' AS kind, request_id, chunk_id, size::BIGINT AS kept_size FROM c WHERE verified UNION ALL SELECT 'claim', request_id, chunk_id, size FROM fit JOIN c USING (request_id, chunk_id) WHERE kept
+UNION ALL SELECT 'hit', request_id, chunk_id, least(size, room)::BIGINT FROM h WHERE room > 0""")
+def whole_budget(spark, d):
+    """An order's lines as claims, returned ones verified, and the same lines as hits."""
+    s = _spans(spark, d).select("request_id", "chunk_id", "position", "size", F.when(F.col("l_returnflag") == "R", "verified").otherwise("observed").alias("trust_state"))
+    hits, claims, _ = packet.whole_budget(s.drop("trust_state"), s, s.drop("trust_state").limit(0), 900)
+    return claims.select(F.lit("claim").alias("kind"), "request_id", "chunk_id", F.col("size").alias("kept_size")).unionByName(hits.select(F.lit("hit").alias("kind"), "request_id", "chunk_id", "kept_size"))
 
 
 @query("f11_board_path", "SELECT o_orderkey AS id, o_orderkey % 4 < 2 AS board FROM orders")

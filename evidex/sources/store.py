@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 4
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -63,19 +63,29 @@ class Store:
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.root}/{p}" for p in self.manifest()["tables"][table]])
 
-    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None) -> int:
-        """Write tables anew or add to them, all at once; the new version.
+    def folders(self) -> list[tuple[str, str, int]]:
+        """(table, folder, bytes) of everything that was ever written and not deleted."""
+        top = self.jvm.Path(self.root)
+        names = [f.getPath() for f in self.fs.listStatus(top) if f.isDirectory() and f.getPath().getName() != "_manifests"] if self.fs.exists(top) else []
+        return sorted((n.getName(), f.getPath().getName(), self.fs.getContentSummary(f.getPath()).getLength()) for n in names for f in self.fs.listStatus(n) if f.isDirectory())
 
-        Another commit in between makes this one fail instead of hiding it."""
+    def delete(self, folder: str) -> None:
+        self.fs.delete(self.jvm.Path(f"{self.root}/{folder}"), True)
+
+    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, drop: list[str] | None = None, format_version: int | None = None) -> int:
+        """Write tables anew, add to them or drop them, all at once; the new version.
+
+        Another commit in between makes this one fail instead of hiding it.  The format never falls."""
         state = self.manifest()
-        tables = dict(state["tables"])
+        tables = {n: f for n, f in state["tables"].items() if n not in (drop or [])}
+        reached = max(state["format_version"], format_version or 0)
         for adds, frames in ((False, replace or {}), (True, append or {})):
             for name, df in frames.items():
                 folder = f"{name}/{uuid.uuid4().hex}"
                 df.write.parquet(f"{self.root}/{folder}")
                 tables[name] = [*(tables.get(name, []) if adds else []), folder]
         version = state["version"] + 1
-        text = json.dumps({"format_version": FORMAT_VERSION, "version": version, "tables": tables}, sort_keys=True)
+        text = json.dumps({"format_version": reached, "version": version, "tables": tables}, sort_keys=True)
         part, final = (self.jvm.Path(f"{self.root}/_manifests/{n}") for n in (f"_{uuid.uuid4().hex}", f"{version:012d}.json"))
         out = self.fs.create(part, False)
         out.write(bytearray(text.encode()))

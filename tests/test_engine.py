@@ -112,8 +112,6 @@ def test_files(spark, tmp_path):
 def test_packet_hash_ignores_run_fields():
     packet_ = {"query": "é", "evidence": [{"text": "x" * 900, "disagreeing": False, "path": "a"}, {"text": "y", "disagreeing": True, "path": "b"}], "run": {"id": 1}}
     assert packet.packet_hash(packet_) == packet.packet_hash(packet_ | {"run": {"id": 2}, "cache": {}})
-    small = packet.compact(packet_, 500)
-    assert packet.wire_bytes(small) <= 500 and [e["text"] for e in small["evidence"]] == ["y"] and small["byte_count"] == packet.wire_bytes(small)
 
 
 @pytest.fixture(scope="session")
