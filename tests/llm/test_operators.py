@@ -282,6 +282,100 @@ def test_tiling_is_greedy():
     assert decontaminate.tiles(q, d, seeds, 3) == [(0, 1, 6), (6, 8, 3)]
 
 
+def naive_tiling(item, doc, least):
+    """Longest free match first, looked for among all places again each time."""
+    taken_item, taken_doc, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(item)):
+            for t in range(len(doc)):
+                k = 0
+                while p + k < len(item) and t + k < len(doc) and item[p + k] == doc[t + k] and p + k not in taken_item and t + k not in taken_doc:
+                    k += 1
+                best = max(best, (k, -p, -t))
+        k, p, t = best[0], -best[1], -best[2]
+        if k < least:
+            return sorted(out)
+        out.append((p, t, k))
+        taken_item.update(range(p, p + k))
+        taken_doc.update(range(t, t + k))
+
+
+def test_tiling_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: rng.choice("ab cd ef gh ij".split())
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(60, "ab " * 40), (61, None), (None, "cd " * 9)]
+    items = [(i, " ".join(word() for _ in range(rng.choice([2, 6, 12, 20])))) for i in range(8)] + [(8, "ab " * 12), (9, "Ab, ab; AB. ab ab cd"), (10, None)]
+    out = decontaminate.tiled(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), least=4).collect()
+    got = {(r["doc_id"], r["item_id"]): sorted((x["item_at"], x["doc_at"], x["n"]) for x in r["tiles"]) for r in out}
+    want = {}
+    cut = lambda x: decontaminate.WORDS.findall((x or "").lower())
+    for d, text in docs:
+        for q, test in items:
+            own = cut(test)
+            tiles = naive_tiling(own, cut(text), min(4, len(own) or 1))
+            if tiles and sum(k for _, _, k in tiles) >= 0.5 * len(own):
+                want[d, q] = tiles
+    assert got == want and len(want) > 20
+
+
+def test_bradley_terry_brute_force(monkeypatch):
+    """The fitted weights are where plain gradient steps on the pairs' logistic loss end."""
+    import math
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 3))
+    monkeypatch.setattr(quality, "features", lambda t: list(x[int(t)]))
+    y = (x @ np.array([1.0, -2.0, 0.5]) + rng.normal(size=200) > 0).astype(int)
+    model = quality.fit([(str(i), int(b)) for i, b in enumerate(y)], pairs=2000, ridge=1.0, seed=3)
+    z = model.expand(x)
+    draw = np.random.default_rng(3)
+    d = z[draw.choice(np.flatnonzero(y == 1), 2000)] - z[draw.choice(np.flatnonzero(y != 1), 2000)]
+    w = np.zeros(d.shape[1])
+    for _ in range(20_000):
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) - w) / len(d)
+    assert np.allclose(w, model.weights, atol=2e-3)
+    strengths = sorted(z @ model.weights)
+    assert math.isclose(model.threshold, float(np.quantile(strengths, np.mean(y != 1))))
+
+
+def test_noisy_or_brute_force():
+    """A document's score is one less the chance that no sentence is toxic, over every outcome of its sentences."""
+    from itertools import product
+
+    model = toxicity.Model({"=vile": 2.0, "=calm": -1.0, "^vil": 0.5}, -1.0)
+    for text in ("vile. calm. vile calm", "calm", "vile vile vile", ". . ", "no words! vile? yes"):
+        logits = model.sentence_logits(text)
+        chance = [1 / (1 + np.exp(-z)) for z in logits]
+        some = sum(np.prod([p if b else 1 - p for p, b in zip(chance, outcome)]) for outcome in product([0, 1], repeat=len(chance)) if any(outcome))
+        assert abs(model.score([text])[0] - some) < 1e-9
+
+
+def test_noisy_or_fit_climbs():
+    """Training ends with a higher likelihood of the document labels than any model moved a little from it."""
+    sample = [(f"A calm line number {i % 7}. Another thing here.", 0) for i in range(60)] + [(f"A calm line number {i % 5}. You vile wretch now. More text.", 1) for i in range(30)] + [("calm wretch line", 0), ("vile", 0)]
+    model = toxicity.fit(sample, lift=1.0)
+    noise = toxicity.NOISE
+
+    def value(weights, bias):
+        p = toxicity.Model(weights, bias).score([t for t, _ in sample])
+        likely = [noise + (1 - 2 * noise) * (a if b else 1 - a) for a, (_, b) in zip(p, sample)]
+        return np.mean(np.log(likely)) - 0.01 / len(sample) * sum(w * w for w in weights.values()) / 2
+
+    top = value(model.weights, model.bias)
+    for name in list(model.weights)[:12]:
+        for step in (-1.0, 1.0):
+            assert value(model.weights | {name: model.weights[name] + step}, model.bias) <= top + 2e-3
+    assert value(model.weights, model.bias + 1) <= top + 2e-3 and value(model.weights, model.bias - 1) <= top + 2e-3
+
+
+def test_toxicity_locates_where_lower_case_is_longer(spark):
+    model = toxicity.Model({"=vile": 9.0}, -4.0)
+    text = "\u0130\u0130 calm. You vile one."
+    spans = toxicity.locate(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert [text[r["start"] : r["end"]].strip() for r in spans] == ["You vile one."]
+
+
 def test_quality_separates():
     good = [(f"the quick fox number {i} runs over a lazy dog. it sleeps well.", 1) for i in range(60)]
     bad = [(f"BUY!! NOW!! {i} $$$ ### || BUY!! NOW!!", 0) for i in range(30)]
