@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    for module in ("retrieval", "evidence", "ledger", "session", "more"):
+    for module in ("retrieval", "evidence", "ledger", "session", "more", "store"):
         import_module(f"{__package__}.{module}_queries")
 
 

@@ -72,11 +72,13 @@ class Store:
     def delete(self, folder: str) -> None:
         self.fs.delete(self.jvm.Path(f"{self.root}/{folder}"), True)
 
-    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, drop: list[str] | None = None, format_version: int | None = None) -> int:
+    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, drop: list[str] | None = None, format_version: int | None = None, first_format: int = FORMAT_VERSION) -> int:
         """Write tables anew, add to them or drop them, all at once; the new version.
 
-        Another commit in between makes this one fail instead of hiding it.  The format never falls."""
+        Another commit in between makes this one fail instead of hiding it.  The format never falls;
+        ``first_format`` is that of a store's first commit."""
         state = self.manifest()
+        state["format_version"] = state["format_version"] if state["version"] else first_format
         tables = {n: f for n, f in state["tables"].items() if n not in (drop or [])}
         reached = max(state["format_version"], format_version or 0)
         for adds, frames in ((False, replace or {}), (True, append or {})):

@@ -147,9 +147,7 @@ def test_pruning_keeps_what_claims_rest_on(spark):
 
 def test_migrations_space_and_health(spark, store, tmp_path):
     old = Store(spark, str(tmp_path / "old"))
-    old.manifest = lambda: {"format_version": 1, "version": 0, "tables": {}}
-    old.commit(replace={"runs": store.read("runs"), "chunks": store.read("chunks")})
-    del old.manifest
+    old.commit(replace={"runs": store.read("runs"), "chunks": store.read("chunks")}, first_format=1)
     assert not maintenance.doctor(old)["ready"]
     assert maintenance.migrate(old) == [2, 3, 4] and maintenance.migrate(old) == []
     assert old.read("runs").columns == ["run_id", "project_id", "agent"]
