@@ -1,4 +1,7 @@
-"""python -m evidex ingest STORE PROJECT ROOT | query STORE TEXT... | fresh STORE ROOT | stats STORE"""
+"""python -m evidex ingest STORE PROJECT ROOT | query STORE TEXT... | fresh STORE ROOT | stats STORE | explain-project STORE PROJECT
+| doctor STORE [integrity] | space STORE | compact STORE [confirmed] | migrate STORE | rebuild-index STORE
+
+One line of JSON a failure and exit code 2; doctor ends with 1 if the store is not fit to use."""
 
 from __future__ import annotations
 
@@ -10,12 +13,18 @@ def main(args: list[str]) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from .operators import identity, ledger, packet, session
+    from .operators import identity, ledger, maintenance, packet, session
     from .sources.files import read_sources
     from .sources.store import Store
     from .streaming.watch import listing
 
-    if len(args) < 2 or args[0] not in ("ingest", "query", "fresh", "stats"):
+    upkeep = {
+        "space": lambda store: [r.asDict() for r in maintenance.space(store).orderBy("folder").collect()],
+        "compact": lambda store: maintenance.vacuum(store, args[2:] == ["confirmed"]),
+        "migrate": lambda store: {"formats": maintenance.migrate(store)},
+        "rebuild-index": lambda store: {"version": maintenance.rebuild_index(store)},
+    }
+    if len(args) < 2 or args[0] not in ("ingest", "query", "fresh", "stats", "explain-project", "doctor", *upkeep):
         print(__doc__, file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("evidex").config("spark.ui.showConsoleProgress", "false").getOrCreate()
@@ -41,6 +50,14 @@ def main(args: list[str]) -> int:
         elif args[0] == "fresh":
             states = ledger.changes(listing(spark, args[2]), store.read("heads"))
             show({r["state"]: r["count"] for r in states.groupBy("state").count().collect()} | {"advice": ledger.use_decision(states, True)})
+        elif args[0] == "explain-project":
+            print(maintenance.page(store, args[2]))
+        elif args[0] == "doctor":
+            report = maintenance.doctor(store, args[2:] == ["integrity"])
+            show(report)
+            return 0 if report["ready"] else 1
+        elif args[0] in upkeep:
+            show(upkeep[args[0]](store))
         else:
             state = store.manifest()
             show({"version": state["version"], "rows": {n: store.read(n).count() for n in state["tables"]}})

@@ -176,3 +176,27 @@ def test_repair_asks_once_more(spark):
 
     assert maintenance.answered_fresh(lambda: asked.append(1) or spark.range(1), stale, broken).count() == 1 and len(asked) == 1
     assert json.loads(json.dumps(asked)) == [1]
+
+
+def test_upkeep_commands(spark, tmp_path, capsys):
+    from evidex.__main__ import main
+
+    root, store = tmp_path / "widgets", str(tmp_path / "store")
+    root.mkdir()
+    (root / "a.md").write_text("# Widgets\n\nThe widget must ship within two days.\n")
+
+    def told(*args, code=0):
+        assert main(list(args)) == code
+        out = capsys.readouterr().out
+        return json.loads(out) if out.startswith(("{", "[")) else out
+
+    told("ingest", store, "p", str(root))
+    assert told("rebuild-index", store)["version"] == 2
+    told("rebuild-index", store)
+    assert told("doctor", store, "integrity")["rows"]["chunks"] >= 1
+    assert told("migrate", store) == {"formats": []}
+    assert told("compact", store)["deleted"] is False
+    assert told("compact", store, "confirmed")["folders"] == 3
+    assert all(r["used"] for r in told("space", store))
+    assert "must ship within two days" in told("explain-project", store, "p")
+    told("unknown", store, code=2)
