@@ -85,6 +85,20 @@ def test_mix_near_targets(docs, labels, benchmark):
     assert all(abs(taken[k] - target[k] * size[k] / k[0]) <= 8 * size[k] / k[0] for k in taken if k[0])
 
 
+def test_shards_take_their_own_quotas(docs, labels, benchmark):
+    """A row's shards sum up to what it gives; a shard takes of a source no more than its quota of whole blocks, and no word of another's."""
+    out = mixing.mix(docs, block_words=4, shards=5).collect()
+    per = Counter()
+    for r in out:
+        words = {int(k): int(n) for k, n in (x.split(":") for x in r["shard_words"].split(",") if x)}
+        assert sum(words.values()) == r["taken"] and set(words) <= set(range(5))
+        for k, n in words.items():
+            per[k] += n
+    assert len(per) == 5 and sum(per.values()) == sum(r["taken"] for r in out)
+    one = Counter({r["doc_id"]: r["taken"] for r in mixing.mix(docs, block_words=4, shards=1).collect()})
+    assert one == Counter({r["doc_id"]: r["taken"] for r in out})
+
+
 def test_apportionment_is_highest_quotients(spark):
     sizes = spark.createDataFrame([(False, f"s{i}", n) for i, n in enumerate([500, 30, 2000, 7, 900])], "src_null boolean, src string, size long")
     targets = mixing.source_targets(sizes)
