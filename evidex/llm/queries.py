@@ -18,9 +18,18 @@ _OPS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "op7_packed_token_ids": ("tokens", "round_trip", ("documents",)),
     "op8_deleted_interpolation": ("language_model", "score", ("documents",)),
     "op10_merkle_fingerprint": ("merkle", "digest", ("documents",)),
+    "op11_spelling_variants": ("spelling", "digest", ("documents",)),
+    "op12_best_fit_packing": ("packing", "digest", ("documents",)),
+    "op13_periodic_runs": ("periodic", "digest", ("documents",)),
 }
 #: Queries that SQL can express.
-_SQL = {"op3_mix_sainte_lague": "mixing", "op5_secret_ledger": "secrets", "op10_merkle_fingerprint": "merkle"}
+_SQL = {
+    "op3_mix_sainte_lague": "mixing",
+    "op5_secret_ledger": "secrets",
+    "op10_merkle_fingerprint": "merkle",
+    "op11_spelling_variants": "spelling",
+    "op13_periodic_runs": "periodic",
+}
 
 
 def _query(module: str, function: str, tables: tuple[str, ...]):
