@@ -1,8 +1,8 @@
 """From ranked spans to bounded packets.
 
-What depends on order row by row (merging with a size cap, dropping copies without using up a
-file's quota, greedy budgets) is a fold over one request's few spans: Arrow-batched grouped
-functions keyed by request.  The rest is windows and expressions."""
+What depends on order row by row (joining up to a size, dropping copies without using up a file's
+quota, greedy budgets) is an aggregate over the sorted array of one request's few spans; the rest is
+windows and expressions.  Python cuts texts to chunks and requests to leaves."""
 
 from __future__ import annotations
 
@@ -15,12 +15,10 @@ from functools import reduce
 from itertools import accumulate
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as t
 
@@ -124,6 +122,29 @@ def requirements_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([requirements(x or "") for x in texts])
 
 
+def compound(leaf: Column) -> Column:
+    return F.contains(leaf, F.lit(";")) | F.contains(F.lower(leaf), F.lit(" and "))
+
+
+def divided_again(leaf: DataFrame) -> DataFrame:
+    """request_id, leaf_no, part, leaf, blocked: the leaves of a request after those without rows are divided once more.
+
+    leaf: request_id, leaf_no, leaf, empty (found nothing), parts (none: it has rows, or does not divide).  Parts stand where
+    their leaf stood, and in its order each leaf takes the room that the ones before it have left under
+    ``MAX_LEAVES``.  A leaf that gets none stays whole.  blocked: the room ended some of its parts or all."""
+    by, before = W.partitionBy("request_id"), W.partitionBy("request_id").orderBy("leaf_no")
+    more = F.when(F.size("parts") > 1, F.size("parts") - 1).otherwise(0)
+    room = MAX_LEAVES - F.count("*").over(by)
+    each = leaf.withColumn("more", more).withColumn("room", room).withColumn("asked", F.sum("more").over(before))
+    given = lambda asked: F.greatest(F.lit(0), F.least(asked, F.col("room")))
+    each = each.withColumn("extra", (given(F.col("asked")) - given(F.col("asked") - F.col("more"))).cast("int")).withColumn("full", F.max("asked").over(by) >= F.col("room"))
+    own = F.when(F.col("extra") > 0, F.slice("parts", F.lit(1), F.col("extra") + 1)).otherwise(F.array("leaf"))
+    placed = each.withColumn("own", own).select("*", F.posexplode("own").alias("part", "piece"))
+    cut = (F.col("extra") > 0) & (F.col("extra") < F.col("more")) & (F.col("part") == F.col("extra"))
+    whole = (F.col("extra") == 0) & F.col("full") & F.col("empty") & compound(F.col("leaf"))
+    return placed.select("request_id", "leaf_no", F.when(F.col("extra") > 0, F.col("part")).otherwise(-1).alias("part"), F.col("piece").alias("leaf"), (cut | whole).alias("blocked"))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def second_split_udf(texts: pd.Series) -> pd.Series:
     """Parts of a leaf that found nothing, down to three characters; empty if it does not divide."""
@@ -138,9 +159,10 @@ def leaves(requests: DataFrame) -> DataFrame:
 def select_across_leaves(hits: DataFrame) -> DataFrame:
     """One row a (request, path, chunk_hash): the first leaf's hit with the leaves that found it."""
     keys = ["request_id", "path", "chunk_hash"]
-    rest = [c for c in hits.columns if c not in {*keys, "leaf_no"}]
-    best = hits.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("leaf_no", "rank")).alias("b"), F.sort_array(F.collect_set("leaf_no")).alias("requirements"))
-    return best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest], "requirements")
+    torn = [F.max("disagreeing").alias("disagreeing")] if "disagreeing" in hits.columns else []
+    rest = [c for c in hits.columns if c not in {*keys, "leaf_no", "disagreeing"}]
+    best = hits.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("leaf_no", "rank")).alias("b"), F.sort_array(F.collect_set("leaf_no")).alias("requirements"), *torn)
+    return best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest], "requirements", *["disagreeing"] * len(torn))
 
 
 def board(path: Column) -> Column:
@@ -162,61 +184,86 @@ def islands(spans: DataFrame) -> DataFrame:
     return spans.withColumn("opens", (F.col("line_start") > F.coalesce(reach, F.lit(-2)) + 1).cast("int")).withColumn("island", F.sum("opens").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("opens")
 
 
-def folded(items: DataFrame, fold, schema: T.StructType) -> DataFrame:
-    """A function of one request's rows (dicts, by position) to rows, for all requests.
+def by_position(items: DataFrame, *keys: str) -> DataFrame:
+    """Rows gathered in order: the keys and ``rows``, an array of (line_start or none, position, row); a request has a few dozen."""
+    lead = [c for c in ("line_start",) if c in items.columns and len(keys) > 1]
+    row = F.struct(*[c for c in items.columns if c not in keys]).alias("row")
+    return items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*lead, F.col("position").cast("long").alias("position"), row))).alias("rows"))
+
+
+def chosen(gathered: DataFrame, places: Column, *keys: str) -> DataFrame:
+    """The rows of ``by_position`` whose positions are among some."""
+    kept = gathered.withColumn("places", places)
+    row = F.filter("rows", lambda x: F.array_contains("places", x["position"]))
+    return kept.select(*keys, F.explode(row).alias("x")).select(*keys, "x.row.*")
+
+
+JOINED = "struct<marks: array<struct<island: int, adds: boolean>>, island: int, reach: int, size: int, slack: int, stale: boolean>"
 
-    A request has as many rows as retrieval took for it, a few dozen, so they fit one array; requests
-    go to the workers in Arrow batches."""
-    fields = [c for c in items.columns if c != "request_id"]
-    grouped = items.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", *[c for c in fields if c != "position"]))).alias("rows"))
-    arrow = to_arrow_schema(schema)
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for request in batch.to_pylist():
-                out += [{"request_id": request["request_id"]} | r for r in fold(request["rows"])]
-            yield pa.RecordBatch.from_pylist(out, arrow)
+def joined(hits: DataFrame) -> DataFrame:
+    """Spans of a file that touch or overlap as one, up to ``MERGE_CHARS``; adds merged (how many).
 
-    return grouped.mapInArrow(run, schema)
+    A span opens an island of its own unless it reaches the one before it, in order of lines, is as
+    stale, and its text still fits.  The island stands where the span that opened it stood, holds what all
+    its spans hold of requirements, and the least of their ranks and passes; its text is that of the
+    spans that brought further lines."""
+    keys = ["request_id", "project_id", "path"]
+    size = lambda x: F.length(x["row"]["text"])
+    slack = lambda x: size(x) - F.length(F.rtrim(x["row"]["text"], F.lit("\n")))
+
+    def step(s: Column, x: Column) -> Column:
+        row = x["row"]
+        within = (row["stale"] == s["stale"]) & (row["line_start"] <= s["reach"] + 1) & (s["size"] + size(x) <= MERGE_CHARS)
+        further = row["line_end"] > s["reach"]
+        island = s["island"] + F.when(within, 0).otherwise(1)
+        mark = F.struct(island.alias("island"), F.coalesce(~within | further, F.lit(True)).alias("adds"))
+        grown = F.when(~within | within.isNull(), size(x)).when(further, s["size"] - s["slack"] + 1 + size(x)).otherwise(s["size"])
+        over = F.when(within & ~further, s["slack"]).otherwise(slack(x))
+        reach = F.when(within, F.greatest(s["reach"], row["line_end"])).otherwise(row["line_end"])
+        return F.struct(F.concat(s["marks"], F.array(mark)).alias("marks"), island.alias("island"), reach.alias("reach"), grown.alias("size"), over.alias("slack"), row["stale"].alias("stale")).cast(JOINED)
+
+    start = F.from_json(F.lit('{"marks": [], "island": 0, "reach": -2, "size": 0, "slack": 0}'), JOINED)
+    marks = F.aggregate("rows", start, step, lambda s: s["marks"])
+    each = by_position(hits, *keys).withColumn("marks", marks).select(*keys, F.explode(F.arrays_zip("rows", "marks")).alias("x")).select(*keys, "x.rows.row.*", "x.marks.*")
+    rest = [c for c in hits.columns if c not in {*keys, "text", "line_end", "rank", "match_pass", "requirements"}]
+    texts = F.transform(F.filter(F.sort_array(F.collect_list(F.struct("line_start", "position", "adds", "text"))), lambda x: x["adds"]), lambda x: x["text"])
+    whole = F.array_join(F.transform(texts, lambda x, i: F.when(i < F.size(texts) - 1, F.rtrim(x, F.lit("\n"))).otherwise(x)), "\n")
+    found = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("requirements")))).alias("requirements")] if "requirements" in hits.columns else []
+    one = each.groupBy(*keys, "island").agg(F.min_by(F.struct(*rest), F.struct("line_start", "position")).alias("first"), whole.alias("text"), F.max("line_end").alias("line_end"), F.min("rank").alias("rank"), F.min("match_pass").alias("match_pass"), F.count("*").alias("merged"), *found)
+    return one.select(*keys, "first.*", "text", "line_end", "rank", "match_pass", "merged", *["requirements"] * len(found))
+
+
+def without_copies(spans: DataFrame, max_per_file: int) -> DataFrame:
+    """At most so many spans of a file, and no second span of one chunk_hash unless several chunks are joined in it.
+
+    Spans come in their order; one that is left out counts for nothing."""
+    gathered = by_position(spans, "request_id")
+
+    def step(kept: Column, x: Column) -> Column:
+        row = x["row"]
+        copied = (row["merged"] == 1) & F.exists(kept, lambda k: k["chunk_hash"] == row["chunk_hash"])
+        full = F.size(F.filter(kept, lambda k: (k["project_id"] == row["project_id"]) & (k["path"] == row["path"]))) >= max_per_file
+        mine = F.array(F.struct(*[row[c].cast("string").alias(c) for c in ("project_id", "path", "chunk_hash")], x["position"].alias("position")))
+        return F.when(F.coalesce(copied, F.lit(False)) | full, kept).otherwise(F.concat(kept, mine))
+
+    nothing = F.array().cast("array<struct<project_id: string, path: string, chunk_hash: string, position: bigint>>")
+    return chosen(gathered, F.transform(F.aggregate("rows", nothing, step), lambda k: k["position"]), "request_id")
 
 
 def merge(hits: DataFrame, max_per_file: int = 2) -> DataFrame:
-    """Adjacent spans of a file joined up to a size, then copies dropped and files cut to their quota.
-
-    hits: request_id, project_id, path, line_start, line_end, text, stale, rank, match_pass, chunk_hash, disagreeing, position."""
-
-    def joined(rows: list[dict]) -> list[dict]:
-        files: dict[tuple, list[int]] = {}
-        for i, row in enumerate(rows):
-            files.setdefault((row["project_id"], row["path"]), []).append(i)
-        lead: dict[int, dict] = {}
-        for members in files.values():
-            now = None
-            for i in sorted(members, key=lambda i: (rows[i]["line_start"], i)):
-                row = rows[i]
-                if now is None or now["stale"] != row["stale"] or row["line_start"] > now["line_end"] + 1 or len(now["text"]) + len(row["text"]) > MERGE_CHARS:
-                    now = lead[i] = row | {"merged": 1}
-                    continue
-                if row["line_end"] > now["line_end"]:
-                    now["text"], now["line_end"] = now["text"].rstrip("\n") + "\n" + row["text"], row["line_end"]
-                now["rank"], now["match_pass"] = min(now["rank"], row["rank"]), min(now["match_pass"], row["match_pass"])
-                now["disagreeing"] = now["disagreeing"] or row["disagreeing"]
-                now["merged"] += 1
-        return [lead[i] for i in sorted(lead)]
-
-    def fold(rows: list[dict]) -> list[dict]:
-        kept, quota, seen = [], {}, set()
-        for row in joined(rows):
-            file = (row["project_id"], row["path"])
-            copy = row["chunk_hash"] in seen and row["merged"] == 1
-            if row["disagreeing"] or not copy and quota.get(file, 0) < max_per_file:
-                quota[file] = quota.get(file, 0) + (not row["disagreeing"])
-                seen.add(row["chunk_hash"])
-                kept.append(row | {"position": len(kept) + 1})
-        return kept
-
-    return folded(hits, fold, T.StructType([*hits.schema.fields, T.StructField("merged", T.LongType())]))
+    """Adjacent spans joined, then copies dropped and files cut to their quota; adds merged and numbers position anew.
+
+    Disagreeing spans come first and stay as they are: never joined, dropped or counted.
+
+    hits: request_id, project_id, path, line_start, line_end, text, stale, rank, match_pass, chunk_hash,
+    disagreeing, position (unique in a request) and perhaps requirements.  Null paths and projects are files
+    of their own; an empty table gives an empty result."""
+    others = without_copies(joined(hits.filter(~F.col("disagreeing"))), max_per_file)
+    torn = hits.filter("disagreeing").withColumn("merged", F.lit(1).cast("long"))
+    both = torn.unionByName(others.select(*torn.columns))
+    order = W.partitionBy("request_id").orderBy(F.col("disagreeing").desc(), "position")
+    return both.withColumn("position", F.row_number().over(order))
 
 
 def clip(text: Column, terms: Column, most: int = LONG_CHARS) -> Column:
@@ -240,17 +287,15 @@ def fitting(items: DataFrame, budget: int | Column) -> DataFrame:
 
     The budget is a number or a column of the items, one value a request."""
     room = budget if isinstance(budget, Column) else F.lit(budget)
+    gathered = by_position(items.withColumn("room_", room.cast("long")), "request_id")
 
-    def fold(rows: list[dict]) -> list[dict]:
-        left, keep = rows[0].pop("room_"), []
-        for row in rows:
-            row.pop("room_", None)
-            if row["size"] <= left:
-                left -= row["size"]
-                keep.append(row)
-        return keep
+    def step(s: Column, x: Column) -> Column:
+        n = x["row"]["size"].cast("long")
+        fits = n <= s["left"]
+        return F.struct((s["left"] - F.when(fits, n).otherwise(0)).alias("left"), F.when(fits, F.concat(s["places"], F.array(x["position"]))).otherwise(s["places"]).alias("places"))
 
-    return folded(items.withColumn("room_", room.cast("long")), fold, items.schema)
+    start = F.struct(F.col("rows")[0]["row"]["room_"].alias("left"), F.array().cast("array<bigint>").alias("places"))
+    return chosen(gathered, F.aggregate("rows", start, step, lambda s: s["places"]), "request_id").drop("room_")
 
 
 def whole_budget(hits: DataFrame, claims: DataFrame, nodes: DataFrame, budget: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -275,7 +320,7 @@ def whole_budget(hits: DataFrame, claims: DataFrame, nodes: DataFrame, budget: i
 def statuses(leaf_hits: DataFrame) -> DataFrame:
     """request_id, leaf_no, status: disagreement, evidence_found, budget_exhausted or unknown.
 
-    leaf_hits: request_id, leaf_no, found, included, conflicts (counts)."""
+    leaf_hits: request_id, leaf_no, found, included, conflicts (counts of spans that still hold)."""
     status = F.when(F.col("conflicts") > 0, "disagreement").when(F.col("included") > 0, "evidence_found").when(F.col("found") > 0, "budget_exhausted").otherwise("unknown")
     return leaf_hits.select("request_id", "leaf_no", status.alias("status"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,43 +41,42 @@ def packets(requests: DataFrame, chunks: DataFrame, scope: DataFrame, limit: int
         leaf_scope = leaf.select("leaf_id", "request_id").join(scope, "request_id").select(F.col("leaf_id").alias("request_id"), "project_id", "priority")
         return search.retrieve(asked, index, head, leaf_scope, limit)
 
-    named = lambda df: df.withColumn("leaf_id", F.concat_ws("/", F.col("request_id").cast("string"), F.col("leaf_no").cast("string")))
-    first = kept(named(packet.leaves(requests)), "leaves")
+    first = kept(packet.leaves(requests).withColumn("leaf_id", F.concat_ws("/", F.col("request_id").cast("string"), F.col("leaf_no").cast("string"))), "leaves")
     hits = found_by(first)
     # a leaf without rows is divided once more; its parts take its place
-    empty = first.join(hits.select(F.col("request_id").alias("leaf_id")).distinct(), "leaf_id", "left_anti").withColumn("parts", packet.second_split_udf("leaf")).filter(F.size("parts") > 0)
-    # parts only replace a leaf where the tree has room for them
-    sizes = first.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_leaves"))
-    empty = kept(empty.join(sizes, "request_id").withColumn("room", packet.MAX_LEAVES - F.col("n_leaves") + 1).withColumn("blocked", F.col("room") < 2), "empty")
-    divided_ = empty.filter(~F.col("blocked")).select("request_id", "leaf_no", F.posexplode(F.slice("parts", F.lit(1), F.col("room"))).alias("i", "leaf"))
-    again = kept(named(divided_.select("request_id", (F.col("leaf_no") * 100 + F.col("i") + 100).alias("leaf_no"), "leaf")), "leaves")
+    rows = hits.select(F.col("request_id").alias("leaf_id")).distinct().withColumn("held", F.lit(True))
+    each = first.join(rows, "leaf_id", "left").select("request_id", "leaf_no", "leaf", F.col("held").isNull().alias("empty"))
+    splits = F.when(F.col("empty") & packet.compound(F.col("leaf")), packet.second_split_udf("leaf")).otherwise(F.array().cast("array<string>"))
+    order = W.partitionBy("request_id").orderBy("old_no", "part")
+    leaf = packet.divided_again(each.withColumn("parts", splits)).withColumnRenamed("leaf_no", "old_no")
+    leaf_id = F.concat_ws("/", F.col("request_id").cast("string"), F.col("old_no").cast("string"), F.when(F.col("part") >= 0, F.col("part").cast("string")))
+    leaf = kept(leaf.withColumn("leaf_id", leaf_id).withColumn("leaf_no", F.row_number().over(order) - 1), "divided")
+    again = leaf.filter("part >= 0")
     if not again.isEmpty():
         hits = hits.unionByName(found_by(again))
-    leaf = first.join(empty.filter(~F.col("blocked")).select("leaf_id"), "leaf_id", "left_anti").unionByName(again)
-    leaf = leaf.join(empty.filter("blocked").select("leaf_id", "blocked"), "leaf_id", "left").na.fill(False, ["blocked"])
     found = hits.select(F.col("request_id").alias("leaf_id"), "chunk_id", "priority", "match_pass", "rank").join(leaf.select("leaf_id", "request_id", "leaf_no"), "leaf_id")
     full = found.join(chunks.select("chunk_id", "project_id", "path", "line_start", "line_end", "text", "chunk_hash", "stale"), "chunk_id")
-    # conflicts are judged within a leaf
+    # conflicts are judged within a leaf, and mark all its spans that still hold
     pairs = evidence.disagreements(full.filter(~F.col("stale")).select(F.col("leaf_id").alias("request_id"), "chunk_id", "path", "text"))
-    torn = pairs.select(F.col("request_id").alias("leaf_id"), F.explode(F.array("negated_chunk", "affirmed_chunk")).alias("chunk_id")).distinct().withColumn("disagreeing", F.lit(True))
-    marked = kept(full.join(torn, ["leaf_id", "chunk_id"], "left").na.fill(False, ["disagreeing"]), "marked")
+    torn = pairs.select(F.col("request_id").alias("leaf_id")).distinct().withColumn("torn", F.lit(True))
+    marked = kept(full.join(torn, "leaf_id", "left").withColumn("disagreeing", F.col("torn").isNotNull() & ~F.col("stale")).drop("torn"), "marked")
     one = packet.select_across_leaves(marked.drop("leaf_id"))
-    merged = packet.merge(packet.prioritize(one), max_per_file)
+    merged = kept(packet.merge(packet.prioritize(one), max_per_file), "merged")
     terms = requests.select("request_id", t.request_tokens(F.col("text")).alias("terms"))
     shown = merged.join(terms, "request_id").withColumn("text", packet.clip(F.col("text"), F.col("terms"))).withColumn("size", F.length("text"))
     asked_scope = scope.select("request_id", "project_id").distinct()
     live = chunks.filter(F.col("current") & ~F.col("stale")).select("chunk_id")
-    told = _claims_of(terms, marked.filter(~F.col("stale")), claims, asked_scope) if claims is not None else _none(terms, "claim_id string, position int, display_text string, trust_state string, size int")
+    told = _claims_of(terms, merged.filter(~F.col("stale")), claims, asked_scope) if claims is not None else _none(terms, "claim_id string, position int, display_text string, trust_state string, size int")
     named_nodes = _nodes_of(terms, nodes, asked_scope, live) if nodes is not None else _none(terms, "node_id string, position int, name string, trust string, size int")
     within, told, named_nodes = packet.whole_budget(shown, told, named_nodes, budget)
     within = within.withColumn("text", F.substring("text", F.lit(1), F.col("kept_size")))
-    by_leaf = marked.groupBy("request_id", "leaf_no").agg(F.count(F.lit(1)).alias("found"), F.count_if("disagreeing").alias("conflicts"))
-    included = within.select("request_id", F.explode("requirements").alias("leaf_no")).groupBy("request_id", "leaf_no").agg(F.count(F.lit(1)).alias("included"))
-    holding_ = within.filter(~F.col("stale")).select("request_id", F.explode("requirements").alias("leaf_no")).groupBy("request_id", "leaf_no").agg(F.count(F.lit(1)).alias("evidence_count"))
+    # spans that no longer hold count neither as found nor as shown
+    by_leaf = marked.filter(~F.col("stale")).groupBy("request_id", "leaf_no").agg(F.count(F.lit(1)).alias("found"), F.count_if("disagreeing").alias("conflicts"))
+    included = within.filter(~F.col("stale")).select("request_id", F.explode("requirements").alias("leaf_no")).groupBy("request_id", "leaf_no").agg(F.count(F.lit(1)).alias("included"))
     status = packet.statuses(leaf.select("request_id", "leaf_no").join(by_leaf, ["request_id", "leaf_no"], "left").join(included, ["request_id", "leaf_no"], "left").na.fill(0, ["found", "conflicts", "included"]))
     stop = F.when(F.col("status").isin("evidence_found", "budget_exhausted"), "evidence_found").when(F.col("status") == "disagreement", "disagreement").when(F.col("blocked"), "max_leaves").otherwise("unknown")
-    said = leaf.join(status, ["request_id", "leaf_no"]).join(holding_, ["request_id", "leaf_no"], "left").na.fill(0, ["evidence_count"]).withColumn("stop_reason", stop)
-    each = F.struct("leaf_no", F.col("leaf").alias("text"), "status", "stop_reason", F.lit(True).alias("checkable"), "evidence_count")
+    said = leaf.join(status, ["request_id", "leaf_no"]).join(included.withColumnRenamed("included", "evidence_count"), ["request_id", "leaf_no"], "left").na.fill(0, ["evidence_count"]).withColumn("stop_reason", stop)
+    each = F.struct("leaf_no", F.col("leaf").alias("text"), "status", "stop_reason", (F.col("status") != "").alias("checkable"), "evidence_count")
     tree = said.groupBy("request_id").agg(F.sort_array(F.collect_list(each)).alias("requirements"))
     listed = lambda df, name, *fields: df.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", *fields))).alias(name))
     parts = (

@@ -123,6 +123,32 @@ def per_file_cap(spark, d):
     return packet.merge(s).select("request_id", F.col("id").alias("chunk_id"), "path")
 
 
+_MERGED = f"""WITH RECURSIVE {_SPANS}, hits AS (SELECT *, size * 4 AS n, l_returnflag = 'R' AS stale, chunk_id % 11 = 0 AS torn, 'h' || (size % 7) AS hash, position % 3 AS leaf FROM spans),
+o AS (SELECT *, row_number() OVER (PARTITION BY request_id, path ORDER BY line_start, position) AS i FROM hits WHERE NOT torn),
+m AS (SELECT request_id, path, i, 1 AS island, line_end AS reach, n AS len, stale FROM o WHERE i = 1
+  UNION ALL SELECT o.request_id, o.path, o.i, CASE WHEN o.stale = m.stale AND o.line_start <= m.reach + 1 AND m.len + o.n <= 2400 THEN m.island ELSE m.island + 1 END,
+    CASE WHEN o.stale = m.stale AND o.line_start <= m.reach + 1 AND m.len + o.n <= 2400 THEN greatest(m.reach, o.line_end) ELSE o.line_end END,
+    CASE WHEN o.stale = m.stale AND o.line_start <= m.reach + 1 AND m.len + o.n <= 2400 THEN CASE WHEN o.line_end > m.reach THEN m.len + 1 + o.n ELSE m.len END ELSE o.n END, o.stale
+  FROM m JOIN o ON o.request_id = m.request_id AND o.path = m.path AND o.i = m.i + 1),
+j AS (SELECT request_id, path, island, arg_min(position, i) AS position, arg_min(chunk_id, i) AS chunk_id, arg_min(hash, i) AS hash, max(reach) AS line_end, arg_max(len, i) AS n, count(*) AS merged,
+    list_sort(list_distinct(list(leaf))) AS leaves FROM m JOIN o USING (request_id, path, i) GROUP BY 1, 2, 3),
+q AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY position) AS turn FROM j),
+k AS (SELECT request_id, turn, true AS keep, [hash] AS hashes, [path] AS files FROM q WHERE turn = 1
+  UNION ALL SELECT q.request_id, q.turn, f.keep, CASE WHEN f.keep THEN list_append(k.hashes, q.hash) ELSE k.hashes END, CASE WHEN f.keep THEN list_append(k.files, q.path) ELSE k.files END
+  FROM k JOIN q ON q.request_id = k.request_id AND q.turn = k.turn + 1,
+    LATERAL (SELECT NOT (q.merged = 1 AND list_contains(k.hashes, q.hash)) AND len(list_filter(k.files, lambda x: x = q.path)) < 2 AS keep) f)"""
+
+
+@query("r17_merged_spans", _MERGED + """
+SELECT request_id, chunk_id, line_end, merged::BIGINT AS merged, n::BIGINT AS n_chars, array_to_string(leaves, ',') AS leaves FROM q JOIN k USING (request_id, turn) WHERE keep
+UNION ALL SELECT request_id, chunk_id, line_end, 1, n, leaf::VARCHAR FROM hits WHERE torn""")
+def merged_spans(spark, d):
+    """Spans that touch, some stale, some disagreeing, some copies, of up to 1,800 characters: joined, then copies dropped and files cut to two."""
+    s = _spans(spark, d).withColumn("text", F.repeat(F.lit("x"), (F.col("size") * 4).cast("int"))).withColumn("hash", F.concat(F.lit("h"), (F.col("size") % 7).cast("string")))
+    hits = s.select("request_id", "chunk_id", F.lit("p").alias("project_id"), "path", "line_start", "line_end", "text", (F.col("l_returnflag") == "R").alias("stale"), F.lit(0.0).alias("rank"), F.lit(0).alias("match_pass"), F.col("hash").alias("chunk_hash"), (F.col("chunk_id") % 11 == 0).alias("disagreeing"), F.array((F.col("position") % 3).cast("int")).alias("requirements"), "position")
+    return packet.merge(hits).select("request_id", "chunk_id", "line_end", "merged", F.length("text").cast("long").alias("n_chars"), F.array_join(F.transform("requirements", lambda x: x.cast("string")), ",").alias("leaves"))
+
+
 @query("r15_across_leaves", f"""WITH {_SPANS} SELECT request_id, path, l_returnflag AS chunk_hash, first(chunk_id ORDER BY position) AS chunk_id, count(DISTINCT position)::BIGINT AS n_leaves FROM spans GROUP BY 1, 2, 3""")
 def across_leaves(spark, d):
     s = _spans(spark, d).select("request_id", "path", F.col("l_returnflag").alias("chunk_hash"), F.col("position").alias("leaf_no"), F.lit(0.0).alias("rank"), "chunk_id")

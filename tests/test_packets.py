@@ -1,6 +1,7 @@
 """Compact packets, references, audits, and changes to a whole store."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,92 @@ def test_upkeep_commands(spark, tmp_path, capsys):
     assert all(r["used"] for r in told("space", store))
     assert "must ship within two days" in told("explain-project", store, "p")
     told("unknown", store, code=2)
+
+
+CHUNK = "chunk_id long, project_id string, path string, line_start int, line_end int, heading string, text string, chunk_hash string, current boolean, stale boolean"
+
+
+def packets_of(spark, chunks, asked, **more):
+    """Packets of requests over chunks (path, first line, last line, text, stale) beside files of no interest."""
+    rows = [(i, "p", path, a, b, None, text, f"h{i}", True, stale) for i, (path, a, b, text, stale) in enumerate(chunks)]
+    rows += [(1000 + i, "p", f"filler{i}.md", 1, 1, None, f"nothing here {i}", f"n{i}", True, False) for i in range(30)]
+    requests = spark.createDataFrame(list(enumerate(asked)), "request_id long, text string")
+    scope = spark.createDataFrame([(i, "p", 0) for i in range(len(asked))], "request_id long, project_id string, priority int")
+    return [r for _, r in sorted((r["request_id"], r) for r in session.packets(requests, spark.createDataFrame(rows, CHUNK), scope, **more).collect())]
+
+
+def test_packets_of_odd_requests(spark):
+    """Two leaves answered by adjacent chunks; stale spans only; ten divisible leaves; a conflict beside a plain neighbour."""
+    chunks = [
+        ("a.md", 1, 3, "alpha gadget notes", False),
+        ("a.md", 4, 6, "beta gizmo notes", False),
+        ("old.md", 1, 2, "obsolete turbine figures", True),
+        ("AGENTS.md", 1, 2, "Studio must use bounded roots.", False),
+        ("AGENTS.md", 3, 4, "Plain words of roots follow.", False),
+        ("README.md", 1, 2, "Studio must not use bounded roots.", False),
+        ("late.md", 7, 8, "quartz lamp", False),
+    ]
+    many = "; ".join(f"zzq{i} and zzr{i} and zzs{i}" for i in range(10))
+    asked = ["alpha gadget; beta gizmo", "obsolete turbine", many, "bounded roots; plain words", "zzq and zzr; quartz lamp", "; ".join(f"zzq{i} and zzr{i} and zzs{i}" if i % 2 else f"zz{i}" for i in range(9))]
+    two, stale, ten, torn, order, nine = packets_of(spark, chunks, asked)
+    assert [(r["status"], r["evidence_count"]) for r in two["requirements"]] == [("evidence_found", 1)] * 2
+    assert [(e["line_start"], e["line_end"], e["text"], e["requirements"]) for e in two["evidence"]] == [(1, 6, "alpha gadget notes\nbeta gizmo notes", [0, 1])]
+    assert [(r["status"], r["stop_reason"], r["evidence_count"]) for r in stale["requirements"]] == [("unknown", "unknown", 0)]
+    assert stale["status"] == "unknown" and stale["empty_result"] == "only_stale_spans" and len(stale["evidence"]) == 1
+    texts = [r["text"] for r in ten["requirements"]]
+    assert texts == ["zzq0", "zzr0", "zzs0", *[f"zzq{i} and zzr{i} and zzs{i}" for i in range(1, 10)]]
+    assert [r["stop_reason"] for r in ten["requirements"]] == ["unknown"] * 3 + ["max_leaves"] * 9
+    assert [r["leaf_no"] for r in ten["requirements"]] == list(range(12))
+    by = {(e["path"], e["line_start"]): e for e in torn["evidence"]}
+    assert by["AGENTS.md", 1]["disagreeing"] and by["README.md", 1]["disagreeing"] and by["AGENTS.md", 1]["line_end"] == 2
+    assert torn["status"] == "disagreement"
+    assert [(r["text"], r["status"]) for r in order["requirements"]] == [("zzq", "unknown"), ("zzr", "unknown"), ("quartz lamp", "evidence_found")]
+    assert order["evidence"][0]["requirements"] == [2]
+    assert [r["text"] for r in nine["requirements"]] == ["zz0", "zzq1", "zzr1", "zzs1", "zz2", "zzq3", "zzr3", "zz4", "zzq5 and zzr5 and zzs5", "zz6", "zzq7 and zzr7 and zzs7", "zz8"]
+    assert [r["text"] for r in nine["requirements"] if r["stop_reason"] == "max_leaves"] == ["zzr3", "zzq5 and zzr5 and zzs5", "zzq7 and zzr7 and zzs7"]
+
+
+def brute_merge(rows, most=2):
+    """One request's hits, dicts by position: islands of lines within a file, then copies and quotas."""
+    plain, islands = [r for r in rows if not r["disagreeing"]], []
+    for file in {(r["project_id"], r["path"]) for r in plain}:
+        mine = sorted((r for r in plain if (r["project_id"], r["path"]) == file), key=lambda r: (r["line_start"], r["position"]))
+        groups = []
+        for r in mine:
+            g = groups[-1] if groups else None
+            if g and g[0]["stale"] == r["stale"] and r["line_start"] <= max(x["line_end"] for x in g) + 1 and len(text_of(g)) + len(r["text"]) <= packet.MERGE_CHARS:
+                g.append(r)
+            else:
+                groups.append([r])
+        islands += groups
+    kept = []
+    for g in sorted(islands, key=lambda g: g[0]["position"]):
+        same = [k for k in kept if (k[0]["project_id"], k[0]["path"]) == (g[0]["project_id"], g[0]["path"])]
+        copy = len(g) == 1 and any(k[0]["chunk_hash"] == g[0]["chunk_hash"] for k in kept)
+        if not copy and len(same) < most:
+            kept.append(g)
+    out = [[r] for r in rows if r["disagreeing"]] + kept
+    return [(i + 1, g[0]["path"], g[0]["line_start"], max(x["line_end"] for x in g), text_of(g), sorted({q for x in g for q in x["requirements"]}), min(x["rank"] for x in g), len(g)) for i, g in enumerate(out)]
+
+
+def text_of(group):
+    text, reach = "", -1
+    for r in group:
+        if r["line_end"] > reach:
+            text, reach = (text.rstrip("\n") + "\n" if text else "") + r["text"], r["line_end"]
+    return text
+
+
+def test_merge_equals_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for request in range(60):
+        for position in range(1, rng.randint(1, 14)):
+            start = rng.randint(1, 12)
+            rows.append({"request_id": request, "project_id": rng.choice("pq"), "path": rng.choice("ab"), "line_start": start, "line_end": start + rng.randint(0, 4), "text": rng.choice("xyz") * rng.choice([3, 700, 1500]), "stale": rng.random() < 0.2, "rank": float(rng.randint(-9, 0)), "match_pass": 0, "chunk_hash": rng.choice("hijk"), "disagreeing": rng.random() < 0.1, "requirements": [rng.randint(0, 3)], "position": position})
+    hits = spark.createDataFrame(rows, "request_id long, project_id string, path string, line_start int, line_end int, text string, stale boolean, rank double, match_pass int, chunk_hash string, disagreeing boolean, requirements array<int>, position int")
+    got = {}
+    for r in packet.merge(hits).orderBy("request_id", "position").collect():
+        got.setdefault(r["request_id"], []).append((r["position"], r["path"], r["line_start"], r["line_end"], r["text"], r["requirements"], r["rank"], r["merged"]))
+    assert got == {i: brute_merge([r for r in rows if r["request_id"] == i]) for i in {r["request_id"] for r in rows}}
+    assert packet.merge(hits.limit(0)).count() == 0
