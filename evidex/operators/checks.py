@@ -9,16 +9,13 @@ null texts hold no sentence; equal sentences of a file at equal lines count once
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..sources.store import kept
-from . import evidence, ledger, packet, search, session
+from . import compact, evidence, ledger, search, session
 
 # Characters of a sentence that an answer shows, rows searched for a question, units a budget begins with.
 EXCERPT_CHARS, SEARCH_LIMIT, FIRST_BUDGET = 240, 8, 8
@@ -111,42 +108,40 @@ def record(done: DataFrame, runs: DataFrame, calls: DataFrame, initial: int = FI
     return new.join(ledger.budgets(spent, initial), "run_id").withColumnRenamed("remaining", "remaining_budget")
 
 
-def fitted(body: str, budget: int) -> dict:
-    """A call's result within a number of bytes.
-
-    What is shed, in order, while the result is too large: evidence beyond the first item of a side, from
-    the last answer on; then the other evidence, which makes the status insufficient_budget; then the
-    references to what was shed; then all but ids, answers and values."""
-    full = json.loads(body)
-    whole = {"status": "ok", "answers": full["answers"], "omitted": [], "omitted_count": 0, "byte_budget": budget}
-    fits = lambda x: packet.wire_bytes(x) <= budget
-    ladder = [(j, side, keep) for keep in (1, 0) for j in reversed(range(len(whole["answers"]))) for side in ("evidence", "counter_evidence")]
-    for j, side, keep in ladder:
-        mine = whole["answers"][j]
-        while len(mine[side]) > keep and not fits(whole):
-            item = mine[side].pop()
-            whole["omitted"].append({"id": mine["question_id"], "expand": {k: item[k] for k in ("path", "first_line", "last_line", "chunk_id")}})
-            whole["omitted_count"] += 1
-            if not keep:
-                whole["status"], mine["evidence_omitted"] = "insufficient_budget", True
-    while whole["omitted"] and not fits(whole):
-        whole["omitted"].pop()
-    if not fits(whole):
-        short = [{k: a[k] for k in ("question_id", "answer", "value")} for a in whole["answers"]]
-        whole = {"status": "insufficient_budget", "answers": short, "omitted_count": whole["omitted_count"], "byte_budget": budget}
-    if not fits(whole):
-        whole = {"status": "insufficient_budget", "byte_budget": budget}
-    return whole
-
-
-@F.pandas_udf(T.StringType())
-def fitted_udf(bodies: pd.Series, budgets: pd.Series) -> pd.Series:
-    return pd.Series([packet.canonical_json(fitted(b, int(n))) for b, n in zip(bodies, budgets)])
-
-
-def fit(done: DataFrame, budget: int = 4000) -> DataFrame:
-    """request_id, packet_json, n_bytes: each call's result within a number of bytes."""
-    return done.select("request_id", fitted_udf("body", F.lit(max(256, budget))).alias("packet_json")).withColumn("n_bytes", F.octet_length("packet_json"))
+def fit(answers: DataFrame, budget: int = 4000) -> DataFrame:
+    """request_id, packet_json, n_bytes: each call's answers within a number of bytes.
+
+    Evidence is ranked: the first item of each side of each answer, then the further ones, both in the
+    order of the answers; the leading ranks that fit are shown, all of them if there is room.  Up to three of
+    the others are named by reference.  If a first item is not shown the status is insufficient_budget;
+    if the answers do not fit even without evidence, only ids, answers and values are told, or nothing."""
+    budget = max(256, budget)
+    by = W.partitionBy("request_id")
+    told = F.struct("question_id", "type", "answer", "value", "basis")
+    listed = answers.withColumn("answer_bytes", F.octet_length(F.to_json(told)) + 60)
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("items")) for i, c in enumerate(("evidence", "counter_evidence"))])
+    each = listed.select("request_id", "question_id", F.sum("answer_bytes").over(by).alias("answer_bytes"), F.explode(sides).alias("s"))
+    each = each.select("request_id", "question_id", "answer_bytes", "s.side", F.posexplode("s.items").alias("k", "item"))
+    ref = F.struct("question_id", F.struct(*[F.col(f"item.{c}").alias(c) for c in ("path", "first_line", "last_line", "chunk_id")]).alias("expand"))
+    each = each.withColumn("n", F.octet_length(F.to_json("item")) + 1).withColumn("ref", ref).withColumn("m", F.octet_length(F.to_json("ref")) + 1)
+    order = by.orderBy((F.col("k") > 0).cast("int"), "question_id", "side", "k")
+    room = F.lit(budget - 130) - F.col("answer_bytes")
+    rows = each.withColumn("rank", F.row_number().over(order)).withColumn("used", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("shown", (F.sum("n").over(by) <= room) | (F.col("used") <= room - compact.REFERENCES * F.max("m").over(by)))
+    kept_ = rows.groupBy("request_id", "question_id").agg(*[F.transform(F.sort_array(F.collect_list(F.when(F.col("shown") & (F.col("side") == i), F.struct("rank", "item")))), lambda x: x["item"]).alias(c) for i, c in enumerate(("evidence", "counter_evidence"))], F.max(~F.col("shown")).alias("evidence_omitted"))
+    lost = rows.groupBy("request_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.when(~F.col("shown"), F.struct("rank", "ref")))), lambda x: x["ref"]), 1, compact.REFERENCES).alias("omitted"), F.count_if(~F.col("shown")).alias("omitted_count"), F.max(~F.col("shown") & (F.col("k") == 0)).alias("short"))
+    full = answers.select("request_id", *[F.col(f"{c}") for c in ("question_id", "type", "answer", "value", "basis")]).join(kept_, ["request_id", "question_id"], "left")
+    one = F.struct("question_id", "type", "answer", "value", "basis", "evidence", "counter_evidence", F.when(F.col("evidence_omitted"), True).alias("evidence_omitted"))
+    calls = full.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("question_id", F.to_json(one).alias("long"), F.to_json(F.struct("question_id", "answer", "value")).alias("short_answer")))).alias("a")).join(lost, "request_id", "left")
+    count = F.lit(',"omitted_count":'), F.coalesce("omitted_count", F.lit(0)).cast("string"), F.lit(f',"byte_budget":{budget}')
+    texts = lambda name: F.array_join(F.transform("a", lambda x: x[name]), ",")
+    status = F.when(F.col("short"), "insufficient_budget").otherwise("ok")
+    whole = F.concat(F.lit('{"status":"'), status, F.lit('","answers":['), texts("long"), F.lit('],"omitted":'), F.coalesce(F.to_json("omitted"), F.lit("[]")), *count)
+    small = F.concat(F.lit('{"status":"insufficient_budget","answers":['), texts("short_answer"), F.lit("]"), *count)
+    none = F.concat(F.lit('{"status":"insufficient_budget"'), *count)
+    bodies = [compact.stamped(x) for x in (whole, small, none)]
+    body = F.coalesce(*[F.when(F.octet_length(x) <= budget, x) for x in bodies[:2]], bodies[2])
+    return calls.select("request_id", body.alias("packet_json")).withColumn("n_bytes", F.octet_length("packet_json"))
 
 
 def explain(answers: DataFrame, sources: DataFrame, visible: DataFrame | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ def check_hash(spark, d):
 
 @query("q12_fitted_checks")
 def fitted_checks(spark, d):
-    return checks.fit(checks.results(*_answer_rows(spark, d)), 900).select("request_id", "n_bytes", F.get_json_object("packet_json", "$.status").alias("status"))
+    return checks.fit(_answer_rows(spark, d)[1], 900).select("request_id", "n_bytes", F.get_json_object("packet_json", "$.status").alias("status"))
 
 
 @query("q13_explain_check", f"""WITH {tb.SOURCES}, e AS (SELECT l_orderkey AS request_id, l_linenumber::VARCHAR AS question_id, 'p' || (l_suppkey % 5) AS project_id, 'src/' || (l_partkey % 10) || '/' || l_partkey || '.md' AS path, min(l_partkey) AS chunk_id, min(l_suppkey % 3) AS old FROM lineitem GROUP BY 1, 2, 3, 4)
@@ -128,7 +128,7 @@ def migrated_runs(spark, d):
 def compact_packets(spark, d):
     """Orders' lines as spans of one packet a customer, within 1,500 bytes."""
     p = tb.policies(spark, d)
-    item = F.struct("project_id", "path", F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), "text", F.lit(False).alias("stale"), F.lit(False).alias("disagreeing"))
-    bodies = p.groupBy("request_id").agg(F.to_json(F.struct(F.lit("parcel ship").alias("query"), F.sort_array(F.collect_list(item)).alias("evidence"))).alias("body"))
-    out = kept(bodies.select("request_id", compact.compact_udf("body", F.lit(1500)).alias("packet_json")), "compact")
-    return out.select("request_id", F.octet_length("packet_json").alias("n_bytes"), F.md5(F.col("packet_json").cast("binary")).alias("h"))
+    torn = (F.col("request_id") % 4 == 0) & (F.col("chunk_id") % 5 < 3)
+    item = F.struct("project_id", "path", F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), "text", (F.col("chunk_id") % 23 == 0).alias("stale"), torn.alias("disagreeing"))
+    whole = p.groupBy("request_id").agg(F.lit("parcel ship").alias("query"), F.sort_array(F.collect_list(item)).alias("evidence"))
+    return compact.compacted(whole, 1500).select("request_id", "n_bytes", F.md5(F.col("packet_json").cast("binary")).alias("h"))

@@ -10,46 +10,55 @@ from evidex.operators import compact, evidence, maintenance, packet, session
 from evidex.sources.store import FORMAT_VERSION, Store
 
 
+SPAN = "struct<project_id: string, path: string, line_start: int, line_end: int, text: string, source_hash: string, requirements: array<int>, disagreeing: boolean, stale: boolean>"
+WHOLE = f"request_id long, query string, status string, packet_hash string, requirements array<struct<leaf_no: int, text: string, status: string>>, claims array<struct<claim_id: string, trust_state: string, display_text: string>>, evidence array<{SPAN}>"
+
+
 def span(path, text, **more):
     return {"project_id": "p", "path": path, "line_start": 5, "line_end": 5 + text.count("\n"), "text": text, "source_hash": "h", "requirements": [0], "disagreeing": False, "stale": False} | more
 
 
-def test_excerpts():
+def compacted(spark, items, budget, query="widgets é", status="evidence_found", claims=()):
+    df = spark.createDataFrame([(1, query, status, "0" * 64, [(0, query, status)], list(claims), items)], WHOLE)
+    row = compact.compacted(df, budget).first()
+    body = json.loads(row["packet_json"])
+    assert row["n_bytes"] == body["byte_count"] == len(row["packet_json"].encode()) <= budget
+    return body
+
+
+def test_excerpts(spark):
     text = "nothing\nwidgets here\nand widgets\nnothing\nwidgets again"
-    got = compact.excerpts(span("a.md", text), ["widgets"])
-    assert [(x["line_start"], x["line_end"], x["text"]) for x in got] == [(6, 7, "widgets here\nand widgets"), (9, 9, "widgets again")]
-    assert [x["text"] for x in compact.excerpts(span("a.md", "none here\nat all"), ["widgets"])] == ["none here\nat all"]
     policy = "widgets fly\nunless it rains"
-    assert [x["text"] for x in compact.excerpts(span("a.md", policy), ["widgets"])] == [policy]
-    assert [(x["text"], x["stale"]) for x in compact.excerpts(span("a.md", "widgets", stale=True), ["widgets"])] == [("", True)]
+    items = [span("a.md", text), span("b.md", "none here\nat all"), span("c.md", policy), span("d.md", "widgets", stale=True), span("e.md", "")]
+    df = spark.createDataFrame([(1, "widgets", "ok", "h", [], [], items)], WHOLE)
+    got = compact.excerpts(df).orderBy("place").collect()
+    assert [(r["path"], r["line_start"], r["line_end"], r["text"]) for r in got] == [("a.md", 6, 7, "widgets here\nand widgets"), ("a.md", 9, 9, "widgets again"), ("b.md", 5, 6, "none here\nat all"), ("c.md", 5, 6, policy), ("d.md", 5, 5, ""), ("e.md", 5, 5, "")]
+    assert got[1]["expand"].asDict() == {"project_id": "p", "path": "a.md", "expected_hash": "h", "line_start": 9, "line_end": 9}
 
 
-@pytest.mark.parametrize("budget", [256, 400, 700, 1200, 4000, 100_000])
-def test_compact_is_within_its_budget(budget):
+@pytest.mark.parametrize("budget", [256, 400, 1200, 4000, 100_000])
+def test_compact_is_within_its_budget(spark, budget):
     items = [span(f"f{i}.md", "\n".join(f"widgets line {j} " + "x" * 60 for j in range(30)), requirements=[i]) for i in range(5)]
-    whole = {"query": "widgets é", "status": "evidence_found", "packet_hash": "0" * 64, "evidence": items, "claims": [{"claim_id": "c", "trust_state": "verified", "display_text": "y" * 900}], "requirements": [{"leaf_no": 0, "text": "widgets", "status": "evidence_found"}]}
-    got = compact.compact(whole, budget)
-    assert packet.wire_bytes(got) <= budget and got["byte_count"] == packet.wire_bytes(got)
+    got = compacted(spark, items, budget, claims=[("c", "verified", "y" * 900)])
     if budget == 100_000:
-        assert len(got["evidence"]) == 5 and not got["omitted"] and "degraded" not in got
+        assert len(got["evidence"]) == 5 and not got["omitted"] and "degraded" not in got and len(got["claims"][0]["display_text"]) == 200
     if budget in (1200, 4000):
-        assert got["degraded"]["found"] == 5 and got["omitted_count"] > 0 and len(got["omitted"]) <= 3
+        assert got["degraded"]["found"] == 5 and got["degraded"]["needs_bytes"] > budget and 0 < len(got["omitted"]) <= 3
+    if budget == 4000:  # one whole, the next by its leading lines
+        assert [x.get("truncated") for x in got["evidence"]] == [None, True] and got["evidence"][1]["text"] == "\n".join(items[1]["text"].split("\n")[: got["evidence"][1]["line_end"] - 4])
+        assert got["omitted"][0]["reason"] == "truncated" and got["omitted_count"] == 4
 
 
-def test_conflicts_show_both_sides_or_none():
+def test_conflicts_show_both_sides_or_none(spark):
     one, two = "Studio must use bounded roots. " + "z" * 300, "Studio must not use bounded roots."
-    items = [span("a.md", one, disagreeing=True), span("b.md", two, disagreeing=True), span("c.md", "Studio must use bounded roots.", disagreeing=True), span("d.md", "w" * 2000, disagreeing=True)]
-    whole = {"query": "bounded roots", "status": "disagreement", "packet_hash": "h", "evidence": items}
-    small = compact.compact(whole, 1400)
-    assert sorted(x["path"] for x in small["evidence"]) == ["b.md", "c.md"] and {x["reason"] for x in small["omitted"]} == {"conflict_set"}
-    none = compact.compact(whole, 420)
-    assert none["status"] == "insufficient_budget" and not none["evidence"]
-
-
-def test_wire_fit():
-    whole = {"query": "widgets", "evidence": [span(f"f{i}.md", "widgets " + "x" * 400) for i in range(9)]}
-    body = compact.within_wire(whole, 3000)
-    assert packet.wire_bytes({"content": [{"type": "text", "text": packet.canonical_json(body)}]}) <= 3000 and body["evidence"]
+    items = [span("a.md", one, disagreeing=True), span("b.md", two, disagreeing=True), span("c.md", "Studio must use bounded roots.", disagreeing=True), span("d.md", "w" * 2000, disagreeing=True), span("e.md", "bounded roots plain")]
+    small = compacted(spark, items, 1500, "bounded roots", "disagreement")
+    assert [x["path"] for x in small["evidence"]] == ["b.md", "c.md", "e.md"] and {x["reason"] for x in small["omitted"]} == {"conflict_set"}
+    large = compacted(spark, items, 9000, "bounded roots", "disagreement")
+    assert [x["path"] for x in large["evidence"]] == ["a.md", "b.md", "c.md", "d.md", "e.md"] and large["status"] == "disagreement"
+    none = compacted(spark, items, 700, "bounded roots", "disagreement")
+    assert none["status"] == "insufficient_budget" and not none["evidence"] and none["omitted_count"] == 5
+    assert compacted(spark, [], 256)["evidence"] == []
 
 
 def test_expand(spark):
