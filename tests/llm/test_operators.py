@@ -85,6 +85,18 @@ def test_mix_near_targets(docs, labels, benchmark):
     assert all(abs(taken[k] - target[k] * size[k] / k[0]) <= 8 * size[k] / k[0] for k in taken if k[0])
 
 
+@pytest.mark.parametrize("sizes", [[3, 2], [1], [1, 1, 1, 1, 1, 1, 1, 1, 1], [63, 40], [2000, 5, 1, 0], [64, 64, 64]])
+def test_mix_of_few_words(spark, sizes):
+    """Tables and sources of less than any block: within a word of their targets."""
+    rows = [(i, " ".join("w" for _ in range(n)), "en", f"s{i}", n) for i, n in enumerate(sizes)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert sum(r["taken"] for r in out) == sum(sizes)
+    for r in out:
+        assert abs(r["taken"] - r["target"]) <= 1 + len(sizes) / 2 and r["taken"] <= 3 * r["size"]
+    if sizes == [3, 2]:
+        assert sorted((r["doc_id"], r["taken"]) for r in out) == [(0, 4), (1, 1)]
+
+
 def test_shards_take_their_own_quotas(docs, labels, benchmark):
     """A row's shards sum up to what it gives; a shard takes of a source no more than its quota of whole blocks, and no word of another's."""
     out = mixing.mix(docs, block_words=4, shards=5).collect()
