@@ -1,4 +1,5 @@
 """python -m evidex ingest STORE PROJECT ROOT | query STORE TEXT... | fresh STORE ROOT | stats STORE | explain-project STORE PROJECT
+| validate STORE CLAIM VALIDATOR RESULT | propose STORE PROJECT BY TEXT...
 | doctor STORE [integrity] | space STORE | compact STORE [confirmed] | migrate STORE | rebuild-index STORE
 
 One line of JSON a failure and exit code 2; doctor ends with 1 if the store is not fit to use."""
@@ -7,13 +8,14 @@ from __future__ import annotations
 
 import json
 import sys
+from datetime import datetime, timezone
 
 
 def main(args: list[str]) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from .operators import identity, ledger, maintenance, packet, session
+    from .operators import identity, ingest, ledger, maintenance
     from .sources.files import read_sources
     from .sources.store import Store
     from .streaming.watch import listing
@@ -22,9 +24,9 @@ def main(args: list[str]) -> int:
         "space": lambda store: [r.asDict() for r in maintenance.space(store).orderBy("folder").collect()],
         "compact": lambda store: maintenance.vacuum(store, args[2:] == ["confirmed"]),
         "migrate": lambda store: {"formats": maintenance.migrate(store)},
-        "rebuild-index": lambda store: {"version": maintenance.rebuild_index(store)},
+        "rebuild-index": lambda store: {"version": ingest.merge_segments(store)},
     }
-    if len(args) < 2 or args[0] not in ("ingest", "query", "fresh", "stats", "explain-project", "doctor", *upkeep):
+    if len(args) < 2 or args[0] not in ("ingest", "query", "fresh", "stats", "explain-project", "doctor", "validate", "propose", *upkeep):
         print(__doc__, file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("evidex").config("spark.ui.showConsoleProgress", "false").getOrCreate()
@@ -35,20 +37,18 @@ def main(args: list[str]) -> int:
             project, root = args[2:4]
             if why := identity.refuse_root(root):
                 raise ValueError(f"not a project folder: {why}")
-            sources = read_sources(spark, root).withColumn("project_id", F.lit(project)).withColumnRenamed("relative_path", "path")
-            chunks = packet.chunks(sources.select("project_id", "path", "content_hash", "text")).withColumn("chunk_id", F.xxhash64("project_id", "path", "content_hash", "ordinal"))
-            old = store.manifest()["tables"]
-            keep = {n: store.read(n).filter(F.col("project_id") != project) for n in ("chunks", "heads") if n in old}
-            heads = listing(spark, root).select(F.lit(project).alias("project_id"), "path", "size", "mtime", F.lit(True).alias("active"))
-            new = {"chunks": chunks, "heads": heads}
-            show({"version": store.commit(replace={n: keep[n].unionByName(df) if n in keep else df for n, df in new.items()}), "chunks": store.read("chunks").count()})
+            files = read_sources(spark, root).withColumnRenamed("relative_path", "path").withColumn("mtime", F.unix_micros("modified"))
+            show(ingest.ingest(store, project, files.select("path", "text", "content_hash", "size", "mtime")))
         elif args[0] == "query":
-            chunks = store.read("chunks").withColumn("current", F.lit(True)).withColumn("stale", F.lit(False))
             requests = spark.createDataFrame([(1, " ".join(args[2:]))], "request_id long, text string")
-            scope = chunks.select("project_id").distinct().select(F.lit(1).cast("long").alias("request_id"), "project_id", F.lit(0).alias("priority"))
-            show([json.loads(r[0]) for r in session.packets(requests, chunks, scope).select(F.to_json(F.struct("*"))).collect()])
+            scope = maintenance.projects(store).select(F.lit(1).cast("long").alias("request_id"), "project_id", F.lit(0).alias("priority"))
+            show([json.loads(r[0]) for r in ingest.packets(store, requests, scope).select(F.to_json(F.struct("*"))).collect()])
+        elif args[0] == "validate":
+            show({"version": maintenance.validate(store, *args[2:5], datetime.now(timezone.utc).isoformat())})
+        elif args[0] == "propose":
+            show({"version": maintenance.propose(store, args[2], " ".join(args[4:]), args[3])})
         elif args[0] == "fresh":
-            states = ledger.changes(listing(spark, args[2]), store.read("heads"))
+            states = ledger.changes(listing(spark, args[2]), ingest.heads(store))
             show({r["state"]: r["count"] for r in states.groupBy("state").count().collect()} | {"advice": ledger.use_decision(states, True)})
         elif args[0] == "explain-project":
             print(maintenance.page(store, args[2]))

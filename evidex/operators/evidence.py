@@ -19,12 +19,17 @@ def sentence_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select(*[c for c in chunks.columns if c != "text"], F.posexplode(t.sentences(F.col("text"))).alias("sentence_no", "sentence"))
 
 
-def claims(chunks: DataFrame) -> DataFrame:
-    """claim_id, project_id, normalized_text, display_text, n_evidence: sentences that state a rule, one row a project and wording."""
+def claim_rows(chunks: DataFrame) -> DataFrame:
+    """claim_id, project_id, chunk_id, sentence_no, normalized_text, display_text: sentences that state a rule, one row a place."""
     found = sentence_rows(chunks).withColumn("display_text", t.collapse(F.col("sentence"))).filter(F.length("display_text").between(*CLAIM_CHARS)).filter(F.rlike("display_text", F.lit(t.java(t.CLAIM))))
     named = found.withColumn("normalized_text", t.fold(F.col("display_text")))
-    rows = named.groupBy("project_id", "normalized_text").agg(F.max(F.struct("chunk_id", "sentence_no", "display_text"))["display_text"].alias("display_text"), F.countDistinct("chunk_id").alias("n_evidence"))
-    return rows.select(t.uuid5(t.CLAIM_NAMESPACE, F.concat_ws(":", "project_id", "normalized_text")).alias("claim_id"), "project_id", "normalized_text", "display_text", "n_evidence")
+    return named.select(t.uuid5(t.CLAIM_NAMESPACE, F.concat_ws(":", "project_id", "normalized_text")).alias("claim_id"), "project_id", "chunk_id", "sentence_no", "normalized_text", "display_text")
+
+
+def claims(chunks: DataFrame) -> DataFrame:
+    """claim_id, project_id, normalized_text, display_text, n_evidence: one row a project and wording."""
+    rows = claim_rows(chunks).groupBy("claim_id", "project_id", "normalized_text").agg(F.max(F.struct("chunk_id", "sentence_no", "display_text"))["display_text"].alias("display_text"), F.countDistinct("chunk_id").alias("n_evidence"))
+    return rows.select("claim_id", "project_id", "normalized_text", "display_text", "n_evidence")
 
 
 def disagreements(spans: DataFrame) -> DataFrame:

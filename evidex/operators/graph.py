@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,6 +41,21 @@ def edges(chunks: DataFrame, claims_of: DataFrame) -> DataFrame:
     return contains.unionByName(topics).unionByName(declared).unionByName(states).distinct()
 
 
+def nodes(chunks: DataFrame, claims_of: DataFrame) -> DataFrame:
+    """node_id, project_id, kind, name, trust of everything that ``edges`` of the same rows joins, each once."""
+    named = lambda df, kind, name, key: df.select(node_id(F.col("project_id"), F.lit(kind), key).alias("node_id"), "project_id", F.lit(kind).alias("kind"), name.alias("name"))
+    titled = chunks.filter(F.col("heading").isNotNull()).withColumn("heading", t.collapse(F.col("heading")))
+    every = (
+        named(chunks, "project", F.col("project_id"), F.col("project_id")),
+        named(chunks, "source", F.col("path"), t.fold(F.col("path"))),
+        named(titled, "topic", F.col("heading"), t.fold(F.col("heading"))),
+        named(symbols(chunks), "symbol", F.col("name"), t.fold(F.col("name"))),
+        named(claims_of, "claim", F.col("normalized_text"), F.col("normalized_text")),
+    )
+    one = reduce(DataFrame.unionByName, every).groupBy("node_id", "project_id", "kind").agg(F.min("name").alias("name"))
+    return one.select("node_id", "project_id", "kind", "name", F.lit("observed").alias("trust"))
+
+
 # Nodes of a project that is searched whole, characters of a prefix, prefix candidates, terms, results.
 SMALL_PROJECT, PREFIX_CHARS, PREFIX_CANDIDATES, TERMS, RESULTS = 500, 5, 48, 8, 20
 

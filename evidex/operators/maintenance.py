@@ -13,34 +13,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..sources.store import FORMAT_VERSION, Store
-from . import ledger, search
+from ..sources.store import FORMAT_VERSION, Store, kept
+from . import ledger
 
 # What a validation may say, files that a query may have read again, rows of a table on a page.
 RESULTS = ("verified", "disputed", "superseded")
 REPAIRS, PAGE_ROWS = 25, 200
 
 
+def claims(store: Store) -> DataFrame:
+    """The claims of a store in the state that their last validation names."""
+    return ledger.validated(store.read("claims"), store.read("validations")).select(*store.read("claims").columns)
+
+
+def projects(store: Store) -> DataFrame:
+    """project_id and corpus_version as of its last change."""
+    log = store.read("projects")
+    return ledger.latest(log, ["project_id"], "corpus_version").select(*log.columns)
+
+
+def _raised(store: Store, project_id: str) -> dict[str, dict[str, DataFrame]]:
+    """What every change to a project adds to a commit: its next version; its cached packets go."""
+    row = projects(store).filter(F.col("project_id") == project_id).withColumn("corpus_version", F.col("corpus_version") + 1)
+    cached = "cache" in store.manifest()["tables"]
+    return {"append": {"projects": row}, "replace": {"cache": store.read("cache").filter(F.col("project_id") != project_id)} if cached else {}}
+
+
 def validate(store: Store, claim_id: str, validator: str, result: str, now: str, details: str = "{}") -> int:
-    """Record a named validation: the log grows, the claim takes its state, its project's version rises, its cached packets go; one commit.
+    """Record a named validation: a row of the log, by which ``claims`` reads the claim's state, and its project's next version; one commit.
 
-    The new version.  ValueError for an unknown claim, no name, or another result."""
+    No table is rewritten but the cache.  The new version.  ValueError for an unknown claim, no name, or another result."""
     if not validator.strip() or result.strip().casefold() not in RESULTS:
         raise ValueError(f"a validator's name and one of {RESULTS} are needed")
     result = result.strip().casefold()
-    claims, projects, log = store.read("claims"), store.read("projects"), store.read("validations")
-    owner = claims.filter(F.col("claim_id") == claim_id).select("project_id").first()
+    log = store.read("validations")
+    owner = store.read("claims").filter(F.col("claim_id") == claim_id).select("project_id").first()
     if owner is None:
         raise ValueError(f"unknown claim: {claim_id}")
     number = (log.agg(F.max("validation_id")).first()[0] or 0) + 1
     row = store.spark.createDataFrame([(number, claim_id, validator.strip(), result, details, now)], "validation_id long, claim_id string, validator string, result string, details string, observed_at string")
-    mine = F.col("claim_id") == claim_id
-    stated = claims.withColumn("trust_state", F.when(mine, result).otherwise(F.col("trust_state")))
-    raised = projects.withColumn("corpus_version", F.col("corpus_version") + (F.col("project_id") == owner[0]).cast("long"))
-    replace = {"claims": stated, "projects": raised}
-    if "cache" in store.manifest()["tables"]:
-        replace["cache"] = store.read("cache").filter(F.col("project_id") != owner[0])
-    return store.commit(replace=replace, append={"validations": row})
+    change = _raised(store, owner[0])
+    return store.commit(replace=change["replace"], append=change["append"] | {"validations": row})
 
 
 def propose(store: Store, project_id: str, text: str, by: str) -> int:
@@ -48,8 +61,7 @@ def propose(store: Store, project_id: str, text: str, by: str) -> int:
     row = store.spark.createDataFrame([(project_id, " ".join(text.split()), by)], "project_id string, display_text string, created_by string").withColumn("normalized_text", t.fold(F.col("display_text")))
     name = t.uuid5(t.CLAIM_NAMESPACE, F.concat_ws(":", "project_id", "normalized_text"))
     new = ledger.insert_new(store.read("claims"), row.withColumn("claim_id", name).withColumn("trust_state", F.lit("proposed")), ["claim_id"])
-    replace = {"cache": store.read("cache").filter(F.col("project_id") != project_id)} if "cache" in store.manifest()["tables"] else {}
-    return store.commit(replace=replace, append={"claims": new.select(*store.read("claims").columns)})
+    return store.commit(replace=_raised(store, project_id)["replace"], append={"claims": new.select(*store.read("claims").columns)})
 
 
 def pruned(chunks: DataFrame, versions: DataFrame, sources: DataFrame, nodes: DataFrame, edges: DataFrame, claims: DataFrame, evidence: DataFrame, validations: DataFrame) -> dict[str, DataFrame]:
@@ -59,14 +71,14 @@ def pruned(chunks: DataFrame, versions: DataFrame, sources: DataFrame, nodes: Da
     subject, object, chunk_id; nodes: node_id, kind; claims: claim_id, trust_state; evidence: claim_id, chunk_id."""
     live = ledger.current_chunks(chunks, versions, sources.filter("active"))
     gone = ledger.prunable(chunks, live, evidence, claims, validations).select("chunk_id")
-    kept = chunks.join(gone, "chunk_id", "left_anti")
+    left_chunks = chunks.join(gone, "chunk_id", "left_anti")
     backs = evidence.join(gone, "chunk_id", "left_anti")
     guarded = claims.filter("trust_state <> 'observed'").select("claim_id").union(validations.select("claim_id")).union(backs.select("claim_id")).distinct()
     left = edges.join(gone, "chunk_id", "left_anti")
     named = left.select(F.col("subject").alias("node_id")).union(left.select("object")).distinct()
-    used = kept.select("version_id").union(versions.join(sources.select("source_id", F.col("current_hash").alias("content_hash")), ["source_id", "content_hash"], "left_semi").select("version_id")).distinct()
+    used = left_chunks.select("version_id").union(versions.join(sources.select("source_id", F.col("current_hash").alias("content_hash")), ["source_id", "content_hash"], "left_semi").select("version_id")).distinct()
     after = {
-        "chunks": kept,
+        "chunks": left_chunks,
         "evidence": backs,
         "edges": left,
         "claims": claims.join(guarded, "claim_id", "left_semi"),
@@ -77,6 +89,27 @@ def pruned(chunks: DataFrame, versions: DataFrame, sources: DataFrame, nodes: Da
     return {name: df.select(*before[name].columns) for name, df in after.items()}
 
 
+def _of_chunks(store: Store, chunks: DataFrame) -> dict[str, DataFrame]:
+    """What rests on chunks, for those that are left: evidence, edges, and the index as one segment."""
+    from .ingest import counted
+
+    tables = store.manifest()["tables"]
+    left = {n: store.read(n).join(chunks.select("chunk_id"), "chunk_id", "left_semi") for n in ("evidence", "edges", "postings") if n in tables}
+    return left | (counted(left["postings"]) if "postings" in left else {})
+
+
+def prune(store: Store) -> int:
+    """``pruned`` as one commit, with the index of what is left; the new version."""
+    from .ingest import heads
+
+    names = ("chunks", "versions", "nodes", "edges", "claims", "evidence")
+    t_ = {n: store.read(n) for n in names} | {"claims": claims(store)}
+    after = pruned(t_["chunks"], t_["versions"], heads(store), t_["nodes"], t_["edges"], t_["claims"], t_["evidence"], store.read("validations"))
+    after = {n: kept(df, n) for n, df in after.items()}
+    index = {n: df for n, df in _of_chunks(store, after["chunks"]).items() if n not in after}
+    return store.commit(replace=after | index)
+
+
 def blocked_merges(mapping: DataFrame, claims: DataFrame, validations: DataFrame) -> DataFrame:
     """project_id, orphans: merges that would lose a validation, since the survivor has no claim of the same words.
 
@@ -95,37 +128,36 @@ def apply_cleanup(store: Store, plan: DataFrame) -> dict:
     if "cleanup" not in tables:
         store.commit(replace={"cleanup": plan.select("project_id", "action", "survivor_id")})
     work = store.read("cleanup")
-    claims, validations = store.read("claims"), store.read("validations")
+    claims_, validations = claims(store), store.read("validations")
     merges = work.filter("action = 'merge'").select("project_id", "survivor_id")
-    blocked = blocked_merges(merges, claims, validations)
+    blocked = blocked_merges(merges, claims_, validations)
     mapping = merges.join(blocked, "project_id", "left_anti")
     gone = work.filter("action = 'prune'").select("project_id").union(mapping.select("project_id"))
-    twins = claims.join(mapping, "project_id").select(F.col("claim_id").alias("old"), F.col("survivor_id").alias("project_id"), "normalized_text", F.col("trust_state").alias("state"))
-    same = twins.join(claims.select("project_id", "normalized_text", F.col("claim_id").alias("new"), F.col("trust_state").alias("own")), ["project_id", "normalized_text"])
+    last = validations.groupBy("claim_id").agg(F.max("validation_id").alias("checked"))
+    twins = claims_.join(last, "claim_id", "left").join(mapping, "project_id").select(F.col("claim_id").alias("old"), F.col("survivor_id").alias("project_id"), "normalized_text", F.col("trust_state").alias("state"), F.coalesce("checked", F.lit(0)).alias("checked"))
+    # a survivor may have one wording under two ids: the least of them takes the history
+    own = claims_.groupBy("project_id", "normalized_text").agg(F.min("claim_id").alias("new"), F.min_by("trust_state", "claim_id").alias("own"))
+    same = twins.join(own, ["project_id", "normalized_text"])
     moved = validations.join(same.select(F.col("old").alias("claim_id"), "new"), "claim_id", "left").withColumn("claim_id", F.coalesce("new", "claim_id")).drop("new").select(*validations.columns)
-    lifted = same.filter("own = 'observed' and state <> 'observed'").groupBy(F.col("new").alias("claim_id")).agg(F.max("state").alias("lifted"))
-    proposals = claims.filter("trust_state = 'proposed'").join(mapping, "project_id").withColumn("project_id", F.col("survivor_id")).join(claims.select("project_id", "normalized_text"), ["project_id", "normalized_text"], "left_anti").select(*claims.columns)
-    stay = claims.join(gone, "project_id", "left_anti").join(lifted, "claim_id", "left").withColumn("trust_state", F.coalesce("lifted", "trust_state")).select(*claims.columns)
-    replace = {"claims": stay.unionByName(proposals), "validations": moved, "projects": store.read("projects").join(gone, "project_id", "left_anti")}
+    # the state of the moved claim that was validated last, if one was lifted at all
+    lifted = same.filter("own = 'observed' and state <> 'observed'").groupBy(F.col("new").alias("claim_id")).agg(F.max_by("state", F.struct("checked", "old")).alias("lifted"))
+    proposals = claims_.filter("trust_state = 'proposed'").join(mapping, "project_id").withColumn("project_id", F.col("survivor_id")).join(claims_.select("project_id", "normalized_text"), ["project_id", "normalized_text"], "left_anti").select(*claims_.columns)
+    stay = claims_.join(gone, "project_id", "left_anti").join(lifted, "claim_id", "left").withColumn("trust_state", F.coalesce("lifted", "trust_state")).select(*claims_.columns)
+    replace = {"claims": stay.unionByName(proposals), "validations": moved, "projects": projects(store).join(gone, "project_id", "left_anti")}
     for name, keys in (("aliases", ["path"]), ("runs", ["run_id"]), ("budgets", ["agent"])):
         if name in tables:
             table = store.read(name)
             pruned_ = table.join(work.filter("action = 'prune'").select("project_id"), "project_id", "left_anti")
             replace[name] = ledger.move_rows(pruned_, mapping, keys).select(*table.columns)
-    for name in ("chunks", "heads", "cache"):
+    for name in ("chunks", "sources", "versions", "nodes", "cache"):
         if name in tables:
             replace[name] = store.read(name).join(gone, "project_id", "left_anti")
+    replace |= _of_chunks(store, replace["chunks"]) if "chunks" in replace else {}
     told = {"blocked": {r["project_id"]: r["orphans"] for r in blocked.collect()}, "merged": mapping.count(), "pruned": work.filter("action = 'prune'").count()}
     told["version"] = store.commit(replace=replace, drop=["cleanup"])
     return told
 
 
-def rebuild_index(store: Store) -> int:
-    """Postings made anew from the current chunks; rows whose chunk is gone are dropped.  The new version."""
-    own = search.build(store.read("chunks"))
-    return store.commit(replace={"postings": search.postings(store.read("chunks")), "vocabulary": own.vocabulary, "stats": own.stats})
-
-
 def _budgets(store: Store) -> dict:
     """Format 2: a table of run budgets; those that were never changed from their first value carry nothing and go."""
     if "budgets" not in store.manifest()["tables"]:
@@ -143,8 +175,9 @@ def _stems(store: Store) -> dict:
     """Format 4: terms are stemmed; postings are made anew, and rows without a chunk are gone."""
     if "chunks" not in store.manifest()["tables"]:
         return {}
-    own = search.build(store.read("chunks"))
-    return {"postings": search.postings(store.read("chunks")), "vocabulary": own.vocabulary, "stats": own.stats}
+    from .ingest import segments
+
+    return segments(store.read("chunks"))
 
 
 MIGRATIONS: dict[int, Callable[[Store], dict]] = {2: _budgets, 3: _agents, 4: _stems}
@@ -218,7 +251,7 @@ def answered_fresh(ask: Callable[[], DataFrame], stale_paths: Callable[[DataFram
 def page(store: Store, project_id: str, rows: int = PAGE_ROWS) -> str:
     """A project as one HTML page, to be read only: at most ``rows`` rows of each of its tables; everything is escaped."""
     parts = [f"<!doctype html><meta charset=utf-8><title>{html.escape(project_id)}</title><h1>{html.escape(project_id)}</h1>"]
-    for name in ("heads", "chunks", "claims", "validations", "runs"):
+    for name in ("sources", "chunks", "claims", "validations", "runs"):
         if name not in store.manifest()["tables"]:
             continue
         table = store.read(name)
