@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import checks, compact, evidence, ledger, maintenance
+from ..operators import checks, compact, evidence, ingest, ledger, maintenance
 from ..sources.store import Store, kept, scratch
 from . import tables as tb
 from .registry import query
@@ -124,6 +124,29 @@ def migrated_runs(spark, d):
     return store.read("runs")
 
 
+@query("v6_ingested_sources", """WITH first AS (SELECT 'd/' || doc_id || '.md' AS path, md5(text) AS h FROM documents),
+second AS (SELECT CASE WHEN doc_id % 7 = 3 THEN 'e/' ELSE 'd/' END || doc_id || '.md' AS path, CASE WHEN doc_id % 7 = 1 THEN md5(text || ' edited') ELSE md5(text) END AS h FROM documents WHERE doc_id % 7 <> 2),
+gone AS (SELECT h, min(path) AS old FROM (FROM first ANTI JOIN second USING (path)) GROUP BY h HAVING count(*) = 1),
+moved AS (SELECT h, min(path) AS path, any_value(old) AS old FROM (FROM second ANTI JOIN first USING (path)) JOIN gone USING (h) GROUP BY h)
+SELECT second.path, second.h AS current_hash, true AS active, CASE WHEN first.h <> second.h THEN 2 ELSE 1 END::BIGINT AS n_versions FROM second LEFT JOIN first USING (path)
+UNION ALL SELECT path, h, false, 1 FROM first WHERE path NOT IN (SELECT path FROM second) AND path NOT IN (SELECT old FROM moved)""")
+def ingested_sources(spark, d):
+    """Every document as a file, ingested twice: some are edited, some gone, some renamed by the second run."""
+    k, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    docs = tb.table(spark, d, "documents")
+
+    def files(path, text, docs):
+        each = docs.select(path.alias("path"), text.alias("text"))
+        return each.select("path", "text", F.md5(F.col("text").cast("binary")).alias("content_hash"), F.length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"))
+
+    store = Store(spark, scratch(spark, "ingested"))
+    ingest.ingest(store, "p", files(F.concat(F.lit("d/"), n, F.lit(".md")), F.col("text"), docs))
+    later = F.concat(F.when(k % 7 == 3, "e/").otherwise("d/"), n, F.lit(".md"))
+    ingest.ingest(store, "p", files(later, F.when(k % 7 == 1, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")), docs.filter("doc_id % 7 <> 2")))
+    versions = store.read("versions").groupBy("source_id").agg(F.count("*").alias("n_versions"))
+    return ingest.heads(store).join(versions, "source_id").select("path", "current_hash", "active", "n_versions")
+
+
 @query("c1_compact_packets")
 def compact_packets(spark, d):
     """Orders' lines as spans of one packet a customer, within 1,500 bytes."""
