@@ -12,6 +12,9 @@ where they follow one another in one column.  All passes of the expression ladde
 scored aggregate: the number of a request's phrases that a chunk holds decides which passes it
 satisfies.  Requests that nothing matched take one more pass, by prefixes.
 
+``retrieve`` stops early: a request's rare phrases are read first and give a threshold; phrases too
+common to lift a chunk over it are looked up for the chunks that can still pass, not read whole.
+
 Defined results: null columns count as empty; a chunk without words is counted in the statistics and
 never found; a request without terms finds nothing; a token without index terms (``___``) is held by
 no chunk; equal scores are taken by chunk_id under the cap and by path, line and chunk_id in the result.
@@ -50,7 +53,9 @@ KNOWN = 400_000  # words a worker remembers the terms of
 ROWS = 400_000  # postings in one Arrow batch, about
 NAMED = 200  # terms that a scan is told
 SMALL = 2_000  # phrases of a batch that the driver looks at
-LONGEST = 24  # characters of a prefix that are joined on
+HEADS = (1, 2, 4, 8, 16)  # characters of a prefix that are joined on: the most that it has
+LEAD = 65_536  # postings that a request reads whole before it has a threshold
+MARGIN = 1e-6  # far above the rounding of scores and of ranks
 
 
 @dataclass
@@ -133,7 +138,7 @@ def tables(rows: DataFrame) -> Index:
     """The tables of some postings."""
     words = rows.filter(F.col("term") != STATS)
     stats = rows.filter(F.col("term") == STATS).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("length").alias("avg_length"))
-    return Index(words, words.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
+    return Index(words, words.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("f").alias("top_f"), F.min("length").alias("least_length")), stats)
 
 
 def build(chunks: DataFrame) -> Index:
@@ -148,7 +153,7 @@ def write_index(chunks: DataFrame, path: str) -> None:
     spark = chunks.sparkSession
     postings(chunks.repartition(spark.sparkContext.defaultParallelism * 2)).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
     own = tables(spark.read.parquet(f"{path}/postings"))
-    own.vocabulary.sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
+    own.vocabulary.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
     own.stats.write.parquet(f"{path}/stats")
 
 
@@ -207,15 +212,24 @@ def bm25(f: Column, length: Column, df: Column, n: Column, avg_length: Column) -
     return -F.when(idf > 0, idf).otherwise(IDF_FLOOR) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / avg_length))
 
 
-def phrase_hits(words: DataFrame, rows: DataFrame) -> DataFrame:
+def phrase_hits(words: DataFrame, rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """key, chunk_id, project_id, length, f, occurrences of phrases of two terms or more that follow one another in a column.
 
-    words: key, n, offset, term; more than one term may stand at an offset.  A chunk's positions of a
-    phrase's terms meet in one row, never those of two chunks, and are cut down offset by offset."""
-    met = rows.join(words, "term").groupBy("key", "n", "chunk_id", "project_id", "length").agg(F.collect_list(F.struct("offset", "at")).alias("held"))
+    words: key, n, offset, term; more than one term may stand at an offset.  Only the rarest offset's
+    list is read whole; the others are looked up for the chunks in it, so a common word costs no more
+    than the rarest beside it.  A phrase with an offset that no chunk holds reads nothing.  A chunk's
+    positions meet in one row, never those of two chunks, and are cut down offset by offset."""
+    sized = words.join(vocabulary.select("term", "df"), "term")
+    lists = sized.groupBy("key", "n", "offset").agg(F.sum("df").alias("df"))
+    rarest = lists.groupBy("key", "n").agg(F.min_by("offset", F.struct("df", "offset")).alias("rarest"), F.count(F.lit(1)).alias("held")).filter("held = n").select("key", "rarest")
+    told = kept(sized.join(rarest, "key").select("key", "n", "offset", "term", (F.col("offset") == F.col("rarest")).alias("leads")), "phrase-words")
+    begun = rows.join(told.filter("leads"), "term").select("key", "n", "chunk_id", "project_id", "length", "offset", "at")
+    probes = begun.select("key", "chunk_id").distinct().join(told.filter("not leads"), "key").select("term", "chunk_id", "key", "n", "offset")
+    others = rows.join(probes, ["term", "chunk_id"]).select(begun.columns)
+    met = begun.unionByName(others).groupBy("key", "n", "chunk_id", "project_id", "length").agg(F.collect_list(F.struct("offset", "at")).alias("held"))
     full = met.filter(F.size(F.array_distinct("held.offset")) == F.col("n"))
-    begun = lambda i: F.flatten(F.transform(F.filter("held", lambda h: h["offset"] == i), lambda h: F.transform(h["at"], lambda x: x - i)))
-    starts = F.aggregate(F.sequence(F.lit(1), F.col("n") - 1), F.array_distinct(begun(F.lit(0))), lambda found, i: F.array_intersect(found, begun(i)))
+    begins = lambda i: F.flatten(F.transform(F.filter("held", lambda h: h["offset"] == i), lambda h: F.transform(h["at"], lambda x: x - i)))
+    starts = F.aggregate(F.sequence(F.lit(1), F.col("n") - 1), F.array_distinct(begins(F.lit(0))), lambda found, i: F.array_intersect(found, begins(i)))
     whole = full.withColumn("starts", starts).filter(F.size("starts") > 0)
     weight = lambda s: F.element_at(F.array(*map(F.lit, WEIGHTS.values())), F.shiftright(s, 24) + 1)
     f = F.aggregate("starts", F.lit(0.0), lambda n, s: n + weight(s))
@@ -225,13 +239,21 @@ def phrase_hits(words: DataFrame, rows: DataFrame) -> DataFrame:
 def grown(asked: DataFrame, index: Index) -> DataFrame:
     """key, n, offset, term of prefix phrases: the last term of each stands for all terms that begin with it.
 
-    Prefixes meet the beginnings of all terms on equality, so no term is compared with another."""
-    each = asked.select("key", "plain", F.size("phrase").alias("n"), F.posexplode("phrase").alias("offset", "term")).distinct()
+    A prefix meets terms on its first 1, 2, 4, 8 or 16 characters, the most that it has, and is then
+    compared.  The heads of a small batch are named to the scan, which skips what lies outside their
+    ranges of the sorted vocabulary; those of a larger one are broadcast if their written size allows."""
+    each = kept(asked.select("key", "plain", F.size("phrase").alias("n"), F.posexplode("phrase").alias("offset", "term")).distinct(), "prefix-words")
     last = (F.col("offset") == F.col("n") - 1) & F.col("plain")
-    heads = each.filter(last).withColumn("head", F.substring("term", 1, LONGEST))
-    beginnings = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(LONGEST))), lambda n: F.substring(F.col("term"), F.lit(1), n)))
-    terms = index.vocabulary.select(F.col("term").alias("longer"), beginnings.alias("head"))
-    longer = heads.join(terms, "head").filter(F.startswith("longer", F.col("term"))).select("key", "n", "offset", F.col("longer").alias("term"))
+    fit = F.greatest(*[F.when(F.length("term") >= n, n).otherwise(HEADS[0]) for n in HEADS])
+    heads = each.filter(last).withColumn("head", F.substring(F.col("term"), F.lit(1), fit))
+    few = [r[0] for r in heads.select("head").distinct().limit(NAMED + 1).collect()]
+    sizes, vocabulary = HEADS, index.vocabulary
+    if len(few) <= NAMED:
+        sizes = sorted({len(x) for x in few}) or HEADS[:1]
+        vocabulary = vocabulary.filter(reduce(or_, [F.startswith("term", F.lit(x)) for x in few], F.lit(False)))
+    beginnings = F.explode(F.array_compact(F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sizes])))
+    terms = vocabulary.select(F.col("term").alias("longer"), beginnings.alias("head"))
+    longer = terms.join(heads, "head").filter(F.startswith("longer", F.col("term"))).select("key", "n", "offset", F.col("longer").alias("term"))
     return each.filter(~last).select("key", "n", "offset", "term").unionByName(longer)
 
 
@@ -254,20 +276,97 @@ def scored(requests: DataFrame, index: Index) -> DataFrame:
     hits = rows.join(single, "term").select("key", "chunk_id", "project_id", "length", "f")
     df = named(index.vocabulary, terms).join(single, "term").select("key", "df")
     if long_ones:
-        long = kept(phrase_hits(words.filter("n > 1"), rows).drop("occurrences"), "phrases")  # read twice
+        long = kept(phrase_hits(words.filter("n > 1"), rows, named(index.vocabulary, terms)).drop("occurrences"), "phrases")  # read twice
         hits, df = hits.unionByName(long), df.unionByName(long.groupBy("key").agg(F.count(F.lit(1)).alias("df")))
     return priced(each, hits, df, index)
 
 
+@dataclass
+class Reading:
+    """What a search that stops early reads, and what it found.
+
+    asked: request_id, key, df, lead: lists read first; rest: those that were not, with whole (read after all);
+    probes: term, chunk_id, request_id of the single look-ups; rest and probes are None where all lists were read first."""
+
+    hits: DataFrame
+    asked: DataFrame
+    rest: DataFrame | None = None
+    probes: DataFrame | None = None
+
+
+def reading(requests: DataFrame, index: Index, scope: DataFrame, want: int = 8, strict: bool = True, lead: int = LEAD) -> Reading:
+    """The rows of ``scored`` in a request's scope that a pass of ``ladder`` can take, with the same counts and scores.
+
+    A request's phrases are read from the rarest on: its two rarest always, more up to ``lead`` postings.
+    The score of the last row under the cap is then a threshold.  Of the other terms, the cheapest whose
+    greatest scores together stay below it cannot lift a chunk that holds nothing else, so their lists
+    are not read: they are looked up for the chunks found so far that can still reach the threshold or
+    hold all terms but one.  A chunk that holds all terms but one holds one of the two rarest, so the
+    passes by number of terms lose nothing.  Fewer rows than the cap give no threshold, and every list is
+    read."""
+    each, terms, long_ones = looked_at(phrases(requests))
+    words = words_of(each)
+    rows, vocabulary = named(index.postings, terms), named(index.vocabulary, terms)
+    stats = F.broadcast(index.stats.limit(1))  # one row
+    tight = "top_f" in vocabulary.columns  # else no bound but that of endless repetition
+    bounds = [F.col("top_f"), F.col("least_length").cast("double")] if tight else [F.lit(None).cast("double")] * 2
+    df = vocabulary.join(words.filter("n = 1").select("key", "term"), "term").select("key", "term", "df", bounds[0].alias("top_f"), bounds[1].alias("least_length"))
+    long = None
+    if long_ones:
+        long = kept(phrase_hits(words.filter("n > 1"), rows, vocabulary).drop("occurrences"), "phrases")  # read more than once
+        df = df.unionByName(long.groupBy("key").agg(F.count(F.lit(1)).alias("df")), allowMissingColumns=True)
+    gain = -bm25(F.col("top_f"), F.col("least_length"), F.col("df"), F.col("n_chunks"), F.col("avg_length"))
+    endless = -bm25(F.lit(1e12), F.lit(0.0), F.col("df"), F.col("n_chunks"), F.lit(1.0))
+    own = each.groupBy("request_id", "n_terms", "key").agg(F.count(F.lit(1)).alias("times")).join(df, "key").join(stats)
+    by = W.partitionBy("request_id").orderBy("df", "key")
+    first = F.col("term").isNull() | (F.row_number().over(by) <= 2) | (F.sum("df").over(by.rowsBetween(W.unboundedPreceding, 0)) <= lead)
+    # a few dozen rows a request
+    asked = kept(own.select("*", (F.coalesce(gain, endless) * F.col("times")).alias("bound"), first.alias("lead")), "asked")
+    within = scope.select("request_id", "project_id").distinct()
+    cost = bm25(F.col("f"), F.col("length"), F.col("df"), F.col("n_chunks"), F.col("avg_length"))
+    sums = [F.sum("matched").alias("matched"), F.sum("score").alias("score")]
+    by_chunk = ["request_id", "n_terms", "chunk_id", "project_id"]
+
+    def lists(part: DataFrame) -> DataFrame:
+        """What the whole lists of some rows of ``asked`` give their requests."""
+        keys = part.select("key", "term", "df", "n_chunks", "avg_length").distinct()
+        fields = ["key", "chunk_id", "project_id", cost.alias("s")]
+        hits = rows.join(keys.filter("term is not null"), "term").select(fields)
+        if long is not None:
+            hits = hits.unionByName(long.join(keys.filter("term is null"), "key").select(fields))
+        met = hits.join(part.select("request_id", "n_terms", "key", "times"), "key").join(within, ["request_id", "project_id"], "left_semi")
+        return met.groupBy(by_chunk).agg(F.sum("times").alias("matched"), F.sum(F.col("times") * F.col("s")).alias("score"))
+
+    if asked.filter("not lead").isEmpty():
+        return Reading(lists(asked), asked)
+    begun = kept(lists(asked.filter("lead")), "lead")
+    cap = F.when((F.col("n_terms") >= COVERAGE_TERMS) & F.lit(strict), cap_of(4 * want)).otherwise(cap_of(want))
+    nth = begun.withColumn("r", F.row_number().over(W.partitionBy("request_id").orderBy("score", "chunk_id"))).filter(F.col("r") <= max(cap_of(want), cap_of(4 * want)))
+    threshold = nth.filter(F.col("r") == cap).select("request_id", (-F.col("score") - MARGIN).alias("threshold"))
+    below = F.sum("bound").over(W.partitionBy("request_id").orderBy("bound", "key").rowsBetween(W.unboundedPreceding, 0))
+    rest = kept(asked.filter("not lead").join(threshold, "request_id", "left").withColumn("whole", F.col("threshold").isNull() | (below >= F.col("threshold"))), "rest")
+    found = begun.unionByName(lists(rest.filter("whole"))).groupBy(by_chunk).agg(*sums)
+    few = rest.filter("not whole")
+    left = few.groupBy("request_id").agg(F.sum("times").alias("more"), F.sum("bound").alias("most"), F.max("threshold").alias("threshold"))
+    near = F.col("n_terms").between(*ALL_TERMS) & (F.col("matched") + F.col("more") >= F.col("n_terms") - 1)
+    able = found.join(left, "request_id", "left").filter(F.col("more").isNull() | (F.col("most") - F.col("score") >= F.col("threshold")) | near)
+    able = kept(able.select(*by_chunk, "matched", "score"), "able")
+    probes = kept(able.select(by_chunk).join(few.select("request_id", "term", "times", "df", "n_chunks", "avg_length"), "request_id"), "probes")
+    # probes go to the postings, which move only where there are too many of them to broadcast
+    more = rows.select("term", "chunk_id", "length", "f").join(probes, ["term", "chunk_id"]).select(*by_chunk, F.col("times").alias("matched"), (F.col("times") * cost).alias("score"))
+    return Reading(able.unionByName(more).groupBy(by_chunk).agg(*sums), asked, rest, probes)
+
+
 def prefix_scored(requests: DataFrame, index: Index) -> DataFrame:
     """The hits of the last pass: a token of four plain characters or more stands for all that begins with it; others stay whole."""
     each = phrases(requests).withColumn("plain", (F.length("token") >= PREFIX_CHARS) & F.rlike("token", F.lit("^[a-z0-9_]+$")))
     each = each.withColumn("key", F.concat(F.col("key"), F.when(F.col("plain"), "*").otherwise("")))
     words = kept(grown(each, index), "grown")  # read twice: for their names, and in the join
-    rows = named(index.postings, few_terms(words))
+    terms = few_terms(words)
+    rows = named(index.postings, terms)
     keys = ["key", "chunk_id", "project_id", "length"]
     single = rows.join(words.filter("n = 1").select("key", "term"), "term").groupBy(*keys).agg(F.sum("f").alias("f"))
-    hits = kept(single.unionByName(phrase_hits(words.filter("n > 1"), rows).drop("occurrences")), "prefixes")  # read twice
+    hits = kept(single.unionByName(phrase_hits(words.filter("n > 1"), rows, named(index.vocabulary, terms)).drop("occurrences")), "prefixes")  # read twice
     return priced(each, hits, hits.groupBy("key").agg(F.count(F.lit(1)).alias("df")), index)
 
 
@@ -296,7 +395,8 @@ def ladder(hits: DataFrame, chunks: DataFrame, scope: DataFrame, want: int = 8,
         )
     placed = hits.join(scope, ["request_id", "project_id"])
     each = placed.select("request_id", "chunk_id", "project_id", "priority", F.explode(passes).alias("p")).select("*", "p.pass", F.round("p.rank", 9).alias("rank"), "p.filtered").drop("p")
-    best = each.withColumn("r", F.row_number().over(W.partitionBy("request_id", "pass").orderBy("rank", "chunk_id"))).filter(F.col("r") <= F.when(F.col("filtered"), cap_of(4 * want)).otherwise(cap_of(want))).drop("r")
+    most = max(cap_of(want), cap_of(4 * want))  # a literal, so that each task keeps no more of a pass before the shuffle
+    best = each.withColumn("r", F.row_number().over(W.partitionBy("request_id", "pass").orderBy("rank", "chunk_id"))).filter(F.col("r") <= most).filter(F.col("r") <= F.when(F.col("filtered"), cap_of(4 * want)).otherwise(cap_of(want))).drop("r")
     known = chunks.drop("project_id") if "heading" in chunks.columns else chunks.drop("project_id").withColumn("heading", F.lit(None).cast("string"))
     # at most 256 rows a pass are left of a request, so its windows below share one small exchange
     capped = best.join(known.select("chunk_id", "path", "line_start", "current", "heading"), "chunk_id").filter("current").repartition("request_id")
@@ -330,14 +430,14 @@ def term_coverage(hits: DataFrame, min_terms: int = COVERAGE_TERMS) -> DataFrame
     return each.filter((F.size("terms") < min_terms) | (F.col("best") < COVERAGE) | (F.col("coverage") >= COVERAGE)).drop("best")
 
 
-def retrieve(requests: DataFrame, index: Index, chunks: DataFrame, scope: DataFrame, limit: int = 4, strict: bool = True) -> DataFrame:
+def retrieve(requests: DataFrame, index: Index, chunks: DataFrame, scope: DataFrame, limit: int = 4, strict: bool = True, lead: int = LEAD) -> DataFrame:
     """Every pass for a batch: request_id and terms in, at most twice ``limit`` chunks a request out, best first.
 
     ``strict`` is the coverage filter of the any-term pass.  The prefix pass is a second lookup, only
     for requests that the others found nothing for."""
     asked = requests if strict else None
     # a few rows a request, read three times
-    first = kept(ladder(scored(requests, index), chunks, scope, 2 * limit, asked), "found")
+    first = kept(ladder(reading(requests, index, scope, 2 * limit, strict, lead).hits, chunks, scope, 2 * limit, asked), "found")
     # a prefix that changes nothing is no pass
     able = F.exists("terms", lambda x: (F.length(x) >= PREFIX_CHARS) & F.rlike(x, F.lit("^[a-z0-9_]+$")))
     empty = requests.filter(able).join(first.select("request_id").distinct(), "request_id", "left_anti")

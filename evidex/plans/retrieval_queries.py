@@ -46,6 +46,13 @@ def ranked_search(spark, d):
     return search.ladder(search.scored(r, tb.index(spark, d)), tb.chunks(spark, d).drop("text"), _scope(spark, d), 8, r)
 
 
+@query("r10_early_stop", f"{_LADDER} SELECT * FROM ranked")
+def early_stop(spark, d):
+    """The rows of ``r10_ranked_search`` by a search that stops early: beyond its two rarest terms, a request reads 500 postings before it has a threshold."""
+    r, scope = tb.requests(spark, d), _scope(spark, d)
+    return search.ladder(search.reading(r, tb.index(spark, d), scope, 8, True, 500).hits, tb.chunks(spark, d).drop("text"), scope, 8, r)
+
+
 @query("r11_ladder", f"{_LADDER}, {_UNMET}, {sq.PREFIX}, {sq.ladder('prefix_scored', 'late', last=True)} SELECT * FROM ranked UNION ALL SELECT * FROM late")
 def whole_ladder(spark, d):
     return search.retrieve(tb.requests(spark, d), tb.index(spark, d), tb.chunks(spark, d).drop("text"), _scope(spark, d))
@@ -63,7 +70,8 @@ def phrase_match(spark, d):
     tokens = tb.requests(spark, d).select(F.explode("terms").alias("token")).union(tb.table(spark, d, "benchmark").select(F.lower("text"))).distinct()
     each = search.phrases(tokens.select(F.col("token").alias("request_id"), F.array("token").alias("terms"))).filter(F.size("phrase") > 1)
     words = search.words_of(each)
-    hits = search.phrase_hits(words, search.named(index.postings, search.few_terms(words)))
+    terms = search.few_terms(words)
+    hits = search.phrase_hits(words, search.named(index.postings, terms), search.named(index.vocabulary, terms))
     return each.select(F.col("token").alias("phrase"), "key").join(hits, "key").select("phrase", "chunk_id", "occurrences")
 
 
