@@ -3,7 +3,7 @@
 A sentence's probability is the logistic of a bias and the weights of its distinct features (words,
 their beginnings and endings); a document's is the noisy-or of its sentences,
 1 - prod(1 - p).  Both are trained together from document labels, so the sentences that explain a
-toxic label are found without being labelled (``locate``).
+toxic label are found without being labelled: the query returns them beside each document's score.
 
 The model is fitted on the driver to a bounded sample: at most ``rows`` labelled documents and
 ``chars`` characters of them (see ``learning.labelled_sample``); features are chosen by how
@@ -24,11 +24,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
-from .learning import labelled_sample, scored, slices
+from .common import crc_mod, worker_memory
+from .learning import labelled_sample, slices
 
 CUT = 0.3
 FOLDS, HELD = 4, 2
@@ -69,14 +70,21 @@ class Model:
             out.append(self.bias + sum(self.weights[x] for x in found))
         return out
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def judge(self, text: str, cut: float = CUT) -> tuple[float, list[tuple[int, int, float]]]:
+        """The text's score, and start, end and score of its sentences that score at least ``cut``."""
         if not self.weights:
-            return np.zeros(len(texts))
-        out = np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            z = np.clip(np.array(self.sentence_logits(text)), -30, 30)
-            out[i] = -np.expm1(-np.logaddexp(0, z).sum())
-        return out
+            return 0.0, []
+        z = np.clip(np.array(self.sentence_logits(text)), -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        hot, spans = np.flatnonzero(p >= cut), []
+        if len(hot):
+            lowered = text.lower()
+            at, place = sentences(lowered), places(text, lowered)
+            spans = [(place[at[i][0]], place[at[i][1] - 1] + 1, float(p[i])) for i in hot]
+        return float(-np.expm1(-np.logaddexp(0, z).sum())), spans
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        return np.array([self.judge(x, np.inf)[0] for x in texts])
 
 
 def choose(documents: list[set[str]], y: np.ndarray, most: int, least: int, bound: float) -> dict[str, float]:
@@ -136,13 +144,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6_000, chars: int = 12
     return fit(labelled_sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), FOLDS) != HELD, rows, chars))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **bounds))
-    out = scored(docs, lambda: model.value.score)
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
-
-
 def places(text: str, lowered: str) -> Sequence[int]:
     """For each character of the lower-cased text, the one of the text that it comes from."""
     if len(lowered) == len(text):
@@ -150,27 +151,30 @@ def places(text: str, lowered: str) -> Sequence[int]:
     return [i for i, c in enumerate(text) for _ in c.lower()]
 
 
-def locate(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
-    """doc_id, start, end, score of every sentence that scores at least ``cut``; code points, end exclusive."""
-    import pyarrow as pa
-
+def judged(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """doc_id, score and sentences (start, end, score; code points, end exclusive) that score at least ``cut``, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
+        worker_memory("judged")
         own = shared.value
         for batch in batches:
-            at, out = 0, []
-            for part in slices(batch.column(1)):
-                for text in part:
-                    lowered = text.lower()
-                    if own.weights:
-                        place = places(text, lowered)
-                        for (a, b), z in zip(sentences(lowered), own.sentence_logits(text)):
-                            if (p := 1 / (1 + np.exp(-z))) >= cut:
-                                out.append((at, place[a], place[b - 1] + 1, float(p)))
-                    at += 1
-            rows = pa.array([x[0] for x in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *[pa.array([x[i] for x in out], k) for i, k in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))]], names=["doc_id", "start", "end", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, end long, score double")
+            out = [own.judge(text, cut) for part in slices(batch.column(1)) for text in part]
+            spans = pa.array([[dict(zip(("start", "end", "score"), x)) for x in found] for _, found in out], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.float64()), spans], names=["doc_id", "score", "sentences"])
+        worker_memory("judged")
+
+    own_kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {own_kind}, score double, sentences array<struct<start:long,end:long,score:double>>")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
+    """doc_id, held_out, score, predicted and the offending sentences of every row."""
+    out = judged(docs, train(docs, labels, **bounds))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "sentences")
+
+
+def locate(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """doc_id, start, end, score of every sentence that scores at least ``cut``."""
+    return judged(docs, model, cut).select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.start", "s.end", "s.score")

@@ -327,6 +327,23 @@ def naive_tiling(item, doc, least):
         taken_doc.update(range(t, t + k))
 
 
+def test_tiling_of_repeated_words_takes_little():
+    import time
+    import tracemalloc
+
+    block = decontaminate.Block([(1, "ab " * 300), (2, "cd ef " * 150)], 5, 0.5)
+    text = "ab " * 20_000 + "cd ef " * 10_000
+    began = time.process_time()
+    found = list(block.matches(text))
+    took = time.process_time() - began
+    assert found == [(1, 1.0, 300, 300, [(0, 0, 300)]), (2, 1.0, 300, 300, [(0, 20_000, 300)])]
+    tracemalloc.start()
+    list(block.matches(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < 1 and peak < 100e6, (took, peak)
+
+
 def test_tiling_brute_force(spark):
     rng = random.Random(11)
     word = lambda: rng.choice("ab cd ef gh ij".split())
@@ -410,6 +427,34 @@ def test_quality_separates():
     assert (s[:60] >= quality.CUT).mean() > 0.95 and (s[60:] < quality.CUT).mean() > 0.95
 
 
+def test_toxicity_returns_its_sentences(spark, docs, labels, rows):
+    """The sentences of the query are those that a plain enumeration finds, and make up the score by noisy-or."""
+    model = toxicity.Model({"^alp": 1.0, "=really": 3.0, "^nai": 0.0, "^the": 0.5}, -2.0)
+    out = toxicity.judged(docs, model).collect()
+    want = []
+    for i, text, *_ in rows:
+        spans, none, at, text = [], 1.0, 0, text or ""
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] not in ".!?\n":
+                end += 1
+            body = end
+            while end < len(text) and text[end] in ".!?":
+                end += 1
+            if body > at:
+                words = {w for w in re.findall(r"[^\W\d_]+", text[at:end].lower())}
+                found = {x for w in words for x in (f"={w}", f"^{w[:3]}") if x in model.weights}
+                p = 1 / (1 + math.exp(-(model.bias + sum(model.weights[x] for x in found))))
+                none *= 1 - p
+                if p >= toxicity.CUT:
+                    spans.append((at, end, round(p, 9)))
+            at = max(end, at + 1) if end > at else at + 1
+        want.append((str(i), round(1 - none, 9), spans))
+    got = [(str(r["doc_id"]), round(r["score"], 9), [(x["start"], x["end"], round(x["score"], 9)) for x in r["sentences"]]) for r in out]
+    assert sorted(got) == sorted(want) and any(x[2] for x in got)
+    assert toxicity.score_toxicity(docs, labels).columns == ["doc_id", "held_out", "score", "predicted", "sentences"]
+
+
 def test_toxicity_locates(spark):
     sample = [(f"A calm line number {i}. Another calm thing here.", 0) for i in range(60)] + [(f"A calm line number {i}. You vile wretch now.", 1) for i in range(30)]
     model = toxicity.fit(sample)
