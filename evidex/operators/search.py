@@ -53,7 +53,7 @@ KNOWN = 400_000  # words a worker remembers the terms of
 ROWS = 400_000  # postings in one Arrow batch, about
 NAMED = 200  # terms that a scan is told
 SMALL = 2_000  # phrases of a batch that the driver looks at
-HEADS = (1, 2, 4, 8, 16)  # characters of a prefix that are joined on: the most that it has
+LONGEST = 24  # characters of a prefix that are joined on
 LEAD = 65_536  # postings that a request reads whole before it has a threshold
 MARGIN = 1e-6  # far above the rounding of scores and of ranks
 
@@ -212,10 +212,10 @@ def bm25(f: Column, length: Column, df: Column, n: Column, avg_length: Column) -
     return -F.when(idf > 0, idf).otherwise(IDF_FLOOR) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / avg_length))
 
 
-def phrase_hits(words: DataFrame, rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def phrase_hits(words: DataFrame, rows: DataFrame, vocabulary: DataFrame, many: bool = False) -> DataFrame:
     """key, chunk_id, project_id, length, f, occurrences of phrases of two terms or more that follow one another in a column.
 
-    words: key, n, offset, term; more than one term may stand at an offset.  Only the rarest offset's
+    words: key, n, offset, term; more than one term may stand at an offset, if ``many``.  Only the rarest offset's
     list is read whole; the others are looked up for the chunks in it, so a common word costs no more
     than the rarest beside it.  A phrase with an offset that no chunk holds reads nothing.  A chunk's
     positions meet in one row, never those of two chunks, and are cut down offset by offset."""
@@ -224,8 +224,15 @@ def phrase_hits(words: DataFrame, rows: DataFrame, vocabulary: DataFrame) -> Dat
     rarest = lists.groupBy("key", "n").agg(F.min_by("offset", F.struct("df", "offset")).alias("rarest"), F.count(F.lit(1)).alias("held")).filter("held = n").select("key", "rarest")
     told = kept(sized.join(rarest, "key").select("key", "n", "offset", "term", (F.col("offset") == F.col("rarest")).alias("leads")), "phrase-words")
     begun = rows.join(told.filter("leads"), "term").select("key", "n", "chunk_id", "project_id", "length", "offset", "at")
-    probes = begun.select("key", "chunk_id").distinct().join(told.filter("not leads"), "key").select("term", "chunk_id", "key", "n", "offset")
+    places = begun.select("key", "chunk_id").distinct()
+    later = told.filter("not leads")
+    if many:  # an offset of many terms is no list of single look-ups
+        wide = later.groupBy("key", "offset").agg((F.count(F.lit(1)) > 1).alias("wide"))
+        later = kept(later.join(wide, ["key", "offset"]), "later")
+    probes = places.join(later.filter("not wide") if many else later, "key").select("term", "chunk_id", "key", "n", "offset")
     others = rows.join(probes, ["term", "chunk_id"]).select(begun.columns)
+    if many:
+        others = others.unionByName(rows.join(later.filter("wide"), "term").join(places, ["key", "chunk_id"], "left_semi").select(begun.columns))
     met = begun.unionByName(others).groupBy("key", "n", "chunk_id", "project_id", "length").agg(F.collect_list(F.struct("offset", "at")).alias("held"))
     full = met.filter(F.size(F.array_distinct("held.offset")) == F.col("n"))
     begins = lambda i: F.flatten(F.transform(F.filter("held", lambda h: h["offset"] == i), lambda h: F.transform(h["at"], lambda x: x - i)))
@@ -239,19 +246,19 @@ def phrase_hits(words: DataFrame, rows: DataFrame, vocabulary: DataFrame) -> Dat
 def grown(asked: DataFrame, index: Index) -> DataFrame:
     """key, n, offset, term of prefix phrases: the last term of each stands for all terms that begin with it.
 
-    A prefix meets terms on its first 1, 2, 4, 8 or 16 characters, the most that it has, and is then
-    compared.  The heads of a small batch are named to the scan, which skips what lies outside their
-    ranges of the sorted vocabulary; those of a larger one are broadcast if their written size allows."""
+    A prefix meets the beginnings of terms that are as long as some prefix of the batch, up to
+    ``LONGEST``.  Prefixes are written first, so that they are broadcast where their size allows and the
+    vocabulary stays where it is; those of a small batch are named to the scan, which skips what lies
+    outside their ranges of the sorted vocabulary."""
     each = kept(asked.select("key", "plain", F.size("phrase").alias("n"), F.posexplode("phrase").alias("offset", "term")).distinct(), "prefix-words")
     last = (F.col("offset") == F.col("n") - 1) & F.col("plain")
-    fit = F.greatest(*[F.when(F.length("term") >= n, n).otherwise(HEADS[0]) for n in HEADS])
-    heads = each.filter(last).withColumn("head", F.substring(F.col("term"), F.lit(1), fit))
+    heads = each.filter(last).withColumn("head", F.substring("term", 1, LONGEST))
+    sizes = sorted(r[0] for r in heads.select(F.length("head")).distinct().collect()) or [1]  # LONGEST numbers at most
     few = [r[0] for r in heads.select("head").distinct().limit(NAMED + 1).collect()]
-    sizes, vocabulary = HEADS, index.vocabulary
+    vocabulary = index.vocabulary
     if len(few) <= NAMED:
-        sizes = sorted({len(x) for x in few}) or HEADS[:1]
         vocabulary = vocabulary.filter(reduce(or_, [F.startswith("term", F.lit(x)) for x in few], F.lit(False)))
-    beginnings = F.explode(F.array_compact(F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sizes])))
+    beginnings = F.explode(F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n)))
     terms = vocabulary.select(F.col("term").alias("longer"), beginnings.alias("head"))
     longer = terms.join(heads, "head").filter(F.startswith("longer", F.col("term"))).select("key", "n", "offset", F.col("longer").alias("term"))
     return each.filter(~last).select("key", "n", "offset", "term").unionByName(longer)
@@ -366,7 +373,7 @@ def prefix_scored(requests: DataFrame, index: Index) -> DataFrame:
     rows = named(index.postings, terms)
     keys = ["key", "chunk_id", "project_id", "length"]
     single = rows.join(words.filter("n = 1").select("key", "term"), "term").groupBy(*keys).agg(F.sum("f").alias("f"))
-    hits = kept(single.unionByName(phrase_hits(words.filter("n > 1"), rows, named(index.vocabulary, terms)).drop("occurrences")), "prefixes")  # read twice
+    hits = kept(single.unionByName(phrase_hits(words.filter("n > 1"), rows, named(index.vocabulary, terms), many=True).drop("occurrences")), "prefixes")  # read twice
     return priced(each, hits, hits.groupBy("key").agg(F.count(F.lit(1)).alias("df")), index)
 
 
