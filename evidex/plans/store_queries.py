@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import checks, compact, evidence, ingest, ledger, maintenance
+from ..operators import checks, compact, evidence, ingest, ledger, live, maintenance
+from ..sources import files
 from ..sources.store import Store, kept, scratch
 from . import tables as tb
 from .registry import query
@@ -155,3 +156,31 @@ def compact_packets(spark, d):
     item = F.struct("project_id", "path", F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), "text", (F.col("chunk_id") % 23 == 0).alias("stale"), torn.alias("disagreeing"))
     whole = p.groupBy("request_id").agg(F.lit("parcel ship").alias("query"), F.sort_array(F.collect_list(item)).alias("evidence"))
     return compact.compacted(whole, 1500).select("request_id", "n_bytes", F.md5(F.col("packet_json").cast("binary")).alias("h"))
+
+
+_SPACE = "||".join(f"chr({c})" for c in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+
+
+@query("r13_live_files", rf"""WITH l AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS lines FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(lines) + 1, 5)) AS line_start, lines FROM l),
+p AS (SELECT doc_id, line_start, CASE WHEN doc_id % 7 = 1 THEN 'changed' WHEN doc_id % 7 IN (2, 3) AND doc_id % 2 = 0 OR doc_id % 7 = 2 THEN 'missing' ELSE 'live' END AS live_state, trim(array_to_string(lines[line_start:line_start + 4], chr(10)), {_SPACE}) AS part FROM s)
+SELECT doc_id, line_start, live_state, live_state <> 'live' AS stale, md5(CASE WHEN live_state = 'live' OR doc_id % 3 = 0 THEN part ELSE '' END) AS h FROM p""")
+def live_files(spark, d):
+    """Every document as a file, and references to all its lines; since then some files were edited, deleted, or moved.
+
+    A third of the references have a stored text beside them; of every other moved file the new place is known."""
+    docs, k = tb.table(spark, d, "documents"), F.col("doc_id")
+    root = live.uri(scratch(spark, "files"))
+    path = F.concat((k % 500).cast("string"), F.lit("/"), k.cast("string"), F.lit(".md"))
+    broken = F.when(k % 5 == 0, F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?|\n", "\r\n")).otherwise(F.coalesce("text", F.lit("")))
+    taken = docs.select("doc_id", path.alias("path"), broken.cast("binary").alias("content"))
+    away = k % 7 == 3
+    now = taken.filter("doc_id % 7 <> 2").select(F.when(away, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")).alias("path"), F.when(k % 7 == 1, F.concat("content", F.lit(" edited").cast("binary"))).otherwise(F.col("content")).alias("content"))
+    files.write_files(now, root)
+    moved = taken.filter(away & (k % 2 == 1)).select(F.col("path").alias("old_path"), F.concat(F.lit("moved/"), "path").alias("path"))
+    n = F.size(F.split(F.col("content").cast("string"), "\r\n?|\n"))
+    spans = taken.select("doc_id", "path", F.sha2("content", 256).alias("content_hash"), F.split(F.col("content").cast("string"), "\r\n?|\n").alias("lines"), F.explode(F.sequence(F.lit(1), n, F.lit(5))).alias("line_start"))
+    stored = F.regexp_replace(F.array_join(F.slice("lines", F.col("line_start"), F.lit(5)), "\n"), r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "")
+    refs = spans.select("doc_id", "path", "content_hash", "line_start", (F.col("line_start") + 4).alias("line_end"), F.when(k % 3 == 0, stored).alias("text"))
+    out = live.hydrate(refs, root, live.line_index(taken), moved)
+    return out.select("doc_id", "line_start", "live_state", "stale", F.md5(F.col("text").cast("binary")).alias("h"))

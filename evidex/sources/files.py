@@ -8,10 +8,12 @@ only read for files that pass the name and size rules: the listing prunes the co
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,3 +121,25 @@ def discover_projects(files: DataFrame, depth: int = 5) -> DataFrame:
     above = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/")))
     nested = holders.filter(F.size(steps) > 1).select("project", above.alias("above")).join(holders.select(F.col("project").alias("above")), "above").select("project")
     return holders.join(nested, "project", "left_anti")
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write rows (path, content) as files below a root URI that all executors see; how many.
+
+    A file appears whole, by a rename, so a task that runs twice does no harm; of rows with one path, the
+    greatest content is written.  Rows without a path or content are left out."""
+
+    def write(batches):
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                final = f"{base}/{path}"
+                part = f"{final}.{uuid.uuid4().hex}"
+                fs.create_dir(final.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(part) as out:
+                    out.write(bytes(content))
+                fs.move(part, final)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    once = rows.filter("path is not null and content is not null").groupBy("path").agg(F.max("content").alias("content"))
+    return once.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
