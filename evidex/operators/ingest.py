@@ -162,7 +162,8 @@ def merge_segments(store: Store, least: int = 1) -> int:
 def packets(store: Store, requests: DataFrame, scope: DataFrame, states: DataFrame | None = None, **more) -> DataFrame:
     """``session.packets`` over what the store holds now.
 
-    states: path, state of the files by now (``ledger.changes``); spans of files that are not unchanged are stale."""
+    states: path, state of the files by now (``ledger.changes``); spans of files that are not unchanged are stale.
+    files=(root, lines): found spans are read from their files instead (``live.hydrate``)."""
     from . import maintenance, session
 
     chunks = current_chunks(store).withColumn("current", F.lit(True))

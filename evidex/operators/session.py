@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import text as t
 from ..sources.store import kept
 from . import evidence, graph, packet, search
+from . import live as live_text
 
 
 @F.pandas_udf(T.StringType())
@@ -22,13 +23,15 @@ def canonical_hash(bodies: pd.Series) -> pd.Series:
     return bodies.map(lambda b: hashlib.sha256(packet.canonical_json(json.loads(b)).encode()).hexdigest())
 
 
-def packets(requests: DataFrame, chunks: DataFrame, scope: DataFrame, limit: int = 4, budget: int = 16_000, max_per_file: int = 2, index: search.Index | None = None, claims: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+def packets(requests: DataFrame, chunks: DataFrame, scope: DataFrame, limit: int = 4, budget: int = 16_000, max_per_file: int = 2, index: search.Index | None = None, claims: DataFrame | None = None, nodes: DataFrame | None = None, files: tuple | None = None) -> DataFrame:
     """request_id, status, requirements, evidence, claims, graph_nodes, empty_result, packet_hash for every request.
 
     Each requirement says its status, why its search stopped, and how many shown spans that still hold.
     claims: project_id, claim_id, chunk_id (a row a chunk that states it, null for proposals), display_text,
     normalized_text, trust_state, created_at; nodes: project_id, node_id, kind, name, trust, chunk_id.
     All share one budget of characters (``packet.whole_budget``).
+    files: (root, lines[, moved]) of ``live.hydrate``; the found spans, and only they, are then read from their
+    files, and one is stale whose file is not what it was (chunks then have content_hash).
 
     requests: request_id, text; chunks: chunk_id, project_id, path, line_start, line_end, heading,
     text, chunk_hash, current, stale; scope: request_id, project_id, priority."""
@@ -55,7 +58,11 @@ def packets(requests: DataFrame, chunks: DataFrame, scope: DataFrame, limit: int
     if not again.isEmpty():
         hits = hits.unionByName(found_by(again))
     found = hits.select(F.col("request_id").alias("leaf_id"), "chunk_id", "priority", "match_pass", "rank").join(leaf.select("leaf_id", "request_id", "leaf_no"), "leaf_id")
-    full = found.join(chunks.select("chunk_id", "project_id", "path", "line_start", "line_end", "text", "chunk_hash", "stale"), "chunk_id")
+    spans = chunks.select("chunk_id", "project_id", "path", "line_start", "line_end", "text", "chunk_hash", "stale", *["content_hash"] * bool(files))
+    if files:
+        spans = live_text.hydrate(spans.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").withColumnRenamed("stale", "old"), *files)
+        spans = kept(spans.withColumn("stale", F.col("stale") | F.col("old")).drop("old", "live_state", "content_hash"), "spans")
+    full = found.join(spans, "chunk_id")
     # conflicts are judged within a leaf, and mark all its spans that still hold
     pairs = evidence.disagreements(full.filter(~F.col("stale")).select(F.col("leaf_id").alias("request_id"), "chunk_id", "path", "text"))
     torn = pairs.select(F.col("request_id").alias("leaf_id")).distinct().withColumn("torn", F.lit(True))

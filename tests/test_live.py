@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from evidex.operators import live
 from evidex.sources import files
@@ -96,3 +97,27 @@ def test_written_files_are_whole_and_once(spark, tmp_path):
     assert files.write_files(rows, f"file://{tmp_path}/w") == 2
     assert {str(p.relative_to(tmp_path / "w")): p.read_bytes() for p in (tmp_path / "w").rglob("*") if p.is_file()} == {"a/b.txt": b"2", "c.txt": b""}
     assert files.write_files(rows.limit(0), f"file://{tmp_path}/w") == 0
+
+
+def test_packets_show_what_the_files_hold(spark, tmp_path):
+    from evidex.operators import ingest
+    from evidex.sources.store import Store
+
+    root = tmp_path / "p"
+    root.mkdir()
+    (root / "rules.md").write_text("# Rules\nStudio must use bounded roots.\n")
+    (root / "notes.md").write_text("intro\n\nBounded roots were chosen for the studio in spring.\n")
+    found = taken(spark, root)
+    index = live.line_index(found)
+    rows = found.select("path", F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("content_hash"), F.length("content").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"))
+    store = Store(spark, str(tmp_path / "store"))
+    ingest.ingest(store, "p", rows)
+    (root / "notes.md").write_text("Bounded roots were dropped.\n")
+    requests = spark.createDataFrame([(1, "bounded roots")], "request_id long, text string")
+    scope = spark.createDataFrame([(1, "p", 0)], "request_id long, project_id string, priority int")
+    got = ingest.packets(store, requests, scope, files=(str(root), index)).first()
+    assert {e["path"]: (e["text"], e["stale"]) for e in got["evidence"]} == {"rules.md": ("# Rules\nStudio must use bounded roots.", False), "notes.md": ("intro\n\nBounded roots were chosen for the studio in spring.", True)}
+    assert got["status"] == "evidence_found" and [r["evidence_count"] for r in got["requirements"]] == [1]
+    (root / "rules.md").unlink()
+    gone = ingest.packets(store, requests, scope, files=(str(root), index)).first()
+    assert (gone["status"], gone["empty_result"], gone["claims"]) == ("unknown", "only_stale_spans", [])
