@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import checks, compact, evidence, ingest, ledger, live, maintenance
-from ..sources import files
+from ..sources import files, tree
 from ..sources.store import Store, kept, scratch
 from . import tables as tb
 from .registry import query
@@ -184,3 +184,22 @@ def live_files(spark, d):
     refs = spans.select("doc_id", "path", "content_hash", "line_start", (F.col("line_start") + 4).alias("line_end"), F.when(k % 3 == 0, stored).alias("text"))
     out = live.hydrate(refs, root, live.line_index(taken), moved)
     return out.select("doc_id", "line_start", "live_state", "stale", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query("s3_tree_walk", """WITH f AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'src/' || (p_partkey % 20) || '/' || p_partkey || '.md' WHEN 1 THEN 'app/node_modules/' || (p_partkey % 20) || '/' || p_partkey || '.md' WHEN 2 THEN '.hidden/' || p_partkey || '.txt'
+  WHEN 3 THEN 'mods/m' || (p_partkey % 40) || '/' || p_partkey || '.md' WHEN 4 THEN 'deep/a/b/c' || (p_partkey % 10) || '/' || p_partkey || '.exe' ELSE 'conf/.env.' || p_partkey END AS path FROM part)
+SELECT DISTINCT CASE k % 6 WHEN 1 THEN 'app/node_modules' WHEN 2 THEN '.hidden' WHEN 3 THEN CASE WHEN k % 40 % 3 = 0 THEN 'mods/m' || (k % 40) ELSE path END ELSE path END AS relative_path, k % 6 IN (1, 2) OR k % 6 = 3 AND k % 40 % 3 = 0 AS folder,
+  CASE WHEN k % 6 IN (1, 2) OR k % 6 = 3 AND k % 40 % 3 = 0 THEN 'ignored_dir' WHEN k % 6 = 4 THEN 'unsupported_type' WHEN k % 6 = 5 THEN 'sensitive_name' END AS reason FROM f""")
+def tree_walk(spark, d):
+    """A file a part, in a tree with ignored and hidden folders and checkouts of their own; what is found, and what is not entered."""
+    p, k = tb.table(spark, d, "part"), F.col("p_partkey")
+    s = lambda x: x.cast("string")
+    ways = [
+        F.concat(F.lit("src/"), s(k % 20), F.lit("/"), s(k), F.lit(".md")), F.concat(F.lit("app/node_modules/"), s(k % 20), F.lit("/"), s(k), F.lit(".md")), F.concat(F.lit(".hidden/"), s(k), F.lit(".txt")),
+        F.concat(F.lit("mods/m"), s(k % 40), F.lit("/"), s(k), F.lit(".md")), F.concat(F.lit("deep/a/b/c"), s(k % 10), F.lit("/"), s(k), F.lit(".exe")), F.concat(F.lit("conf/.env."), s(k)),
+    ]
+    rows = p.select(F.element_at(F.array(*ways), (k % 6 + 1).cast("int")).alias("path"), F.encode("p_name", "UTF-8").alias("content"))
+    marks = p.filter("p_partkey % 6 = 3 and p_partkey % 40 % 3 = 0").select(F.concat(F.lit("mods/m"), s(k % 40), F.lit("/.git")).alias("path"), F.lit(b"gitdir: x").alias("content"))
+    root = live.uri(scratch(spark, "walked"))
+    files.write_files(rows.unionByName(marks), root)
+    return tree.walk(spark, root).filter("not folder or reason is not null").select("relative_path", "folder", "reason")

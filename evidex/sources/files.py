@@ -104,8 +104,12 @@ def _quote(text: str) -> str:
 
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """relative_path, text, content_hash, size, modified of all files that pass every rule."""
-    kept = classify(list_files(spark, root)).filter("reason is null")
-    texts = kept.withColumn("text", extract_text("content", "relative_path")).filter("text is not null")
+    return accepted(classify(list_files(spark, root)).filter("reason is null"))
+
+
+def accepted(files: DataFrame) -> DataFrame:
+    """The same of files with their contents (relative_path, content, length, modificationTime): texts without secrets."""
+    texts = files.withColumn("text", extract_text("content", "relative_path")).filter("text is not null")
     return texts.filter(~sensitive(F.col("text"))).select("relative_path", "text", F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
