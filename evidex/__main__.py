@@ -16,7 +16,7 @@ def main(args: list[str]) -> int:
     from pyspark.sql import functions as F
 
     from .operators import identity, ingest, ledger, maintenance
-    from .sources.files import read_sources
+    from .sources.tree import read_tree
     from .sources.store import Store
     from .streaming.watch import listing
 
@@ -37,7 +37,7 @@ def main(args: list[str]) -> int:
             project, root = args[2:4]
             if why := identity.refuse_root(root):
                 raise ValueError(f"not a project folder: {why}")
-            files = read_sources(spark, root).withColumnRenamed("relative_path", "path").withColumn("mtime", F.unix_micros("modified"))
+            files = read_tree(spark, root).withColumnRenamed("relative_path", "path").withColumn("mtime", F.unix_micros("modified"))
             show(ingest.ingest(store, project, files.select("path", "text", "content_hash", "size", "mtime")))
         elif args[0] == "query":
             requests = spark.createDataFrame([(1, " ".join(args[2:]))], "request_id long, text string")

@@ -1,9 +1,9 @@
 """Text of spans from the files themselves, in place of a stored copy.
 
 A span is live while its file has the hash that the span was taken from; only then is the file's text
-returned.  Spans that are asked for more than once are read once, each file is opened by one task, which
-hashes it in blocks of 1 MB and then seeks to the spans by the stored offsets of every 64th line.  No file
-is held whole, but for those whose bytes are no UTF-8 (other code pages, word-processor files).
+returned.  Each file is hashed once, in blocks of 1 MB; the tasks that hold its spans seek to them by the stored
+offsets of every 64th line, if its size and time are still those of the hashing.  Texts read are not shuffled.
+No file is held whole, but for those whose bytes are no UTF-8 (other code pages, word-processor files).
 
 Files lie below one root, a folder or URI that all executors see.
 
@@ -31,7 +31,7 @@ from ..sources.files import decode_bytes, docx_text
 
 STEP, BLOCK, SALTS = 64, 1 << 20, 16
 BREAK = re.compile(rb"\r\n?|\n")
-SPAN = ["at_path", "at_hash", "at_start", "at_end"]
+STATE = ["place", "live_hash", "live_size", "live_time"]
 
 
 def offsets_of(data: bytes) -> list[int] | None:
@@ -62,25 +62,20 @@ def below(path: str) -> bool:
 
 
 class _File:
-    """A live file: its hash from one pass, then lines by offset."""
+    """A live file of known size and time, from which lines are read by offset."""
 
-    def __init__(self, fs, base: str, path: str | None):
-        self.path, self.source, self.hash, self.lines = path, None, None, None
-        if path is None or not below(path):
-            return
+    def __init__(self, fs, base: str, path: str, size: int, time: int):
+        self.path, self.size, self.time, self.source, self.lines = path, size, time, None, None
         try:
-            self.source = fs.open_input_file(f"{base}/{path}")
-            digest = hashlib.sha256()
-            while block := self.source.read(BLOCK):
-                digest.update(block)
-            self.hash, self.size = digest.hexdigest(), self.source.tell()
+            info = fs.get_file_info(f"{base}/{path}")
+            if (info.size, info.mtime_ns) == (size, time):
+                self.source = fs.open_input_file(info.path)
         except OSError:
-            self.close()
+            pass
 
     def close(self) -> None:
         if self.source is not None:
             self.source.close()
-        self.source = self.hash = None
 
     def read(self, start: int, end: int) -> bytes:
         self.source.seek(start)
@@ -106,27 +101,57 @@ class _File:
         return "\n".join(lines[first - 1 - page * STEP : last - page * STEP]).strip()
 
 
-def _reader(root: str):
+def states(paths: DataFrame, root: str) -> DataFrame:
+    """place, live_hash, live_size, live_time of files (place) as they are; null where there is no such file to read.
+
+    Each file is read in blocks of 1 MB by one task."""
+    where = uri(root)
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(where)
+        for batch in batches:
+            rows = []
+            for place in batch.column("place").to_pylist():
+                found = (None, None, None)
+                try:
+                    info = fs.get_file_info(f"{base}/{place}") if below(place) else None
+                    if info is not None and info.type == pafs.FileType.File:
+                        digest = hashlib.sha256()
+                        with fs.open_input_stream(info.path) as source:
+                            while block := source.read(BLOCK):
+                                digest.update(block)
+                        found = (digest.hexdigest(), info.size, info.mtime_ns)
+                except OSError:
+                    pass
+                rows.append((place, *found))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=STATE)
+
+    return paths.mapInArrow(run, "place string, live_hash string, live_size long, live_time long")
+
+
+def _reader(root: str, names: list[str]):
     def read(batches):
         fs, base = pafs.FileSystem.from_uri(root)
         held = None
         try:
             for batch in batches:
-                texts, states = [], []
-                for path, want, first, last, offsets in zip(*(batch.column(n).to_pylist() for n in ("at_place", *SPAN[1:], "offsets"))):
-                    if held is None or held.path != path:
-                        if held:
-                            held.close()
-                        held = _File(fs, base, path)
-                    same = held.hash is not None and held.hash == want
-                    try:
-                        text = held.text(first, last, offsets) if same else None
-                    except OSError:
-                        text = None
+                texts, found = [], []
+                for place, now, size, time, want, first, last, offsets in zip(*(batch.column(n).to_pylist() for n in (*STATE, "at_hash", "at_start", "at_end", "offsets"))):
+                    text, state = None, "missing" if now is None else "changed"
+                    if now is not None and now == want:
+                        if held is None or (held.path, held.time) != (place, time):
+                            if held:
+                                held.close()
+                            held = _File(fs, base, place, size, time)
+                        try:
+                            text = held.text(first, last, offsets) if held.source else None
+                            state = "live" if text is not None else "missing" if held.source else "changed"
+                        except OSError:
+                            state = "missing"
                     texts.append(text)
-                    states.append("missing" if held.hash is None or (same and text is None) else "live" if same else "changed")
-                kept = [batch.column(n) for n in (*SPAN, "salts")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array(states, pa.string())], names=[*SPAN, "salts", "live_text", "live_state"])
+                    found.append(state)
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(found, pa.string())], names=[*names, "live_text", "live_state"])
         finally:
             if held:
                 held.close()
@@ -143,32 +168,31 @@ def uri(root: str) -> str:
 def hydrate(refs: DataFrame, root: str, index: DataFrame, moved: DataFrame | None = None) -> DataFrame:
     """refs with text, stale and live_state: the live file's text where it is what the span was taken from.
 
-    refs: path, content_hash, line_start, line_end, text, any others; where they have chunk_hash, the text read
-    must have it too, so a file edited between its hashing and its reading is found out.  index: ``line_index``
-    of the files as they were taken; without a row of it a file is decoded whole.  moved: old_path, path of
-    files that are elsewhere by now (``ledger.renames``)."""
+    refs: path, content_hash, line_start, line_end, text, any others that Arrow has types for; where they have
+    chunk_hash, the text read must have it too.  index: ``line_index`` of the files as they were taken; without a
+    row of it a file is decoded whole.  moved: old_path, path of files that are elsewhere by now (``ledger.renames``)."""
     names = refs.columns
-    keys = [F.col("path"), F.col("content_hash"), F.col("line_start").cast("long"), F.col("line_end").cast("long")]
-    # Rows of one span are dealt over salts; a span that few ask for is kept under those it has.
-    rows = refs.select(F.struct(*names).alias("row"), *[k.alias(n) for k, n in zip(keys, SPAN)], F.pmod(F.xxhash64(*_hashable(refs)), F.lit(SALTS)).alias("salt"))
-    spans = rows.groupBy(*SPAN).agg(F.collect_set("salt").alias("salts"))
-    lines = index.select(F.col("path").alias("at_path"), F.col("content_hash").alias("at_hash"), "offsets")
-    spans = spans.join(lines, ["at_path", "at_hash"], "left")
+    # The rows of a file are dealt over salts: a file that many ask for is read by as many tasks as it has of them.
+    salt = F.pmod(F.xxhash64(*_hashable(refs)), F.lit(SALTS)).alias("salt")
+    rows = refs.select(F.struct(*names).alias("row"), F.col("path").alias("at_path"), F.col("content_hash").alias("at_hash"), F.col("line_start").cast("long").alias("at_start"), F.col("line_end").cast("long").alias("at_end"), salt)
+    asked = rows.groupBy("at_path", "at_hash").agg(F.collect_set("salt").alias("salts")).filter("at_path is not null")
     if moved is not None:
-        spans = spans.join(moved.groupBy(F.col("old_path").alias("at_path")).agg(F.min("path").alias("to")), "at_path", "left")
-    place = F.coalesce("to", "at_path") if moved is not None else F.col("at_path")
-    dealt = spans.select(*SPAN, "salts", "offsets", place.alias("at_place")).repartition("at_place").sortWithinPartitions("at_place", "at_hash", "at_start")
-    schema = T.StructType([*(dealt.schema[n] for n in (*SPAN, "salts")), T.StructField("live_text", T.StringType()), T.StructField("live_state", T.StringType())])
-    read = dealt.mapInArrow(_reader(uri(root)), schema).withColumn("salt", F.explode("salts")).drop("salts")
-    same = [rows[n].eqNullSafe(read[n]) for n in (*SPAN, "salt")]
-    met = rows.join(read, same, "left")
+        asked = asked.join(moved.groupBy(F.col("old_path").alias("at_path")).agg(F.min("path").alias("to")), "at_path", "left")
+    asked = asked.withColumn("place", F.coalesce("to", "at_path") if moved is not None else F.col("at_path"))
+    lines = index.select(F.col("path").alias("at_path"), F.col("content_hash").alias("at_hash"), "offsets")
+    live = states(asked.select("place").distinct(), root)
+    known = asked.join(lines, ["at_path", "at_hash"], "left").join(live, "place").select(F.col("at_path").alias("of_path"), F.col("at_hash").alias("of_hash"), F.explode("salts").alias("of_salt"), *STATE, "offsets")
+    same = (F.col("at_path") == F.col("of_path")) & F.col("at_hash").eqNullSafe(F.col("of_hash")) & (F.col("salt") == F.col("of_salt"))
+    met = rows.join(known, same, "left").select("row", *STATE, "at_hash", "at_start", "at_end", "offsets")
+    schema = T.StructType([met.schema["row"], T.StructField("live_text", T.StringType()), T.StructField("live_state", T.StringType())])
+    read = met.mapInArrow(_reader(uri(root), ["row"]), schema)
     state = F.col("live_state")
     if "chunk_hash" in names:
         wrong = (state == "live") & (F.sha2("live_text", 256) != F.col("row.chunk_hash"))
         state = F.when(wrong, "changed").otherwise(state)
     text = F.when(F.col("now") == "live", F.col("live_text")).otherwise(F.coalesce("row.text", F.lit("")))
     rest = [n for n in names if n not in ("text", "stale", "live_state")]
-    return met.withColumn("now", state).select(*[F.col(f"row.`{n}`") for n in rest], text.alias("text"), (F.col("now") != "live").alias("stale"), F.col("now").alias("live_state"))
+    return read.withColumn("now", state).select(*[F.col(f"row.`{n}`") for n in rest], text.alias("text"), (F.col("now") != "live").alias("stale"), F.col("now").alias("live_state"))
 
 
 def _hashable(df: DataFrame) -> list[Column]:

@@ -176,7 +176,7 @@ def live_files(spark, d):
     taken = docs.select("doc_id", path.alias("path"), broken.cast("binary").alias("content"))
     away = k % 7 == 3
     now = taken.filter("doc_id % 7 <> 2").select(F.when(away, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")).alias("path"), F.when(k % 7 == 1, F.concat("content", F.lit(" edited").cast("binary"))).otherwise(F.col("content")).alias("content"))
-    files.write_files(now, root)
+    files.write_files(now, root, paths_differ=True)
     moved = taken.filter(away & (k % 2 == 1)).select(F.col("path").alias("old_path"), F.concat(F.lit("moved/"), "path").alias("path"))
     n = F.size(F.split(F.col("content").cast("string"), "\r\n?|\n"))
     spans = taken.select("doc_id", "path", F.sha2("content", 256).alias("content_hash"), F.split(F.col("content").cast("string"), "\r\n?|\n").alias("lines"), F.explode(F.sequence(F.lit(1), n, F.lit(5))).alias("line_start"))

@@ -127,11 +127,12 @@ def discover_projects(files: DataFrame, depth: int = 5) -> DataFrame:
     return holders.join(nested, "project", "left_anti")
 
 
-def write_files(rows: DataFrame, root: str) -> int:
+def write_files(rows: DataFrame, root: str, paths_differ: bool = False) -> int:
     """Write rows (path, content) as files below a root URI that all executors see; how many.
 
     A file appears whole, by a rename, so a task that runs twice does no harm; of rows with one path, the
-    greatest content is written.  Rows without a path or content are left out."""
+    greatest content is written; ``paths_differ`` says that there are none, which saves a shuffle of the contents.
+    Rows without a path or content are left out."""
 
     def write(batches):
         fs, base = pafs.FileSystem.from_uri(root)
@@ -145,5 +146,6 @@ def write_files(rows: DataFrame, root: str) -> int:
                 fs.move(part, final)
             yield pd.DataFrame({"n": [len(batch)]})
 
-    once = rows.filter("path is not null and content is not null").groupBy("path").agg(F.max("content").alias("content"))
+    named = rows.select("path", "content").filter("path is not null and content is not null")
+    once = named if paths_differ else named.groupBy("path").agg(F.max("content").alias("content"))
     return once.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
