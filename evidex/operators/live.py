@@ -173,7 +173,7 @@ def hydrate(refs: DataFrame, root: str, index: DataFrame, moved: DataFrame | Non
     row of it a file is decoded whole.  moved: old_path, path of files that are elsewhere by now (``ledger.renames``)."""
     names = refs.columns
     # The rows of a file are dealt over salts: a file that many ask for is read by as many tasks as it has of them.
-    salt = F.pmod(F.xxhash64(*_hashable(refs)), F.lit(SALTS)).alias("salt")
+    salt = F.pmod(F.xxhash64(*_hashable(refs.drop("text"))), F.lit(SALTS)).alias("salt")
     rows = refs.select(F.struct(*names).alias("row"), F.col("path").alias("at_path"), F.col("content_hash").alias("at_hash"), F.col("line_start").cast("long").alias("at_start"), F.col("line_end").cast("long").alias("at_end"), salt)
     asked = rows.groupBy("at_path", "at_hash").agg(F.collect_set("salt").alias("salts")).filter("at_path is not null")
     if moved is not None:
