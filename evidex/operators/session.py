@@ -168,19 +168,24 @@ def holding(inner: DataFrame, outer: DataFrame, by: str) -> DataFrame:
     """inner, outer: pairs of texts with an equal ``by`` of which the second holds the first.
 
     inner: by, inner; outer: by, outer.  A text that another holds gives it all its stretches of
-    ``GRAM`` characters, so pairs meet on one of them, chosen by its hash; shorter texts meet on all
-    they are.  So this is an equi-join, and texts without a common stretch are never compared."""
-    stretches = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
-    least = lambda xs: F.array_min(F.transform(xs, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))["x"]
-    small = inner.select(by, "inner").distinct().filter("inner <> ''")
-    large = outer.select(by, "outer").distinct()
-    long = small.filter(F.length("inner") >= GRAM).withColumn("key", least(stretches(F.col("inner"), GRAM)))
-    met = long.join(large.filter(F.length("outer") >= GRAM).withColumn("key", F.explode(F.array_distinct(stretches(F.col("outer"), GRAM)))), [by, "key"])
-    short = small.filter(F.length("inner") < GRAM)
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM - 1), F.length("outer"))), lambda n: F.transform(F.sequence(F.lit(1), F.length("outer") - n + 1), lambda i: F.substring(F.col("outer"), i, n))))
-    also = short.join(large.filter("outer <> ''").withColumn("inner", F.explode(F.array_distinct(every))), [by, "inner"])
-    pairs = met.filter(F.contains("outer", F.col("inner"))).select(by, "inner", "outer")
-    return pairs.unionByName(also.select(by, "inner", "outer"))
+    ``GRAM`` characters, so pairs meet on one of them, the one that fewest texts hold; shorter texts meet
+    on all they are.  So this is an equi-join, a common stretch costs no more than the rarest beside it, and
+    a text with a stretch that no other has is never compared.  Stretches are joined by their hashes
+    and carry no text; what they name is compared itself."""
+    small = inner.select(by, "inner").distinct().filter("inner <> ''").withColumn("n", F.least(F.length("inner"), F.lit(GRAM)))
+    sizes = [r[0] for r in small.select("n").distinct().collect()] or [GRAM]  # GRAM numbers at most
+    large = outer.select(by, "outer").distinct().withColumn("place", F.xxhash64(by, "outer"))
+    # By number, since the texts are few bytes beside the work on their stretches.
+    tasks = int(inner.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = lambda df, c: df.withColumn("i", F.explode(F.sequence(F.lit(1), F.length(c) - F.col("n") + 1))).withColumn("key", F.xxhash64(by, F.substring(F.col(c), F.col("i"), F.col("n"))))
+    every = large.repartition(tasks, "place").withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).filter(F.length("outer") >= F.col("n"))
+    # Merge joins by hint: the planner takes the stretches for no larger than the texts they are exploded from.
+    there = stretch(every, "outer").select("place", "key").hint("merge")
+    held = there.groupBy("key").agg(F.count(F.lit(1)).alias("n_held")).hint("merge")
+    own = stretch(small.repartition(tasks, "inner"), "inner").select(by, "inner", "key").join(held, "key", "left")
+    told = own.groupBy(by, "inner").agg(F.min_by("key", F.struct("n_held", "key")).alias("key"), F.bool_and(F.col("n_held").isNotNull()).alias("whole")).filter("whole")
+    met = told.select(by, "inner", "key").join(there, "key").select(by, "inner", "place").distinct()
+    return met.join(large, [by, "place"]).filter(F.contains("outer", F.col("inner"))).select(by, "inner", "outer")
 
 
 def attach_validations(answers: DataFrame, validated: DataFrame) -> DataFrame:

@@ -213,3 +213,14 @@ def test_graph_matches_anywhere_in_a_name(spark):
     scope = spark.createDataFrame([(1, "p"), (2, "p")], "request_id long, project_id string")
     got = [(r["node_id"], r["score"]) for r in graph.matches(asked, nodes, scope, nodes.filter("node_id <> 1")).orderBy("position").collect()]
     assert got == [(2, 1), (4, 3)]
+
+
+def test_texts_that_hold_others_meet_on_their_rarest_stretch(spark, capsys):
+    texts = [f"customer {i:05d} must pay in building" for i in range(0, 60, 7)] + ["must pay", "pay", "a", "", "customer 00014 must", "must pay in buildings", "éé", None]
+    wide = ["every " + x + " by noon" for x in texts if x] + texts
+    rows = lambda xs, c: spark.createDataFrame([(p, x) for p in ("p", "q", None) for x in (xs if p != "q" else xs[:5])], f"project_id string, {c} string")
+    held = session.holding(rows(texts, "inner"), rows(wide, "outer"), "project_id")
+    got = sorted(tuple(r) for r in held.collect())
+    assert got == sorted((p, x, y) for p, xs, ys in (("p", texts, wide), ("q", texts[:5], wide[:5])) for x in {*xs} - {"", None} for y in {*ys} - {None} if x in y)
+    held.explain()
+    assert capsys.readouterr().out.count("SortMergeJoin") >= 4  # stretches are never broadcast, whatever their texts' size
