@@ -64,24 +64,43 @@ def trust_order(trust):
     return F.when(trust == "verified", 0).when(trust == "observed", 1).otherwise(2)
 
 
+def alike(requests: DataFrame, scope: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests of equal terms and scope are looked up once: (first requests, their scope, first and request_id of every request).
+
+    requests: request_id, terms and perhaps scope_id; scope: project_id and scope_id, where requests have one,
+    else request_id.  The least request of those that are alike stands for all.  Only the first ``most`` terms count."""
+    asked = requests.withColumn("terms", F.slice("terms", 1, most)).filter(F.size("terms") > 0)
+    if "scope_id" in requests.columns:
+        asked = asked.select("request_id", "terms", "scope_id")
+        first = asked.groupBy("terms", "scope_id").agg(F.min("request_id").alias("first"))
+        seen = first.join(scope.select("scope_id", "project_id").distinct(), "scope_id")
+    else:
+        own = scope.groupBy("request_id").agg(F.sort_array(F.collect_set("project_id")).alias("scope_id"))
+        asked = asked.select("request_id", "terms").join(own, "request_id")
+        first = asked.groupBy("terms", "scope_id").agg(F.min("request_id").alias("first"))
+        seen = first.select("first", F.explode("scope_id").alias("project_id"))
+    whose = asked.join(first, ["terms", "scope_id"]).select("first", "request_id").distinct()
+    return first.select(F.col("first").alias("request_id"), "terms"), seen.select(F.col("first").alias("request_id"), "project_id"), whose
+
+
 def candidates(requests: DataFrame, nodes: DataFrame, scope: DataFrame) -> DataFrame:
-    """request_id, terms, node_id, kind, name, trust: the nodes that are worth a score.
+    """request_id, terms, node_id, kind, name, trust, alive: the nodes that are worth a score.
 
     In a project of up to 500 nodes that is every node, since a term may stand anywhere in a name; a
     request then meets 500 nodes of a project at most.  In a larger one a node's name is a term, or is
     among the first 48 names that begin with a term of five characters or more; both are equi-joins."""
     counts = nodes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_nodes"))
     sized = nodes.join(counts, "project_id").filter("kind <> 'project'")
-    asked = requests.select("request_id", F.slice("terms", 1, TERMS).alias("terms")).filter(F.size("terms") > 0).join(scope.select("request_id", "project_id").distinct(), "request_id")
-    fields = ["request_id", "terms", "node_id", "kind", "name", "trust"]
+    asked = requests.join(scope, "request_id")
+    fields = ["request_id", "terms", "node_id", "kind", "name", "trust", "alive"]
     small = asked.join(sized.filter(F.col("n_nodes") <= SMALL_PROJECT), "project_id").select(fields)
     large = sized.filter(F.col("n_nodes") > SMALL_PROJECT)
     tokens = asked.select("project_id", F.explode("terms").alias("term")).distinct()
-    equal = tokens.join(large.withColumnRenamed("name", "term"), ["project_id", "term"]).select("project_id", "term", F.col("term").alias("name"), "node_id", "kind", "trust")
+    equal = tokens.join(large.withColumnRenamed("name", "term"), ["project_id", "term"]).select("project_id", "term", F.col("term").alias("name"), "node_id", "kind", "trust", "alive")
     heads = tokens.filter(F.length("term") >= PREFIX_CHARS).withColumn("head", F.substring("term", 1, PREFIX_CHARS))
     begins = heads.join(large.withColumn("head", F.substring("name", 1, PREFIX_CHARS)), ["project_id", "head"]).filter(F.startswith("name", F.col("term")))
     first = F.row_number().over(W.partitionBy("project_id", "term").orderBy("name", "node_id"))
-    prefixed = begins.withColumn("r", first).filter(F.col("r") <= PREFIX_CANDIDATES).select("project_id", "term", "name", "node_id", "kind", "trust")
+    prefixed = begins.withColumn("r", first).filter(F.col("r") <= PREFIX_CANDIDATES).select("project_id", "term", "name", "node_id", "kind", "trust", "alive")
     found = equal.unionByName(prefixed)
     whose = asked.select("request_id", "project_id", "terms", F.explode("terms").alias("term"))
     return small.unionByName(whose.join(found, ["project_id", "term"]).select(fields).distinct())
@@ -93,17 +112,20 @@ def matches(requests: DataFrame, nodes: DataFrame, scope: DataFrame, live: DataF
     requests: request_id, terms; nodes: project_id, node_id, kind, name, trust; scope: request_id,
     project_id; live: node_id of nodes with an edge from a current chunk.  A name holds a term anywhere;
     with three terms or more it must hold two, or be one.  The best by score are kept, and shown by trust.
-    Requests without terms and null names match nothing."""
-    each = candidates(requests, nodes, scope)
+    Requests without terms and null names match nothing.  Many requests that see the same projects may
+    share a ``scope_id`` (see ``alike``); requests that are alike cost one look-up."""
+    first, seen, whose = alike(requests, scope, TERMS)
+    marked = nodes.join(live.select("node_id").distinct().withColumn("alive", F.lit(True)), "node_id", "left")
+    each = candidates(first, marked, seen).filter("alive")
     score = F.aggregate("terms", F.lit(0), lambda n, x: n + F.contains("name", x).cast("int"))
     exact = F.array_contains("terms", F.col("name")).cast("int")
     told = each.withColumn("exact", exact).withColumn("held", score).filter((F.col("exact") == 1) | (F.col("held") >= F.when(F.size("terms") >= 3, 2).otherwise(1)))
-    ranked = told.withColumn("score", F.col("held") + 2 * F.col("exact")).withColumn("trust_order", trust_order(F.col("trust"))).join(live.select("node_id").distinct(), "node_id", "left_semi")
+    ranked = told.withColumn("score", F.col("held") + 2 * F.col("exact")).withColumn("trust_order", trust_order(F.col("trust")))
     by = W.partitionBy("request_id")
     best = F.row_number().over(by.orderBy(F.col("score").desc(), "trust_order", "kind", "name", "node_id"))
     shown = F.row_number().over(by.orderBy("trust_order", F.col("score").desc(), "kind", "name", "node_id"))
     top = ranked.withColumn("r", best).filter(F.col("r") <= cap)
-    return top.withColumn("position", shown).select("request_id", "node_id", "score", "exact", "position")
+    return top.withColumn("position", shown).withColumnRenamed("request_id", "first").join(whose, "first").select("request_id", "node_id", "score", "exact", "position")
 
 
 # Terms that a claim of the ledger is looked up by, the newest taken, terms it must hold, claims added.

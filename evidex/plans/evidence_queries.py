@@ -153,8 +153,8 @@ def graph_match(spark, d):
     symbols = suppliers.select(F.lit("plarge").alias("project_id"), (-s).alias("node_id"), F.lit("symbol").alias("kind"), F.concat(F.lit("part "), text(s % 30)).alias("name"), F.lit("observed").alias("trust"))
     nodes = parts.unionByName(symbols)
     terms = F.when(s % 3 == 0, F.array(F.concat(F.lit("part "), text(s % 30)))).otherwise(F.array(F.lit("part"), text(s % 9), F.concat(F.lit("part 1"), text(s % 9))))
-    asked = suppliers.select(s.alias("request_id"), terms.alias("terms"))
-    scope = asked.select("request_id", F.lit(1).alias("all")).join(nodes.select("project_id", F.lit(1).alias("all")).distinct(), "all")
+    asked = suppliers.select(s.alias("request_id"), terms.alias("terms"), F.lit(1).alias("scope_id"))  # all see all projects
+    scope = nodes.select(F.lit(1).alias("scope_id"), "project_id").distinct()
     return graph.matches(asked, nodes, scope, nodes.filter("node_id % 7 <> 0"))
 
 

@@ -224,3 +224,16 @@ def test_texts_that_hold_others_meet_on_their_rarest_stretch(spark, capsys):
     assert got == sorted((p, x, y) for p, xs, ys in (("p", texts, wide), ("q", texts[:5], wide[:5])) for x in {*xs} - {"", None} for y in {*ys} - {None} if x in y)
     held.explain()
     assert capsys.readouterr().out.count("SortMergeJoin") >= 4  # stretches are never broadcast, whatever their texts' size
+
+
+def test_requests_alike_are_looked_up_once(spark):
+    nodes = spark.createDataFrame([(p, 10 * k + i, "topic", f"{w} {i}", "observed") for k, p in enumerate("pq") for i, w in enumerate(["export", "export", "import"])], "project_id string, node_id long, kind string, name string, trust string")
+    asked = spark.createDataFrame([(i, ["export"] if i % 2 else ["import"], i % 3) for i in range(1, 31)], "request_id long, terms array<string>, scope_id int")
+    scope = spark.createDataFrame([(0, "p"), (1, "p"), (1, "q"), (2, "q")], "scope_id int, project_id string")
+    each = asked.join(scope, "scope_id").select("request_id", "project_id")
+    assert graph.alike(asked, scope, 8)[0].count() == graph.alike(asked.drop("scope_id"), each, 8)[0].count() == 6
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    both = rows(graph.matches(asked, nodes, scope, nodes))
+    assert both == rows(graph.matches(asked.drop("scope_id"), nodes, each, nodes))
+    alone = [r for i in range(1, 7) for r in rows(graph.matches(asked.filter(f"request_id = {i}"), nodes, scope, nodes))]
+    assert [r for r in both if r[0] <= 6] == alone and len({r[0] for r in both}) == 30
