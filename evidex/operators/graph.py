@@ -137,13 +137,14 @@ def ledger_claims(requests: DataFrame, claims: DataFrame, scope: DataFrame) -> D
 
     requests: request_id, terms; claims: project_id, claim_id, normalized_text, trust_state, created_at;
     scope: request_id, project_id.  Of the claims that hold one of the first six terms the newest 200 are
-    looked at; two terms are needed, one where the request has no more.  Claims of this kind are made by
-    hand or by proposal, so a scope has few; they meet requests on the project."""
-    asked = requests.select("request_id", F.slice("terms", 1, CLAIM_TERMS).alias("terms")).filter(F.size("terms") > 0)
-    met = asked.join(scope.select("request_id", "project_id").distinct(), "request_id").join(claims.filter("trust_state in ('verified', 'proposed')"), "project_id")
+    looked at; two terms are needed, one where the request has no more.  They meet requests on the project, and
+    requests that are alike (see there) meet them once."""
+    asked, seen, whose = alike(requests, scope, CLAIM_TERMS)
+    met = asked.join(seen, "request_id").join(claims.filter("trust_state in ('verified', 'proposed')"), "project_id")
     held = F.aggregate("terms", F.lit(0), lambda n, x: n + F.contains("normalized_text", x).cast("int"))
     any_term = met.withColumn("held", held).filter("held > 0")
     new = any_term.withColumn("r", F.row_number().over(W.partitionBy("request_id").orderBy(F.col("created_at").desc(), "claim_id"))).filter(F.col("r") <= NEWEST)
     kept = new.filter(F.col("held") >= F.least(F.lit(HELD), F.size("terms")))
     place = F.row_number().over(W.partitionBy("request_id").orderBy("r"))
-    return kept.withColumn("position", place).filter(F.col("position") <= EXTRA).select("request_id", "claim_id", "held", "position")
+    few = kept.withColumn("position", place).filter(F.col("position") <= EXTRA).withColumnRenamed("request_id", "first")
+    return few.join(whose, "first").select("request_id", "claim_id", "held", "position")

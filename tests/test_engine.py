@@ -237,3 +237,15 @@ def test_requests_alike_are_looked_up_once(spark):
     assert both == rows(graph.matches(asked.drop("scope_id"), nodes, each, nodes))
     alone = [r for i in range(1, 7) for r in rows(graph.matches(asked.filter(f"request_id = {i}"), nodes, scope, nodes))]
     assert [r for r in both if r[0] <= 6] == alone and len({r[0] for r in both}) == 30
+
+
+def test_claims_of_requests_alike(spark):
+    claims = spark.createDataFrame([(p, f"{p}{i}", f"must pay {i % 3} fee", "proposed" if i % 2 else "observed", i) for p in "pq" for i in range(40)], "project_id string, claim_id string, normalized_text string, trust_state string, created_at long")
+    asked = spark.createDataFrame([(i, [["pay", "fee"], ["1"], []][i % 3]) for i in range(12)], "request_id long, terms array<string>")
+    scope = spark.createDataFrame([(i, p) for i in range(12) for p in ("pq" if i % 2 else "q")], "request_id long, project_id string")
+    got = {}
+    for r in graph.ledger_claims(asked, claims, scope).orderBy("request_id", "position").collect():
+        got.setdefault(r["request_id"], []).append(r["claim_id"])
+    assert graph.alike(asked, scope, 6)[0].count() == 4
+    assert got[0] == got[6] == ["q39", "q37", "q35", "q33"] and got[3] == got[9] == ["p39", "q39", "p37", "q37"]
+    assert got[4] == ["q37", "q31", "q25", "q19"] and sorted(got) == [0, 1, 3, 4, 6, 7, 9, 10]
