@@ -28,8 +28,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one of the least id.
 
-    Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return jaccard.dedup(docs, shingle=5, similarity=0.8)
+    Linked are texts whose SimHash fingerprints of four-word shingles differ by 4 bits at most, found by covering
+    masks as in ``op4``, and texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard.dedup(docs, shingle=5, similarity=0.8, radius=4)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Such pairs lie about 10 of 64 bits apart as SimHash fingerprints, and often 15 or more, which no
 feasible number of covering masks reaches.  So candidates come from min-hashes here, and what decides
 is the similarity of the sets themselves: ``BANDS`` keys of ``ROWS`` min-hashes each, of which a pair of
-similarity s shares one but for a chance of (1 - s**ROWS) ** BANDS, 4e-7 at 0.8 and less above.
+similarity s shares one but for a chance of (1 - s**ROWS) ** BANDS, 4e-7 at 0.8 and less above.  With a ``radius``, the links of ``simhash`` are added to these.
 
 Scale: equal sets collapse to one before anything else.  Sets that share a key are joined to the least
 of them, and connected sets form a candidate cluster; only sets of clusters move, once unless their
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, materialize, worker_memory
 from .learning import slices
-from .simhash import SEED, contract, first_row, one_each, shingle_hashes
+from .simhash import SEED, contract, fingerprints, first_row, one_each, rooted, shingle_hashes
 
 ROWS, BANDS = 4, 28
 #: Odd factors: each orders the shingle hashes in its own way.
@@ -136,11 +136,24 @@ def links(prints: DataFrame, distinct: DataFrame, similarity: float, block: int)
     return full.groupBy("root", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, block: int = 1 << 20) -> DataFrame:
-    """first (see ``simhash.first_row``) of each group."""
+def near_prints(docs: DataFrame, texts: DataFrame, radius: int, cell: int) -> DataFrame:
+    """(a, b): pairs of sets that join all groups of texts whose SimHash fingerprints are linked; ``texts``: th, sid of every text.
+
+    Fingerprints are those of ``simhash``: four-word shingles, linked within ``radius`` bits by covering masks."""
+    prints = materialize(fingerprints(docs, 4, F.xxhash64("text").alias("th")).select("th", "fp").distinct(), "near-prints")
+    grouped = prints.join(rooted(prints, F.min("th"), radius, cell), "fp").join(texts, "th").select("root", "sid").distinct()
+    least = grouped.groupBy("root").agg(F.min("sid").alias("lead"), F.count(F.lit(1)).alias("shared")).filter("shared > 1")
+    return grouped.join(least, "root").filter("sid <> lead").select(F.col("sid").alias("a"), F.col("lead").alias("b"))
+
+
+def groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, block: int = 1 << 20, radius: int | None = None, cell: int = 1024) -> DataFrame:
+    """first (see ``simhash.first_row``) of each group; with a ``radius``, SimHash fingerprints within it link as well."""
     prints = materialize(shingle_sets(docs, shingle), "jaccard", "snappy")
     distinct = materialize(prints.groupBy("sid").agg(first_row().alias("first"), F.min("rid").alias("rid"), F.min("n").alias("n")), "jaccard-distinct")
-    roots = contract(links(prints, distinct, similarity, block), "jaccard")
+    found = links(prints, distinct, similarity, block)
+    if radius is not None:
+        found = found.unionByName(near_prints(docs, prints.select("th", "sid").distinct(), radius, cell))
+    roots = contract(found, "jaccard")
     for path in {f.rsplit("/", 1)[0] for f in prints.inputFiles()}:  # the sets are as large as the texts
         drop_path(docs.sparkSession, path)
     rooted = distinct.withColumn("h", F.xxhash64("sid")).join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))

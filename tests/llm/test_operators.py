@@ -198,6 +198,20 @@ def test_pipeline_finds_edited_copies(spark, docs):
     assert jaccard.dedup(docs.limit(0)).count() == 0
 
 
+def test_pipeline_links_near_fingerprints_too(spark):
+    """Texts of few distinct words, often repeated: one bit apart as fingerprints, but unlike as sets."""
+    import corpus_pipeline
+
+    a = " ".join(["one two three four five"] * 300)
+    rows = [(1, a), (2, a + " six seven eight nine ten eleven twelve thirteen"), (3, "another text of other words entirely, that nobody else has"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = {tuple(sorted((r["doc_id"], r["component_id"]))) for r in simhash.components(df).collect()}
+    assert (1, 2) in linked
+    kept_ = lambda x: sorted(r["doc_id"] for r in x.collect())
+    assert kept_(jaccard.dedup(df)) == [1, 2, 3, 4]
+    assert kept_(corpus_pipeline.drop_near_duplicates(spark, df, "")) == [1, 3, 4]
+
+
 @pytest.mark.parametrize("module", [simhash, jaccard])
 def test_dedup_decides_by_row(spark, module):
     """Copies without id collapse, also onto one with an id; unlike texts under one id both stay."""
