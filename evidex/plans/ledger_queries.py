@@ -313,7 +313,11 @@ def merge_mapping(spark, d):
 @query("j14_structure_matches", "WITH s AS (SELECT s_suppkey AS id, md5((s_nationkey % 9)::VARCHAR) AS h FROM supplier) SELECT a.id AS left_id, b.id AS right_id FROM s a JOIN s b ON a.h = b.h AND a.id < b.id")
 def structure_matches(spark, d):
     s = tb.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.md5((F.col("s_nationkey") % 9).cast("string").cast("binary")).alias("h"))
-    return s.select(F.col("id").alias("left_id"), "h").join(s.select(F.col("id").alias("right_id"), "h"), "h").filter("left_id < right_id").select("left_id", "right_id")
+    # A signature of many projects is dealt out: each stretch of its left rows meets all its right rows in a task of its own.
+    tasks, parts = int(spark.conf.get("spark.sql.shuffle.partitions")), 32
+    left = s.select(F.col("id").alias("left_id"), "h", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")).repartition(tasks, "h", "part")
+    right = s.select(F.col("id").alias("right_id"), "h", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition(tasks, "h", "part")
+    return left.join(right.hint("merge"), ["h", "part"]).filter("left_id < right_id").select("left_id", "right_id")
 
 
 @query("c13_resolve_claims", _sql(tb.CLAIMS) + """, refs AS (SELECT CASE WHEN no % 3 = 0 THEN claim_id WHEN no % 3 = 1 THEN claim_id[1:9] ELSE normalized_text END AS reference FROM claims),

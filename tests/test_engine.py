@@ -249,3 +249,14 @@ def test_claims_of_requests_alike(spark):
     assert graph.alike(asked, scope, 6)[0].count() == 4
     assert got[0] == got[6] == ["q39", "q37", "q35", "q33"] and got[3] == got[9] == ["p39", "q39", "p37", "q37"]
     assert got[4] == ["q37", "q31", "q25", "q19"] and sorted(got) == [0, 1, 3, 4, 6, 7, 9, 10]
+
+
+def test_pairs_of_one_signature_are_dealt_to_many_tasks(spark):
+    """Nine signatures: without a part in the key no more than nine tasks, or one, would make all pairs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        made = registry.queries()["j14_structure_matches"](spark, "/root/testdata/sf0.01")
+        assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 30
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
