@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, materialize, worker_memory
 from .learning import slices
-from .simhash import SEED, contract, fingerprints, first_row, one_each, rooted, shingle_hashes
+from .simhash import SEED, contract, fingerprints, first_row, one_each, shingle_hashes
+from .simhash import links as print_links
 
 ROWS, BANDS = 4, 28
 #: Odd factors: each orders the shingle hashes in its own way.
@@ -139,11 +140,14 @@ def links(prints: DataFrame, distinct: DataFrame, similarity: float, block: int)
 def near_prints(docs: DataFrame, texts: DataFrame, radius: int, cell: int) -> DataFrame:
     """(a, b): pairs of sets that join all groups of texts whose SimHash fingerprints are linked; ``texts``: th, sid of every text.
 
-    Fingerprints are those of ``simhash``: four-word shingles, linked within ``radius`` bits by covering masks."""
-    prints = materialize(fingerprints(docs, 4, F.xxhash64("text").alias("th")).select("th", "fp").distinct(), "near-prints")
-    grouped = prints.join(rooted(prints, F.min("th"), radius, cell), "fp").join(texts, "th").select("root", "sid").distinct()
-    least = grouped.groupBy("root").agg(F.min("sid").alias("lead"), F.count(F.lit(1)).alias("shared")).filter("shared > 1")
-    return grouped.join(least, "root").filter("sid <> lead").select(F.col("sid").alias("a"), F.col("lead").alias("b"))
+    Fingerprints are those of ``simhash``: four-word shingles, linked within ``radius`` bits by covering masks.
+    Their groups are not contracted here but with those of the sets, in the same rounds."""
+    prints = materialize(fingerprints(docs, 4, F.xxhash64("text").alias("th")).join(texts, "th").select("fp", "sid").distinct(), "near-prints")
+    least = materialize(prints.groupBy("fp").agg(F.min("sid").alias("lead")), "near-least")
+    same = prints.join(least, "fp").filter("sid <> lead").select(F.col("sid").alias("a"), F.col("lead").alias("b"))
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
+    met = print_links(least, radius, cell).join(of("a"), "a").join(of("b"), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
+    return same.unionByName(met.filter("a <> b"))
 
 
 def groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, block: int = 1 << 20, radius: int | None = None, cell: int = 1024) -> DataFrame:

@@ -212,6 +212,18 @@ def test_pipeline_links_near_fingerprints_too(spark):
     assert kept_(corpus_pipeline.drop_near_duplicates(spark, df, "")) == [1, 3, 4]
 
 
+def test_near_fingerprints_join_the_rounds_of_the_sets(spark, monkeypatch):
+    """Fingerprint links are contracted with those of the sets; a round has some ten stages, whose tasks the driver remembers."""
+    a = " ".join(["one two three four five"] * 300)
+    tails = ["", " six seven eight nine ten eleven twelve thirteen", " six seven eight nine", " SIX seven eight nine"]
+    df = spark.createDataFrame([(i, a + x) for i, x in enumerate(tails)] + [(9, "another text"), (10, "another text")], "doc_id long, text string")
+    contracted = []
+    for module in (jaccard, simhash):
+        monkeypatch.setattr(module, "contract", lambda edges, name="groups", f=simhash.contract: contracted.append(name) or f(edges, name))
+    assert sorted(r["doc_id"] for r in jaccard.dedup(df, radius=4).collect()) == [0, 9]
+    assert contracted == ["candidates", "jaccard"]
+
+
 @pytest.mark.parametrize("module", [simhash, jaccard])
 def test_dedup_decides_by_row(spark, module):
     """Copies without id collapse, also onto one with an id; unlike texts under one id both stay."""
