@@ -76,19 +76,21 @@ def use_decision(states: DataFrame, known: bool, max_refresh: int = 25) -> str:
 def renames(listing: DataFrame, sources: DataFrame) -> DataFrame:
     """path, old_path: new paths whose hash belongs to exactly one known source that is not in this listing.
 
-    Counts are combined before the join, so a hash that very many files share is never paired out."""
-    fresh = listing.join(sources.select("path"), "path", "left_anti").select("path", "content_hash")
-    gone = sources.join(listing.select("path"), "path", "left_anti").select(F.col("path").alias("old_path"), F.col("current_hash").alias("content_hash"))
+    Counts are combined before the join, so a hash that very many files share is never paired out.  Merge joins
+    by hint: paths and hashes are far larger in memory than the file that the planner judges them by."""
+    fresh = listing.join(sources.select("path").hint("merge"), "path", "left_anti").select("path", "content_hash")
+    gone = sources.join(listing.select("path").hint("merge"), "path", "left_anti").select(F.col("path").alias("old_path"), F.col("current_hash").alias("content_hash"))
     only = gone.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("old_path").alias("old_path")).filter("n = 1").drop("n")
     first = fresh.groupBy("content_hash").agg(F.min("path").alias("path"))
-    return first.join(only, "content_hash").select("path", "old_path")
+    return first.join(only.hint("merge"), "content_hash").select("path", "old_path")
 
 
 def version_actions(listing: DataFrame, sources: DataFrame, versions: DataFrame) -> DataFrame:
-    """path, action of every listed file: touch, rename, revert, update or insert."""
+    """path, action of every listed file: touch, rename, revert, update or insert.  Merge joins as in ``renames``."""
     known = sources.select("path", "source_id", "current_hash")
-    had = versions.select("source_id", "content_hash").distinct().withColumn("had", F.lit(True))
-    met = listing.select("path", "content_hash").join(known, "path", "left").join(had, ["source_id", "content_hash"], "left").join(renames(listing, sources).withColumn("moved", F.lit(True)).select("path", "moved"), "path", "left")
+    # dealt out first: a file's few tasks would each hold all their versions
+    had = versions.select("source_id", "content_hash").repartition("source_id", "content_hash").distinct().withColumn("had", F.lit(True))
+    met = listing.select("path", "content_hash").join(known.hint("merge"), "path", "left").join(had.hint("merge"), ["source_id", "content_hash"], "left").join(renames(listing, sources).withColumn("moved", F.lit(True)).select("path", "moved").hint("merge"), "path", "left")
     action = F.when(F.col("source_id").isNull(), F.when(F.col("moved"), "rename").otherwise("insert")).when(F.col("current_hash") == F.col("content_hash"), "touch").when(F.col("had"), "revert").otherwise("update")
     return met.select("path", action.alias("action"))
 
