@@ -99,7 +99,7 @@ def compacted(packets: DataFrame, budget: int = 4000, terms: DataFrame | None =
     # a conflict that does not fit whole, by two of its excerpts
     tight = found.filter(~F.col("fits") & F.col("disagreeing") & (F.col("torn") > F.col("room")))
     sides = tight.select("request_id", F.col("place").alias("chunk_id"), "path", "text")
-    shown = evidence.conflict_witness(evidence.disagreements(sides), sides).select("request_id", F.explode(F.array("negated_chunk", "affirmed_chunk")).alias("place"))
+    shown = evidence.conflict_witness(sides).select("request_id", F.explode(F.array("negated_chunk", "affirmed_chunk")).alias("place"))
     pair = tight.join(shown, ["request_id", "place"]).select("request_id", "place", F.sum("n").over(by).alias("pair_bytes"))
     marked = found.join(pair, ["request_id", "place"], "left").withColumn("pair", F.max("pair_bytes").over(by))
     by_pair = F.col("torn") > F.col("room")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.lines import sentences_udf
+from ..sources.store import kept
 
 CLAIM_CHARS = (12, 600)
 
@@ -32,27 +33,32 @@ def claims(chunks: DataFrame) -> DataFrame:
     return rows.select("claim_id", "project_id", "normalized_text", "display_text", "n_evidence")
 
 
-def disagreements(spans: DataFrame) -> DataFrame:
-    """request_id, negated_chunk, affirmed_chunk: spans of different paths whose sentences conflict about one topic.
+def conflicts(spans: DataFrame) -> DataFrame:
+    """request_id, negated_chunk, affirmed_chunk, size (of both texts): a row a pair of sentences of different paths that conflict about one topic.
+
+    spans: request_id, chunk_id, path, text.  Sentences are read once and written without their texts.  They
+    meet on (request, topic word), so no two sentences without a shared word are ever paired; two shared
+    words and half of the smaller topic count.  A pair counts at the first word that it shares, so its
+    words need not be brought together again.  A merge join by hint: the planner takes the rows for no
+    larger than the file that they are exploded from."""
+    sized = spans.withColumn("size", F.length("text"))
+    polar = sentence_rows(sized).withColumn("neg", t.negated(F.col("sentence"))).withColumn("aff", t.affirmed(F.col("sentence"))).filter("neg or aff")
+    about = kept(polar.select("request_id", "chunk_id", "path", "size", "neg", t.topics(F.col("sentence")).alias("topics")), "polar")
+    side = lambda neg, p: about.filter(F.col("neg") == neg).select("request_id", *[F.col(c).alias(f"{p}_{c}") for c in ("chunk_id", "path", "size", "topics")], F.explode("topics").alias("topic"))
+    met = side(True, "l").join(side(False, "r").hint("merge"), ["request_id", "topic"]).filter("l_path <> r_path")
+    pairs = met.withColumn("shared", F.array_intersect("l_topics", "r_topics")).filter((F.get("shared", F.lit(0)) == F.col("topic")) & (F.size("shared") >= 2) & (F.size("shared") * 2 >= F.least(F.size("l_topics"), F.size("r_topics"))))
+    return pairs.select("request_id", F.col("l_chunk_id").alias("negated_chunk"), F.col("r_chunk_id").alias("affirmed_chunk"), (F.col("l_size") + F.col("r_size")).alias("size"))
 
-    spans: request_id, chunk_id, path, text.  Sentences meet on (request, topic word), so no two
-    sentences without a shared word are ever paired; two shared words and half of the smaller topic count."""
-    polar = sentence_rows(spans).withColumn("neg", t.negated(F.col("sentence"))).withColumn("aff", t.affirmed(F.col("sentence"))).filter("neg or aff")
-    keyed = polar.withColumn("topics", t.topics(F.col("sentence"))).select("request_id", "chunk_id", "path", "sentence_no", "neg", F.size("topics").alias("n"), F.explode("topics").alias("topic"))
-    side = lambda neg, p: keyed.filter(F.col("neg") == neg).select("request_id", "topic", *[F.col(c).alias(f"{p}_{c}") for c in ("chunk_id", "path", "sentence_no", "n")])
-    met = side(True, "l").join(side(False, "r"), ["request_id", "topic"]).filter("l_path <> r_path")
-    pairs = met.groupBy("request_id", "l_chunk_id", "l_sentence_no", "r_chunk_id", "r_sentence_no", "l_n", "r_n").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.filter("shared >= 2 and shared * 2 >= least(l_n, r_n)").select("request_id", F.col("l_chunk_id").alias("negated_chunk"), F.col("r_chunk_id").alias("affirmed_chunk")).distinct()
+
+def disagreements(spans: DataFrame) -> DataFrame:
+    """request_id, negated_chunk, affirmed_chunk: spans of different paths whose sentences conflict; arguments as in ``conflicts``."""
+    return conflicts(spans).drop("size").distinct()
 
 
-def conflict_witness(pairs: DataFrame, spans: DataFrame) -> DataFrame:
+def conflict_witness(spans: DataFrame) -> DataFrame:
     """The smallest pair of spans that shows each request's conflict: request_id, negated_chunk, affirmed_chunk, size."""
-    size = spans.select("request_id", "chunk_id", F.length("text").alias("n"))
-    left = size.select("request_id", F.col("chunk_id").alias("negated_chunk"), F.col("n").alias("a"))
-    right = size.select("request_id", F.col("chunk_id").alias("affirmed_chunk"), F.col("n").alias("b"))
-    sized = pairs.join(left, ["request_id", "negated_chunk"]).join(right, ["request_id", "affirmed_chunk"])
-    best = F.min(F.struct((F.col("a") + F.col("b")).alias("size"), "negated_chunk", "affirmed_chunk"))
-    return sized.groupBy("request_id").agg(best.alias("b")).select("request_id", "b.negated_chunk", "b.affirmed_chunk", "b.size")
+    best = F.min(F.struct("size", "negated_chunk", "affirmed_chunk"))
+    return conflicts(spans).groupBy("request_id").agg(best.alias("b")).select("request_id", "b.negated_chunk", "b.affirmed_chunk", "b.size")
 
 
 def evidence_sentences(spans: DataFrame) -> DataFrame:
@@ -134,9 +140,9 @@ def claim_items(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     return about.withColumn("supports", supports).filter("supports is not null").select("request_id", "supports", *_places(evidence))
 
 
-def check_claims(questions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """request_id, answer, support, oppose of claim questions; arguments as in ``claim_items``."""
-    counts = claim_items(questions, evidence).groupBy("request_id").agg(F.count_if("supports").alias("support"), F.count_if(~F.col("supports")).alias("oppose"))
+def check_claims(questions: DataFrame, evidence: DataFrame | None, items: DataFrame | None = None) -> DataFrame:
+    """request_id, answer, support, oppose of claim questions; arguments as in ``claim_items``, or its rows as ``items``."""
+    counts = (claim_items(questions, evidence) if items is None else items).groupBy("request_id").agg(F.count_if("supports").alias("support"), F.count_if(~F.col("supports")).alias("oppose"))
     full = questions.select("request_id").join(counts, "request_id", "left").na.fill(0, ["support", "oppose"])
     answer = F.when((F.col("support") > 0) & (F.col("oppose") > 0), "disagreement").when(F.col("support") > 0, "supported").when(F.col("oppose") > 0, "contradicted").otherwise("unknown")
     return full.select("request_id", answer.alias("answer"), "support", "oppose")
@@ -170,9 +176,9 @@ def choice_items(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     return hit.select("request_id", "option", (~t.negated(F.col("clause"))).alias("supports"), *_places(evidence)).distinct()
 
 
-def check_choices(questions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """request_id, answer, chosen of choice questions: never a tie broken by rank; arguments as in ``choice_items``."""
-    sides = choice_items(questions, evidence).groupBy("request_id", "option").agg(F.count_if("supports").alias("n_for"), F.count_if(~F.col("supports")).alias("n_against"))
+def check_choices(questions: DataFrame, evidence: DataFrame | None, items: DataFrame | None = None) -> DataFrame:
+    """request_id, answer, chosen of choice questions: never a tie broken by rank; arguments as in ``choice_items``, or its rows as ``items``."""
+    sides = (choice_items(questions, evidence) if items is None else items).groupBy("request_id", "option").agg(F.count_if("supports").alias("n_for"), F.count_if(~F.col("supports")).alias("n_against"))
     per = sides.groupBy("request_id").agg(
         F.count_if(F.col("n_for") > 0).alias("supported"),
         F.count_if((F.col("n_for") > 0) & (F.col("n_against") > 0)).alias("torn"),
@@ -201,9 +207,9 @@ def value_items(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     return found.select("request_id", value.alias("value"), *_places(evidence))
 
 
-def check_values(questions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """request_id, answer, n_values, value (number) of value questions; arguments as in ``value_items``."""
-    per = value_items(questions, evidence).groupBy("request_id").agg(F.countDistinct("value").alias("n_values"), F.min("value").alias("text_value"))
+def check_values(questions: DataFrame, evidence: DataFrame | None, items: DataFrame | None = None) -> DataFrame:
+    """request_id, answer, n_values, value (number) of value questions; arguments as in ``value_items``, or its rows as ``items``."""
+    per = (value_items(questions, evidence) if items is None else items).groupBy("request_id").agg(F.countDistinct("value").alias("n_values"), F.min("value").alias("text_value"))
     full = questions.select("request_id").join(per, "request_id", "left").na.fill(0, ["n_values"])
     answer = F.when(F.col("n_values") == 1, "found").when(F.col("n_values") > 1, "disagreement").otherwise("unknown")
     only = F.when(F.col("n_values") == 1, F.col("text_value"))
@@ -266,7 +272,7 @@ def select_claims(matched: DataFrame, cap: int = 4, max_chars: int = 400) -> Dat
     matched: request_id, terms (array), claim_id, display_text, trust_state."""
     order = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in (("verified", 0), ("disputed", 1), ("observed", 2), ("proposed", 3)) for x in p]), F.col("trust_state")), F.lit(4))
     overlap = F.aggregate("terms", F.lit(0), lambda n, x: n + F.contains(F.lower("display_text"), x).cast("int"))
-    kept = matched.filter((F.col("trust_state") == "verified") | ~t.claim_noise(F.col("display_text"))).withColumn("o", order).withColumn("overlap", overlap)
+    shown = matched.filter((F.col("trust_state") == "verified") | ~t.claim_noise(F.col("display_text"))).withColumn("o", order).withColumn("overlap", overlap)
     place = F.row_number().over(W.partitionBy("request_id").orderBy("o", F.col("overlap").desc(), F.length("display_text"), "display_text", "claim_id"))
     clipped = F.when(F.length("display_text") > max_chars, F.concat(F.rtrim(F.substring("display_text", 1, max_chars)), F.lit("..."))).otherwise(F.col("display_text"))
-    return kept.withColumn("position", place).filter(F.col("position") <= cap).select("request_id", "claim_id", "position", "overlap", clipped.alias("display_text"))
+    return shown.withColumn("position", place).filter(F.col("position") <= cap).select("request_id", "claim_id", "position", "overlap", clipped.alias("display_text"))

@@ -46,8 +46,7 @@ def disagreements(spark, d):
 pairs AS (SELECT l.request_id, l.chunk_id AS negated_chunk, r.chunk_id AS affirmed_chunk, length(l.text) + length(r.text) AS size FROM s l JOIN s r ON l.request_id = r.request_id AND l.path <> r.path WHERE l.side = 'negated' AND r.side = 'affirmed')
 SELECT request_id, negated_chunk, affirmed_chunk, size::INT AS size FROM pairs QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY size, negated_chunk, affirmed_chunk) = 1""")
 def conflict_witness(spark, d):
-    p = tb.policies(spark, d).select("request_id", "chunk_id", "path", "text")
-    return evidence.conflict_witness(evidence.disagreements(p), p)
+    return evidence.conflict_witness(tb.policies(spark, d).select("request_id", "chunk_id", "path", "text"))
 
 
 def _spans(spark, d):
