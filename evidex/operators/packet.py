@@ -198,7 +198,7 @@ def chosen(gathered: DataFrame, places: Column, *keys: str) -> DataFrame:
     return kept.select(*keys, F.explode(row).alias("x")).select(*keys, "x.row.*")
 
 
-JOINED = "struct<marks: array<struct<island: int, adds: boolean>>, island: int, reach: int, size: int, slack: int, stale: boolean>"
+JOINED = "struct<marks: array<struct<island: int, adds: boolean, whole: int>>, island: int, reach: int, size: int, slack: int, stale: boolean>"
 
 
 def joined(hits: DataFrame) -> DataFrame:
@@ -207,18 +207,20 @@ def joined(hits: DataFrame) -> DataFrame:
     A span opens an island of its own unless it reaches the one before it, in order of lines, is as
     stale, and its text still fits.  The island stands where the span that opened it stood, holds what all
     its spans hold of requirements, and the least of their ranks and passes; its text is that of the
-    spans that brought further lines."""
+    spans that brought further lines.  Hits that have a size in place of a text are joined by it, as if no
+    text ended in a line break, and the island has its size."""
     keys = ["request_id", "project_id", "path"]
-    size = lambda x: F.length(x["row"]["text"])
-    slack = lambda x: size(x) - F.length(F.rtrim(x["row"]["text"], F.lit("\n")))
+    sized = "text" not in hits.columns
+    size = lambda x: x["row"]["size"] if sized else F.length(x["row"]["text"])
+    slack = lambda x: F.lit(0) if sized else size(x) - F.length(F.rtrim(x["row"]["text"], F.lit("\n")))
 
     def step(s: Column, x: Column) -> Column:
         row = x["row"]
         within = (row["stale"] == s["stale"]) & (row["line_start"] <= s["reach"] + 1) & (s["size"] + size(x) <= MERGE_CHARS)
         further = row["line_end"] > s["reach"]
         island = s["island"] + F.when(within, 0).otherwise(1)
-        mark = F.struct(island.alias("island"), F.coalesce(~within | further, F.lit(True)).alias("adds"))
         grown = F.when(~within | within.isNull(), size(x)).when(further, s["size"] - s["slack"] + 1 + size(x)).otherwise(s["size"])
+        mark = F.struct(island.alias("island"), F.coalesce(~within | further, F.lit(True)).alias("adds"), grown.alias("whole"))
         over = F.when(within & ~further, s["slack"]).otherwise(slack(x))
         reach = F.when(within, F.greatest(s["reach"], row["line_end"])).otherwise(row["line_end"])
         return F.struct(F.concat(s["marks"], F.array(mark)).alias("marks"), island.alias("island"), reach.alias("reach"), grown.alias("size"), over.alias("slack"), row["stale"].alias("stale")).cast(JOINED)
@@ -226,12 +228,13 @@ def joined(hits: DataFrame) -> DataFrame:
     start = F.from_json(F.lit('{"marks": [], "island": 0, "reach": -2, "size": 0, "slack": 0}'), JOINED)
     marks = F.aggregate("rows", start, step, lambda s: s["marks"])
     each = by_position(hits, *keys).withColumn("marks", marks).select(*keys, F.explode(F.arrays_zip("rows", "marks")).alias("x")).select(*keys, "x.rows.row.*", "x.marks.*")
-    rest = [c for c in hits.columns if c not in {*keys, "text", "line_end", "rank", "match_pass", "requirements"}]
-    texts = F.transform(F.filter(F.sort_array(F.collect_list(F.struct("line_start", "position", "adds", "text"))), lambda x: x["adds"]), lambda x: x["text"])
-    whole = F.array_join(F.transform(texts, lambda x, i: F.when(i < F.size(texts) - 1, F.rtrim(x, F.lit("\n"))).otherwise(x)), "\n")
+    body = "size" if sized else "text"
+    rest = [c for c in hits.columns if c not in {*keys, body, "line_end", "rank", "match_pass", "requirements"}]
+    texts = F.transform(F.filter(F.sort_array(F.collect_list(F.struct("line_start", "position", "adds", body))), lambda x: x["adds"]), lambda x: x[body])
+    whole = F.max("whole") if sized else F.array_join(F.transform(texts, lambda x, i: F.when(i < F.size(texts) - 1, F.rtrim(x, F.lit("\n"))).otherwise(x)), "\n")
     found = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("requirements")))).alias("requirements")] if "requirements" in hits.columns else []
-    one = each.groupBy(*keys, "island").agg(F.min_by(F.struct(*rest), F.struct("line_start", "position")).alias("first"), whole.alias("text"), F.max("line_end").alias("line_end"), F.min("rank").alias("rank"), F.min("match_pass").alias("match_pass"), F.count("*").alias("merged"), *found)
-    return one.select(*keys, "first.*", "text", "line_end", "rank", "match_pass", "merged", *["requirements"] * len(found))
+    one = each.groupBy(*keys, "island").agg(F.min_by(F.struct(*rest), F.struct("line_start", "position")).alias("first"), whole.alias(body), F.max("line_end").alias("line_end"), F.min("rank").alias("rank"), F.min("match_pass").alias("match_pass"), F.count("*").alias("merged"), *found)
+    return one.select(*keys, "first.*", body, "line_end", "rank", "match_pass", "merged", *["requirements"] * len(found))
 
 
 def without_copies(spans: DataFrame, max_per_file: int) -> DataFrame:
@@ -256,7 +259,7 @@ def merge(hits: DataFrame, max_per_file: int = 2) -> DataFrame:
 
     Disagreeing spans come first and stay as they are: never joined, dropped or counted.
 
-    hits: request_id, project_id, path, line_start, line_end, text, stale, rank, match_pass, chunk_hash,
+    hits: request_id, project_id, path, line_start, line_end, text (or size alone: see ``joined``), stale, rank, match_pass, chunk_hash,
     disagreeing, position (unique in a request) and perhaps requirements.  Null paths and projects are files
     of their own; an empty table gives an empty result."""
     others = without_copies(joined(hits.filter(~F.col("disagreeing"))), max_per_file)
