@@ -76,10 +76,11 @@ def ingest(store: Store, project_id: str, found: DataFrame, full: bool = True) -
     """Bring a project up to what was found; the counts of each action and the store's version.
 
     found: path, text, content_hash, size, mtime.  ``full``: the listing shows all of the project, so
-    active sources that it lacks are missing."""
+    active sources that it lacks are missing.  What is to be done is planned without texts; those of changed
+    files are joined once.  Chunks and postings, the largest tables, are written once, where the commit names them."""
     seq = store.manifest()["version"] + 1
     mine = F.col("project_id") == project_id
-    once = found.groupBy("path").agg(F.max_by(F.struct("text", "content_hash", "size", "mtime"), "content_hash").alias("x")).select("path", "x.*")
+    once = found.groupBy("path").agg(F.max_by(F.struct("content_hash", "size", "mtime"), "content_hash").alias("x")).select("path", "x.*")
     old, versions = kept(heads(store).filter(mine), "heads"), table(store, "versions").filter(mine)
     rows, lost = planned(once, old, versions, project_id, seq, full)
     rows, lost = kept(rows, "planned"), kept(lost, "lost")
@@ -92,19 +93,24 @@ def ingest(store: Store, project_id: str, found: DataFrame, full: bool = True) -
     state = changed.select(*head, F.col("content_hash").alias("current_hash"), "size", "mtime", F.lit(True).alias("active"), F.lit(seq).cast("long").alias("seq"))
     away = lost.select(*head, "current_hash", "size", "mtime", F.lit(False).alias("active"), F.lit(seq).cast("long").alias("seq"))
     made = changed.filter("action in ('insert', 'update')").select(version_id.alias("version_id"), "source_id", F.lit(project_id).alias("project_id"), "content_hash", F.lit(seq).cast("long").alias("seq"))
-    cut = packet.chunks(changed.filter("action in ('insert', 'update', 'rename')").select(version_id.alias("version_id"), F.lit(project_id).alias("project_id"), "path", "content_hash", "text"))
+    to_cut = changed.filter("action in ('insert', 'update', 'rename')").select(version_id.alias("version_id"), F.lit(project_id).alias("project_id"), "path", "content_hash")
+    # a merge join by hint: files' rows are far larger in memory than in the table they were written to
+    read = found.select("path", "content_hash", "text").join(to_cut.hint("merge"), ["path", "content_hash"])
+    cut = packet.chunks(read.groupBy("version_id", "project_id", "path", "content_hash").agg(F.first("text").alias("text")))
     chunks = cut.withColumn("chunk_id", F.xxhash64("version_id", "path", "ordinal"))
-    chunks = kept(ledger.insert_new(table(store, "chunks"), chunks, ["chunk_id"]).select(*columns("chunks")), "chunks")
+    placed = {}
+    placed["chunks"], chunks = store.place("chunks", ledger.insert_new(table(store, "chunks"), chunks, ["chunk_id"]).select(*columns("chunks")))
     said = kept(evidence.claim_rows(chunks), "claims")
     claims = said.groupBy("claim_id", "project_id", "normalized_text").agg(F.max_by("display_text", F.struct("chunk_id", "sentence_no")).alias("display_text")).withColumn("trust_state", F.lit("observed")).withColumn("created_by", F.lit("ingest"))
     claims_of = said.select("project_id", "chunk_id", "normalized_text").distinct()
-    segment = segments(chunks)
+    placed["postings"], rows = store.place("postings", search.postings(chunks).select(*columns("postings")))
+    segment = counted(rows)
+    del segment["postings"]
     last = table(store, "projects").filter(mine).agg(F.max("corpus_version")).first()[0] or 0
     append = {
         "projects": store.spark.createDataFrame([(project_id, last + 1)], TABLES["projects"]),
         "sources": state.unionByName(away),
         "versions": made,
-        "chunks": chunks,
         "claims": ledger.insert_new(table(store, "claims"), claims, ["claim_id"]),
         "evidence": said.select("claim_id", "chunk_id").distinct(),
         "nodes": ledger.insert_new(table(store, "nodes"), graph.nodes(chunks, claims_of), ["node_id"]),
@@ -115,7 +121,7 @@ def ingest(store: Store, project_id: str, found: DataFrame, full: bool = True) -
     tables = store.manifest()["tables"]
     replace = {"cache": store.read("cache").filter(~mine)} if "cache" in tables else {}
     append = {n: df.select(*columns(n)) for n, df in append.items() if n != "validations" or n not in tables}
-    return counts | {"version": store.commit(append=append, replace=replace)}
+    return counts | {"version": store.commit(append=append, replace=replace, placed=placed)}
 
 
 def columns(name: str) -> list[str]:
@@ -123,7 +129,7 @@ def columns(name: str) -> list[str]:
 
 
 def segments(chunks: DataFrame) -> dict[str, DataFrame]:
-    """The postings of some chunks, sorted by term, and what is counted from them."""
+    """The postings of some chunks, in runs sorted by term as they come out of their texts, and what is counted from them."""
     return counted(kept(search.postings(chunks), "postings"))
 
 
@@ -131,7 +137,7 @@ def counted(rows: DataFrame) -> dict[str, DataFrame]:
     """Postings as the tables of one segment."""
     words, lengths = rows.filter(F.col("term") != search.STATS), rows.filter(F.col("term") == search.STATS)
     return {
-        "postings": rows.select(*columns("postings")).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"),
+        "postings": rows.select(*columns("postings")),
         "vocabulary": words.groupBy("term").agg(F.count("*").alias("df")),
         "lengths": lengths.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_length")),
     }
@@ -156,7 +162,7 @@ def merge_segments(store: Store, least: int = 1) -> int:
     state = store.manifest()
     if len(state["tables"].get("postings", [])) <= least:
         return state["version"]
-    return store.commit(replace=counted(table(store, "postings").join(current_chunks(store).select("chunk_id"), "chunk_id", "left_semi")))
+    return store.commit(replace=counted(table(store, "postings").join(current_chunks(store).select("chunk_id"), "chunk_id", "left_semi").sortWithinPartitions("term", "chunk_id")))
 
 
 def packets(store: Store, requests: DataFrame, scope: DataFrame, states: DataFrame | None = None, **more) -> DataFrame:

@@ -72,7 +72,13 @@ class Store:
     def delete(self, folder: str) -> None:
         self.fs.delete(self.jvm.Path(f"{self.root}/{folder}"), True)
 
-    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, drop: list[str] | None = None, format_version: int | None = None, first_format: int = FORMAT_VERSION) -> int:
+    def place(self, table: str, df: DataFrame) -> tuple[str, DataFrame]:
+        """Rows written to a new folder of a table, and read back; they belong to it once a commit is told of the folder (``placed``)."""
+        folder = f"{table}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        return folder, self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}")
+
+    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, drop: list[str] | None = None, placed: dict[str, str] | None = None, format_version: int | None = None, first_format: int = FORMAT_VERSION) -> int:
         """Write tables anew, add to them or drop them, all at once; the new version.
 
         Another commit in between makes this one fail instead of hiding it.  The format never falls;
@@ -83,9 +89,10 @@ class Store:
         reached = max(state["format_version"], format_version or 0)
         for adds, frames in ((False, replace or {}), (True, append or {})):
             for name, df in frames.items():
-                folder = f"{name}/{uuid.uuid4().hex}"
-                df.write.parquet(f"{self.root}/{folder}")
+                folder, _ = self.place(name, df)
                 tables[name] = [*(tables.get(name, []) if adds else []), folder]
+        for name, folder in (placed or {}).items():
+            tables[name] = [*tables.get(name, []), folder]
         version = state["version"] + 1
         text = json.dumps({"format_version": reached, "version": version, "tables": tables}, sort_keys=True)
         part, final = (self.jvm.Path(f"{self.root}/_manifests/{n}") for n in (f"_{uuid.uuid4().hex}", f"{version:012d}.json"))

@@ -3,8 +3,9 @@
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from evidex.operators import checks, evidence, packet
+from evidex.operators import checks, evidence, ingest, packet
 from evidex.plans import store_queries
+from evidex.sources.store import Store
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -46,3 +47,14 @@ def test_only_kinds_that_are_asked_for_are_evaluated(spark, monkeypatch):
     monkeypatch.setattr(checks, "kept", lambda df, name, f=checks.kept: written.append(name) or f(df, name))
     assert store_queries.one_call(spark, SMALL).count() > 0
     assert written == ["items-claim", "verdicts"]
+
+
+def test_ingest_plans_without_texts_and_writes_chunks_and_postings_once(spark, tmp_path, monkeypatch):
+    written = {}
+    monkeypatch.setattr(ingest, "kept", lambda df, name, f=ingest.kept: written.update({name: df.columns}) or f(df, name))
+    store = Store(spark, str(tmp_path / "s"))
+    files = spark.createDataFrame([("a.md", "Parcels must ship.", "h1", 1, 0), ("a.md", "Parcels must ship soon.", "h2", 1, 0), ("b.md", None, None, 0, 0), ("c.md", "Same.", "h3", 1, 0), ("c.md", "Same.", "h3", 1, 0)], "path string, text string, content_hash string, size long, mtime long")
+    assert ingest.ingest(store, "p", files)["version"] == 1
+    assert "planned" in written and not {"chunks", "postings"} & set(written) and not any("text" in c for n, c in written.items() if n != "claims")
+    assert sorted((r["path"], r["text"]) for r in store.read("chunks").collect()) == [("a.md", "Parcels must ship soon."), ("c.md", "Same.")]
+    assert store.read("postings").select("chunk_id").distinct().count() == 2
