@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.store import kept
 
 # What declares a symbol.
 SYMBOLS = (
@@ -56,54 +57,68 @@ def nodes(chunks: DataFrame, claims_of: DataFrame) -> DataFrame:
     return one.select("node_id", "project_id", "kind", "name", F.lit("observed").alias("trust"))
 
 
-# Nodes of a project that is searched whole, characters of a prefix, prefix candidates, terms, results.
-SMALL_PROJECT, PREFIX_CHARS, PREFIX_CANDIDATES, TERMS, RESULTS = 500, 5, 48, 8, 20
+# Terms, results; characters of the stretch by which a term finds the names that hold it.
+TERMS, RESULTS, GRAM = 8, 20, 3
 
 
 def trust_order(trust):
     return F.when(trust == "verified", 0).when(trust == "observed", 1).otherwise(2)
 
 
-def alike(requests: DataFrame, scope: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Requests of equal terms and scope are looked up once: (first requests, their scope, first and request_id of every request).
+def grouped(requests: DataFrame, scope: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests of equal terms and scope are one: (request_id, terms, scope_id of the first; scope_id, project_id; first and request_id of every request).
 
     requests: request_id, terms and perhaps scope_id; scope: project_id and scope_id, where requests have one,
     else request_id.  The least request of those that are alike stands for all.  Only the first ``most`` terms count."""
     asked = requests.withColumn("terms", F.slice("terms", 1, most)).filter(F.size("terms") > 0)
     if "scope_id" in requests.columns:
         asked = asked.select("request_id", "terms", "scope_id")
-        first = asked.groupBy("terms", "scope_id").agg(F.min("request_id").alias("first"))
-        seen = first.join(scope.select("scope_id", "project_id").distinct(), "scope_id")
+        own = scope.select("scope_id", "project_id").distinct()
     else:
-        own = scope.groupBy("request_id").agg(F.sort_array(F.collect_set("project_id")).alias("scope_id"))
-        asked = asked.select("request_id", "terms").join(own, "request_id")
-        first = asked.groupBy("terms", "scope_id").agg(F.min("request_id").alias("first"))
-        seen = first.select("first", F.explode("scope_id").alias("project_id"))
+        sets = scope.groupBy("request_id").agg(F.sort_array(F.collect_set("project_id")).alias("scope_id"))
+        asked = asked.select("request_id", "terms").join(sets, "request_id")
+        own = asked.select("scope_id").distinct().select("scope_id", F.explode("scope_id").alias("project_id"))
+    first = asked.groupBy("terms", "scope_id").agg(F.min("request_id").alias("first"))
     whose = asked.join(first, ["terms", "scope_id"]).select("first", "request_id").distinct()
-    return first.select(F.col("first").alias("request_id"), "terms"), seen.select(F.col("first").alias("request_id"), "project_id"), whose
-
-
-def candidates(requests: DataFrame, nodes: DataFrame, scope: DataFrame) -> DataFrame:
-    """request_id, terms, node_id, kind, name, trust, alive: the nodes that are worth a score.
-
-    In a project of up to 500 nodes that is every node, since a term may stand anywhere in a name; a
-    request then meets 500 nodes of a project at most.  In a larger one a node's name is a term, or is
-    among the first 48 names that begin with a term of five characters or more; both are equi-joins."""
-    counts = nodes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_nodes"))
-    sized = nodes.join(counts, "project_id").filter("kind <> 'project'")
-    asked = requests.join(scope, "request_id")
-    fields = ["request_id", "terms", "node_id", "kind", "name", "trust", "alive"]
-    small = asked.join(sized.filter(F.col("n_nodes") <= SMALL_PROJECT), "project_id").select(fields)
-    large = sized.filter(F.col("n_nodes") > SMALL_PROJECT)
-    tokens = asked.select("project_id", F.explode("terms").alias("term")).distinct()
-    equal = tokens.join(large.withColumnRenamed("name", "term"), ["project_id", "term"]).select("project_id", "term", F.col("term").alias("name"), "node_id", "kind", "trust", "alive")
-    heads = tokens.filter(F.length("term") >= PREFIX_CHARS).withColumn("head", F.substring("term", 1, PREFIX_CHARS))
-    begins = heads.join(large.withColumn("head", F.substring("name", 1, PREFIX_CHARS)), ["project_id", "head"]).filter(F.startswith("name", F.col("term")))
-    first = F.row_number().over(W.partitionBy("project_id", "term").orderBy("name", "node_id"))
-    prefixed = begins.withColumn("r", first).filter(F.col("r") <= PREFIX_CANDIDATES).select("project_id", "term", "name", "node_id", "kind", "trust", "alive")
-    found = equal.unionByName(prefixed)
-    whose = asked.select("request_id", "project_id", "terms", F.explode("terms").alias("term"))
-    return small.unionByName(whose.join(found, ["project_id", "term"]).select(fields).distinct())
+    return first.select(F.col("first").alias("request_id"), "terms", "scope_id"), own, whose
+
+
+def alike(requests: DataFrame, scope: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests of equal terms and scope are looked up once (see ``grouped``): (first requests, their scope, first and request_id of every request)."""
+    first, own, whose = grouped(requests, scope, most)
+    return first.select("request_id", "terms"), first.join(own, "scope_id").select("request_id", "project_id"), whose
+
+
+def naming(first: DataFrame, own: DataFrame, nodes: DataFrame, live: DataFrame) -> DataFrame:
+    """request_id, terms, node_id, kind, name, trust: every live node of a request's projects whose name holds one of its terms, each once.
+
+    first, own: see ``grouped``.  A term may stand anywhere in a name, in a project of any size.  Names meet a
+    term on the one of its stretches of ``GRAM`` characters that fewest names hold, a shorter term on all it
+    is, and are then asked for the whole term; so no request meets all nodes of a project.  A request meets
+    a name at the first of its terms that the name holds, so that nothing is made distinct.  Requests, scopes and terms are written, so
+    that they are broadcast where their size allows, and names stay where they are."""
+    named = nodes.filter("kind <> 'project'").select("project_id", "node_id", "kind", "name", "trust")
+    asked = kept(first, "naming-asked")
+    each = kept(asked.select(F.explode("terms").alias("term")).filter("term is not null").distinct().withColumn("n", F.least(F.length("term"), F.lit(GRAM))), "naming-terms")
+    sizes = [r[0] for r in each.select("n").distinct().collect()]  # GRAM + 1 numbers at most
+
+    def stretches(df: DataFrame, c: str) -> DataFrame:
+        """A row for each stretch (gram) of n characters of a text, each at its first place."""
+        placed = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))))).filter(F.col("i") + F.col("n") <= F.length(c) + 1)
+        return placed.withColumn("gram", F.substring(F.col(c), F.col("i"), F.col("n"))).filter(F.instr(F.col(c), F.col("gram")) == F.col("i")).drop("i", "n")
+
+    all_of = lambda df: stretches(df.filter("name is not null").withColumn("n", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))), "name")
+    counts = all_of(named.select("name")).groupBy("gram").agg(F.count(F.lit(1)).alias("n_held"))
+    rarest = stretches(each, "term").join(counts, "gram", "left")
+    # a term with a stretch that no name has is held by none
+    told = rarest.groupBy("term").agg(F.min_by("gram", F.struct("n_held", "gram")).alias("gram"), F.bool_and(F.col("n_held").isNotNull()).alias("whole")).filter("whole")
+    told = kept(told.select("term", "gram"), "naming-grams")
+    there = all_of(named.join(live.select("node_id"), "node_id", "left_semi"))
+    met = there.join(told, "gram").filter(F.contains("name", F.col("term"))).drop("gram")
+    seen = met.join(kept(own, "naming-scopes"), "project_id")
+    whose = asked.select("request_id", "terms", "scope_id", F.explode(F.array_distinct("terms")).alias("term"))
+    at_first = F.get(F.filter("terms", lambda x: F.contains(F.col("name"), x)), F.lit(0)) == F.col("term")
+    return seen.join(whose, ["scope_id", "term"]).filter(at_first).select("request_id", "terms", "node_id", "kind", "name", "trust")
 
 
 def matches(requests: DataFrame, nodes: DataFrame, scope: DataFrame, live: DataFrame, cap: int = RESULTS) -> DataFrame:
@@ -114,9 +129,8 @@ def matches(requests: DataFrame, nodes: DataFrame, scope: DataFrame, live: DataF
     with three terms or more it must hold two, or be one.  The best by score are kept, and shown by trust.
     Requests without terms and null names match nothing.  Many requests that see the same projects may
     share a ``scope_id`` (see ``alike``); requests that are alike cost one look-up."""
-    first, seen, whose = alike(requests, scope, TERMS)
-    marked = nodes.join(live.select("node_id").distinct().withColumn("alive", F.lit(True)), "node_id", "left")
-    each = candidates(first, marked, seen).filter("alive")
+    first, own, whose = grouped(requests, scope, TERMS)
+    each = naming(first, own, nodes, live)
     score = F.aggregate("terms", F.lit(0), lambda n, x: n + F.contains("name", x).cast("int"))
     exact = F.array_contains("terms", F.col("name")).cast("int")
     told = each.withColumn("exact", exact).withColumn("held", score).filter((F.col("exact") == 1) | (F.col("held") >= F.when(F.size("terms") >= 3, 2).otherwise(1)))

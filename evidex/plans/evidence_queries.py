@@ -133,11 +133,8 @@ def protected_policy(spark, d):
 
 @query("g7_graph_match", """WITH nodes AS (SELECT 'p' || CASE WHEN p_partkey % 4 = 0 THEN 'small' || p_partkey // 400 ELSE 'large' END AS project_id, p_partkey AS node_id, CASE WHEN p_partkey % 11 = 0 THEN 'project' ELSE 'topic' END AS kind, lower(p_name) || ' ' || p_partkey AS name, CASE WHEN p_partkey % 6 = 0 THEN 'verified' WHEN p_partkey % 5 = 0 THEN 'disputed' ELSE 'observed' END AS trust FROM part UNION ALL SELECT 'plarge', -s_suppkey, 'symbol', 'part ' || (s_suppkey % 30), 'observed' FROM supplier),
 asked AS (SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 3 = 0 THEN ['part ' || (s_suppkey % 30)] ELSE ['part', (s_suppkey % 9)::VARCHAR, 'part 1' || (s_suppkey % 9)] END AS terms FROM supplier),
-small AS (SELECT project_id FROM nodes GROUP BY 1 HAVING count(*) <= 500),
 pairs AS (SELECT request_id, terms, n.* FROM asked a, nodes n WHERE kind <> 'project'),
-pre AS (SELECT request_id, node_id FROM (SELECT request_id, node_id, project_id, unnest(terms) AS term, name FROM pairs WHERE project_id NOT IN (SELECT project_id FROM small)) WHERE length(term) >= 5 AND starts_with(name, term) QUALIFY row_number() OVER (PARTITION BY request_id, project_id, term ORDER BY name, node_id) <= 48),
-cand AS (SELECT * FROM pairs p WHERE project_id IN (SELECT project_id FROM small) OR list_contains(terms, name) OR EXISTS (SELECT 1 FROM pre WHERE pre.request_id = p.request_id AND pre.node_id = p.node_id)),
-s AS (SELECT *, len(list_filter(terms, lambda x: contains(name, x))) AS held, list_contains(terms, name)::INT AS exact, CASE trust WHEN 'verified' THEN 0 WHEN 'observed' THEN 1 ELSE 2 END AS o FROM cand),
+s AS (SELECT *, len(list_filter(terms, lambda x: contains(name, x))) AS held, list_contains(terms, name)::INT AS exact, CASE trust WHEN 'verified' THEN 0 WHEN 'observed' THEN 1 ELSE 2 END AS o FROM pairs),
 k AS (SELECT *, held + 2 * exact AS score FROM s WHERE (exact = 1 OR held >= CASE WHEN len(terms) >= 3 THEN 2 ELSE 1 END) AND node_id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY held + 2 * exact DESC, o, kind, name, node_id) <= 20)
 SELECT request_id, node_id, score::BIGINT AS score, exact::INT AS exact, row_number() OVER (PARTITION BY request_id ORDER BY o, score DESC, kind, name, node_id)::INT AS position FROM k""")
 def graph_match(spark, d):

@@ -260,3 +260,30 @@ def test_pairs_of_one_signature_are_dealt_to_many_tasks(spark):
         assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 30
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_graph_matches_do_not_depend_on_a_projects_size(spark):
+    """A project of 700 nodes, and one of 40: every node that holds a term is scored, as by brute force; terms of all lengths, none held, null, repeated."""
+    names = [f"{w} {i} {v}" for i, (w, v) in enumerate([("ring", "export"), ("bolt", "rings"), ("éxport", "x"), ("wide part", "1")] * 185)] + ["", "ring", None]
+    rows = [("large" if i >= 40 else "small", i, "project" if i % 97 == 0 else "topic", x, ["verified", "observed", "disputed"][i % 3]) for i, x in enumerate(names)]
+    terms = [["ring"], ["1"], ["7 ri", "rings", "x"], ["part", "9", "wide part 3"], ["éx"], ["never here"], ["ring", "ring"], [None, "bolt"], ["export", "never"], [], [""]]
+    nodes = spark.createDataFrame(rows, "project_id string, node_id long, kind string, name string, trust string").repartition(5)
+    asked = spark.createDataFrame(list(enumerate(terms)), "request_id long, terms array<string>")
+    seen = {i: [("large", "small"), ("large",), ("small",)][i % 3] for i in range(len(terms))}
+    scope = spark.createDataFrame([(i, p) for i, ps in seen.items() for p in ps], "request_id long, project_id string")
+    want = []
+    for i, ts in enumerate(terms):
+        if None in ts:  # a count with a null is none
+            continue
+        best = []
+        for p, n, kind, name, trust in rows:
+            if name is None or kind == "project" or p not in seen[i] or n % 7 == 0 or not ts:
+                continue
+            held, exact = sum(x in name for x in ts), int(name in ts)
+            if exact or held >= (2 if len(ts) >= 3 else 1):
+                best.append((-held - 2 * exact, ["verified", "observed", "disputed"].index(trust), kind, name, n, exact))
+        shown = sorted(sorted(best)[:20], key=lambda x: (x[1], x[0], x[3], x[4]))
+        want += [(i, x[4], -x[0], x[5], k) for k, x in enumerate(shown, 1)]
+    found = graph.matches(asked, nodes, scope, nodes.filter("node_id % 7 <> 0"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert {r[0] for r in want} == {0, 1, 2, 3, 4, 6, 8, 10}
