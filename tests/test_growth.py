@@ -82,6 +82,24 @@ def test_postings_stay_where_they_are_in_a_prefix_pass(spark, tmp_path, monkeypa
     assert moved["prefixes"] == ([], ["chunk_id", "project_id", "length", "keys", "fs"])
 
 
+def test_phrases_are_numbers_and_broadcasts_have_a_bound(spark, tmp_path, monkeypatch):
+    """What grows with the index has no text of a phrase in it, and is broadcast up to a number of rows, not of a file's bytes."""
+    chunks = spark.createDataFrame(documents(60), "chunk_id long, project_id string, path string, text string")
+    index = search.build(chunks)
+    whole = "alpha_beta_gamma3_the_end_of_line5"
+    each = search.phrases(spark.createDataFrame([(1, [whole, "the_end"])], "request_id long, terms array<string>"))
+    written = {}
+    monkeypatch.setattr(search, "kept", lambda df, name, f=search.kept: written.update({name: df.columns}) or f(df, name))
+    found = search.phrase_hits(search.words_of(each), index.postings, index.vocabulary)
+    want = sorted([(" ".join(["the", "end"]), i) for i in range(60)] + [(each.filter(F.size("phrase") > 2).first()["key"], i) for i in range(60) if i % 7 == 3 and i % 11 == 5])
+    rows = lambda df: sorted((r["key"], r["chunk_id"]) for r in df.select("key", "chunk_id").collect())
+    assert rows(found) == want and len(want) > 60
+    assert all("key" not in written[x] and "no" in written[x] for x in ("pairs", "probes"))
+    monkeypatch.setattr(search, "TOLD", 0)
+    none = search.phrase_hits(search.words_of(each), index.postings, index.vocabulary)
+    assert "BroadcastHashJoin" not in plan(none) and rows(none) == want
+
+
 def test_places_come_to_hits_and_are_folded_once(spark, monkeypatch):
     """Hits are not sorted to meet their places, and a place is folded before its terms are looked for in it."""
     plans = {}
